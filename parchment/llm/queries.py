@@ -24,5 +24,29 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op10_mixture_packing)}
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .contamination import hit_columns, scan_documents
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = hit_columns(scan_documents(docs, _table(spark, sf_dir, "benchmark")))
+    listed = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), "contaminated")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    found = score(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, training_sample
+
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), training_sample(docs))
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_benchmark_decontamination, op7_toxicity, op9_language_id, op10_mixture_packing)}
 ORACLE_SQL: dict[str, str] = {}

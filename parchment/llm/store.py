@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,8 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def wide(spark: SparkSession, least: int = 1) -> int:
     """Number of shuffle partitions of the session, as an explicit ``repartition`` count."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def extended(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` with more columns."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
