@@ -16,6 +16,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similar_groups
+
+    return similar_groups(_table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_best_fit
 
@@ -60,5 +66,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_best_fit_packing, op4_warc, op6_benchmark_decontamination, op7_toxicity, op9_language_id, op10_mixture_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard, op3_best_fit_packing, op4_warc, op6_benchmark_decontamination, op7_toxicity, op9_language_id, op10_mixture_packing)}
 ORACLE_SQL: dict[str, str] = {}
