@@ -17,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import saved
+from .store import saved, stable
 
 #: Words of a shingle; similarity in percent; a token in more texts than this is frequent.
 WORDS, PERCENT, FREQUENT = 5, 80, 100
@@ -229,11 +229,11 @@ def _with_component(index: DataFrame, labels: DataFrame) -> DataFrame:
 def link_texts(docs: DataFrame) -> DataFrame:
     """One row a document: uid (of the row), doc_id, n_shingles, component (uid of the group) and group_size.
 
-    ``docs``: doc_id and text of a stable table (files, not a random order); other columns are left out.
+    ``docs``: doc_id and text; other columns are left out.
     Documents without words are groups of their own, even equal ones; repeated rows are one group; null
     ids are kept; an empty table gives no rows.  Whole texts are read and no key, group or pair is capped.
     """
-    spark: SparkSession = docs.sparkSession
+    docs = stable(docs.select("doc_id", "text"))
     of, texts = _distinct_texts(docs)
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("b")).first()["b"] or 0
     prefixes = saved(_prefixes(texts, _token_classes(texts, size / 6)), "prefixes")
@@ -282,6 +282,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group stays, with its own columns: the smallest doc_id (null ids last, then the first row)."""
+    docs = stable(docs)
     order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "uid")
     kept = link_texts(docs).groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.uid").alias("kept_uid"))
     numbered = docs.withColumn("kept_uid", F.monotonically_increasing_id())

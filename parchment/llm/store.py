@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,3 +40,10 @@ def wide(spark: SparkSession, least: int = 1) -> int:
 def extended(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` with more columns."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` itself if it only projects or filters files, so that every pass numbers its rows alike; else a written copy."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = re.findall(r"^[\s:+\-]*([A-Za-z]+)", plan, re.M)
+    return df if nodes and set(nodes) <= {"Project", "Filter", "Relation"} else saved(df, "rows")
