@@ -42,6 +42,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import link_vectors
+
+    return link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .contamination import hit_columns, scan_documents
 
@@ -66,5 +72,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard, op3_best_fit_packing, op4_warc, op6_benchmark_decontamination, op7_toxicity, op9_language_id, op10_mixture_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard, op3_best_fit_packing, op4_warc, op5_embedding_near_dedup, op6_benchmark_decontamination, op7_toxicity, op9_language_id, op10_mixture_packing)}
 ORACLE_SQL: dict[str, str] = {}
