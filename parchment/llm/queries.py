@@ -64,6 +64,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"))
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import example_tools, format_tool_calls, turns_as_calls
+
+    messages = turns_as_calls(_table(spark, sf_dir, "conversations"))
+    return format_tool_calls(messages, example_tools(messages))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify, training_sample
 
@@ -72,5 +79,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard, op3_best_fit_packing, op4_warc, op5_embedding_near_dedup, op6_benchmark_decontamination, op7_toxicity, op9_language_id, op10_mixture_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard, op3_best_fit_packing, op4_warc, op5_embedding_near_dedup, op6_benchmark_decontamination, op7_toxicity, op8_tool_calls, op9_language_id, op10_mixture_packing)}
 ORACLE_SQL: dict[str, str] = {}
