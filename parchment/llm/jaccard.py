@@ -6,9 +6,11 @@ class and hash, two sets of Jaccard similarity t share at least k tokens within
 ``n - ceil(t n) + k``.  With k = 2 the prefix is indexed by each rare token and by each pair of frequent
 ones: two linked texts share a rare token or two frequent ones there, so no link is lost.
 
-Groups of candidates aren't expanded into all pairs: every key's members are compared with pivots, the
-links' components are formed, and only keys that still hold several components give their pairs across
-components.  So no link between components is lost and linked texts aren't compared again.
+Groups of candidates aren't expanded into pairs.  Every key's members are compared with two pivots and the
+links' components are formed.  Texts of keys that still hold several components then gather in crowds, by
+their most crowded key; a crowd is compared block by block inside tasks, which emit spanning links only.
+What no crowd has compared is little and is paired across components.  So no link between components is
+lost, however large a group of copies is.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ from .graph import components
 from .store import saved, stable
 
 #: Words of a shingle; similarity in percent; a token in more texts than this is frequent.
-WORDS, PERCENT, FREQUENT = 5, 80, 100
+WORDS, PERCENT, FREQUENT = 5, 80, 3000
 #: Bits of a slot of the class table (two bits for each slot: 32 MB, whatever the input).
 SLOT_BITS = 27
-#: Tokens counted in one bucket, about; ids that are broadcast at most; rounds of pivots at most.
-BUCKET_TOKENS, BROADCAST_IDS, PIVOT_ROUNDS = 1_000_000, 300_000, 6
+#: Tokens counted in one bucket, about; ids that are broadcast at most; texts of a crowd's block; rounds of crowds.
+BUCKET_TOKENS, BROADCAST_IDS, CROWD_BLOCK, CROWD_ROUNDS = 1_000_000, 300_000, 512, 3
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,11 +90,12 @@ def _token_classes(texts: DataFrame, tokens: int) -> tuple[bytes, bytes]:
             x, k = np.unique(np.concatenate(held), return_counts=True)
             ends = np.searchsorted(x, np.arange(buckets, dtype="u8") << np.uint64(64 - bits)).tolist() + [len(x)]
             held, n = [], 0
+            part = ((x << np.uint64(bits)) >> np.uint64(32)).astype("u4")  # with the bucket, 32 more bits tell tokens apart
             full = [b for b in range(buckets) if ends[b] < ends[b + 1]]
-            k = np.minimum(k, 255).astype("u1")
+            k = np.minimum(k, 65_535).astype("u2")
             for at in range(0, len(full), 64):
                 some = full[at : at + 64]
-                yield pa.record_batch([pa.array(some, pa.int32()), pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in some], pa.binary()), pa.array([k[ends[b] : ends[b + 1]].tobytes() for b in some], pa.binary())], names=["bucket", "tokens", "counts"])
+                yield pa.record_batch([pa.array(some, pa.int32()), pa.array([part[ends[b] : ends[b + 1]].tobytes() for b in some], pa.binary()), pa.array([k[ends[b] : ends[b + 1]].tobytes() for b in some], pa.binary())], names=["bucket", "tokens", "counts"])
 
         for b in batches:
             for text in b.column("text"):
@@ -108,13 +111,13 @@ def _token_classes(texts: DataFrame, tokens: int) -> tuple[bytes, bytes]:
     def add(pdf):
         import pandas as pd
 
-        x = np.concatenate([np.frombuffer(t, "u8") for t in pdf["tokens"]])
-        k = np.concatenate([np.frombuffer(c, "u1") for c in pdf["counts"]]).astype("i8")
+        x = np.concatenate([np.frombuffer(t, "u4") for t in pdf["tokens"]])
+        k = np.concatenate([np.frombuffer(c, "u2") for c in pdf["counts"]]).astype("i8")
         order = np.argsort(x, kind="stable")
         x, k = x[order], k[order]
         first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
         total = np.add.reduceat(k, first)
-        slot = (x[first] >> np.uint64(64 - SLOT_BITS)).astype("i8") % width
+        slot = x[first].astype("i8") >> (32 - (SLOT_BITS - bits))
         out = []
         for least in (2, FREQUENT + 1):
             table = np.zeros(width, "u1")
@@ -132,17 +135,16 @@ def _token_classes(texts: DataFrame, tokens: int) -> tuple[bytes, bytes]:
 
 
 def prefix_keys(x: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set and the place in the token order of each key's first token."""
+    """Index keys of a set, and which of them are single tokens."""
     n = len(x)
     order = np.lexsort((x, classes))[: min(n, n - -(-percent * n // 100) + 2)]
     x, c = x[order], classes[order]
-    rare, frequent = np.flatnonzero(c == 1), np.flatnonzero(c == 2)
+    rare, frequent = x[c == 1], x[c == 2]
+    if n == 1:  # a set of one token meets its equals by the token
+        rare, frequent = x[c > 0], x[:0]
     a, b = np.triu_indices(len(frequent), 1)
-    pairs = _mixed(x[frequent[a]] * _P + x[frequent[b]])
-    keys, at = np.concatenate([x[rare], pairs]), np.concatenate([rare, frequent[a]])
-    if n == 1 and c[0] == 2:  # a set of one frequent token meets its equals by the token
-        keys, at = x, np.zeros(1, "i8")
-    return keys, at
+    pairs = _mixed(frequent[a] * _P + frequent[b])
+    return np.concatenate([rare, pairs]), np.arange(len(rare) + len(pairs)) < len(rare)
 
 
 def _prefixes(texts: DataFrame, tables: tuple[bytes, bytes]) -> DataFrame:
@@ -158,42 +160,27 @@ def _prefixes(texts: DataFrame, tables: tuple[bytes, bytes]) -> DataFrame:
                 slot = (x >> np.uint64(64 - SLOT_BITS)).astype("i8")
                 bit = (slot & 7).astype("u1")
                 classes = ((many[slot >> 3] >> bit) & 1) + ((frequent[slot >> 3] >> bit) & 1)
-                k, p = prefix_keys(x, classes) if len(x) else (x, np.zeros(0, "i8"))
+                k, p = prefix_keys(x, classes) if len(x) else (x, np.zeros(0, bool))
                 sizes.append(len(x))
                 keys.append(k)
                 at.append(p)
                 ends.append(ends[-1] + len(k))
             offsets = pa.array(ends, pa.int32())
             flat = np.concatenate(keys) if keys else np.zeros(0, "u8")
-            place = np.concatenate(at).astype("i4") if at else np.zeros(0, "i4")
+            single = np.concatenate(at) if at else np.zeros(0, bool)
             yield pa.record_batch(
-                [b.column("uid"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat.view("i8"))), pa.ListArray.from_arrays(offsets, pa.array(place))],
-                names=["uid", "n", "keys", "places"],
+                [b.column("uid"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat.view("i8"))), pa.ListArray.from_arrays(offsets, pa.array(single, pa.bool_()))],
+                names=["uid", "n", "keys", "singles"],
             )
 
-    return texts.mapInArrow(run, "uid long, n int, keys array<long>, places array<int>")
-
-
-def _could_link(percent: int = PERCENT):
-    """Whether two sizes and the places of the first token seen shared still allow the similarity."""
-    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    return (100 * low >= percent * high) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
-
-
-def _pairs(joined: DataFrame) -> DataFrame:
-    """Distinct pairs a < b that can still link: the first shared key bounds the overlap."""
-    swap = F.col("a") > F.col("b")
-    turned = joined.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("n_a", "n_b"), ("n_b", "n_a"), ("at_a", "at_b"), ("at_b", "at_a"))])
-    return turned.groupBy("a", "b").agg(*[F.min(c).alias(c) for c in ("n_a", "n_b", "at_a", "at_b")]).filter(_could_link()).select("a", "b")
+    return texts.mapInArrow(run, "uid long, n int, keys array<long>, singles array<boolean>")
 
 
 def _pivot_pairs(index: DataFrame, seed: int) -> DataFrame:
-    """Every member of a key with the key's pivot: the first by a hash that depends on ``seed``."""
-    pivots = index.groupBy("key").agg(F.min(F.struct(F.xxhash64("uid", F.lit(seed)).alias("h"), "uid", "n", "at")).alias("p"))
-    pivots = pivots.select("key", F.col("p.uid").alias("b"), F.col("p.n").alias("n_b"), F.col("p.at").alias("at_b"))
-    joined = index.select("key", F.col("uid").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a")).join(pivots, "key").filter("a <> b").filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    return _pairs(joined.drop("key"))
+    """Distinct pairs a < b of a key's members with its pivot, the first by a hash that depends on ``seed``."""
+    pivots = index.groupBy("key").agg(F.min(F.struct(F.xxhash64("uid", F.lit(seed)).alias("h"), "uid", "n")).alias("p"))
+    joined = index.select("key", "uid", "n").join(pivots, "key").filter("uid <> p.uid").filter(100 * F.least("n", "p.n") >= PERCENT * F.greatest("n", "p.n"))
+    return joined.select(F.least("uid", "p.uid").alias("a"), F.greatest("uid", "p.uid").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -226,18 +213,84 @@ def _with_component(index: DataFrame, labels: DataFrame) -> DataFrame:
     return index.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
 
 
+def _block_links(pdf):
+    """Spanning links of a block pair: (a, b) where b is the smallest text that a hangs together with here."""
+    import pandas as pd
+
+    pdf = pdf.drop_duplicates("uid").reset_index(drop=True)
+    sets = [np.frombuffer(t, "u8") for t in pdf["tokens"]]
+    sizes = np.array([len(x) for x in sets], "i8")
+    token, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    both = np.zeros((len(sets), len(sets)), "f4")
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, len(token), 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        held = np.zeros((len(sets), min(4096, len(token) - at)), "f4")
+        held[row[lo:hi], column[lo:hi] - at] = 1
+        both += held @ held.T
+    linked = 100 * both.astype("i8") >= PERCENT * (sizes[:, None] + sizes[None, :] - both.astype("i8"))
+    uid = pdf["uid"].to_numpy()
+    low = uid.copy()
+    while True:
+        new = np.where(linked, low[None, :], np.iinfo("i8").max).min(1)
+        if (new == low).all():
+            break
+        low = new
+    return pd.DataFrame({"a": uid[uid != low], "b": low[uid != low]})
+
+
+def _crowd_links(chosen: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within crowds (uid, crowd): every two blocks of a crowd are compared in one task, which emits spanning links only."""
+    sizes = saved(chosen.groupBy("crowd").agg(F.ceil(F.count("*") / CROWD_BLOCK).cast("int").alias("blocks"), F.count("*").alias("m")).filter("m > 1"), "crowds")
+    members = chosen.join(sizes, "crowd").withColumn("block", F.pmod(F.xxhash64("uid", F.lit(4)), F.col("blocks")).cast("int")).join(sets, "uid")
+    other = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = other.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "uid", "tokens")
+    return pairs.groupBy("crowd", "i", "j").applyInPandas(_block_links, "a long, b long")
+
+
+def _open_index(index: DataFrame, labels: DataFrame, crowds: list[str]) -> tuple[DataFrame, int]:
+    """Entries of keys whose members aren't all in one component or one crowd, and how many pairs they give at most."""
+    open_index = _with_component(index, labels)
+    same = [F.countDistinct(c).alias(f"n_{c}") for c in ("component", *crowds)]
+    keys = open_index.groupBy("key").agg(F.count("*").alias("m"), *same)
+    for c in ("component", *crowds):
+        keys = keys.filter(f"n_{c} > 1")
+    keys = saved(keys.select("key", "m"), "open-keys")
+    pairs = keys.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0
+    return saved(open_index.join(keys, "key"), "open-index"), int(pairs)
+
+
+def _last_pairs(open_index: DataFrame, crowds: list[str]) -> DataFrame:
+    """Pairs across components that no crowd has compared and that share enough of their prefixes.
+
+    Of two sets' shared tokens those outside a prefix are fewer than the longer rest, so the shared keys of a
+    pair, all of which are here, bound its overlap.
+    """
+    a, b = (open_index.select("key", "single", F.col("uid").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in crowds]) for x in "ab")
+    both = a.join(b.drop("single"), "key").filter("a < b and c_a <> c_b").filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    for c in crowds:
+        both = both.filter(f"{c}_a <> {c}_b")
+    counted = both.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.count_if("single").alias("rare"), F.count_if(~F.col("single")).alias("combinations"))
+    frequent = F.when(F.col("combinations") > 0, (1 + F.sqrt(1 + 8 * F.col("combinations"))) / 2).otherwise(1)
+    rest = lambda n: F.ceil(PERCENT * n / 100) - 2
+    most = F.col("rare") + frequent + F.greatest(rest(F.col("n_a")), rest(F.col("n_b")), F.lit(0))
+    return counted.filter((100 + PERCENT) * (most + 1e-6) >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def link_texts(docs: DataFrame) -> DataFrame:
-    """One row a document: uid (of the row), doc_id, n_shingles, component (uid of the group) and group_size.
+    """One row a document: uid (of the row), doc_id, n_shingles and component (uid of the group).
 
-    ``docs``: doc_id and text; other columns are left out.
-    Documents without words are groups of their own, even equal ones; repeated rows are one group; null
-    ids are kept; an empty table gives no rows.  Whole texts are read and no key, group or pair is capped.
+    ``docs``: doc_id and text; other columns are left out.  Documents without words are groups of their own,
+    even equal ones; repeated rows are one group; null ids are kept; an empty table gives no rows.  Whole
+    texts are read and no key, group or pair is capped.
     """
     docs = stable(docs.select("doc_id", "text"))
     of, texts = _distinct_texts(docs)
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("b")).first()["b"] or 0
     prefixes = saved(_prefixes(texts, _token_classes(texts, size / 6)), "prefixes")
-    index = prefixes.select("uid", "n", F.explode(F.arrays_zip("keys", "places")).alias("e")).select(F.col("e.keys").alias("key"), "uid", "n", F.col("e.places").alias("at"))
+    index = prefixes.select("uid", "n", F.explode(F.arrays_zip("keys", "singles")).alias("e")).select(F.col("e.keys").alias("key"), "uid", "n", F.col("e.singles").alias("single"))
     shared = saved(index.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "shared-keys")
     index = saved(index.join(shared, "key"), "index")
     entries = index.count()
@@ -245,29 +298,22 @@ def link_texts(docs: DataFrame) -> DataFrame:
     tried = saved(_pivot_pairs(index, 0).union(_pivot_pairs(index, 1)).distinct(), "pairs")
     links = saved(_verified(tried, sets), "links")
     labels = saved(components(links), "components")
-    for seed in range(2, PIVOT_ROUNDS + 1):
-        # keys that hold several components, and the pairs across them
-        open_index = _with_component(index, labels)
-        parts = open_index.groupBy("key", "component").agg(F.count("*").alias("m"))
-        open_keys = parts.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count("*").alias("c")).filter("c > 1")
-        open_keys = saved(open_keys.select("key", ((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("pairs")), "open-keys")
-        left = open_keys.agg(F.sum("pairs")).first()[0]
-        if not left:
+    crowds: list[str] = []
+    while True:
+        open_index, pairs = _open_index(index, labels, crowds)
+        if not pairs:
             break
-        open_index = saved(open_index.join(open_keys.select("key"), "key"), "open-index")
-        last = left <= 4 * entries + 100_000 or seed == PIVOT_ROUNDS
-        if last:
-            a, b = (open_index.select("key", F.col("uid").alias(x), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
-            across = a.join(b, "key").filter("c_a < c_b").filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-            new = _pairs(across.drop("key", "c_a", "c_b"))
-        else:
-            new = _pivot_pairs(open_index, seed)
-        new = saved(new.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = saved(links.union(_verified(new, sets)), "links")
-        labels = saved(components(links), "components")
-        if last:
+        if pairs <= 2 * entries or len(crowds) == CROWD_ROUNDS:
+            last = saved(_last_pairs(open_index, crowds).join(tried, ["a", "b"], "left_anti"), "pairs")
+            labels = saved(components(links.union(_verified(last, sets))), "components")
             break
-        tried = saved(tried.union(new), "pairs")
+        # a text's crowd is its most crowded open key; texts without one are alone
+        name = f"crowd{len(crowds)}"
+        chosen = saved(open_index.groupBy("uid").agg(F.max_by("key", F.struct("m", "key")).alias("crowd")), "crowd-of")
+        links = saved(links.union(_crowd_links(chosen, sets)), "links")
+        labels = saved(components(links), "components")
+        index = saved(index.join(chosen.withColumnRenamed("crowd", name), "uid", "left").withColumn(name, F.coalesce(name, "uid")), "index")
+        crowds.append(name)
     grouped = of.join(prefixes.select(F.col("uid").alias("rep"), "n"), "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("n") == 0, F.col("uid")).otherwise(F.coalesce("component", "rep"))
     return saved(grouped.select("uid", "doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component")), "grouped")

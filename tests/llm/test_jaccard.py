@@ -60,10 +60,19 @@ def test_against_brute_force(spark, monkeypatch, seed, frequent):
     assert got(spark.createDataFrame(rows, SCHEMA).repartition(4)) == brute(rows)
 
 
-def test_pivot_rounds(spark, monkeypatch):
-    """Keys with many members that don't link go through further pivots before the last pairs."""
-    monkeypatch.setattr(J, "PIVOT_ROUNDS", 4)
-    rows = corpus(5, 120)
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_crowds(spark, monkeypatch, rounds):
+    """Many mutated copies of one text, compared in small blocks."""
+    monkeypatch.setattr(J, "CROWD_BLOCK", 16)
+    monkeypatch.setattr(J, "CROWD_ROUNDS", rounds)
+    r = random.Random(7)
+    base = [f"w{r.randrange(300)}" for _ in range(90)]
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 6])):
+            w[r.randrange(len(w))] = f"x{r.randrange(1000)}"
+        rows.append((k, " ".join(w)))
     assert got(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
 
 
