@@ -24,7 +24,7 @@ from .graph import components
 from .store import saved, stable
 
 #: Vectors a centroid stands for, centroids in all, sampled vectors a centroid, vectors of a block.
-SHARD, CENTROIDS, SAMPLE, BLOCK = 800, 4096, 24, 1024
+SHARD, CENTROIDS, SAMPLE, BLOCK = 320, 4096, 24, 1024
 #: Out-degree after pruning and with reverse edges, near and random candidates, pruning factor.
 DEGREE, DEGREE_BOTH, NEAR, FAR, ALPHA = 24, 48, 48, 16, 1.2
 #: Nodes a greedy walk keeps; how far below the threshold a node is still expanded.
