@@ -1,4 +1,8 @@
 """All queries of the library and their SQL, by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import reports, texts
+
+QUERIES: dict = {**reports.QUERIES, **texts.QUERIES}
+ORACLE_SQL: dict = {**reports.ORACLE_SQL, **texts.ORACLE_SQL}
