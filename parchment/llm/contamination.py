@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .store import extended, saved
+from .store import extended, long_rows, saved
 
 #: Words of an item window; words an automaton holds at most.
 WINDOW, CHUNK_WORDS = 13, 1_000_000
@@ -149,7 +149,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     benchmark hits nothing.
     """
     spark = docs.sparkSession
-    kept = docs.select(*[c for c in docs.columns if c not in ("n_words", "spans", "items", "longest")])
+    kept = long_rows(docs).select(*[c for c in docs.columns if c not in ("n_words", "spans", "items", "longest")])
     chunks = item_chunks(benchmark)
 
     def scanned(df: DataFrame, chunk: list[tuple[int, str]]) -> DataFrame:

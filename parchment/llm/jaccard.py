@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import saved, stable
+from .store import long_rows, saved, stable
 
 #: Words of a shingle; similarity in percent; a token in more texts than this is frequent.
 WORDS, PERCENT, FREQUENT = 5, 80, 3000
@@ -103,7 +103,7 @@ def _token_classes(texts: DataFrame, tokens: int) -> tuple[bytes, bytes]:
                 if len(x):
                     held.append(x)
                     n += len(x)
-                if n >= 3_000_000:
+                if n >= 2_000_000:
                     yield from flush()
         if held:
             yield from flush()
@@ -286,7 +286,7 @@ def link_texts(docs: DataFrame) -> DataFrame:
     even equal ones; repeated rows are one group; null ids are kept; an empty table gives no rows.  Whole
     texts are read and no key, group or pair is capped.
     """
-    docs = stable(docs.select("doc_id", "text"))
+    docs = stable(long_rows(docs).select("doc_id", "text"))
     of, texts = _distinct_texts(docs)
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("b")).first()["b"] or 0
     prefixes = saved(_prefixes(texts, _token_classes(texts, size / 6)), "prefixes")

@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .store import extended
+from .store import extended, long_rows
 
 #: Bounds of the model: documents sampled a language, letters learned a language, languages.
 TRAIN_DOCS, TRAIN_CHARS, LANGUAGES = 300, 50_000, 200
-MEMO = 500_000
+MEMO = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -135,7 +135,7 @@ def identify(docs: DataFrame, sample: list[tuple[str, str]] | None = None) -> Da
             found = [parser.predict(t.as_py()) for t in b.column("text")]
             yield pa.record_batch([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*b.schema.names, "lang_pred", "lang_score"])
 
-    return rest.mapInArrow(run, schema)
+    return long_rows(rest).mapInArrow(run, schema)
 
 
 def reject_language(docs: DataFrame, accepted: tuple[str, ...] | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import long_rows, saved
 from .tokens import token_ids, tokenizer_path
 
 TOKENS = "part int, row long, doc_id long, source string, n long, lo long, ids binary"
@@ -48,7 +48,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 names=["part", "row", "doc_id", "source", "n", "lo", "ids"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, TOKENS)
+    return long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, TOKENS)
 
 
 def pack_mixture(docs: DataFrame, tokenizer: str | None = None, length: int = 4096, end_id: int = 2) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import long_rows
 from .tokens import token_ids, tokenizer_path
 
 ROWS = "sequence_id long, n_tokens int, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids binary, positions binary"
@@ -108,7 +109,7 @@ def pack_best_fit(docs: DataFrame, tokenizer: str | None = None, length: int = 2
         if pieces:
             yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ROWS)
+    return long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ROWS)
 
 
 def write_packed(rows: DataFrame, path: str) -> None:

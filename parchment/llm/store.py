@@ -47,3 +47,11 @@ def stable(df: DataFrame) -> DataFrame:
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     nodes = re.findall(r"^[\s:+\-]*([A-Za-z]+)", plan, re.M)
     return df if nodes and set(nodes) <= {"Project", "Filter", "Relation"} else saved(df, "rows")
+
+
+def long_rows(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df`` for Python workers: whole texts are long, so Arrow batches of the session hold at most ``rows`` of them."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
 #: Entries of the memo of one Python worker (about 200 bytes each).
-MEMO = 600_000
+MEMO = 350_000
 #: Letters whose lower-casing and NFC form are the same for the library and for Python.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ɏ]+")
 _MARKS = frozenset(".,;:!?")
@@ -56,7 +58,10 @@ class TokenIds:
         word = word.lower()
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(word)], dtype="<u4").tobytes()
+        ids = array("I", [t.id for t in self.model.tokenize(word)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         if _PLAIN.fullmatch(chunk):
