@@ -61,7 +61,7 @@ def reflow_lines(lines: Column, most: int = 2) -> Column:
         push = lambda x: F.concat(s["out"], F.array(x))
         new = lambda out, o, n: F.struct(out.alias("out"), o.alias("open"), n.alias("n"))
         empty = F.lit(None).cast("string")
-        return F.when(F.trim(line) == "", s).when(done, new(push(text), empty, F.lit(0))).when(full, new(push(s["open"]), F.trim(line), F.lit(1))).otherwise(new(s["out"], text, s["n"] + 1))
+        return F.when(F.lower(F.trim(line)).isin("", "contents"), s).when(done, new(push(text), empty, F.lit(0))).when(full, new(push(s["open"]), F.trim(line), F.lit(1))).otherwise(new(s["out"], text, s["n"] + 1))
 
     return F.aggregate(lines, start, step, lambda s: F.when(s["open"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["open"]))))
 
