@@ -145,6 +145,11 @@ def coalesce_siblings(rows: DataFrame, root: str, columns: list[str], order: lis
     return ranked.groupBy(root).agg(*out)
 
 
+def stage_index(stages: DataFrame, root: str = "root", order: str = "batch_id") -> DataFrame:
+    """E2. Adds stage_index, from 1 within the root by batch id."""
+    return stages.withColumn("stage_index", F.row_number().over(Window.partitionBy(root).orderBy(*nulls_last(order))))
+
+
 def stage_yield(stages: DataFrame, root: str = "root", order: str = "ord") -> DataFrame:
     """D14, E2. yield_percent: last amount by the first (or the first batch size where that is missing or zero), one decimal.
 

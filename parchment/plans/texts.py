@@ -262,4 +262,12 @@ SELECT doc_id, ord, arg_min(page_idx, (CASE WHEN l > 0 THEN 0 WHEN a > 0 THEN 1
 SELECT doc_id, round(2 * sum(least(e, a)) / sum(e + a), 9) AS similarity, 2 * sum(least(e, a)) / sum(e + a) >= 0.98 AS equal FROM c GROUP BY 1""",
     "reply_stream_order": f"WITH {V.SQL['events']} SELECT run_id, arg_min(event_id, (ev_at, event_id)) AS first_event, arg_max(event_id, (ev_at, event_id)) AS last_event FROM run_events GROUP BY 1",
     "section_tree": f"WITH {V.SQL['versions']}, c AS (SELECT run_id, section_key, count(*) AS n FROM versions GROUP BY 1, 2) SELECT run_id, 'body' AS top, list('body.' || section_key || ':' || upper(section_key[1]) || section_key[2:] || ':' || CASE WHEN n > 1 THEN 'true' ELSE 'false' END ORDER BY section_key) AS leaves FROM c GROUP BY 1",
+    "outline_dedupe": f"""WITH {V.SQL['outline']}, t AS (SELECT *, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS n, regexp_extract(title, '^(\\d+(?:\\.\\d+)*)', 1) AS sec FROM outline),
+a AS (SELECT *, max(page) OVER (PARTITION BY doc_id, n) AS last, row_number() OVER (PARTITION BY doc_id, n ORDER BY page, ord) AS k FROM t), b AS (SELECT doc_id, ord, level, title, last AS page, sec FROM a WHERE k = 1),
+c AS (SELECT *, max(page) OVER (PARTITION BY doc_id, sec) AS last, row_number() OVER (PARTITION BY doc_id, sec ORDER BY page, ord) AS k FROM b), d AS (SELECT doc_id, ord, level, title, last AS page FROM c WHERE k = 1),
+e AS (SELECT *, lead(page) OVER (PARTITION BY doc_id ORDER BY page, ord) AS next FROM d) SELECT doc_id, ord, level, title, page FROM e WHERE next IS NULL OR next - page <= 70""",
+    "block_filter": f"""WITH {V.SQL['lines']}, w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY page_idx, block_no) AS k, max(CASE WHEN regexp_matches(text, '(?i)^(?:Bibliography|NO COPYING WITHOUT BSI|British Standards Institution|This page deliberately left blank|BSI Group Headquarters|ICS\\s+\\d+\\.\\d+)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_idx, block_no) AS stop FROM page_lines),
+r AS (SELECT doc_id, CASE WHEN length(trim(text)) < 3 THEN 'short' WHEN regexp_matches(substring(text, 1, 120), '(?i)Copyrighted material|licensed to|Techstreet') THEN 'watermark' WHEN regexp_matches(trim(text), '^\\d{{1,4}}\\s*$') THEN 'page number'
+ WHEN regexp_matches(trim(text), '(?i)^\\d{{0,4}}\\s*All rights reserved\\s*$|^©\\s*(?:ISO|IEC|BSI|EN)\\b.*All rights reserved.*$') THEN 'rights footer' WHEN stop = 1 THEN 'back matter' WHEN regexp_matches(text, '(?i)^(?:[a-z]\\s{{1,4}}\\S|\\d+\\)\\s|\\*\\s)') AND k > 1 THEN 'repeated footnote' ELSE 'kept' END AS reason FROM w)
+SELECT doc_id, reason, count(*) AS n FROM r GROUP BY 1, 2""",
 }
