@@ -102,4 +102,13 @@ dg AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, unnest(list_tran
 h AS (SELECT doc_id, i, dg.k, item_id FROM dg JOIN win ON dg.k = win.k AND dg.g = win.g), pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM h), n AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY 1),
 t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM h GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op8_tool_calls": """WITH c AS (SELECT a.conv_id, a.turn, a.role, a.text, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn) - 1 AS position, n.role AS after_role, p.role AS before_role
+FROM conversations a LEFT JOIN conversations n ON n.conv_id = a.conv_id AND n.turn = a.turn + 1 LEFT JOIN conversations p ON p.conv_id = a.conv_id AND p.turn = a.turn - 1),
+k AS (SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'text' END AS kind, CASE role WHEN 'user' THEN 'call-' || conv_id || '-' || turn WHEN 'assistant' THEN 'call-' || conv_id || '-' || (turn - 1) END AS call_id,
+ CASE WHEN role = 'user' THEN CASE WHEN length(text) < 150 THEN 'search' ELSE 'summarise' END END AS name,
+ CASE role WHEN 'user' THEN CASE WHEN after_role = 'assistant' THEN 'linked' ELSE 'unanswered' END WHEN 'assistant' THEN CASE WHEN before_role = 'user' THEN 'linked' ELSE 'orphan' END ELSE 'text' END AS status FROM c)
+SELECT conv_id, position, kind, call_id, status, CASE WHEN name = 'summarise' THEN ['type: length'] ELSE CAST([] AS VARCHAR[]) END AS errors,
+'{' || CASE name WHEN 'search' THEN '"arguments":{"limit":' || (turn + 1) || ',"text":' || CAST(to_json(text) AS VARCHAR) || '},' WHEN 'summarise' THEN '"arguments":{"length":"' || length(text) || '","text":' || CAST(to_json(text) AS VARCHAR) || '},' ELSE '' END
+ || CASE WHEN call_id IS NULL THEN '' ELSE '"call_id":"' || call_id || '",' END || CASE WHEN name IS NULL AND text IS NOT NULL THEN '"content":' || CAST(to_json(text) AS VARCHAR) || ',' ELSE '' END || CASE WHEN name = 'summarise' THEN '"errors":["type: length"],' ELSE '' END
+ || '"kind":"' || kind || '",' || CASE WHEN name IS NULL THEN '' ELSE '"name":"' || name || '",' END || '"position":' || position || ',"role":"' || role || '","status":"' || status || '"}' AS json FROM k""",
 }
