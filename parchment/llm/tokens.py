@@ -56,6 +56,9 @@ class TokenIds:
 
     def _word(self, word: str) -> bytes:
         word = word.lower()
+        known = self.memo.get(word)
+        if known:
+            return known
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letters)
         ids = array("I", [t.id for t in self.model.tokenize(word)])
