@@ -22,7 +22,7 @@ from .store import extended, long_rows
 
 #: Bounds of the model: documents sampled a language, letters learned a language, languages.
 TRAIN_DOCS, TRAIN_CHARS, LANGUAGES = 300, 50_000, 200
-MEMO = 300_000
+MEMO = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 

@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 
 #: Entries of the memo of one Python worker (about 200 bytes each).
-MEMO = 350_000
+MEMO = 600_000
 #: Letters whose lower-casing and NFC form are the same for the library and for Python.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ɏ]+")
 _MARKS = frozenset(".,;:!?")
