@@ -183,6 +183,19 @@ def _pivot_pairs(index: DataFrame, seed: int) -> DataFrame:
     return joined.select(F.least("uid", "p.uid").alias("a"), F.greatest("uid", "p.uid").alias("b")).distinct()
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Sorted tokens by their upper 48 bits: what is moved for comparison, never more than a few texts' tokens at once."""
+    return x.byteswap().view("u1").reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(blob) -> np.ndarray:
+    """The tokens of ``packed``, still sorted."""
+    rows = np.frombuffer(blob, "u1").reshape(-1, 6)
+    full = np.zeros((len(rows), 8), "u1")
+    full[:, :6] = rows
+    return full.reshape(-1).view(">u8").astype("u8")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose whole token sets reach the similarity."""
 
@@ -190,7 +203,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for b in batches:
             ok = []
             for s, t in zip(b.column("set_a"), b.column("set_b")):
-                s, t = np.frombuffer(s.as_buffer(), "u8"), np.frombuffer(t.as_buffer(), "u8")
+                s, t = unpacked(s.as_buffer()), unpacked(t.as_buffer())
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 ok.append(100 * both >= PERCENT * (len(s) + len(t) - both))
             yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -202,7 +215,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _token_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column("uid"), pa.array([shingles(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], names=["uid", "tokens"])
+            yield pa.record_batch([b.column("uid"), pa.array([packed(shingles(t.as_py())) for t in b.column("text")], pa.binary())], names=["uid", "tokens"])
 
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -218,7 +231,7 @@ def _block_links(pdf):
     import pandas as pd
 
     pdf = pdf.drop_duplicates("uid").reset_index(drop=True)
-    sets = [np.frombuffer(t, "u8") for t in pdf["tokens"]]
+    sets = [unpacked(t) for t in pdf["tokens"]]
     sizes = np.array([len(x) for x in sets], "i8")
     token, column = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), sizes)
