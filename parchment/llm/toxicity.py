@@ -29,6 +29,8 @@ LOOKALIKES = {
 }
 #: Cost (nats) of a look-alike, of a repeated letter and of a mark between letters.
 SWAP, REPEAT, NOISE = 1.0, 0.5, 1.5
+#: Cost (nats) above the best way to split spaced letters up to which a place may start a word.
+SPLIT = 6.0
 #: Bounds: labelled rows learned from, features tried, features kept, entries of a worker's memo, letters of a lattice.
 TRAIN_ROWS, CANDIDATES, FEATURES, MEMO, LATTICE = 60_000, 50_000, 5_000, 400_000, 48
 #: A feature needs so many toxic rows that no other explains, and such a share of its rows to be toxic.
@@ -87,6 +89,22 @@ class Restorer:
         back = (bi + 5 * (uni / max(1.0, uni.sum()))[None, :]) / (bi.sum(1, keepdims=True) + 5) if uni.sum() else np.full((_BASE, _BASE), 1 / _BASE)
         self.cost = -np.log(np.maximum((tri + 5 * back[None]) / (tri.sum(2, keepdims=True) + 5), 1e-9))
 
+    def starts(self, letters: str) -> list[int]:
+        """Where words may start in letters without blanks: a path with a blank there costs at most ``SPLIT`` more than the best."""
+        cost, k = self.cost, [_CLASS.get(c, _OTHER) for c in letters]
+        n, last = len(k), len(k) - 1
+        # of letter i: the class before it, if it goes on a word (0) or starts one (1)
+        past = [(k[i - 1] if i else 0, 0) for i in range(n)]
+        step = lambda i, s, t: cost[past[i][s], k[i], k[i + 1]] if not t else cost[past[i][s], k[i], 0] + cost[k[i], 0, k[i + 1]]
+        ahead, behind = [(np.inf, 0.0)], [tuple(cost[past[last][s], k[last], 0] for s in (0, 1))]
+        for i in range(last):
+            ahead.append(tuple(min(ahead[i][s] + step(i, s, t) for s in (0, 1)) for t in (0, 1)))
+        for i in range(last - 1, -1, -1):
+            behind.append(tuple(min(step(i, s, t) + behind[-1][t] for t in (0, 1)) for s in (0, 1)))
+        behind.reverse()
+        best = behind[0][1]
+        return [i for i in range(n) if ahead[i][1] + behind[i][1] <= best + SPLIT]
+
     def word(self, token: str) -> str:
         """The likeliest letters behind ``token`` (lower case)."""
         cost = self.cost
@@ -144,12 +162,17 @@ class Reader:
         return tuple(found)
 
     def _spaced(self, letters: str) -> tuple[str, ...]:
-        """Of single letters in a row: of the whole, and of known words of three letters or more inside it, as letters near it may be words of their own."""
+        """Of single letters in a row: known words of three letters or more inside it, as letters near it may be words of their own, and stems where a word may start."""
         if self.known is None:
             return self._features(letters)
         forms = {letters, self.restorer.word(letters)} if suspicious(letters) else {letters}
         parts = {f[a:b] for f in forms for a in range(len(f)) for b in range(a + 3, min(len(f), a + 20) + 1)}
-        return tuple(p for p in sorted(parts) if p in self.known)
+        found = {p for p in parts if p in self.known}
+        for f in forms:
+            heads = {a: own for a in range(len(f) - 4) if (own := [x for x in stems(f[a : a + 7])[1:] if x in self.known])}
+            if heads:
+                found.update(x for a in self.restorer.starts(f) for x in heads.get(a, ()))
+        return tuple(sorted(found))
 
     def features(self, text: str | None) -> set[str]:
         if not text:
@@ -257,6 +280,10 @@ def explaining(rows: list[list[int]], features: list[tuple[str, float]]) -> dict
     for k, own in of.items():
         if features[k][0] not in chosen and features[k][1] >= SURE_SHARE and len({held[i] for i in own}) >= DIFFERENT and len(chosen) < FEATURES:
             chosen[features[k][0]] = features[k][1]
+    # words that a kept stem covers: they mark no other plain text, but spaced letters are searched for whole words
+    for word, share in features:
+        if word not in chosen and any(x in chosen for x in stems(word)[1:]):
+            chosen[word] = share
     return chosen
 
 

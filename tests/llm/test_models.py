@@ -127,6 +127,20 @@ def test_toxicity(spark):
     assert score(spark.createDataFrame([], DOCS), marks).collect() == []
 
 
+def test_words_known_by_their_stem_are_found_spaced(spark):
+    from parchment.llm.toxicity import Reader, explaining, trigram_counts
+
+    text = "the idiot and the clown are here with other words of this kind and idiotic clowns " * 50
+    restorer = Restorer([tuple(r) for r in trigram_counts(spark.createDataFrame([(text,)], "text string")).collect()])
+    reader = Reader(restorer, {"clow*": 0.9, "idio*": 0.9, "here*": 0.9})
+    for line in ("what a c l o w n it is", "a c l o w n s here", "an i d i o t i c one", "t h e c l o w n", "a c l 0 w n"):
+        assert reader.score(line) > 0.8, line
+    assert reader.score("o t h e r w o r d s") < 0.3
+    rows = [[0, 1, 2]] * 40
+    kept = explaining(rows, [("clow*", 0.98), ("clown", 0.98), ("alone", 0.98)])
+    assert "clown" in kept and "alone" not in kept
+
+
 VEC = "vec_id long, embedding array<float>, label int"
 
 
