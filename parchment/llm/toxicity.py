@@ -13,6 +13,7 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ LOOKALIKES = {
 SWAP, REPEAT, NOISE = 1.0, 0.5, 1.5
 #: Cost (nats) above the best way to split spaced letters up to which a place may start a word.
 SPLIT = 6.0
-#: Bounds: labelled rows learned from, features tried, features kept, entries of a worker's memo, letters of a lattice.
-TRAIN_ROWS, CANDIDATES, FEATURES, MEMO, LATTICE = 60_000, 50_000, 5_000, 400_000, 48
+#: Bounds: labelled rows learned from, features tried, features kept, entries of a worker's memo.
+TRAIN_ROWS, CANDIDATES, FEATURES, MEMO = 60_000, 50_000, 5_000, 400_000
 #: A feature needs so many toxic rows that no other explains, and such a share of its rows to be toxic.
 LEAST_ROWS, LEAST_SHARE = 4, 0.7
 #: Or a share this sure, in rows with so many different sets of the features kept.
@@ -46,6 +47,7 @@ _CLASS = {c: k for k, c in enumerate(_LETTERS, 1)}
 _OTHER = len(_LETTERS) + 1
 _BASE = _OTHER + 1
 _SPACED = re.compile(r"(?<!\S)(\S(?:[ \t]\S){2,})(?!\S)")
+_AMOUNT = re.compile(r"[(+$€£¢]*[0-9]+[+$€£¢!]*|[(!¡|+]+")
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -89,6 +91,11 @@ class Restorer:
         back = (bi + 5 * (uni / max(1.0, uni.sum()))[None, :]) / (bi.sum(1, keepdims=True) + 5) if uni.sum() else np.full((_BASE, _BASE), 1 / _BASE)
         self.cost = -np.log(np.maximum((tri + 5 * back[None]) / (tri.sum(2, keepdims=True) + 5), 1e-9))
 
+    @cached_property
+    def costs(self) -> list:
+        """``cost`` as lists, which are quicker to read one by one."""
+        return self.cost.tolist()
+
     def starts(self, letters: str) -> list[int]:
         """Where words may start in letters without blanks: a path with a blank there costs at most ``SPLIT`` more than the best."""
         cost, k = self.cost, [_CLASS.get(c, _OTHER) for c in letters]
@@ -106,36 +113,45 @@ class Restorer:
         return [i for i in range(n) if ahead[i][1] + behind[i][1] <= best + SPLIT]
 
     def word(self, token: str) -> str:
-        """The likeliest letters behind ``token`` (lower case)."""
-        cost = self.cost
-        # state: the classes of the last two letters -> (cost, letters)
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for c in token[:LATTICE]:
-            options = [(c, 0.0)] if c.isalpha() else [(x, SWAP) for x in LOOKALIKES.get(c, "")]
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-
-            def offer(key, value, new=new):
-                if key not in new or value < new[key]:
-                    new[key] = value
-
+        """The likeliest letters behind ``token`` (lower case), however long it is."""
+        cost = self.costs
+        # state: the classes of the last two letters -> (cost, letters as a chain back to the first)
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for c in token:
+            letter = c.isalpha()
+            options = [(c, 0.0, _CLASS.get(c, _OTHER))] if letter else [(x, SWAP, _CLASS.get(x, _OTHER)) for x in LOOKALIKES.get(c, "")]
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (so_far, word) in states.items():
-                for x, extra in options:
-                    k = _CLASS.get(x, _OTHER)
-                    offer((b, k), (so_far + extra + cost[a, b, k], word + x))
-                    if word and word[-1] == x:
-                        offer((a, b), (so_far + extra + REPEAT, word))
-                if not c.isalpha():
-                    offer((a, b), (so_far + NOISE, word))
+                row = cost[a][b]
+                for x, extra, k in options:
+                    value = so_far + extra + row[k]
+                    if (b, k) not in new or value < new[b, k][0]:
+                        new[b, k] = value, (word, x)
+                    if word and word[1] == x:
+                        value = so_far + extra + REPEAT
+                        if (a, b) not in new or value < new[a, b][0]:
+                            new[a, b] = value, word
+                if not letter:
+                    value = so_far + NOISE
+                    if (a, b) not in new or value < new[a, b][0]:
+                        new[a, b] = value, word
             states = new
-        best = min(((so_far + cost[a, b, 0], word) for (a, b), (so_far, word) in states.items()), default=(0.0, ""))
-        return best[1]
+        word = min(((so_far + cost[a][b][0], word) for (a, b), (so_far, word) in states.items()), key=lambda x: x[0], default=(0.0, None))[1]
+        out = []
+        while word:
+            word, x = word
+            out.append(x)
+        return "".join(reversed(out))
 
 
 def suspicious(token: str) -> bool:
-    """Letters mixed with digits or marks, or a letter three times in a row."""
+    """Letters mixed with digits or marks, a letter three times in a row, or look-alikes alone unless they are a number or an amount."""
     if token.isalpha():
         return any(a == b == c for a, b, c in zip(token, token[1:], token[2:]))
-    return any(c.isalpha() for c in token)
+    if any(c.isalpha() for c in token):
+        return True
+    alike = [c for c in token if c in LOOKALIKES]
+    return len(alike) > 2 and len(set(alike)) > 1 and not _AMOUNT.fullmatch("".join(alike))
 
 
 def stems(word: str) -> tuple[str, ...]:
@@ -154,7 +170,7 @@ class Reader:
         plain = _TRIM.sub("", chunk.lower())
         out: list[str] = list(stems(plain)) if plain.isalpha() else []
         core = chunk.lower()
-        if len(core) <= LATTICE and (suspicious(core.rstrip(".,;:?\"')"))):
+        if suspicious(core.rstrip(".,;:?\"')")):
             for form in {core.rstrip(".,;:?\"')"), plain}:
                 if suspicious(form):
                     out += stems(self.restorer.word(form))

@@ -141,6 +141,19 @@ def test_words_known_by_their_stem_are_found_spaced(spark):
     assert "clown" in kept and "alone" not in kept
 
 
+def test_long_tokens_are_restored_whole(spark):
+    from parchment.llm.toxicity import Reader, trigram_counts
+
+    text = "the idiot and the clown are here with other words of this kind " * 50
+    restorer = Restorer([tuple(r) for r in trigram_counts(spark.createDataFrame([(text,)], "text string")).collect()])
+    reader = Reader(restorer, {"clown": 0.9, "idiot": 0.9})
+    assert restorer.word("i" * 60 + "d1ot") == "idiot" and restorer.word("cl0wn" + "." * 100_000) == "clown"
+    assert reader.score("c" + "-" * 60 + "l0wn") > 0.8
+    assert reader.score(" ".join("theotherwordsofthiskindareherewiththeotherwords" * 2 + "cl0wn")) > 0.8
+    assert all(map(suspicious, ("(|0+", "@$$", "@.$.$")))
+    assert not any(map(suspicious, ("455", "$455", "455€", "!!!", "+1", "$$$", "$1,455.50", "(12)", "12:30", "...", "")))
+
+
 VEC = "vec_id long, embedding array<float>, label int"
 
 
