@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .store import saved, stable
 
-#: Longest chain of out-of-order dependencies that is followed; turns of a window; tools broadcast at most.
-DEPTH, TURNS, TOOLS = 100, 4096, 10_000
+#: Rows of a chain of waits, beyond any table (so that sums that run round a cycle stay small); turns of a window; tools broadcast at most.
+DEPTH, TURNS, TOOLS = 1 << 41, 4096, 10_000
 _FIELDS = ("conv_id long", "turn long", "kind string", "role string", "call_id string", "name string", "arguments string", "content string", "after array<string>")
 
 
@@ -47,27 +47,57 @@ def argument_errors(calls: DataFrame, tools: DataFrame) -> DataFrame:
     return rows.withColumn("errors", errors).drop("given", "tool", "required", "types")
 
 
+def _times(nodes: DataFrame, waits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(uid, t) of nodes (uid, t) moved behind what they wait for (before, uid); and uids on or behind a cycle, which have no place.
+
+    In every round a wait for a placed row is settled, and a wait for a row that itself waits for one row
+    only goes on to that row, so a chain is halved.  Without a cycle each round settles some wait; once
+    none is, all that still wait are on or behind a cycle.
+    """
+    edges = saved(waits.select("before", "uid", F.lit(1).cast("long").alias("far")).distinct(), "waits")
+    times = nodes
+    while True:
+        waiting = edges.groupBy("uid").agg(F.count("*").alias("m"), F.first("before").alias("next"), F.first("far").alias("more"))
+        state = times.join(waiting, "uid", "left").select(F.col("uid").alias("before"), F.col("t").alias("t0"), F.coalesce("m", F.lit(0)).alias("m"), "next", "more")
+        seen = saved(edges.join(state, "before"), "seen")
+        if seen.filter("m = 0").isEmpty():
+            return times, edges.select("uid").distinct()
+        passed = seen.filter("m <= 1").groupBy("uid").agg(F.max(F.col("t0") + F.col("far")).alias("to"))
+        times = saved(times.join(passed, "uid", "left").select("uid", F.greatest("t", F.coalesce("to", "t")).alias("t")), "times")
+        on = F.col("m") == 1
+        left = seen.filter("m > 0").select("uid", F.when(on, F.col("next")).otherwise(F.col("before")).alias("before"), F.when(on, F.least(F.col("far") + F.col("more"), F.lit(DEPTH))).otherwise(F.col("far")).alias("far"))
+        edges = saved(left.groupBy("before", "uid").agg(F.max("far").alias("far")), "waits")
+
+
 def _ordered(rows: DataFrame) -> DataFrame:
-    """Add at: the turn, moved behind what a row waits for; and late for rows that never come to rest (a cycle)."""
+    """Add at: the turn, moved behind what a row waits for; and late for rows on a cycle (or between two), which keep their turns."""
     calls = rows.filter("kind = 'call' and first").select("uid", "conv_id", "call_id", "after")
-    results = rows.filter("kind = 'result' and first").select("uid", "conv_id", "call_id")
-    own = calls.select("conv_id", "call_id", F.col("uid").alias("before")).join(results, ["conv_id", "call_id"]).select("before", "uid")
-    needs = calls.select("uid", "conv_id", F.explode("after").alias("call_id")).join(results.withColumnRenamed("uid", "before"), ["conv_id", "call_id"]).select("before", "uid")
+    results = rows.filter("kind = 'result' and first").select(F.col("uid").alias("result_uid"), F.col("conv_id").alias("c"), F.col("call_id").alias("i"))
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("i"))
+    own = calls.join(results, same).select(F.col("uid").alias("before"), F.col("result_uid").alias("uid"), "conv_id")
+    needs = calls.select("uid", "conv_id", F.explode("after").alias("call_id")).join(results, same).select(F.col("result_uid").alias("before"), "uid", "conv_id")
     edges = saved(own.union(needs), "waits")
-    times = rows.select("uid", F.col("at").alias("t"))
-    moved = None
-    for _ in range(DEPTH):
-        behind = edges.join(times.select(F.col("uid").alias("before"), F.col("t").alias("t0")), "before").join(times, "uid").filter("t <= t0")
-        moved = saved(behind.groupBy("uid").agg((F.max("t0") + 1).alias("to")), "moves")
-        if moved.isEmpty():
-            moved = None
-            break
-        times = saved(times.join(moved, "uid", "left").select("uid", F.coalesce("to", "t").alias("t")), "times")
-    if times is not None and moved is None:
-        return rows.drop("at").join(times.withColumnRenamed("t", "at"), "uid").withColumn("late", F.lit(False))
-    cyclic = moved.select("uid", F.lit(True).alias("late"))
-    out = rows.withColumnRenamed("at", "own").join(times, "uid").join(cyclic, "uid", "left").withColumn("late", F.coalesce("late", F.lit(False)))
-    return out.withColumn("at", F.when(F.col("late"), F.col("own")).otherwise(F.col("t"))).drop("own", "t")
+    turns = rows.select("uid", F.col("at").alias("t"))
+    behind = edges.join(turns.select(F.col("uid").alias("before"), F.col("t").alias("t0")), "before").join(turns, "uid").filter("t <= t0")
+    # conversations in order stay as they are
+    moving = saved(behind.select(F.col("conv_id").alias("c")).distinct(), "moving")
+    if moving.isEmpty():
+        return rows.withColumn("late", F.lit(False))
+    edges = saved(edges.join(moving, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi").select("before", "uid"), "waits")
+    nodes = saved(turns.join(edges.select("uid").union(edges.select("before")).distinct(), "uid"), "nodes")
+    times, stuck = _times(nodes, edges)
+    if stuck.isEmpty():
+        cyclic = stuck
+    else:
+        # of these, what nothing on a cycle waits for is only behind one and finds its place after it
+        stuck = saved(stuck, "stuck")
+        among = edges.join(stuck, "uid", "left_semi").join(stuck.withColumnRenamed("uid", "before"), "before", "left_semi")
+        back = among.select(F.col("uid").alias("before"), F.col("before").alias("uid"))
+        cyclic = saved(_times(nodes.join(stuck, "uid", "left_semi"), back)[1], "cyclic")
+        times = _times(nodes, edges.join(cyclic, "uid", "left_anti"))[0]
+    times = times.join(cyclic.withColumn("late", F.lit(True)), "uid", "left")
+    out = rows.join(times, "uid", "left")
+    return out.withColumn("at", F.coalesce("t", "at")).withColumn("late", F.coalesce("late", F.lit(False))).drop("t")
 
 
 def format_tool_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
@@ -77,8 +107,8 @@ def format_tool_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
     and after (ids of calls whose results a call needs); other columns are left out.  The first call and the
     first result of an id in a conversation are linked; status is linked, unanswered, orphan (a result
     without call), repeated (a later one of the same id) or text (also for calls and results without an id).
-    Null turns come last, in no special order; null conversations are one; a cycle of needs is reported as
-    the error ``cycle`` and keeps its turns; an empty table gives no rows.  Canonical JSON has sorted keys,
+    Null turns come last, in no special order; null conversations are one; every row on a cycle of needs, or
+    between two, has the error ``cycle`` and keeps its turn; an empty table gives no rows.  Canonical JSON has sorted keys,
     no blanks, no null fields.
     """
     types = dict(f.split(" ", 1) for f in _FIELDS)

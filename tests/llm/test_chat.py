@@ -63,6 +63,22 @@ def test_cycle_nulls_repeats_and_empty(spark):
     assert run(spark, []) == []
 
 
+def test_long_chains_whole_cycles_and_null_conversations(spark):
+    n = 130  # each call needs the one written after it
+    rows = [call(1, n - k, f"c{k}", '{"x":1}', [f"c{k - 1}"] if k else []) for k in range(n)] + [result(1, n - k, f"c{k}") for k in range(n)]
+    rows += [call(2, 0, "a", '{"x":1}', ["b"]), result(2, 1, "a"), call(2, 2, "b", '{"x":1}', ["a"]), result(2, 3, "b"), text(2, 4, "t"), call(2, 0, "d", '{"x":1}', ["b"]), result(2, 0, "d")]
+    rows += [result(None, 1, "a"), call(None, 2, "a", '{"x":1}'), call(None, 0, "b", '{"x":1}', ["a"])]
+    out = run(spark, rows)
+    first = [(r.kind, r.call_id) for r in out if r.conv_id == 1]
+    assert first == [(kind, f"c{k}") for k in range(n) for kind in ("call", "result")]
+    assert not any(r.errors for r in out if r.conv_id in (1, None))
+    second = [(r.kind, r.call_id, r.errors) for r in out if r.conv_id == 2]
+    assert [x[:2] for x in second[:4]] == [("call", "a"), ("result", "a"), ("call", "b"), ("result", "b")]
+    assert all(("cycle" in e) == (i in ("a", "b")) for _, i, e in second)
+    assert [x[:2] for x in second if x[1] == "d"] == [("call", "d"), ("result", "d")]
+    assert [(r.kind, r.call_id) for r in out if r.conv_id is None] == [("call", "a"), ("result", "a"), ("call", "b")]
+
+
 def test_query_keeps_every_turn(spark, sf):
     from parchment.llm.queries import QUERIES
 
