@@ -76,13 +76,14 @@ def title_to_page(titles: DataFrame, pages: DataFrame, contents: DataFrame | Non
     """C27. First page (with the smallest offset in its first 60 lines) that has a title as a line, a numbered line, or anywhere.
 
     ``titles``: doc_id, ord, title; contents pages are left out; titles found only further down take the first such page.
+    Pages without a document are one document.
     """
     if contents is not None:
         pages = pages.join(contents.select("doc_id", "page_idx"), ["doc_id", "page_idx"], "left_anti")
     head = F.lower(F.array_join(F.slice(F.split("text", "\n"), 1, 60), "\n"))
-    p = pages.select("doc_id", "page_idx", head.alias("_head"), F.lower("text").alias("_text"))
+    p = pages.select(F.col("doc_id").alias("_doc"), "page_idx", head.alias("_head"), F.lower("text").alias("_text"))
     t = titles.withColumn("_t", F.lower(F.trim("title"))).filter("_t <> ''")
-    both = t.join(p, "doc_id")
+    both = t.join(p, F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_doc")
     anywhere = F.expr("instr(_head, _t)")
     line = F.expr("instr(concat('\\n', _head, '\\n'), concat('\\n', _t, '\\n'))")
     deep = F.expr("instr(_text, _t)")

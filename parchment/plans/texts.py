@@ -137,8 +137,9 @@ def section_of_page(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def title_to_page(spark: SparkSession, sf: str) -> DataFrame:
-    titles = V.t(spark, sf, "benchmark").select(F.explode(F.lit([f"src{k}" for k in range(20)])).alias("doc_id"), F.col("item_id").alias("ord"), F.substring("text", 1, 40).alias("title"))
-    return O.title_to_page(titles, V.pages(spark, sf)).select("doc_id", "ord", "page_idx")
+    pages = V.pages(spark, sf)
+    items = V.t(spark, sf, "benchmark").select(F.col("item_id").alias("ord"), F.substring("text", 1, 40).alias("title"))
+    return O.title_to_page(pages.select("doc_id").distinct().crossJoin(items), pages).select("doc_id", "ord", "page_idx")
 
 
 def box_overlap(spark: SparkSession, sf: str) -> DataFrame:

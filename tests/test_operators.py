@@ -205,3 +205,13 @@ def test_same_result_under_other_partitioning(spark, sf):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert all(a == b for a, b in one.values())
+
+
+def test_titles_are_searched_in_every_source(spark, tmp_path):
+    from parchment.plans.texts import title_to_page
+
+    docs = [(1, "hot", "first"), (2, "hot", "A title\nmore"), (3, None, "with a title inside"), (4, "src1", "A title"), (5, "src2", "none")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "A title")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {(r.doc_id, r.ord, r.page_idx) for r in title_to_page(spark, str(tmp_path)).collect()}
+    assert found == {("hot", 7, 1), (None, 7, 0), ("src1", 7, 0)}
