@@ -58,6 +58,28 @@ def test_mixture_packs_every_token_once(spark):
         assert abs(got - 256 * tokens["hot"] / total) < 2
 
 
+def test_mixture_follows_target_weights(spark):
+    rows = [(k, f"some words number {k} " * 20, "abc"[k % 3] if k % 6 else None) for k in range(240)] + [(k, "tiny", f"t{k}") for k in range(300, 340)]
+    out = pack_mixture(spark.createDataFrame(rows, SCHEMA).repartition(3), length=256, weights={"b": 0.6, None: 0.1, "c": 0.001, "none": 0.0}).collect()
+    by_seq, of = {}, {}
+    for r in out:
+        by_seq.setdefault(r.sequence_id, []).append(r)
+        of.setdefault(r.doc_id, []).append(r)
+    for seq, pieces in by_seq.items():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at == 256 or seq == len(by_seq) - 1
+    for d, text, _ in rows:
+        assert [x for p in sorted(of[d], key=lambda p: p.start) for x in np.frombuffer(p.ids, "<u4").tolist()] == want(text)
+    last = max(r.sequence_id for r in out if r.source == "b")
+    for seq in range(last):
+        got = {s: sum(p.length for p in by_seq[seq] if p.source == s) for s in ("b", None, "c")}
+        assert abs(got["b"] - 153.6) < 3 and abs(got[None] - 25.6) < 3 and got["c"] <= 2
+    assert any(p.source == "c" for p in by_seq[len(by_seq) - 1])
+
+
 def test_mixture_of_nothing_and_of_one(spark):
     assert pack_mixture(spark.createDataFrame([], SCHEMA)).collect() == []
     assert [(r.doc_id, r.length, r.offset) for r in pack_mixture(spark.createDataFrame([(1, None, None)], SCHEMA)).collect()] == [(1, 1, 0)]
