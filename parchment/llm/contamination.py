@@ -127,9 +127,9 @@ HITS = "n_words long, spans array<struct<first:long,last:long>>, items array<lon
 
 
 def item_chunks(benchmark: DataFrame, most: int = CHUNK_WORDS) -> list[list[tuple[int, str]]]:
-    """The items in chunks of at most ``most`` words (an item alone may have more); rows without id or words are left out."""
+    """The items in chunks of at most ``most`` words (an item alone may have more); rows without words are left out."""
     chunks, n = [[]], 0
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id is not null and text is not null").orderBy("item_id", "text")
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null").orderBy("item_id", "text")
     for item, text in rows.toLocalIterator():
         k = len(words(text))
         if n and n + k > most:
@@ -146,7 +146,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
     Columns of ``docs`` are kept; those named like the new ones are replaced.  Null and empty texts
     have no words and no hits; repeated rows and null ids are scanned as rows of their own; an empty
-    benchmark hits nothing.
+    benchmark hits nothing.  Items without an id give hits, but aren't among the items found.
     """
     spark = docs.sparkSession
     kept = long_rows(docs).select(*[c for c in docs.columns if c not in ("n_words", "spans", "items", "longest")])
@@ -164,7 +164,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
                 for text in b.column("text"):
                     w = words(text.as_py())
                     spans, own, longest = found.scan(w)
-                    for c, v in zip(cols, (len(w), [{"first": x, "last": y} for x, y in spans], sorted(own), longest)):
+                    for c, v in zip(cols, (len(w), [{"first": x, "last": y} for x, y in spans], sorted(own - {None}), longest)):
                         c.append(v)
                 yield pa.record_batch([*b.columns, *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), span, pa.list_(pa.int64()), pa.int64())))], names=[*b.schema.names, "n_words", "spans", "items", "longest"])
 

@@ -76,6 +76,14 @@ def test_spans_are_cut_and_contaminated_documents_go(spark):
     assert C.decontaminate(docs, spark.createDataFrame([], "item_id long, text string")).count() == 4
 
 
+def test_items_without_an_id_give_hits(spark):
+    passage, other = (" ".join(f"{c}{k}" for k in range(15)) for c in "wx")
+    bench = spark.createDataFrame([(None, passage), (None, "short one"), (3, other)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"a {passage} b"), (2, f"{other} {passage}"), (3, "a short one"), (4, "clean")], "doc_id long, text string")
+    found = {r.doc_id: (r.n_hit, list(r["items"])) for r in C.hit_columns(C.scan_documents(docs, bench)).collect()}
+    assert found == {1: (15, []), 2: (30, [3]), 3: (2, []), 4: (0, [])}
+
+
 def test_language(spark):
     r = random.Random(2)
     voc = {"en": ["the", "thing", "other", "ation"], "de": ["der", "schaft", "ung", "für"], "fr": ["le", "eau", "tion", "été"]}
