@@ -1,16 +1,22 @@
 """Exact Jaccard join on word shingles with token-combination prefixes.
 
-A text's tokens are the 64-bit hashes of its distinct five-word shingles.  Tokens fall in three classes:
-held by one text (they link nothing), rare, and frequent (more than ``FREQUENT`` texts).  Ordered by
-class and hash, two sets of Jaccard similarity t share at least k tokens within their first
-``n - ceil(t n) + k``.  With k = 2 the prefix is indexed by each rare token and by each pair of frequent
-ones: two linked texts share a rare token or two frequent ones there, so no link is lost.
-
-Groups of candidates aren't expanded into pairs.  Every key's members are compared with two pivots and the
-links' components are formed.  Texts of keys that still hold several components then gather in crowds, by
-their most crowded key; a crowd is compared block by block inside tasks, which emit spanning links only.
-What no crowd has compared is little and is paired across components.  So no link between components is
-lost, however large a group of copies is.
+A text's tokens are the 64-bit hashes of its n distinct five-word shingles, in three classes by how many
+texts hold them: one (such a token links nothing), up to ``FREQUENT`` (rare), more (frequent).  Tokens are
+ordered by class, then hash.  With J >= 0.8 at most n/5 of a text's tokens are missing in the other, so
+
+* the first common token is within the first n/5 + 1 of both.  If it is rare, it is the key;
+* if it is frequent, the r tokens that are not frequent are all missing, and of the runs of k consecutive
+  frequent tokens a missing or an added one breaks at most k: an unbroken run is within the first
+  kn/5 - kr + 1 of both.  Runs of two tokens are the keys, and where more than ``LONG`` entries share
+  such a key, runs of three with their longer prefix.
+
+So a text has at most 3n/5 keys, whatever the groups' sizes, and no link is lost.
+
+Tokens travel by hash range once, to be counted, and only shared ones travel back to their text; what a
+task holds for every text alike is counted where it lies.  Candidates are found in rounds: members of a
+key that aren't in the component of its first member (strangers) are compared with a few members, then
+with eight times as many, until all of a key's members are in one component or have been compared.  A bit
+parity of the sets bounds the overlap from above, and what is left is verified on whole token sets.
 """
 
 from __future__ import annotations
@@ -23,15 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import long_rows, saved, stable
-
-#: Words of a shingle; similarity in percent; a token in more texts than this is frequent.
-WORDS, PERCENT, FREQUENT = 5, 80, 3000
-#: Bits of a slot of the class table (two bits for each slot: 32 MB, whatever the input).
-SLOT_BITS = 27
-#: Tokens counted in one bucket, about; ids that are broadcast at most; texts of a crowd's block; rounds of crowds.
-BUCKET_TOKENS, BROADCAST_IDS, CROWD_BLOCK, CROWD_ROUNDS = 1_000_000, 300_000, 512, 3
+from .store import saved
+
+#: Words of a shingle; similarity in percent (the prefixes below hold from 80 on).
+WORDS, PERCENT = 5, 80
+#: A token in more texts than this is frequent; a key of two tokens with more entries than this is extended to three.
+FREQUENT, LONG = 64, 1024
+#: Tokens (and texts) that a task gathers before it hands them on; tokens of a hash range, about; bits of a range's number at most.
+GATHERED, GATHERED_TEXTS, RANGE_TOKENS, RANGE_BITS = 2_000_000, 60_000, 1_000_000, 18
+#: Ids or keys that are broadcast at most (others are joined by shuffle); members compared in the first round.
+BROADCAST_ROWS, FIRST = 100_000, 3
 _P = np.uint64(0x9E3779B97F4A7C15)
+_SCATTERED = "bucket long, gathered long, tokens binary, owners binary, heavy binary, uids binary, sizes binary, parity binary"
+_RETURNED = "gathered long, tokens binary, owners binary, classes binary, uids binary, sizes binary, parity binary"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -59,237 +69,242 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def _distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parity(x: np.ndarray) -> bytes:
+    """512 bits: whether an odd number of tokens falls on each; two sets differ in at least as many tokens as bits."""
+    return np.packbits((np.bincount((x & np.uint64(511)).astype("i8"), minlength=512) & 1).astype("u1")).tobytes()
+
+
+def _distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(uid, doc_id, rep) of all rows, and (uid, text) of one row for each text: the rep."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("uid"))
     slim = saved(rows.select("uid", "doc_id", F.xxhash64("text", F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), "text", F.length("text")).alias("h2")), "rows")
-    reps = saved(slim.groupBy("h1", "h2").agg(F.min("uid").alias("rep")), "texts")
+    reps = slim.groupBy("h1", "h2").agg(F.min("uid").alias("rep"))
     of = saved(slim.join(reps, ["h1", "h2"]).select("uid", "doc_id", "rep"), "rep-of")
-    others = of.filter("uid <> rep").select("uid")
-    if others.count() <= BROADCAST_IDS:  # 8 bytes each; more are joined by shuffle
-        others = F.broadcast(others)
+    others = _small(of.filter("uid <> rep").select("uid"))
     return of, rows.select("uid", "text").join(others, "uid", "left_anti")
 
 
-def _token_classes(texts: DataFrame, tokens: int) -> tuple[bytes, bytes]:
-    """Two bit tables by token slot: in two texts or more, and in more than ``FREQUENT``.
+def _small(df: DataFrame) -> DataFrame:
+    """A saved table of a few numbers a row, broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    Tasks count their own tokens and hand them on in slices of the hash range; a slice is added up in
-    one task.  Slots may be shared, which only moves a token to a more frequent class.
-    """
-    bits = int(min(18, max(3, np.ceil(np.log2(max(1, tokens / BUCKET_TOKENS))))))
-    buckets = 1 << bits
-    width = (1 << SLOT_BITS) // buckets
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        n = 0
-
-        def flush():
-            nonlocal held, n
-            x, k = np.unique(np.concatenate(held), return_counts=True)
-            ends = np.searchsorted(x, np.arange(buckets, dtype="u8") << np.uint64(64 - bits)).tolist() + [len(x)]
-            held, n = [], 0
-            part = ((x << np.uint64(bits)) >> np.uint64(32)).astype("u4")  # with the bucket, 32 more bits tell tokens apart
-            full = [b for b in range(buckets) if ends[b] < ends[b + 1]]
-            k = np.minimum(k, 65_535).astype("u2")
-            for at in range(0, len(full), 64):
-                some = full[at : at + 64]
-                yield pa.record_batch([pa.array(some, pa.int32()), pa.array([part[ends[b] : ends[b + 1]].tobytes() for b in some], pa.binary()), pa.array([k[ends[b] : ends[b + 1]].tobytes() for b in some], pa.binary())], names=["bucket", "tokens", "counts"])
 
-        for b in batches:
-            for text in b.column("text"):
-                x = shingles(text.as_py())
-                if len(x):
-                    held.append(x)
-                    n += len(x)
-                if n >= 2_000_000:
-                    yield from flush()
-        if held:
-            yield from flush()
-
-    def add(pdf):
-        import pandas as pd
-
-        x = np.concatenate([np.frombuffer(t, "u4") for t in pdf["tokens"]])
-        k = np.concatenate([np.frombuffer(c, "u2") for c in pdf["counts"]]).astype("i8")
+def _scatter(bits: int, frequent: int):
+    """Tokens of gathered texts by hash range, with their owners; tokens that alone are frequent here only say so."""
+
+    def flush(uids: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        gathered = uids[0]
+        sizes = np.array([len(x) for x in sets], "u4")
+        x = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets), dtype="u2"), sizes)
         order = np.argsort(x, kind="stable")
-        x, k = x[order], k[order]
-        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        total = np.add.reduceat(k, first)
-        slot = x[first].astype("i8") >> (32 - (SLOT_BITS - bits))
-        out = []
-        for least in (2, FREQUENT + 1):
-            table = np.zeros(width, "u1")
-            table[slot[total >= least]] = 1
-            out.append(np.packbits(table, bitorder="little").tobytes())
-        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "shared": [out[0]], "frequent": [out[1]]})
-
-    tables = texts.select("text").mapInArrow(count, "bucket int, tokens binary, counts binary").groupBy("bucket").applyInPandas(add, "bucket int, shared binary, frequent binary")
-    shared, frequent = bytearray(1 << (SLOT_BITS - 3)), bytearray(1 << (SLOT_BITS - 3))
-    size = width // 8
-    for r in tables.toLocalIterator():  # 32 MB in all
-        shared[r["bucket"] * size : (r["bucket"] + 1) * size] = r["shared"]
-        frequent[r["bucket"] * size : (r["bucket"] + 1) * size] = r["frequent"]
-    return bytes(shared), bytes(frequent)
-
-
-def prefix_keys(x: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set, and which of them are single tokens."""
-    n = len(x)
-    order = np.lexsort((x, classes))[: min(n, n - -(-percent * n // 100) + 2)]
-    x, c = x[order], classes[order]
-    rare, frequent = x[c == 1], x[c == 2]
-    if n == 1:  # a set of one token meets its equals by the token
-        rare, frequent = x[c > 0], x[:0]
-    a, b = np.triu_indices(len(frequent), 1)
-    pairs = _mixed(frequent[a] * _P + frequent[b])
-    return np.concatenate([rare, pairs]), np.arange(len(rare) + len(pairs)) < len(rare)
-
-
-def _prefixes(texts: DataFrame, tables: tuple[bytes, bytes]) -> DataFrame:
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(tables)
+        x, owner = x[order] >> np.uint64(32 - bits), owner[order]
+        first = np.flatnonzero(np.concatenate([[len(x) > 0], x[1:] != x[:-1]])) if len(x) else np.zeros(0, "i8")
+        count = np.diff(np.append(first, len(x)))
+        is_heavy = np.repeat(count > frequent, count)
+        heavy = x[first[count > frequent]] if len(x) else x
+        # the texts' own row passes by the ranges
+        rows = [(-1 - gathered, gathered, x[is_heavy].tobytes(), owner[is_heavy].tobytes(), b"", np.array(uids, "i8").tobytes(), sizes.tobytes(), b"".join(parity(s) for s in sets))]
+        x, owner = x[~is_heavy], owner[~is_heavy]
+        edges = np.arange((1 << bits) + 1, dtype="u8") << np.uint64(32)
+        ends, heavy_ends = np.searchsorted(x, edges), np.searchsorted(heavy, edges)
+        for b in np.flatnonzero((np.diff(ends) > 0) | (np.diff(heavy_ends) > 0)).tolist():
+            i, j, k, m = ends[b], ends[b + 1], heavy_ends[b], heavy_ends[b + 1]
+            rows.append((b, gathered, x[i:j].astype("u4").tobytes(), owner[i:j].tobytes(), heavy[k:m].astype("u4").tobytes(), None, None, None))
+            if len(rows) == 64:
+                yield _batch(rows)
+                rows = []
+        if rows:
+            yield _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many, frequent = (np.frombuffer(t, "u1") for t in shared.value)
+        uids, sets, n = [], [], 0
         for b in batches:
-            sizes, keys, at, ends = [], [], [], [0]
-            for text in b.column("text"):
+            for uid, text in zip(b.column("uid").to_pylist(), b.column("text")):
                 x = shingles(text.as_py())
-                slot = (x >> np.uint64(64 - SLOT_BITS)).astype("i8")
-                bit = (slot & 7).astype("u1")
-                classes = ((many[slot >> 3] >> bit) & 1) + ((frequent[slot >> 3] >> bit) & 1)
-                k, p = prefix_keys(x, classes) if len(x) else (x, np.zeros(0, bool))
-                sizes.append(len(x))
-                keys.append(k)
-                at.append(p)
-                ends.append(ends[-1] + len(k))
-            offsets = pa.array(ends, pa.int32())
-            flat = np.concatenate(keys) if keys else np.zeros(0, "u8")
-            single = np.concatenate(at) if at else np.zeros(0, bool)
-            yield pa.record_batch(
-                [b.column("uid"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat.view("i8"))), pa.ListArray.from_arrays(offsets, pa.array(single, pa.bool_()))],
-                names=["uid", "n", "keys", "singles"],
-            )
-
-    return texts.mapInArrow(run, "uid long, n int, keys array<long>, singles array<boolean>")
+                uids.append(uid)
+                sets.append(x)
+                n += len(x)
+                if n >= GATHERED or len(uids) == GATHERED_TEXTS:
+                    yield from flush(uids, sets)
+                    uids, sets, n = [], [], 0
+        if uids:
+            yield from flush(uids, sets)
 
+    return run
 
-def _pivot_pairs(index: DataFrame, seed: int) -> DataFrame:
-    """Distinct pairs a < b of a key's members with its pivot, the first by a hash that depends on ``seed``."""
-    pivots = index.groupBy("key").agg(F.min(F.struct(F.xxhash64("uid", F.lit(seed)).alias("h"), "uid", "n")).alias("p"))
-    joined = index.select("key", "uid", "n").join(pivots, "key").filter("uid <> p.uid").filter(100 * F.least("n", "p.n") >= PERCENT * F.greatest("n", "p.n"))
-    return joined.select(F.least("uid", "p.uid").alias("a"), F.greatest("uid", "p.uid").alias("b")).distinct()
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "gathered", "tokens", "owners", "heavy", "uids", "sizes", "parity"])
 
-def packed(x: np.ndarray) -> bytes:
-    """Sorted tokens by their upper 48 bits: what is moved for comparison, never more than a few texts' tokens at once."""
-    return x.byteswap().view("u1").reshape(-1, 8)[:, :6].tobytes()
 
+def _classify(pdf, frequent: int):
+    """The shared tokens of a hash range, back to where they were gathered."""
+    import pandas as pd
 
-def unpacked(blob) -> np.ndarray:
-    """The tokens of ``packed``, still sorted."""
-    rows = np.frombuffer(blob, "u1").reshape(-1, 6)
-    full = np.zeros((len(rows), 8), "u1")
-    full[:, :6] = rows
-    return full.reshape(-1).view(">u8").astype("u8")
-
+    bucket = int(pdf["bucket"].iloc[0])
+    if bucket < 0:
+        return pdf.assign(classes=[b"\x02" * (len(t) // 8) for t in pdf["tokens"]])[["gathered", "tokens", "owners", "classes", "uids", "sizes", "parity"]]
+    parts = [np.frombuffer(t, "u4") for t in pdf["tokens"]]
+    x, heavy = np.concatenate(parts), np.unique(np.concatenate([np.frombuffer(t, "u4") for t in pdf["heavy"]]))
+    order = np.argsort(x, kind="stable")
+    y = x[order]
+    first = np.flatnonzero(np.concatenate([[len(y) > 0], y[1:] != y[:-1]])) if len(y) else np.zeros(0, "i8")
+    count = np.diff(np.append(first, len(y)))
+    kind = np.where(np.isin(y[first], heavy) | (count > frequent), 2, np.where(count > 1, 1, 0)).astype("u1")
+    classes = np.empty(len(x), "u1")
+    classes[order] = np.repeat(kind, count)
+    out, at = {k: [] for k in ("gathered", "tokens", "owners", "classes")}, 0
+    for g, part, owners in zip(pdf["gathered"], parts, pdf["owners"]):
+        c = classes[at : at + len(part)]
+        at += len(part)
+        if c.any():
+            out["gathered"].append(g)
+            out["tokens"].append((part[c > 0].astype("u8") | np.uint64(bucket << 32)).tobytes())
+            out["owners"].append(np.frombuffer(owners, "u2")[c > 0].tobytes())
+            out["classes"].append(c[c > 0].tobytes())
+    return pd.DataFrame(out).assign(uids=None, sizes=None, parity=None)
+
+
+def prefix_keys(sizes: np.ndarray, owner: np.ndarray, token: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, key, longer key, whether it has one) of sets of ``sizes`` tokens from their shared tokens (1: rare, 2: frequent)."""
+    order = np.lexsort((token, kind, owner))
+    owner, token, kind = owner[order].astype("i8"), token[order], kind[order]
+    shared = np.bincount(owner, minlength=len(sizes))
+    common = np.bincount(owner[kind == 2], minlength=len(sizes))
+    start = np.concatenate([[0], np.cumsum(shared)])[:-1]
+    n = sizes.astype("i8")[owner]
+    place = np.arange(len(owner)) - start[owner]  # among the shared tokens, which are behind the others
+    missing = n - -(-PERCENT * n // 100)
+    single = (place + n - shared[owner] <= missing) & ((kind == 1) | (n == 1))
+    # runs of frequent tokens
+    run, other = place - (shared - common)[owner], n - common[owner]
+    least = lambda k: k * (100 - PERCENT) * n // 100 - k * other
+    two = (kind == 2) & (n > 1) & (n <= 6) & (run <= least(2)) & (run + 1 < common[owner])
+    three = (kind == 2) & (n >= 6) & (run <= least(3)) & (run + 2 < common[owner])
+    at = np.concatenate([np.flatnonzero(single), np.flatnonzero(two), np.flatnonzero(three)])
+    where = np.repeat([0, 1, 2], [single.sum(), two.sum(), three.sum()])
+    ahead = lambda k: token[np.minimum(at + k, len(token) - 1)]
+    pair = _mixed(_mixed(token[at]) * _P + ahead(1))
+    key = np.where(where == 0, _mixed(token[at]), pair)
+    return owner[at], key, _mixed(pair * _P + ahead(2)), where == 2
+
+
+def _prefixes(pdf):
+    """uid, n, shared (how many tokens other texts hold) and keys of the texts gathered together."""
+    import pandas as pd
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole token sets reach the similarity."""
+    own = pdf[pdf["uids"].notna()].iloc[0]
+    uids, sizes = np.frombuffer(own["uids"], "i8"), np.frombuffer(own["sizes"], "u4")
+    owner = np.concatenate([np.frombuffer(x, "u2") for x in pdf["owners"]])
+    token, kind = np.concatenate([np.frombuffer(x, "u8") for x in pdf["tokens"]]), np.concatenate([np.frombuffer(x, "u1") for x in pdf["classes"]])
+    who, key, longer, has = prefix_keys(sizes, owner, token, kind)
+    order = np.argsort(who, kind="stable")
+    who, key, longer, has = who[order], key[order].view("i8"), longer[order].view("i8"), has[order]
+    ends = np.searchsorted(who, np.arange(len(uids) + 1))
+    bits = np.frombuffer(own["parity"], ">i8").reshape(-1, 8).astype("i8")
+    cut = [slice(ends[i], ends[i + 1]) for i in range(len(uids))]
+    return pd.DataFrame(
+        {
+            "uid": uids, "n": sizes.astype("i4"), "shared": np.bincount(owner, minlength=len(uids)).astype("i4"),
+            "parity": [bits[i] if cut[i].stop > cut[i].start else None for i in range(len(uids))],
+            "keys": [key[c] for c in cut], "longer": [longer[c] for c in cut], "extends": [has[c] for c in cut],
+        }
+    )
+
+
+def _index(prefixes: DataFrame) -> DataFrame:
+    """(key, uid, n, shared): keys with too many entries are extended."""
+    entries = prefixes.select("uid", "n", "shared", F.explode(F.arrays_zip("keys", "longer", "extends")).alias("e")).select(F.col("e.keys").alias("key"), "uid", "n", "shared", "e.longer", "e.extends")
+    crowded = entries.filter("extends").groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > LONG).select("key", F.lit(True).alias("crowded"))
+    crowded = _small(saved(crowded, "crowded-keys"))
+    key = F.when(F.col("crowded") & F.col("extends"), F.col("longer")).otherwise(F.col("key"))
+    return saved(entries.join(crowded, "key", "left").select(key.alias("key"), "uid", "n", "shared"), "index")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, signs: DataFrame) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) whose whole token sets reach the similarity."""
+    left, right = (signs.select(F.col("uid").alias(x), F.col("parity").alias(f"parity_{x}")) for x in "ab")
+    differ = sum((F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k])) for k in range(1, 8)), F.bit_count(F.col("parity_a")[0].bitwiseXOR(F.col("parity_b")[0])))
+    near = pairs.join(left, "a").join(right, "b").filter((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b")))
+    near = saved(near.select("a", "b"), "near-pairs")
+    wanted = _small(saved(near.select(F.col("a").alias("uid")).union(near.select("b")).distinct(), "wanted"))
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                yield pa.record_batch([part.column("uid"), pa.array([shingles(t.as_py()).tobytes() for t in part.column("text")], pa.binary())], names=["uid", "tokens"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
             for s, t in zip(b.column("set_a"), b.column("set_b")):
-                s, t = unpacked(s.as_buffer()), unpacked(t.as_buffer())
+                s, t = np.frombuffer(s.as_buffer(), "u8"), np.frombuffer(t.as_buffer(), "u8")
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 ok.append(100 * both >= PERCENT * (len(s) + len(t) - both))
             yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    first = pairs.join(sets.select(F.col("uid").alias("a"), F.col("tokens").alias("set_a")), "a")
-    return first.join(sets.select(F.col("uid").alias("b"), F.col("tokens").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    sets = saved(texts.join(wanted, "uid", "left_semi").mapInArrow(tokens, "uid long, tokens binary"), "token-sets", "none")
+    first = near.join(sets.select(F.col("uid").alias("a"), F.col("tokens").alias("set_a")), "a")
+    both = first.join(sets.select(F.col("uid").alias("b"), F.col("tokens").alias("set_b")), "b")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
 
 
-def _token_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([b.column("uid"), pa.array([packed(shingles(t.as_py())) for t in b.column("text")], pa.binary())], names=["uid", "tokens"])
-
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    return saved(texts.join(wanted, "uid", "left_semi").mapInArrow(run, "uid long, tokens binary"), "token-sets", "none")
-
+def _open(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Entries of keys whose members aren't all in one component, with their component, the key's first one and its size."""
+    if labels is None:
+        state = entries.withColumn("component", F.col("uid"))
+    else:
+        state = entries.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    keys = state.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", F.xxhash64("uid")).alias("main"))
+    keys = _small(saved(keys.filter("low <> high").select("key", "m", "main"), "open-keys"))
+    return saved(state.join(keys, "key"), "open-index")
 
-def _with_component(index: DataFrame, labels: DataFrame) -> DataFrame:
-    return index.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-
-
-def _block_links(pdf):
-    """Spanning links of a block pair: (a, b) where b is the smallest text that a hangs together with here."""
-    import pandas as pd
 
-    pdf = pdf.drop_duplicates("uid").reset_index(drop=True)
-    sets = [unpacked(t) for t in pdf["tokens"]]
-    sizes = np.array([len(x) for x in sets], "i8")
-    token, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    both = np.zeros((len(sets), len(sets)), "f4")
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for at in range(0, len(token), 4096):
-        lo, hi = np.searchsorted(column, [at, at + 4096])
-        held = np.zeros((len(sets), min(4096, len(token) - at)), "f4")
-        held[row[lo:hi], column[lo:hi] - at] = 1
-        both += held @ held.T
-    linked = 100 * both.astype("i8") >= PERCENT * (sizes[:, None] + sizes[None, :] - both.astype("i8"))
-    uid = pdf["uid"].to_numpy()
-    low = uid.copy()
+def _linked(index: DataFrame, texts: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(node, component) of the texts that are linked with another."""
+    signs = prefixes.filter("parity is not null").select("uid", "parity")
+    columns, size, share = ("key", "uid", "n", "shared"), index.count(), FIRST
+    entries, links, labels = index, None, None
     while True:
-        new = np.where(linked, low[None, :], np.iinfo("i8").max).min(1)
-        if (new == low).all():
-            break
-        low = new
-    return pd.DataFrame({"a": uid[uid != low], "b": low[uid != low]})
-
-
-def _crowd_links(chosen: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links within crowds (uid, crowd): every two blocks of a crowd are compared in one task, which emits spanning links only."""
-    sizes = saved(chosen.groupBy("crowd").agg(F.ceil(F.count("*") / CROWD_BLOCK).cast("int").alias("blocks"), F.count("*").alias("m")).filter("m > 1"), "crowds")
-    members = chosen.join(sizes, "crowd").withColumn("block", F.pmod(F.xxhash64("uid", F.lit(4)), F.col("blocks")).cast("int")).join(sets, "uid")
-    other = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = other.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "uid", "tokens")
-    return pairs.groupBy("crowd", "i", "j").applyInPandas(_block_links, "a long, b long")
-
-
-def _open_index(index: DataFrame, labels: DataFrame, crowds: list[str]) -> tuple[DataFrame, int]:
-    """Entries of keys whose members aren't all in one component or one crowd, and how many pairs they give at most."""
-    open_index = _with_component(index, labels)
-    same = [F.countDistinct(c).alias(f"n_{c}") for c in ("component", *crowds)]
-    keys = open_index.groupBy("key").agg(F.count("*").alias("m"), *same)
-    for c in ("component", *crowds):
-        keys = keys.filter(f"n_{c} > 1")
-    keys = saved(keys.select("key", "m"), "open-keys")
-    pairs = keys.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0
-    return saved(open_index.join(keys, "key"), "open-index"), int(pairs)
-
-
-def _last_pairs(open_index: DataFrame, crowds: list[str]) -> DataFrame:
-    """Pairs across components that no crowd has compared and that share enough of their prefixes.
-
-    Of two sets' shared tokens those outside a prefix are fewer than the longer rest, so the shared keys of a
-    pair, all of which are here, bound its overlap.
-    """
-    a, b = (open_index.select("key", "single", F.col("uid").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in crowds]) for x in "ab")
-    both = a.join(b.drop("single"), "key").filter("a < b and c_a <> c_b").filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    for c in crowds:
-        both = both.filter(f"{c}_a <> {c}_b")
-    counted = both.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.count_if("single").alias("rare"), F.count_if(~F.col("single")).alias("combinations"))
-    frequent = F.when(F.col("combinations") > 0, (1 + F.sqrt(1 + 8 * F.col("combinations"))) / 2).otherwise(1)
-    rest = lambda n: F.ceil(PERCENT * n / 100) - 2
-    most = F.col("rare") + frequent + F.greatest(rest(F.col("n_a")), rest(F.col("n_b")), F.lit(0))
-    return counted.filter((100 + PERCENT) * (most + 1e-6) >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+        entries = _open(entries.select(*columns), labels)
+        left, most = entries.agg(F.sum(F.when(F.col("component") != F.col("main"), F.col("m"))), F.max("m")).first()
+        if not left:
+            return labels
+        last = left <= 4 * size or share >= most
+        drawn = entries if last else entries.filter(F.pmod(F.xxhash64("uid", F.lit(6)), F.lit(1 << 30)) * F.col("m") < share << 30)
+        a, b = (df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("uid", "n", "shared", "component")]) for df, x in ((entries.filter("component <> main"), "a"), (drawn, "b")))
+        total = F.col("n_a") + F.col("n_b")
+        fits = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & ((100 + PERCENT) * F.least("shared_a", "shared_b") >= PERCENT * total)
+        pairs = a.join(b, "key").filter("component_a <> component_b").filter(fits)
+        swap = F.col("uid_a") > F.col("uid_b")
+        pairs = pairs.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b"), F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b")).distinct()
+        found = saved(_verified(saved(pairs, "pairs"), texts, signs), "links")
+        links = found if links is None else links.union(found)
+        labels = saved(components(links), "components")
+        if last:
+            return labels
+        share *= 8
+
+
+def _group(rows: DataFrame) -> DataFrame:
+    """uid, doc_id, n_shingles and component of numbered rows (uid, doc_id, text)."""
+    of, texts = _distinct_texts(rows)
+    size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(min(RANGE_BITS, max(3, np.ceil(np.log2(max(1, size / 6 / RANGE_TOKENS))))))
+    frequent = FREQUENT
+    returned = texts.mapInArrow(_scatter(bits, frequent), _SCATTERED).groupBy("bucket").applyInPandas(lambda pdf: _classify(pdf, frequent), _RETURNED)
+    prefixes = returned.groupBy("gathered").applyInPandas(_prefixes, "uid long, n int, shared int, parity array<long>, keys array<long>, longer array<long>, extends array<boolean>")
+    prefixes = saved(prefixes, "prefixes")
+    labels = _linked(_index(prefixes), texts, prefixes)
+    grouped = of.join(prefixes.select(F.col("uid").alias("rep"), "n"), "rep")
+    if labels is None:
+        grouped = grouped.withColumn("component", F.col("rep"))
+    else:
+        grouped = grouped.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    component = F.when(F.col("n") == 0, F.col("uid")).otherwise(F.col("component"))
+    return saved(grouped.select("uid", "doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component")), "grouped")
 
 
 def link_texts(docs: DataFrame) -> DataFrame:
@@ -297,39 +312,9 @@ def link_texts(docs: DataFrame) -> DataFrame:
 
     ``docs``: doc_id and text; other columns are left out.  Documents without words are groups of their own,
     even equal ones; repeated rows are one group; null ids are kept; an empty table gives no rows.  Whole
-    texts are read and no key, group or pair is capped.
+    texts are read and no key, group or pair is capped.  Rows are numbered once, in a written table.
     """
-    docs = stable(long_rows(docs).select("doc_id", "text"))
-    of, texts = _distinct_texts(docs)
-    size = docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("b")).first()["b"] or 0
-    prefixes = saved(_prefixes(texts, _token_classes(texts, size / 6)), "prefixes")
-    index = prefixes.select("uid", "n", F.explode(F.arrays_zip("keys", "singles")).alias("e")).select(F.col("e.keys").alias("key"), "uid", "n", F.col("e.singles").alias("single"))
-    shared = saved(index.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "shared-keys")
-    index = saved(index.join(shared, "key"), "index")
-    entries = index.count()
-    sets = _token_sets(texts, index.select("uid").distinct())
-    tried = saved(_pivot_pairs(index, 0).union(_pivot_pairs(index, 1)).distinct(), "pairs")
-    links = saved(_verified(tried, sets), "links")
-    labels = saved(components(links), "components")
-    crowds: list[str] = []
-    while True:
-        open_index, pairs = _open_index(index, labels, crowds)
-        if not pairs:
-            break
-        if pairs <= 2 * entries or len(crowds) == CROWD_ROUNDS:
-            last = saved(_last_pairs(open_index, crowds).join(tried, ["a", "b"], "left_anti"), "pairs")
-            labels = saved(components(links.union(_verified(last, sets))), "components")
-            break
-        # a text's crowd is its most crowded open key; texts without one are alone
-        name = f"crowd{len(crowds)}"
-        chosen = saved(open_index.groupBy("uid").agg(F.max_by("key", F.struct("m", "key")).alias("crowd")), "crowd-of")
-        links = saved(links.union(_crowd_links(chosen, sets)), "links")
-        labels = saved(components(links), "components")
-        index = saved(index.join(chosen.withColumnRenamed("crowd", name), "uid", "left").withColumn(name, F.coalesce(name, "uid")), "index")
-        crowds.append(name)
-    grouped = of.join(prefixes.select(F.col("uid").alias("rep"), "n"), "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("n") == 0, F.col("uid")).otherwise(F.coalesce("component", "rep"))
-    return saved(grouped.select("uid", "doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component")), "grouped")
+    return _group(saved(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "documents"))
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -341,8 +326,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group stays, with its own columns: the smallest doc_id (null ids last, then the first row)."""
-    docs = stable(docs)
+    numbered = saved(docs.withColumn("kept_uid", F.monotonically_increasing_id()), "documents")
+    rows = numbered.select(F.col("kept_uid").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "uid")
-    kept = link_texts(docs).groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.uid").alias("kept_uid"))
-    numbered = docs.withColumn("kept_uid", F.monotonically_increasing_id())
+    kept = _group(rows).groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.uid").alias("kept_uid"))
     return numbered.join(saved(kept, "kept"), "kept_uid", "left_semi").select(*docs.columns)

@@ -53,18 +53,19 @@ def corpus(seed, n=160):
     return rows
 
 
-@pytest.mark.parametrize("seed, frequent", [(1, 100), (2, 3), (3, 8), (4, 1)])
-def test_against_brute_force(spark, monkeypatch, seed, frequent):
+@pytest.mark.parametrize("seed, frequent, long", [(1, 100, 1024), (2, 3, 5), (3, 8, 20), (4, 1, 2), (5, 1, 1024), (6, 2, 1)])
+def test_against_brute_force(spark, monkeypatch, seed, frequent, long):
     monkeypatch.setattr(J, "FREQUENT", frequent)
+    monkeypatch.setattr(J, "LONG", long)
     rows = corpus(seed)
     assert got(spark.createDataFrame(rows, SCHEMA).repartition(4)) == brute(rows)
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
-def test_crowds(spark, monkeypatch, rounds):
-    """Many mutated copies of one text, compared in small blocks."""
-    monkeypatch.setattr(J, "CROWD_BLOCK", 16)
-    monkeypatch.setattr(J, "CROWD_ROUNDS", rounds)
+@pytest.mark.parametrize("frequent, long", [(64, 1024), (5, 30)])
+def test_crowds(spark, monkeypatch, frequent, long):
+    """Many mutated copies of one text: pairs near the bound, linked by way of others."""
+    monkeypatch.setattr(J, "FREQUENT", frequent)
+    monkeypatch.setattr(J, "LONG", long)
     r = random.Random(7)
     base = [f"w{r.randrange(300)}" for _ in range(90)]
     rows = []
@@ -76,6 +77,34 @@ def test_crowds(spark, monkeypatch, rounds):
     assert got(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
 
 
+def test_small_sets_with_frequent_tokens(spark, monkeypatch):
+    """Sets of 1 to 12 shingles, where a run of three may not exist."""
+    monkeypatch.setattr(J, "FREQUENT", 2)
+    monkeypatch.setattr(J, "LONG", 3)
+    r = random.Random(3)
+    rows = []
+    for k in range(240):
+        base = [f"b{k % 7}-{i}" for i in range(r.choice([5, 6, 8, 9, 10, 11, 13, 16]))]
+        cut = r.choice([0, 0, 0, 1])
+        rows.append((k, " ".join(base[cut:] + r.choice([[], [], ["x"], [f"y{k % 3}"]]))))
+    assert got(spark.createDataFrame(rows, SCHEMA).repartition(3)) == brute(rows)
+
+
+def test_splits_do_not_matter(spark, tmp_path):
+    """Passes with other splits and cores number rows alike, as they are numbered once."""
+    rows = corpus(9)
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "d"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    number, linked = J._group, []
+    try:
+        J._group = lambda df: (spark.conf.set("spark.sql.files.maxPartitionBytes", "3000"), number(df))[1]
+        linked = got(spark.read.parquet(str(tmp_path / "d")))
+    finally:
+        J._group = number
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert linked == brute(rows)
+
+
 def test_empty_texts_nulls_and_repeats(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, ""), (5, "a b"), (6, "A  b"), (6, "A  b"), (None, "a b"), (None, "x"), (9, "É a b c d e"), (10, "é a b c d e"), (11, "a b c d e " * 4000)]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as uid", "2 as rep", "'k' as key", "3L as component")
@@ -90,17 +119,27 @@ def test_keep_one(spark):
     assert J.keep_one(df).columns == df.columns
 
 
-def test_prefixes_of_linked_sets_share_a_key():
+@pytest.mark.parametrize("extended", [False, True])
+def test_prefixes_of_linked_sets_share_a_key(extended):
     import numpy as np
 
     r = np.random.default_rng(1)
-    for _ in range(300):
-        n = int(r.integers(1, 60))
-        x = np.unique(r.integers(0, 1 << 63, n).astype("u8"))
-        y = np.unique(np.concatenate([x[r.random(len(x)) < 0.93], r.integers(0, 1 << 63, int(r.integers(0, 3))).astype("u8")]))
+    pairs = 0
+    for _ in range(3000):
+        n = int(r.integers(1, 40))
+        x = np.unique(r.integers(0, 1 << 40, n).astype("u8"))
+        y = np.unique(np.concatenate([x[r.random(len(x)) < 0.93], r.integers(0, 1 << 40, int(r.integers(0, 3))).astype("u8")]))
         both = len(np.intersect1d(x, y))
         if not both or 100 * both < 80 * (len(x) + len(y) - both):
             continue
-        classes = lambda s: np.where(np.isin(s, x) & np.isin(s, y), 1 + (s % np.uint64(3) == 0), s % np.uint64(3)).astype("u1")
-        a, b = J.prefix_keys(x, classes(x))[0], J.prefix_keys(y, classes(y))[0]
-        assert len(np.intersect1d(a, b))
+        pairs += 1
+        share = r.choice([0.0, 0.1, 0.9])
+        rare = {int(t) for t in np.union1d(x, y) if r.random() < share}
+        keys = []
+        for s in (x, y):
+            held = np.array([t for t in s if t in x and t in y or int(t) % 2], "u8")
+            kind = np.array([1 if int(t) in rare else 2 for t in held], "u1")
+            _, key, longer, has = J.prefix_keys(np.array([len(s)], "u4"), np.zeros(len(held), "u2"), held, kind)
+            keys.append(set(np.where(has & extended, longer, key).tolist()))
+        assert keys[0] & keys[1]
+    assert pairs > 500
