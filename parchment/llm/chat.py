@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import saved, stable
+from .store import saved
 
 #: Rows of a chain of waits, beyond any table (so that sums that run round a cycle stay small); turns of a window; tools broadcast at most.
 DEPTH, TURNS, TOOLS = 1 << 41, 4096, 10_000
@@ -112,7 +112,7 @@ def format_tool_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
     no blanks, no null fields.
     """
     types = dict(f.split(" ", 1) for f in _FIELDS)
-    rows = stable(messages.select(*types)).select(F.monotonically_increasing_id().alias("uid"), *[F.col(c).cast(t).alias(c) for c, t in types.items()])
+    rows = messages.select(F.monotonically_increasing_id().alias("uid"), *[F.col(c).cast(t).alias(c) for c, t in types.items()])
     rows = saved(rows, "messages")
     linkable = rows.filter("kind in ('call', 'result') and call_id is not null")
     order = F.struct(F.isnull("turn").alias("none"), "turn", "uid")

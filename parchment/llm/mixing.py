@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import long_rows, saved
+from .store import saved, slices
 from .tokens import token_ids, tokenizer_path
 
 TOKENS = "part int, row long, doc_id long, source string, n long, lo long, ids binary"
@@ -87,7 +87,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, part, row, at = token_ids(path), TaskContext.get().partitionId(), 0, {}
         end = np.array([end_id], dtype="<u4").tobytes()
-        for b in batches:
+        for b in slices(batches):
             out = {k: [] for k in ("row", "n", "lo", "ids")}
             for text, source in zip(b.column("text"), b.column("source").to_pylist()):
                 x = ids.ids(text.as_py()) + end
@@ -103,7 +103,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 names=["part", "row", "doc_id", "source", "n", "lo", "ids"],
             )
 
-    return long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, TOKENS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, TOKENS)
 
 
 def pack_mixture(docs: DataFrame, tokenizer: str | None = None, length: int = 4096, end_id: int = 2, weights: dict[str | None, float] | None = None) -> DataFrame:
@@ -157,7 +157,7 @@ def pack_mixture(docs: DataFrame, tokenizer: str | None = None, length: int = 40
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "source"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        for b in batches:
+        for b in slices(batches):
             out = []
             for r in b.to_pylist():
                 low, high = ends[r["queue"]], ends[r["queue"] + 1]

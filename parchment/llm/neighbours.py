@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import saved, stable
+from .store import saved
 
 #: Vectors a centroid stands for, centroids in all, sampled vectors a centroid, vectors of a block.
 SHARD, CENTROIDS, SAMPLE, BLOCK = 320, 4096, 24, 1024
@@ -56,8 +56,7 @@ def usable(vectors: DataFrame) -> DataFrame:
                 shelf.append(f"{label}/{len(v)}" if blob else None)
             yield pa.record_batch([b.column("uid"), b.column("vec_id"), pa.array(shelf, pa.string()), pa.array(out, pa.binary())], names=["uid", "vec_id", "shelf", "v"])
 
-    rows = stable(vectors.select("vec_id", "embedding", "label"))
-    rows = rows.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    rows = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     return rows.mapInArrow(run, "uid long, vec_id long, shelf string, v binary")
 
 

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import long_rows
+from .store import slices
 from .tokens import token_ids, tokenizer_path
 
 ROWS = "sequence_id long, n_tokens int, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids binary, positions binary"
@@ -98,7 +98,7 @@ def pack_best_fit(docs: DataFrame, tokenizer: str | None = None, length: int = 2
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", "ids", "positions"])
             pieces, held = [], 0
 
-        for b in batches:
+        for b in slices(batches, 1000):
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 x = ids.ids(text.as_py()) + end
                 for at in range(0, len(x), 4 * length):
@@ -109,7 +109,7 @@ def pack_best_fit(docs: DataFrame, tokenizer: str | None = None, length: int = 2
         if pieces:
             yield from flush()
 
-    return long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ROWS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ROWS)
 
 
 def write_packed(rows: DataFrame, path: str) -> None:

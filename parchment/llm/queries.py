@@ -53,7 +53,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = hit_columns(scan_documents(docs, _table(spark, sf_dir, "benchmark")))
-    listed = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
+    listed = F.array_join(F.sort_array("items"), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), "contaminated")
 
 

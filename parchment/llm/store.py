@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder is set only where it is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a local session (tests) gets a local folder, a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="parchment-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -42,16 +45,8 @@ def extended(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """``df`` itself if it only projects or filters files, so that every pass numbers its rows alike; else a written copy."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    nodes = re.findall(r"^[\s:+\-]*([A-Za-z]+)", plan, re.M)
-    return df if nodes and set(nodes) <= {"Project", "Filter", "Relation"} else saved(df, "rows")
-
-
-def long_rows(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df`` for Python workers: whole texts are long, so Arrow batches of the session hold at most ``rows`` of them."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to ``rows``: whole texts are long, and what a worker makes of them may be longer."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

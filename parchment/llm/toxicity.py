@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language import held_out
-from .store import extended, long_rows, saved
+from .store import extended, saved, slices
 
 # What a mark or digit may stand for.
 LOOKALIKES = {
@@ -76,7 +76,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
         k = np.flatnonzero(total)
         yield pa.record_batch([pa.array(k, pa.int64()), pa.array(total[k], pa.int64())], names=["gram", "n"])
 
-    return long_rows(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 class Restorer:
@@ -318,11 +318,11 @@ def score(docs: DataFrame, labels: DataFrame, model: tuple | None = None) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(*shared.value)
-        for b in batches:
+        for b in slices(batches):
             s = [reader.score(t.as_py()) for t in b.column("text")]
             yield pa.record_batch([*b.columns, pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], names=[*b.schema.names, "toxicity", "toxic"])
 
-    return long_rows(rest).mapInArrow(run, schema)
+    return rest.mapInArrow(run, schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import new_path, saved, stable
+from .store import new_path, saved
 
 VERSION = "WARC/1.1\r\n"
 #: Records of a file at most; duplicated payloads that are broadcast at most.
@@ -45,8 +45,9 @@ def write_archives(pages: DataFrame, path: str, smallest: int = 0) -> None:
     ones are all responses.  Line ends in a url become %0D and %0A.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    pages = stable(pages.select("page_id", "url", "html"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("uid")).withColumn("digest", digest(F.col("payload")))
+    # numbered once, in a written table
+    rows = saved(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("uid")), "pages")
+    rows = rows.withColumn("digest", digest(F.col("payload")))
     first = F.min(F.struct(F.isnull("page_id").alias("none"), "page_id", "uid"))
     equal = rows.filter(F.octet_length("payload") >= smallest).groupBy(F.col("digest").alias("of")).agg(first.alias("first"), F.count("*").alias("n"))
     equal = saved(equal.filter("n > 1").select("of", F.col("first.uid").alias("first")), "equal-payloads")

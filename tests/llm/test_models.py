@@ -1,7 +1,9 @@
+import math
 import random
 import re
 
 from parchment.llm import contamination as C
+from parchment.llm import language as L
 from parchment.llm.automaton import SuffixAutomaton
 from parchment.llm.language import TRAIN_DOCS, Parser, identify, training_sample, train
 from parchment.llm.neighbours import link_vectors
@@ -37,7 +39,7 @@ def brute_hits(text, items, window=13):
             if v and tuple(w[i : i + k]) in grams:
                 hit.update(range(i, i + k))
                 found.add(item)
-    return len(w), len(hit), sorted(found)
+    return len(w), len(hit), sorted(map(str, found))
 
 
 def corpus(seed):
@@ -59,8 +61,9 @@ def test_contamination_against_brute_force(spark):
 def test_chunks_of_a_large_benchmark_are_united(spark, monkeypatch):
     items, docs = corpus(4)
     monkeypatch.setattr(C.item_chunks, "__defaults__", (20,))
+    # every window of an item is in its chunk, and chunks are small
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert len(C.item_chunks(bench)) > 1
+    assert len(C.item_chunks(bench)[1]) > 1
     found = C.hit_columns(C.scan_documents(spark.createDataFrame(docs, "doc_id long, text string"), bench))
     assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in found.collect()), key=str) == sorted(((d, *brute_hits(t, items)) for d, t in docs), key=str)
 
@@ -81,7 +84,9 @@ def test_items_without_an_id_give_hits(spark):
     bench = spark.createDataFrame([(None, passage), (None, "short one"), (3, other)], "item_id long, text string")
     docs = spark.createDataFrame([(1, f"a {passage} b"), (2, f"{other} {passage}"), (3, "a short one"), (4, "clean")], "doc_id long, text string")
     found = {r.doc_id: (r.n_hit, list(r["items"])) for r in C.hit_columns(C.scan_documents(docs, bench)).collect()}
-    assert found == {1: (15, []), 2: (30, [3]), 3: (2, []), 4: (0, [])}
+    assert found == {1: (15, []), 2: (30, ["3"]), 3: (2, []), 4: (0, [])}
+    named = spark.createDataFrame([("q-1", passage), ("q-0", other)], "item_id string, text string")
+    assert [list(r["items"]) for r in C.scan_documents(docs, named).orderBy("doc_id").collect()] == [["q-1"], ["q-0", "q-1"], [], []]
 
 
 def test_language(spark):
@@ -98,8 +103,39 @@ def test_language(spark):
     assert len(sample) <= 3 * TRAIN_DOCS and not {t for _, t in sample} & {t for k, t, *_ in rows if k in out and out[k].held_out}
     assert {r.lang_pred for r in identify(docs, []).collect()} == {"und"}
     assert identify(spark.createDataFrame([], DOCS)).collect() == []
-    parser = Parser(train(sample))
-    assert parser.predict("the thing")[0] == "en"
+    assert Parser(train(sample)).predict(["the thing", None, "²", "Ⅷ ½"]) [0][0] == "en"
+    assert [p for p in Parser(train(sample)).predict([None, "", "²", "Ⅷ ½"])] == [("und", 0.0)] * 4
+
+
+def brute_language(sample, text):
+    """Phrases by search in the sample, stretch by stretch; the language with the fewest bits."""
+    x, letters = L.symbols(text)
+    if not letters:
+        return "und"
+    rates = {}
+    for lang, auto in train(sample).items():
+        own = ["".join(map(chr, L.symbols(t)[0])) for s, t in sample if s == lang]
+        n = 0
+        for a in range(0, len(x), L.STRETCH):
+            s, at = "".join(map(chr, x[a : a + L.STRETCH])), 0
+            while at < len(s):
+                k = 1
+                while at + k < len(s) and any(s[at : at + k + 1] in t for t in own):
+                    k += 1
+                at, n = at + k, n + 1
+        rates[lang] = n * math.log2(len(auto.next)) / letters
+    return min(rates, key=lambda lang: (rates[lang], lang))
+
+
+def test_language_against_brute_force(monkeypatch):
+    """Phrases cross word ends; ties go to the first name; long texts are parsed in stretches."""
+    monkeypatch.setattr(L, "STRETCH", 40)
+    r = random.Random(5)
+    word = lambda k: "".join(r.choice("abcdef" if k else "cdefgh") for _ in range(r.randrange(1, 6)))
+    sample = [(f"l{k}", " ".join(word(k) for _ in range(40)).title()) for k in (0, 1, 1)] + [("same1", "qq rr"), ("same0", "qq rr")]
+    texts = [r.choice([" ", ", ", "\n"]).join(word(r.randrange(2)) for _ in range(r.randrange(1, 60))) for _ in range(40)] + ["qq rr", "ÖÖ zz", "x1y2", "a", "日本語 abc"]
+    assert [p[0] for p in Parser(train(sample)).predict(texts)] == [brute_language(sample, t) for t in texts]
+    assert Parser(train(sample)).predict(["qq rr"])[0][0] == "same0"
 
 
 def test_restorer_reads_lookalikes(spark):
