@@ -77,8 +77,9 @@ def parity(x: np.ndarray) -> bytes:
 def _distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(uid, doc_id, rep) of all rows, and (uid, text) of one row for each text: the rep."""
     slim = saved(rows.select("uid", "doc_id", F.xxhash64("text", F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), "text", F.length("text")).alias("h2")), "rows")
-    reps = slim.groupBy("h1", "h2").agg(F.min("uid").alias("rep"))
-    of = saved(slim.join(reps, ["h1", "h2"]).select("uid", "doc_id", "rep"), "rep-of")
+    copied = slim.groupBy("h1", "h2").agg(F.min("uid").alias("rep"), F.count("*").alias("m")).filter("m > 1").select("h1", "h2", "rep")
+    of = slim.join(_small(saved(copied, "copied")), ["h1", "h2"], "left").select("uid", "doc_id", F.coalesce("rep", "uid").alias("rep"))
+    of = saved(of, "rep-of")
     others = _small(of.filter("uid <> rep").select("uid"))
     return of, rows.select("uid", "text").join(others, "uid", "left_anti")
 
@@ -234,21 +235,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, signs: DataFrame) -> DataFrame
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
-                yield pa.record_batch([part.column("uid"), pa.array([shingles(t.as_py()).tobytes() for t in part.column("text")], pa.binary())], names=["uid", "tokens"])
+                yield pa.record_batch([part.column("uid"), pa.array([shingles(t.as_py()).view("i8") for t in part.column("text")], pa.list_(pa.int64()))], names=["uid", "tokens"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for s, t in zip(b.column("set_a"), b.column("set_b")):
-                s, t = np.frombuffer(s.as_buffer(), "u8"), np.frombuffer(t.as_buffer(), "u8")
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(100 * both >= PERCENT * (len(s) + len(t) - both))
-            yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    sets = saved(texts.join(wanted, "uid", "left_semi").mapInArrow(tokens, "uid long, tokens binary"), "token-sets", "none")
+    sets = saved(texts.join(wanted, "uid", "left_semi").mapInArrow(tokens, "uid long, tokens array<long>"), "token-sets", "none")
     first = near.join(sets.select(F.col("uid").alias("a"), F.col("tokens").alias("set_a")), "a")
     both = first.join(sets.select(F.col("uid").alias("b"), F.col("tokens").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return both.filter((100 + PERCENT) * common >= PERCENT * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
 def _open(entries: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; where it is unset, a local session (tests) gets a local folder, a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -28,10 +31,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later passes and lost executors reread files."""
+    """Write ``df`` once to the shared folder and read it back: later passes and lost executors reread files.
+
+    While it is written, Arrow batches hold ``BATCH_ROWS`` rows at most, as whole texts are long; the session's setting is put back.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
