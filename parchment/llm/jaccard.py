@@ -14,8 +14,8 @@ So a text has at most 3n/5 keys, whatever the groups' sizes, and no link is lost
 
 Tokens travel by hash range once, to be counted, and only shared ones travel back to their text; what a
 task holds for every text alike is counted where it lies.  Candidates are found in rounds: members of a
-key that aren't in the component of its first member (strangers) are compared with a few members, then
-with eight times as many, until all of a key's members are in one component or have been compared.  A bit
+key that aren't in the component of its first member (strangers) are compared with that member, then with
+eight members and again eight times as many, until all of a key's members are in one component or have been compared.  A bit
 parity of the sets bounds the overlap from above, and what is left is verified on whole token sets.
 """
 
@@ -37,8 +37,8 @@ WORDS, PERCENT = 5, 80
 FREQUENT, LONG = 64, 1024
 #: Tokens (and texts) that a task gathers before it hands them on; tokens of a hash range, about; bits of a range's number at most.
 GATHERED, GATHERED_TEXTS, RANGE_TOKENS, RANGE_BITS = 2_000_000, 60_000, 1_000_000, 18
-#: Ids or keys that are broadcast at most (others are joined by shuffle); members compared in the first round.
-BROADCAST_ROWS, FIRST = 100_000, 3
+#: Ids or keys that are broadcast at most (others are joined by shuffle); growth of the members compared.
+BROADCAST_ROWS, MORE = 100_000, 8
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SCATTERED = "bucket long, gathered long, tokens binary, owners binary, heavy binary, uids binary, sizes binary, parity binary"
 _RETURNED = "gathered long, tokens binary, owners binary, classes binary, uids binary, sizes binary, parity binary"
@@ -250,15 +250,15 @@ def _open(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
         state = entries.withColumn("component", F.col("uid"))
     else:
         state = entries.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-    keys = state.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", F.xxhash64("uid")).alias("main"))
-    keys = _small(saved(keys.filter("low <> high").select("key", "m", "main"), "open-keys"))
+    keys = state.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("component", "uid"), F.xxhash64("uid")).alias("main"))
+    keys = _small(saved(keys.filter("low <> high").select("key", "m", F.col("main.component").alias("main"), F.col("main.uid").alias("first")), "open-keys"))
     return saved(state.join(keys, "key"), "open-index")
 
 
 def _linked(index: DataFrame, texts: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(node, component) of the texts that are linked with another."""
     signs = prefixes.filter("parity is not null").select("uid", "parity")
-    columns, size, share = ("key", "uid", "n", "shared"), index.count(), FIRST
+    columns, size, share = ("key", "uid", "n", "shared"), index.count(), 1
     entries, links, labels = index, None, None
     while True:
         entries = _open(entries.select(*columns), labels)
@@ -266,7 +266,7 @@ def _linked(index: DataFrame, texts: DataFrame, prefixes: DataFrame) -> DataFram
         if not left:
             return labels
         last = left <= 4 * size or share >= most
-        drawn = entries if last else entries.filter(F.pmod(F.xxhash64("uid", F.lit(6)), F.lit(1 << 30)) * F.col("m") < share << 30)
+        drawn = entries if last else entries.filter("uid = first") if share == 1 else entries.filter(F.pmod(F.xxhash64("uid", F.lit(6)), F.lit(1 << 30)) * F.col("m") < share << 30)
         a, b = (df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("uid", "n", "shared", "component")]) for df, x in ((entries.filter("component <> main"), "a"), (drawn, "b")))
         total = F.col("n_a") + F.col("n_b")
         fits = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & ((100 + PERCENT) * F.least("shared_a", "shared_b") >= PERCENT * total)
@@ -278,7 +278,7 @@ def _linked(index: DataFrame, texts: DataFrame, prefixes: DataFrame) -> DataFram
         labels = saved(components(links), "components")
         if last:
             return labels
-        share *= 8
+        share *= MORE
 
 
 def _group(rows: DataFrame) -> DataFrame:
