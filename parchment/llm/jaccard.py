@@ -14,8 +14,9 @@ So a text has at most 3n/5 keys, whatever the groups' sizes, and no link is lost
 
 Tokens travel by hash range once, to be counted, and only shared ones travel back to their text; what a
 task holds for every text alike is counted where it lies.  Candidates are found in rounds: members of a
-key that aren't in the component of its first member (strangers) are compared with that member, then with
-eight members and again eight times as many, until all of a key's members are in one component or have been compared.  A bit
+key that aren't in the component of its first member (strangers) are compared with that member; then each
+stranger with eight members of its most crowded key, and with eight times as many, while too many are left;
+at last every stranger with all members of all its keys that are in another component.  A bit
 parity of the sets bounds the overlap from above, and what is left is verified on whole token sets.
 """
 
@@ -265,9 +266,13 @@ def _linked(index: DataFrame, texts: DataFrame, prefixes: DataFrame) -> DataFram
         left, most = entries.agg(F.sum(F.when(F.col("component") != F.col("main"), F.col("m"))), F.max("m")).first()
         if not left:
             return labels
-        last = left <= 4 * size or share >= most
+        last = 4 * left <= size or share >= most
+        strangers = entries.filter("component <> main")
+        if not last and share > 1:
+            row = F.struct("key", "n", "shared", "component")
+            strangers = strangers.groupBy("uid").agg(F.max_by(row, F.struct("m", "key")).alias("r")).select("uid", "r.*")
         drawn = entries if last else entries.filter("uid = first") if share == 1 else entries.filter(F.pmod(F.xxhash64("uid", F.lit(6)), F.lit(1 << 30)) * F.col("m") < share << 30)
-        a, b = (df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("uid", "n", "shared", "component")]) for df, x in ((entries.filter("component <> main"), "a"), (drawn, "b")))
+        a, b = (df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("uid", "n", "shared", "component")]) for df, x in ((strangers, "a"), (drawn, "b")))
         total = F.col("n_a") + F.col("n_b")
         fits = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & ((100 + PERCENT) * F.least("shared_a", "shared_b") >= PERCENT * total)
         pairs = a.join(b, "key").filter("component_a <> component_b").filter(fits)
