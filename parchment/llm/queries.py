@@ -45,7 +45,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import link_vectors
 
-    return link_vectors(_table(spark, sf_dir, "embeddings"))
+    return link_vectors(_table(spark, sf_dir, "embeddings")).drop("compared")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x
 _CLASS = {c: k for k, c in enumerate(_LETTERS, 1)}
 _OTHER = len(_LETTERS) + 1
 _BASE = _OTHER + 1
-_SPACED = re.compile(r"(?<!\S)(\S(?:[ \t]\S){2,})(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(\S(?:\s+\S){2,})(?!\S)")
 _AMOUNT = re.compile(r"[(+$€£¢]*[0-9]+[+$€£¢!]*|[(!¡|+]+")
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -204,7 +204,7 @@ class Reader:
                     memo[c] = f
             if f:
                 found.update(f)
-        if " " in text:
+        if len(text) > 4:
             for run in _SPACED.findall(text):
                 found.update(self._spaced("".join(run.split()).lower()))
         return found

@@ -147,6 +147,71 @@ def test_restorer_reads_lookalikes(spark):
     assert suspicious("1d10t") and suspicious("idiooot") and not suspicious("idiot") and not suspicious("123")
 
 
+def test_restored_words_against_exhaustive_search():
+    """The Viterbi word is one of the cheapest of all ways to read a token."""
+    from parchment.llm import toxicity as X
+
+    r = random.Random(4)
+    text = " ".join("".join(r.choice("abdilo") for _ in range(r.randrange(2, 6))) for _ in range(400))
+    counts = {}
+    k = [X._CLASS.get(c, 0) for c in f" {text} "]
+    for a, b, c in zip(k, k[1:], k[2:]):
+        g = (a * X._BASE + b) * X._BASE + c
+        counts[g] = counts.get(g, 0) + 1
+    restorer = Restorer(list(counts.items()))
+
+    def ways(token, word, cost):
+        if not token:
+            yield word, cost
+            return
+        c, rest = token[0], token[1:]
+        for x in [c] if c.isalpha() else X.LOOKALIKES.get(c, ""):
+            extra = 0.0 if c.isalpha() else X.SWAP
+            yield from ways(rest, word + x, cost + extra)
+            if word and word[-1] == x:
+                yield from ways(rest, word, cost + extra + X.REPEAT)
+        if not c.isalpha():
+            yield from ways(rest, word, cost + X.NOISE)
+
+    def spelled(word):
+        at = [0, 0, *(X._CLASS.get(c, X._OTHER) for c in word), 0]
+        return sum(restorer.cost[a, b, c] for a, b, c in zip(at, at[1:], at[2:]))
+
+    for _ in range(150):
+        token = "".join(r.choice("abdil1!0.4") for _ in range(r.randrange(1, 7)))
+        best = {}
+        for word, cost in ways(token, "", 0.0):
+            best[word] = min(best.get(word, 1e9), cost + spelled(word))
+        assert best[restorer.word(token)] <= min(best.values()) + 1e-9, token
+
+
+def test_any_blanks_between_letters_are_undone(spark):
+    from parchment.llm.toxicity import Reader
+
+    restorer = Restorer([])
+    reader = Reader(restorer, {"idiot": 0.9})
+    assert all(reader.score(t) > 0.8 for t in ("i d i o t", "x  i  d  i  o  t", "i\nd\ni\no\nt", "i\t d\t i o t")) and reader.score("i d") < 0.1
+
+
+def test_columns_with_the_operators_own_names(spark):
+    """Clashing columns are replaced or left out; rows stay."""
+    from parchment.llm.chat import example_tools, format_tool_calls, turns_as_calls
+    from parchment.llm.packing import pack_best_fit
+    from parchment.llm.warc import round_trip
+
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string").selectExpr("*", "'x' as toxicity", "1 as toxic", "2 as held_out", "'i' as ids", "7 as sequence_id", "'u' as uid", "3 as n_tokens")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    out = score(docs, labels)
+    assert out.count() == 2 and len(set(out.columns)) == len(out.columns)
+    assert sum(len(r.doc_ids) for r in pack_best_fit(docs).collect()) == 2
+    pages = spark.createDataFrame([(1, "u", "<p>"), (2, "v", "<p>")], "page_id long, url string, html string").selectExpr("*", "1 as uid", "'d' as digest", "2 as first", "'x' as payload")
+    assert sorted(r.record_type for r in round_trip(pages).collect()) == ["response", "revisit"]
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (None, 1, "assistant", "a"), (None, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    messages = turns_as_calls(turns).selectExpr("*", "1 as uid", "2 as at", "3 as position", "'l' as status")
+    done = format_tool_calls(messages, example_tools(messages)).collect()
+    assert sorted((str(r.conv_id), r.position, r.kind) for r in done) == [("1", 0, "call"), ("1", 1, "result"), ("None", 0, "call"), ("None", 1, "result")]
+
+
 def test_toxicity(spark):
     r = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "other", "words", "and", "more"]
