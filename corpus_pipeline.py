@@ -14,27 +14,42 @@ from parchment.llm.toxicity import reject_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents go; learned from the labels that aren't held out."""
+    """Toxic documents go; learned from the labels that aren't held out.
+
+    Null and empty texts stay, as does every row when there are no labels; repeated rows are judged alike, null ids kept; an empty table gives no rows.
+    """
     return reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no learned language (null texts, texts without a letter) go."""
+    """Documents in no learned language (null texts, texts without a letter) go.
+
+    Of languages that fit alike the first by name is taken; repeated rows are judged alike, null ids kept; all rows go when nothing can be learned; an empty table gives no rows.
+    """
     return reject_language(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays.
+
+    Null ids come last; of repeated rows one stays; texts without words are groups of their own and stay; an empty table gives no rows.
+    """
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with at least a twentieth of their words in windows of benchmark items go."""
+    """Documents with at least a twentieth of their words in windows of benchmark items go.
+
+    Null and empty texts and, under an empty benchmark, all rows stay; repeated rows are judged alike; an empty table gives no rows.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of windows of 4096 tokens with every source's share."""
+    """Pieces of windows of 4096 tokens with every source's share.
+
+    A null or empty text is its end id alone, a null source a queue of its own; repeated rows and null ids are rows of their own; an empty table gives no rows.
+    """
     pieces = pack_mixture(docs)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
@@ -47,7 +62,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The toxicity and language models, connected components and the tokenizer are beyond SQL; tests hold every stage against brute force.
+#: The toxicity and language models, connected components and the tokenizer are beyond SQL; ``tests/llm/test_pipeline.py`` holds the stages against brute force.
 ORACLE_SQL = None
 
 
