@@ -16,8 +16,8 @@ Tokens travel by hash range once, to be counted, and only shared ones travel bac
 task holds for every text alike is counted where it lies.  Candidates are found in rounds: members of a
 key that aren't in the component of its first member (strangers) are compared with that member; then each
 stranger with eight members of its most crowded key, and with eight times as many, while too many are left;
-at last every stranger with all members of all its keys that are in another component.  A bit
-parity of the sets bounds the overlap from above, and what is left is verified on whole token sets.
+at last every stranger with all members of all its keys that are in another component, those of crowded
+keys block by block inside tasks, which emit likely pairs only.  A bit parity of the sets bounds the overlap from above, and what is left is verified on whole token sets.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ FREQUENT, LONG = 64, 1024
 GATHERED, GATHERED_TEXTS, RANGE_TOKENS, RANGE_BITS = 2_000_000, 60_000, 1_000_000, 18
 #: Ids or keys that are broadcast at most (others are joined by shuffle); growth of the members compared.
 BROADCAST_ROWS, MORE = 100_000, 8
+#: Comparisons an entry, on average, from which on few members are met before all; members of a block.
+EACH, CROWD_BLOCK = 500, 4096
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SCATTERED = "bucket long, gathered long, tokens binary, owners binary, heavy binary, uids binary, sizes binary, parity binary"
 _RETURNED = "gathered long, tokens binary, owners binary, classes binary, uids binary, sizes binary, parity binary"
@@ -224,12 +226,51 @@ def _index(prefixes: DataFrame) -> DataFrame:
     return saved(entries.join(crowded, "key", "left").select(key.alias("key"), "uid", "n", "shared"), "index")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, signs: DataFrame) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) whose whole token sets reach the similarity."""
+def _filtered(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) that the parity of their sets doesn't rule out."""
     left, right = (signs.select(F.col("uid").alias(x), F.col("parity").alias(f"parity_{x}")) for x in "ab")
     differ = sum((F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k])) for k in range(1, 8)), F.bit_count(F.col("parity_a")[0].bitwiseXOR(F.col("parity_b")[0])))
     near = pairs.join(left, "a").join(right, "b").filter((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b")))
-    near = saved(near.select("a", "b"), "near-pairs")
+    return near.select("a", "b")
+
+
+def _compare_blocks(pdf):
+    """Pairs of strangers (is_base false) and members in other components that sizes, shared tokens and parity don't rule out."""
+    import pandas as pd
+
+    base, query = pdf[pdf["is_base"]].reset_index(drop=True), pdf[~pdf["is_base"]].reset_index(drop=True)
+    out_a, out_b = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+    if len(base) and len(query):
+        bits = np.stack(base["parity"].to_numpy()).view("u8")
+        n, shared, component, uid = (base[c].to_numpy("i8") for c in ("n", "shared", "component", "uid"))
+        for at in range(0, len(query), 128):
+            part = query.iloc[at : at + 128]
+            own = np.stack(part["parity"].to_numpy()).view("u8")
+            q_n, q_shared, q_component, q_uid = (part[c].to_numpy("i8")[:, None] for c in ("n", "shared", "component", "uid"))
+            total = q_n + n
+            fits = (q_component != component) & (100 * np.minimum(q_n, n) >= PERCENT * np.maximum(q_n, n)) & ((100 + PERCENT) * np.minimum(q_shared, shared) >= PERCENT * total)
+            differ = np.zeros(total.shape, "i8")
+            for k in range(8):
+                differ += np.bitwise_count(own[:, k, None] ^ bits[:, k])
+            rows, columns = np.nonzero(fits & ((100 + PERCENT) * differ <= (100 - PERCENT) * total))
+            out_a.append(np.minimum(q_uid[rows, 0], uid[columns]))
+            out_b.append(np.maximum(q_uid[rows, 0], uid[columns]))
+    return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
+
+
+def _crowd_pairs(entries: DataFrame, signs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of strangers and members of crowded keys, block by block of their parities."""
+    rows = entries.join(signs, "uid").withColumn("blocks", F.ceil(F.col("m") / CROWD_BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("uid", F.lit(4)), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ("key", "i", "j", "is_base", "uid", "n", "shared", "component", "parity")
+    base = rows.withColumn("i", every).withColumn("j", F.col("own")).withColumn("is_base", F.lit(True)).select(*columns)
+    query = rows.filter("component <> main").withColumn("j", every).withColumn("i", F.col("own")).withColumn("is_base", F.lit(False)).select(*columns)
+    return base.unionByName(query).groupBy("key", "i", "j").applyInPandas(_compare_blocks, "a long, b long").distinct()
+
+
+def _verified(near: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole token sets reach the similarity."""
+    near = saved(near, "near-pairs")
     wanted = _small(saved(near.select(F.col("a").alias("uid")).union(near.select("b")).distinct(), "wanted"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,19 +307,27 @@ def _linked(index: DataFrame, texts: DataFrame, prefixes: DataFrame) -> DataFram
         left, most = entries.agg(F.sum(F.when(F.col("component") != F.col("main"), F.col("m"))), F.max("m")).first()
         if not left:
             return labels
-        last = 4 * left <= size or share >= most
+        last = share > 1 and (left <= EACH * size or share >= most)
         strangers = entries.filter("component <> main")
-        if not last and share > 1:
+        if last:  # each stranger with all members; those of crowded keys meet in tasks
+            crowded = entries.filter(F.col("m") > FREQUENT)
+            strangers, drawn = (df.filter(F.col("m") <= FREQUENT) for df in (strangers, entries))
+        elif share == 1:
+            drawn = entries.filter("uid = first")
+        else:
             row = F.struct("key", "n", "shared", "component")
             strangers = strangers.groupBy("uid").agg(F.max_by(row, F.struct("m", "key")).alias("r")).select("uid", "r.*")
-        drawn = entries if last else entries.filter("uid = first") if share == 1 else entries.filter(F.pmod(F.xxhash64("uid", F.lit(6)), F.lit(1 << 30)) * F.col("m") < share << 30)
+            drawn = entries.filter(F.pmod(F.xxhash64("uid", F.lit(6)), F.lit(1 << 30)) * F.col("m") < share << 30)
         a, b = (df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("uid", "n", "shared", "component")]) for df, x in ((strangers, "a"), (drawn, "b")))
         total = F.col("n_a") + F.col("n_b")
         fits = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & ((100 + PERCENT) * F.least("shared_a", "shared_b") >= PERCENT * total)
         pairs = a.join(b, "key").filter("component_a <> component_b").filter(fits)
         swap = F.col("uid_a") > F.col("uid_b")
         pairs = pairs.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b"), F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b")).distinct()
-        found = saved(_verified(saved(pairs, "pairs"), texts, signs), "links")
+        near = _filtered(saved(pairs, "pairs"), signs)
+        if last:
+            near = near.union(_crowd_pairs(crowded, signs)).distinct()
+        found = saved(_verified(near, texts), "links")
         links = found if links is None else links.union(found)
         labels = saved(components(links), "components")
         if last:

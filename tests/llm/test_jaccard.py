@@ -61,10 +61,12 @@ def test_against_brute_force(spark, monkeypatch, seed, frequent, long):
     assert got(spark.createDataFrame(rows, SCHEMA).repartition(4)) == brute(rows)
 
 
-@pytest.mark.parametrize("frequent, long", [(64, 1024), (5, 30)])
-def test_crowds(spark, monkeypatch, frequent, long):
-    """Many mutated copies of one text: pairs near the bound, linked by way of others."""
+@pytest.mark.parametrize("frequent, long, each, block", [(64, 1024, 500, 4096), (5, 30, 0, 16), (8, 30, 500, 16)])
+def test_crowds(spark, monkeypatch, frequent, long, each, block):
+    """Many mutated copies of one text: pairs near the bound, linked by way of others; middle rounds and small blocks."""
     monkeypatch.setattr(J, "FREQUENT", frequent)
+    monkeypatch.setattr(J, "EACH", each)
+    monkeypatch.setattr(J, "CROWD_BLOCK", block)
     monkeypatch.setattr(J, "LONG", long)
     r = random.Random(7)
     base = [f"w{r.randrange(300)}" for _ in range(90)]
