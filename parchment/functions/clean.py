@@ -29,11 +29,13 @@ UNITS = {
     "http://qudt.org/vocab/unit/N": "N",
 }
 
+#: Manufacturing reports print micrometres with their sign.
+BATCH_UNITS = {**UNITS, "http://qudt.org/vocab/unit/MicroM": "µm"}
+
 # Technique names, and what tells an ambiguous header's techniques apart.
 TECHNIQUES = {"MFI": "Sub-Visible Particles - MFI", "PS20": "Polysorbate 20", "SoloVPE": "Protein content", "Visible Particles": "Visible Particles"}
 AMBIGUOUS = "Compendial"
 PARAMETER_HINTS = (("ph", "pH"), ("clarity", "Clarity and Opalescence"), ("opalesc", "Clarity and Opalescence"), ("ntu", "Clarity and Opalescence"), ("suspension", "Clarity and Opalescence"))
-METHOD_HINTS = (("P-500488", "pH"), ("ARM-20-00231", "Clarity and Opalescence"))
 
 # German terms and their English ones.
 TERMS = {
@@ -88,19 +90,34 @@ def strip_version(ref: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(ref, r"(?s)(,|\s+[vV]\s*\d|\s*\([vV]).*$", "")), F.lit(""))
 
 
+def bound(x: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def fix_mojibake(x: Column) -> Column:
     """UTF-8 read as Latin-1, put right; other text stays as it is."""
-    latin = ~x.rlike(r"[^\x{0}-\x{ff}]")
-    again = F.when(latin, F.try_validate_utf8(F.encode(F.when(latin, x), "ISO-8859-1").cast("string")))
-    return F.when(x.contains("Ã") | x.contains("Â"), F.coalesce(again, x)).otherwise(x)
+
+    def repaired(v: Column) -> Column:
+        latin = ~v.rlike(r"[^\x{0}-\x{ff}]")
+        again = F.when(latin, F.try_validate_utf8(F.encode(F.when(latin, v), "ISO-8859-1").cast("string")))
+        return F.when(v.contains("Ã") | v.contains("Â"), F.coalesce(again, v)).otherwise(v)
+
+    return bound(x, repaired)
 
 
 def translate_terms(x: Column, terms: dict[str, str] | None = None) -> Column:
     """German terms in English, the longest first, where no letter stands next to them."""
-    out = fix_mojibake(x)
-    for word, english in sorted((terms or TERMS).items(), key=lambda kv: -len(kv[0])):
-        out = F.regexp_replace(out, rf"(?iu)(?<![A-Za-zÀ-ÿ])\Q{word}\E(?![A-Za-zÀ-ÿ])", english)
-    return F.coalesce(out, F.lit(""))
+    words = sorted((terms or TERMS).items(), key=lambda kv: -len(kv[0]))
+
+    def translated(v: Column) -> Column:
+        out = v
+        for word, english in words:
+            out = F.regexp_replace(out, rf"(?iu)(?<![A-Za-zÀ-ÿ])\Q{word}\E(?![A-Za-zÀ-ÿ])", english)
+        # most texts hold no term: one look for all of them
+        return F.when(v.rlike("(?iu)" + "|".join(rf"\Q{word}\E" for word, _ in words)), out).otherwise(v)
+
+    return F.coalesce(bound(fix_mojibake(x), translated), F.lit(""))
 
 
 def technique(header: Column, hint: Column, hints: tuple[tuple[str, str], ...] = PARAMETER_HINTS) -> Column:
@@ -156,7 +173,7 @@ def leaf_label(size: Column, analyte: Column, parameter: Column) -> Column:
 
 def amount_text(value: Column, unit: Column, names: dict[str, str] | None = None) -> Column:
     """struct(label, confident): value and decoded unit."""
-    v, u = text_of(value), decoded(unit, UNITS if names is None else names)
+    v, u = text_of(value), decoded(unit, BATCH_UNITS if names is None else names)
     return F.struct(F.when(v == "", "").otherwise(F.trim(F.concat(v, F.lit(" "), u["label"]))).alias("label"), ((v == "") | u["confident"]).alias("confident"))
 
 
@@ -169,8 +186,8 @@ def is_ingredient(function: Column) -> Column:
     return ~F.lower(F.coalesce(function, F.lit(""))).contains("bulk solution") & ~is_packaging(function)
 
 
-def component_class(name: Column, ref: Column, intermediate: str = "nest-", substance: tuple[str, ...] = ("ext-",)) -> Column:
-    """packaging, substance or null: prior-stage intermediates are no packaging."""
+def component_class(name: Column, ref: Column, intermediate: str, substance: tuple[str, ...] = ()) -> Column:
+    """packaging, substance or null: prior-stage intermediates (references with ``intermediate``) are no packaging; references with one of ``substance`` are drug substance."""
     low, r = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(ref, F.lit("")))
     is_substance = low.contains("drug substance") | low.contains("ds lot")
     for hint in substance:

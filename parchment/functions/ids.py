@@ -16,13 +16,13 @@ def text_of(x: Column | str) -> Column:
     return F.coalesce(F.trim(F.col(x) if isinstance(x, str) else x), F.lit(""))
 
 
-def request_id(raw: Column, query_prefix: str = "CMC-", display_prefix: str = "CMC-") -> Column:
-    """struct(short, display, query) from the first run of three or more digits; null where there is none."""
+def request_id(raw: Column, query_prefix: str = "", display_prefix: str = "") -> Column:
+    """struct(short, display, query) from the first run of three or more digits, with the caller's prefixes; null where there is none."""
     short = F.regexp_substr(raw, F.lit(r"\d{3,}"))
     return F.when(short.isNotNull(), F.struct(short.alias("short"), F.concat(F.lit(display_prefix), short).alias("display"), F.concat(F.lit(query_prefix), short).alias("query")))
 
 
-def batch_id(raw: Column, registered_prefix: str = "nest-") -> Column:
+def batch_id(raw: Column, registered_prefix: str = "") -> Column:
     """struct(short, query, registration): ``BAX`` ids are registered and take the prefix, other ``BA`` ids are manual."""
     short = F.upper(F.regexp_substr(raw, F.lit(r"(?i)\bBA[A-Z]?\d{4,}\b")))
     nest = short.startswith("BAX")

@@ -10,11 +10,11 @@ from parchment.functions import clean, ids
 from .helpers import first_filled_by, keep_first, nulls_last, ordered_list
 
 
-def bind_prefix(df: DataFrame, roots: DataFrame, exact: bool = False, pattern: str = r"BA[A-Z]?\d{4,}") -> DataFrame:
+def bind_prefix(df: DataFrame, roots: DataFrame, exact: bool = True, pattern: str = r"BA[A-Z]?\d{4,}") -> DataFrame:
     """B2. Rows whose batch_id begins with a root; adds root.
 
-    Both sides take the same leading id by ``pattern`` and are joined on it as a hash join.  A longer id that
-    begins with a root's digits also belongs to it, as with LIKE; ``exact`` leaves those out.
+    Both sides take the same leading id by ``pattern`` and are joined on it as a hash join.  With ``exact=False`` a
+    longer id that begins with a root's digits also belongs to it, as with LIKE.
     """
     short = lambda c: F.regexp_substr(c, F.lit(f"^.*?{pattern}"))
     left = df.withColumn("_short", short(F.col("batch_id")))
@@ -85,6 +85,10 @@ def decode_dict(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
     return out.withColumn(f"{column}_label", F.coalesce("_label", "_raw")).withColumn(f"{column}_confident", F.col("_label").isNotNull() | (F.col("_raw") == "")).drop("_raw", "_label")
 
 
+#: Characters by which ids without a known form are looked up.
+GRAM = 5
+
+
 def short_id(batch: Column) -> Column:
     return F.upper(F.regexp_substr(batch, F.lit(r"BA[A-Z]?\d+")))
 
@@ -92,16 +96,18 @@ def short_id(batch: Column) -> Column:
 def id_exists(wanted: DataFrame, batches: DataFrame, pattern: str = r"[A-Z]+[A-Z]?\d+") -> DataFrame:
     """C12. id, found: whether an id occurs in any batch_id, case-insensitively.
 
-    Ids are looked up by the short ids that batches contain (a hash join); what isn't of that form, or isn't
-    found so, is searched for in the batches by its own text.
+    Ids are looked up by the short ids that batches contain (a hash join).  What isn't found so is joined by its
+    last ``GRAM`` characters with all such stretches of the batches, and compared in full where they are equal.
     """
     keys = batches.select(F.explode(F.regexp_extract_all(F.upper("batch_id"), F.lit(f"({pattern})"), 1)).alias("_id")).distinct().withColumn("_hit", F.lit(True))
     first = wanted.select("id").distinct().withColumn("_id", F.upper("id")).join(keys, "_id", "left")
     found = first.filter("_hit").select("id", F.lit(True).alias("found"))
     rest = first.filter("_hit is null").select("id", "_id")
+    gram = F.expr(f"right(_id, {GRAM})")
     hay = batches.select(F.upper("batch_id").alias("_hay")).distinct()
-    # the ids left are few and asked for by name; the batches stream past them
-    hits = hay.join(F.broadcast(rest) if rest.limit(1001).count() <= 1000 else rest, F.contains("_hay", F.col("_id"))).select("id").distinct().withColumn("found", F.lit(True))
+    starts = F.expr(f"flatten(transform(sequence(1, greatest(1, length(_hay))), i -> transform(sequence(1, {GRAM}), n -> substring(_hay, i, n))))")
+    grams = hay.select("_hay", F.explode(F.array_distinct(starts)).alias("_gram"))
+    hits = rest.filter("_id <> ''").withColumn("_gram", gram).join(grams, "_gram").filter(F.contains("_hay", F.col("_id"))).select("id").union(rest.filter("_id = ''").select("id")).distinct().withColumn("found", F.lit(True))
     return found.unionByName(rest.select("id").join(hits, "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("found")))
 
 
@@ -171,7 +177,7 @@ def composition_rows(rows: DataFrame, order: list[str], units: dict[str, str] |
     return out.withColumn("amount_per_unit", a["label"]).withColumn("is_ingredient", clean.is_ingredient(F.col("component_function")))
 
 
-def component_split(rows: DataFrame, order: list[str], intermediate: str = "nest-", substance: tuple[str, ...] = ("ext-",)) -> DataFrame:
+def component_split(rows: DataFrame, order: list[str], intermediate: str, substance: tuple[str, ...] = ()) -> DataFrame:
     """H18, H20, E7. Packaging (first by name and reference) and drug-substance lots (first by lot, else reference)."""
     name = F.coalesce(ids.blank_to_null("display_name"), ids.text_of("resolved_name"))
     kind = clean.component_class(name, F.col("component_ref"), intermediate, substance)
@@ -254,7 +260,7 @@ def batch_flags(info: DataFrame, compositions: DataFrame, components: DataFrame,
     """G1. Review flags of batches: undecoded units and operations, no composition, no drug-substance lot, manual registration."""
     roots = info.select("root").distinct()
     f = lambda df, no, area, message: df.select("root", F.lit(no).alias("rule_no"), F.lit("warn").alias("severity"), F.lit(area).alias("area"), message.alias("message"))
-    rules = [f(info.filter((ids.text_of(c) != "") & ~clean.decoded(F.col(f"{c}_unit"), clean.UNITS)["confident"]), i, "general_info", F.concat(F.lit(f"{c} unit not decoded: "), F.col(f"{c}_unit"))) for i, c in enumerate(("batch_size", "dose_strength", "density"), 1)]
+    rules = [f(info.filter((ids.text_of(c) != "") & ~clean.decoded(F.col(f"{c}_unit"), clean.BATCH_UNITS)["confident"]), i, "general_info", F.concat(F.lit(f"{c} unit not decoded: "), F.col(f"{c}_unit"))) for i, c in enumerate(("batch_size", "dose_strength", "density"), 1)]
     rules.append(f(stages.filter("not confident"), 4, "stages", F.concat(F.lit("operation not decoded: "), ids.text_of("unit_operation"))))
     rules.append(f(roots.join(compositions.select("root"), "root", "left_anti"), 5, "composition", F.lit("no composition")))
     rules.append(f(roots.join(components.filter("kind = 'substance'").select("root"), "root", "left_anti"), 6, "components", F.lit("no drug-substance lot")))

@@ -58,6 +58,23 @@ def cell_similarity(expected: DataFrame, actual: DataFrame, key: str, value: str
     return out.select(key, (F.col("common") / F.col("total")).alias("similarity"), (F.col("common") / F.col("total") >= least).alias("equal"))
 
 
+def ordered_similarity(expected: DataFrame, actual: DataFrame, key: str, value: str, order: list[str], least: float = 0.98) -> DataFrame:
+    """G4. Ratio of matching blocks of the ordered cells of each key, 1 where nothing is expected, and whether it reaches ``least``.
+
+    The cells of a key are one document's and are compared in one task, as the ratio isn't a sum over cells.
+    """
+    listed = lambda df, name: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias(name)).select(key, F.col(f"{name}.{value}").alias(name))
+    both = listed(expected, "e").join(listed(actual, "a"), key, "full")
+
+    def ratio(pairs):
+        from difflib import SequenceMatcher
+
+        return pairs.apply(lambda r: SequenceMatcher(None, list(r["e"]), list(r["a"])).ratio() if r["e"] is not None and r["a"] is not None else float(r["e"] is None), axis=1)
+
+    out = both.withColumn("similarity", F.pandas_udf(ratio, "double")(F.struct("e", "a")))
+    return out.select(key, "similarity", (F.col("similarity") >= least).alias("equal"))
+
+
 def audit_record(ids: DataFrame, counts: DataFrame, hashes: DataFrame, flags: DataFrame) -> DataFrame:
     """K12. One struct a request: display and query id, rows, content hash and number of flags."""
     n = flags.groupBy("request_id").agg(F.count("*").alias("n_flags"))

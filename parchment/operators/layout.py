@@ -148,18 +148,26 @@ def cluster_boxes(boxes: DataFrame, gap: float = 30.0) -> DataFrame:
     """D29. Adds cluster: boxes (over 3 wide and high) whose padded rectangles touch hang together; a page at a time."""
 
     def cluster(pdf):
-        import numpy as np
-
-        x0, y0, x1, y1 = (pdf[c].to_numpy() for c in ("x0", "y0", "x1", "y1"))
-        touch = (x0[:, None] - gap <= x1[None, :]) & (x0[None, :] - gap <= x1[:, None]) & (y0[:, None] - gap <= y1[None, :]) & (y0[None, :] - gap <= y1[:, None])
-        label = np.arange(len(pdf))
-        while True:
-            new = np.where(touch, label[None, :], len(pdf)).min(1)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        pdf["cluster"] = pdf["id"].to_numpy()[label]
+        # a sweep from left to right; boxes still open are compared, so memory grows with the page, not its square
+        x0, y0, x1, y1 = (pdf[c].tolist() for c in ("x0", "y0", "x1", "y1"))
+        up = list(range(len(pdf)))
+
+        def find(k):
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        open_boxes: list[int] = []
+        for k in sorted(range(len(pdf)), key=x0.__getitem__):
+            open_boxes = [j for j in open_boxes if x1[j] >= x0[k] - gap]
+            for j in open_boxes:
+                if y0[k] - gap <= y1[j] and y0[j] - gap <= y1[k]:
+                    a, b = find(k), find(j)
+                    up[max(a, b)] = min(a, b)
+            open_boxes.append(k)
+        ids = pdf["id"].tolist()
+        pdf["cluster"] = [ids[find(k)] for k in range(len(pdf))]
         return pdf
 
     rows = boxes.filter((F.col("x1") - F.col("x0") > 3) & (F.col("y1") - F.col("y0") > 3)).select(*PAGE, "id", "x0", "y0", "x1", "y1")

@@ -10,6 +10,19 @@ from parchment.functions import text as T
 from .helpers import asof_last, keep_first
 
 
+# Texts of heading size that are no headings.
+NO_HEADING = (
+    r"(?i)^(BS\s+)?ISO[\s/]",
+    r"(?i)^IEC\s",
+    r"(?i)^(INTERNATIONAL|EUROPEAN)\s",
+    r"(?i)^(BSI|ANSI|AAMI|DIN|EN)\b",
+    r"(?i)^(British Standards Institution)",
+    r"^\d{4,}",
+    r"(?i)^Copyrighted|^No further|^All rights",
+    r"(?i)^\(normative\)|^\(informative\)",
+)
+
+
 def upper_median(values: Column) -> Column:
     """Aggregate: ``sorted[n // 2]``, which no percentile gives for an even count."""
     s = F.sort_array(F.collect_list(values))
@@ -32,7 +45,9 @@ def heading_by_font(spans: DataFrame) -> DataFrame:
     numbered = F.col("text").rlike(r"^(\d+(?:\.\d+)*)\s+\S") | F.col("text").rlike(r"(?i)^(Annex\s+[A-Z])\b")
     bold = keep_first(s.filter(F.col("bold") & (F.col("size") >= 8) & numbered), ["doc_id", "text"], ["page_idx", "span_no"])
     limit = s.filter("size >= 6").groupBy("doc_id").agg((upper_median(F.col("size")) + 1.5).alias("least"))
-    skip = F.col("text").rlike(r"(?i)^(BS\s+)?ISO[\s/]|^IEC\s|^(INTERNATIONAL|EUROPEAN)\s|^(BSI|ANSI|AAMI|DIN|EN)\b")
+    skip = F.substring("text", 1, 120).rlike(T.WATERMARK) | ~F.col("text").rlike(r"^[\p{Lu}\p{Nd}]")
+    for pattern in NO_HEADING:
+        skip = skip | F.col("text").rlike(pattern)
     large = s.join(bold.select("doc_id").distinct(), "doc_id", "left_anti").join(limit, "doc_id").filter((F.col("size") >= F.col("least")) & ~skip & (F.length("text") <= 80) & (F.col("page_idx") >= 3) & (F.col("page_idx") < F.col("n_pages") - 1))
     large = keep_first(large, ["doc_id", "text"], ["page_idx", "span_no"])
     one = lambda df, how: df.select("doc_id", "page_idx", "span_no", T.outline_level(F.col("text")).alias("level"), F.col("text").alias("title"), (F.col("page_idx") + 1).alias("page"), F.lit(how).alias("how"))
@@ -76,14 +91,25 @@ def title_to_page(titles: DataFrame, pages: DataFrame, contents: DataFrame | Non
     """C27. First page (with the smallest offset in its first 60 lines) that has a title as a line, a numbered line, or anywhere.
 
     ``titles``: doc_id, ord, title; contents pages are left out; titles found only further down take the first such page.
-    Pages without a document are one document.
+    Pages without a document are one document; titles without a doc_id are looked for in every document.
     """
     if contents is not None:
         pages = pages.join(contents.select("doc_id", "page_idx"), ["doc_id", "page_idx"], "left_anti")
-    head = F.lower(F.array_join(F.slice(F.split("text", "\n"), 1, 60), "\n"))
-    p = pages.select(F.col("doc_id").alias("_doc"), "page_idx", head.alias("_head"), F.lower("text").alias("_text"))
+    # an inner word of a title stands in a page's text as a word: the longest one is the key of a hash join
     t = titles.withColumn("_t", F.lower(F.trim("title"))).filter("_t <> ''")
-    both = t.join(p, F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_doc")
+    inner = F.slice(F.split("_t", " "), F.lit(2), F.greatest(F.size(F.split("_t", " ")) - 2, F.lit(0)))
+    t = t.withColumn("_w", F.nullif(F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"], F.lit("")))
+    words = pages.select(F.col("doc_id").alias("_doc"), "page_idx", F.explode(F.array_distinct(F.split(F.lower("text"), "[ \n]"))).alias("_word"))
+    same = F.col("_word") == F.col("_w")
+    keyed = "doc_id" in titles.columns
+    long = t.filter("_w is not null").join(words, F.col("doc_id").eqNullSafe(F.col("_doc")) & same if keyed else same).drop("_word")
+    # titles of one or two words have none: a short list that is held against the pages of its document, or all
+    short, texts = t.filter("_w is null"), pages.select(F.col("doc_id").alias("_doc"), "page_idx", F.lower("text").alias("_text"))
+    short = short.join(texts, F.col("doc_id").eqNullSafe(F.col("_doc"))) if keyed else texts.join(F.broadcast(short), F.contains("_text", F.col("_t"))).withColumn("doc_id", F.col("_doc"))
+    both = long.withColumn("doc_id", F.col("_doc")).select("doc_id", "ord", "title", "_t", "page_idx").unionByName(short.select("doc_id", "ord", "title", "_t", "page_idx"))
+    head = F.lower(F.array_join(F.slice(F.split("text", "\n"), 1, 60), "\n"))
+    p = pages.select(F.col("doc_id").alias("_doc"), F.col("page_idx").alias("_page"), head.alias("_head"), F.lower("text").alias("_text"))
+    both = both.join(p, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("page_idx") == F.col("_page"))).drop("_doc", "_page")
     anywhere = F.expr("instr(_head, _t)")
     line = F.expr("instr(concat('\\n', _head, '\\n'), concat('\\n', _t, '\\n'))")
     deep = F.expr("instr(_text, _t)")

@@ -79,17 +79,18 @@ def apply_edits(current: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFr
     Several edits of a section are taken in order: one that names the next revision is accepted after another,
     so the accepted ones are those that continue a chain from the current revision.
     """
-    joined = edits.join(current.select("run_id", "section_key", F.col("revision").alias("now")), ["run_id", "section_key"], "left").withColumn("now", F.coalesce("now", F.lit(0)))
-    w = Window.partitionBy("run_id", "section_key").orderBy("ord")
-    state = F.aggregate(
-        F.collect_list(F.struct("ord", "revision")).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        F.first("now").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("long"),
-        lambda at, e: F.when(e["revision"] == at, at + 1).otherwise(at),
-    )
-    # the fold up to and before each edit; sections get few edits in a batch
-    done = joined.withColumn("after", state)
-    before = F.coalesce(F.lag("after").over(w), F.col("now").cast("long"))
-    done = done.withColumn("actual", before).withColumn("ok", F.col("revision") == F.col("actual"))
+    own = edits.groupBy("run_id", "section_key").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("revision").cast("long").alias("revision"), "html"))).alias("edits"))
+    own = own.join(current.select("run_id", "section_key", F.col("revision").cast("long").alias("now")), ["run_id", "section_key"], "left")
+    # one fold a section, which keeps what each edit met and left
+    none = F.array().cast("array<struct<ord:int,revision:bigint,html:string,actual:bigint,after:bigint>>")
+    typed = lambda e, at, to: F.struct(e["ord"].cast("int").alias("ord"), e["revision"].alias("revision"), e["html"].alias("html"), at.alias("actual"), to.alias("after"))
+
+    def step(s: Column, e: Column) -> Column:
+        to = F.when(e["revision"] == s["at"], s["at"] + 1).otherwise(s["at"])
+        return F.struct(to.alias("at"), F.concat(s["out"], F.array(typed(e, s["at"], to))).alias("out"))
+
+    folded = F.aggregate("edits", F.struct(F.coalesce("now", F.lit(0).cast("long")).alias("at"), none.alias("out")), step, lambda s: s["out"])
+    done = own.select("run_id", "section_key", F.explode(folded).alias("e")).select("run_id", "section_key", "e.*").withColumn("ok", F.col("revision") == F.col("actual"))
     accepted = done.filter("ok").select("run_id", "section_key", "html", F.col("after").alias("version_num"), F.concat(F.lit("Edited (v"), F.col("after").cast("string"), F.lit(")")).alias("label"))
     rejected = done.filter("not ok").select("run_id", "section_key", "ord", F.col("revision").alias("expected"), "actual")
     return accepted, rejected
@@ -161,17 +162,23 @@ def run_state(events: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame
 
     Events of a run are folded in order; an event that may not follow the state is rejected and changes nothing.
     """
-    w = Window.partitionBy("run_id").orderBy(*order)
     allowed = F.create_map(*[F.lit(x) for k, v in TRANSITIONS.items() for x in (k, ",".join(v))])
-    ok = lambda at, to: F.array_contains(F.split(F.coalesce(allowed[at], F.lit("queued,running")), ","), to)
-    fold = F.aggregate(F.collect_list("status").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(""), lambda at, to: F.when(((at == "") & to.isin("queued", "running")) | ((at != "") & ok(at, to)), to).otherwise(at))
-    folded = events.withColumn("state", fold).withColumn("before", F.coalesce(F.lag("state").over(w), F.lit("")))
-    fits = ((F.col("before") == "") & F.col("status").isin("queued", "running")) | ((F.col("before") != "") & ok(F.col("before"), F.col("status")))
-    marked = folded.withColumn("ok", fits)
+    fits = lambda at, to: F.when(at == "", to.isin("queued", "running")).otherwise(F.array_contains(F.split(F.coalesce(allowed[at], F.lit("queued,running")), ","), to))
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    own = events.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), "status", "at"))).alias("events"))
+
+    def step(s: Column, e: Column) -> Column:
+        ok = F.coalesce(fits(s["at"], e["status"]), F.lit(False))
+        to = F.when(ok, e["status"]).otherwise(s["at"])
+        return F.struct(to.alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("before"), to.alias("state"), ok.alias("ok")))).alias("out"))
+
+    # one fold a run, which keeps the state before and after each event
+    start = F.struct(F.lit("").alias("at"), F.array().cast("array<struct<before:string,state:string,ok:boolean>>").alias("out"))
+    states = own.withColumn("states", F.aggregate("events", start, step, lambda s: s["out"]))
+    marked = states.select("run_id", F.posexplode(F.arrays_zip("events", "states")).alias("no", "e")).select("run_id", "no", "e.events.status", "e.events.at", "e.states.before", "e.states.state", "e.states.ok")
     started = F.min(F.when(F.col("ok") & (F.col("status") == "running"), F.col("at")))
     ended = F.max(F.when(F.col("ok") & F.col("status").isin("complete", "failed"), F.col("at")))
-    key = F.struct(*[F.col(c) for c in order])
-    state = marked.groupBy("run_id").agg(F.max_by("state", key).alias("status"), started.alias("started_at"), ended.alias("ended_at"))
+    state = marked.groupBy("run_id").agg(F.max_by("state", "no").alias("status"), started.alias("started_at"), ended.alias("ended_at"))
     state = state.withColumn("progress", F.when(F.col("status") == "complete", 100)).withColumn("duration_ms", ids.elapsed_ms(F.col("started_at"), F.col("ended_at")))
     return state, marked.filter("not ok").select("run_id", "status", "before", "at")
 

@@ -91,10 +91,25 @@ def validation_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("request_id").agg(F.count("*").alias("result_rows"), *[F.countDistinct(f"{c}_id").alias(f"n_{c}s" if c != "batch" else "n_batches") for c in ("experiment", "sample", "batch")])
 
 
-def methods_rollup(methods: DataFrame) -> DataFrame:
-    """D6, F4, E26. One row a technique and method: experiments by (length, text), confidence, display number ``3.i``."""
-    t = clean.technique(ids.last_segment(F.col("test_description"), "-"), F.col("method_reference"), clean.METHOD_HINTS)
-    rows = methods.select("request_id", F.col("eln_id"), t["name"].alias("technique"), t["confident"].alias("confident"), clean.strip_version(F.col("method_reference")).alias("method_reference"))
+def method_techniques(methods: DataFrame, hints: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """H4, H8, H9 of each distinct (test_description, method_reference): technique, confident and the reference without its version.
+
+    There are few of them, however many rows name them, so the texts are read once each and joined back.
+    """
+    t = clean.technique(ids.last_segment(F.col("test_description"), "-"), F.col("method_reference"), hints)
+    named = methods.select("test_description", "method_reference").distinct()
+    return named.select(F.col("test_description").alias("_d"), F.col("method_reference").alias("_m"), t.alias("t"), clean.strip_version(F.col("method_reference")).alias("short")).select("_d", "_m", "t.name", "t.confident", "short")
+
+
+def methods_rollup(methods: DataFrame, hints: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """D6, F4, E26. One row a technique and method: experiments by (length, text), confidence, display number ``3.i``.
+
+    ``hints``: (part of a method reference, technique) pairs that tell an ambiguous header's techniques apart.
+    """
+    t = method_techniques(methods, hints)
+    rows = methods.select("request_id", "eln_id", "test_description", "method_reference").distinct()
+    rows = rows.join(t, F.col("test_description").eqNullSafe(F.col("_d")) & F.col("method_reference").eqNullSafe(F.col("_m")))
+    rows = rows.select("request_id", "eln_id", F.col("name").alias("technique"), "confident", F.col("short").alias("method_reference"))
     out = rows.groupBy("request_id", "technique", "method_reference").agg(
         F.array_sort(F.collect_set(F.struct(F.length("eln_id").alias("n"), F.col("eln_id")))).alias("e"), F.bool_and("confident").alias("confident"), F.min("eln_id").alias("first_eln")
     )
@@ -113,10 +128,14 @@ def results_pivot(rows: DataFrame, order: Column) -> DataFrame:
     ``rows``: request_id, technique, label, sample_id, value.
     """
     cells = rows.groupBy("request_id", "technique", "label", "sample_id").agg(F.max_by("value", order).alias("value"))
-    lines = rows.select("request_id", "technique", "label").distinct()
-    samples = rows.select("request_id", "sample_id").distinct()
-    spine = lines.join(samples, "request_id")
-    return spine.join(cells, ["request_id", "technique", "label", "sample_id"], "left").withColumn("value", F.coalesce(F.nullif("value", F.lit("")), F.lit(NA)))
+    # a line has its cells as a map, a request its samples: the rows are read once and no spine is joined
+    lines = cells.groupBy("request_id", "technique", "label").agg(F.map_from_entries(F.collect_list(F.when(F.col("sample_id").isNotNull(), F.struct("sample_id", "value")))).alias("m"), F.max(F.when(F.col("sample_id").isNull(), F.struct("value"))).alias("none"))
+    samples = F.array_distinct(F.flatten(F.collect_list(F.map_keys("m")).over(Window.partitionBy("request_id"))))
+    some = F.max(F.col("none").isNotNull()).over(Window.partitionBy("request_id"))
+    wide = lines.withColumn("s", samples).withColumn("some", some)
+    every = F.concat(F.transform("s", lambda s: F.struct(s.alias("sample_id"), F.col("m")[s].alias("value"))), F.when(F.col("some"), F.array(F.struct(F.lit(None).cast("string").alias("sample_id"), F.col("none.value").alias("value")))).otherwise(F.array()))
+    long = wide.select("request_id", "technique", "label", F.explode(every).alias("c"))
+    return long.select("request_id", "technique", "label", "c.sample_id", F.coalesce(F.nullif("c.value", F.lit("")), F.lit(NA)).alias("value"))
 
 
 def prefer_container(rows: DataFrame) -> DataFrame:
@@ -133,9 +152,12 @@ def prefer_container(rows: DataFrame) -> DataFrame:
 def matrix_cells(rows: DataFrame, order: list[Column]) -> DataFrame:
     """D9. One cell a batch, sample, technique key and leaf: distinct rounded values in first-seen order, and whether any is actual."""
     w = Window.partitionBy("request_id", "batch_id").orderBy(*order)
-    cells = rows.withColumn("ord", F.row_number().over(w)).select(
+    numbered = rows.withColumn("ord", F.row_number().over(w)).withColumn("actual", F.col("value_source") == "actual")
+    # labels are read once for all rows of a cell that are alike
+    alike = numbered.groupBy("request_id", "batch_id", "sample_name", "technique", "particle_size", "analyte_name", "result_name", "reported_value").agg(F.min("ord").alias("ord"), F.bool_or("actual").alias("actual"))
+    cells = alike.select(
         "request_id", "batch_id", "sample_name", clean.tech_key(F.col("technique")).alias("tech_key"), clean.leaf_label(F.col("particle_size"), F.col("analyte_name"), F.col("result_name")).alias("leaf"),
-        clean.round_value(F.col("reported_value")).alias("value"), (F.col("value_source") == "actual").alias("actual"), "ord",
+        clean.round_value(F.col("reported_value")).alias("value"), "actual", "ord",
     )
     keys = ["request_id", "batch_id", "sample_name", "tech_key", "leaf"]
     values = cells.groupBy(*keys, "value").agg(F.min("ord").alias("ord"), F.bool_or("actual").alias("actual"))
@@ -182,14 +204,14 @@ def row_order(timepoint: Column, storage: Column) -> Column:
     return F.struct(kind.alias("kind"), F.when(kind == 0, F.coalesce(days, F.lit(0))).when(kind == 1, F.coalesce(months, F.lit(999))).otherwise(0).alias("n"), F.coalesce(conditions[storage], F.lit(9)).alias("condition"))
 
 
-def request_picker(requests: DataFrame) -> DataFrame:
+def request_picker(requests: DataFrame, prefix: str = "") -> DataFrame:
     """F9, H1. Distinct ids in their normal forms; what has none is left out."""
-    return requests.select(ids.request_id(F.col("request_id").cast("string")).alias("r")).filter("r is not null").select("r.*").distinct()
+    return requests.select(ids.request_id(F.col("request_id").cast("string"), prefix, prefix).alias("r")).filter("r is not null").select("r.*").distinct()
 
 
-def result_flags(rows: DataFrame, methods: DataFrame, attachment: str = "_A01") -> DataFrame:
+def result_flags(rows: DataFrame, methods: DataFrame, attachment: str = "_A01", hints: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """G1, F10. Review flags of methods, then results: (request_id, rule_no, severity, area, message)."""
-    m = clean.technique(ids.last_segment(F.col("test_description"), "-"), F.col("method_reference"), clean.METHOD_HINTS)
+    m = clean.technique(ids.last_segment(F.col("test_description"), "-"), F.col("method_reference"), hints)
     r = clean.technique(F.col("technique"), F.col("result_name"))
 
     def flag(df: DataFrame, no: int, severity: str, area: str, message: Column) -> DataFrame:

@@ -73,8 +73,8 @@ def batch_lots(spark: SparkSession, sf: str) -> DataFrame:
 
 def result_flags(spark: SparkSession, sf: str) -> DataFrame:
     r = rows(spark, sf).withColumn("technique", F.when(F.col("technique").endswith("1"), "Compendial").otherwise(F.col("technique"))).withColumn("reported_value", F.when(F.col("value_source") == "reported", F.col("reported_value")))
-    m = V.t(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"), F.lit("x-Compendial").alias("test_description"), F.when(F.col("o_orderstatus") == "F", "P-500488-A").otherwise("").alias("method_reference"))
-    return R.result_flags(r, m)
+    m = V.t(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"), F.lit("x-Compendial").alias("test_description"), F.when(F.col("o_orderstatus") == "F", "DOC-17-A").otherwise("").alias("method_reference"))
+    return R.result_flags(r, m, hints=(("DOC-17", "pH"),))
 
 
 def batch_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,7 +117,7 @@ def coalesce_siblings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _batch_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return V.t(spark, sf, "part").select(F.concat(F.lit("nest-BAX"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit("-01")).alias("batch_id"))
+    return V.t(spark, sf, "part").select(F.concat(F.lit("reg-BAX"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit("-01")).alias("batch_id"))
 
 
 def list_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,8 +147,8 @@ def content_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def request_ids(spark: SparkSession, sf: str) -> DataFrame:
-    o = V.t(spark, sf, "orders").select(F.concat(F.lit("CMC-"), F.col("o_orderkey").cast("string")).alias("request_id"))
-    return R.request_picker(o)
+    o = V.t(spark, sf, "orders").select(F.concat(F.lit("REQ-"), F.col("o_orderkey").cast("string")).alias("request_id"))
+    return R.request_picker(o, "REQ-")
 
 
 def method_versions(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,7 +169,7 @@ _NAMES = (
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _R, _S = V.SQL["results"], V.SQL["stages"]
-_IDS = "ids AS (SELECT 'nest-BAX' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '-01' AS batch_id FROM part), wanted AS (SELECT 'BAX' || lpad(CAST(s_suppkey * 30 AS VARCHAR), 6, '0') AS id FROM supplier)"
+_IDS = "ids AS (SELECT 'reg-BAX' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '-01' AS batch_id FROM part), wanted AS (SELECT 'BAX' || lpad(CAST(s_suppkey * 30 AS VARCHAR), 6, '0') AS id FROM supplier)"
 ORACLE_SQL = {
     "result_rows": f"WITH {_R} SELECT * FROM rows_",
     "batch_matrix_cells": f"""WITH {_R}, {_PREFER}, c AS (SELECT {_CELL}, reported_value AS value, value_source = 'actual' AS actual, row_number() OVER (PARTITION BY request_id, batch_id ORDER BY {_ORD}) AS ord FROM kept),
@@ -211,8 +211,8 @@ JOIN stages x ON x.root = f.root AND x.ord = b.o LEFT JOIN stages s1 ON s1.root
     "list_ids": f"WITH {_IDS} SELECT DISTINCT regexp_extract(batch_id, 'BA[A-Z]?[0-9]+') AS id FROM ids ORDER BY 1 DESC LIMIT 200",
     "suggest_ids": f"WITH {_IDS} SELECT DISTINCT regexp_extract(batch_id, 'BA[A-Z]?[0-9]+') AS id FROM ids WHERE upper(batch_id) LIKE '%AX0001%' ORDER BY 1 LIMIT 25",
     "id_exists": f"WITH {_IDS} SELECT lower(w.id) AS id, bool_or(i.batch_id IS NOT NULL) AS found FROM wanted w LEFT JOIN ids i ON contains(i.batch_id, w.id) GROUP BY 1",
-    "resolve_root": f"WITH {_IDS} SELECT w.id, coalesce('nest-' || min(CASE WHEN i.batch_id IS NOT NULL THEN w.id END), w.id) AS root FROM wanted w LEFT JOIN ids i ON contains(i.batch_id, w.id) GROUP BY w.id",
+    "resolve_root": f"WITH {_IDS} SELECT w.id, coalesce('reg-' || min(CASE WHEN i.batch_id IS NOT NULL THEN w.id END), w.id) AS root FROM wanted w LEFT JOIN ids i ON contains(i.batch_id, w.id) GROUP BY w.id",
     "row_counts": " UNION ALL ".join(f"SELECT '{n}' AS relation, count(*) AS n FROM {n}" for n in ("orders", "lineitem", "part", "supplier", "documents", "pages")),
-    "request_ids": "SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS short, 'CMC-' || o_orderkey AS display, 'CMC-' || o_orderkey AS query FROM (SELECT regexp_extract(CAST(o_orderkey AS VARCHAR), '[0-9]{3,}') AS o_orderkey FROM orders) WHERE o_orderkey <> ''",
+    "request_ids": "SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS short, 'REQ-' || o_orderkey AS display, 'REQ-' || o_orderkey AS query FROM (SELECT regexp_extract(CAST(o_orderkey AS VARCHAR), '[0-9]{3,}') AS o_orderkey FROM orders) WHERE o_orderkey <> ''",
     "method_versions": "SELECT p_partkey, p_type AS method, p_type AS segment, CASE WHEN p_partkey >= 10000 THEN p_partkey || ' (' || p_brand || ')' ELSE p_brand END AS label, regexp_replace(regexp_replace(CAST(CAST(round(CAST(CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DECIMAL(28,12)) / 7 AS DECIMAL(18,4)), 2) AS DECIMAL(18,2)) AS VARCHAR), '0+$', ''), '\\.$', '') AS rounded FROM part",
 }

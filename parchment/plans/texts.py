@@ -36,7 +36,7 @@ def fork_sections(spark: SparkSession, sf: str) -> DataFrame:
     runs = V.runs(spark, sf)
     sections = R.current_sections(V.versions(spark, sf)).select("run_id", "section_key", "html")
     none = spark.range(0)
-    wanted = runs.filter("run_id % 3 = 0").select("run_id", (F.col("run_id") + 1_000_000).alias("new_id"))
+    wanted = runs.select("run_id", (F.col("run_id") + 1_000_000).alias("new_id"))
     return R.fork_runs(runs, none.selectExpr("id as run_id", "'x' as filename", "'input' as kind"), none.selectExpr("id as run_id", "'x' as stage"), sections, wanted)["versions"]
 
 
@@ -133,13 +133,13 @@ def section_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 def section_of_page(spark: SparkSession, sf: str) -> DataFrame:
     items = V.pages(spark, sf).select("doc_id", "page_idx", (F.col("page_idx") + 1).alias("page"))
-    return O.section_of(items, V.outline(spark, sf).filter("ord % 2 = 0 and page % 4 = 2")).select("doc_id", "page_idx", "title")
+    return O.section_of(items, V.outline(spark, sf)).select("doc_id", "page_idx", "title")
 
 
 def title_to_page(spark: SparkSession, sf: str) -> DataFrame:
     pages = V.pages(spark, sf)
-    items = V.t(spark, sf, "benchmark").select(F.col("item_id").alias("ord"), F.substring("text", 1, 40).alias("title"))
-    return O.title_to_page(pages.select("doc_id").distinct().crossJoin(items), pages).select("doc_id", "ord", "page_idx")
+    items = V.t(spark, sf, "benchmark").select(F.col("item_id").alias("ord"), F.substring_index("text", "\n", 1).alias("title"))
+    return O.title_to_page(items, pages).select("doc_id", "ord", "page_idx")
 
 
 def box_overlap(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,6 +176,7 @@ def fan_out(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parse_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """K3 over a fenced reply, one with words around it and, every third, a broken one."""
     e = V.t(spark, sf, "events")
     reply = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Here it is: "), "props")).otherwise(F.substring("props", 1, 3))
     return J.parse_replies(e.select("event_id", reply.alias("reply"))).select("event_id", "reason", "truncated")
@@ -228,7 +229,7 @@ ORACLE_SQL = {
     "history_page": f"WITH {_RUNS} SELECT run_id, username, title, status FROM runs ORDER BY title, started_at DESC, run_id LIMIT 25 OFFSET 25",
     "history_total": f"WITH {_RUNS} SELECT count(*) AS total FROM runs",
     "section_latest": f"WITH {V.SQL['versions']} SELECT run_id, section_key, arg_max(html, version_num) AS html, max(version_num) AS version_num, count(*) AS revision FROM versions GROUP BY 1, 2",
-    "fork_sections": f"WITH {V.SQL['versions']} SELECT run_id + 1000000 AS run_id, section_key, arg_max(html, version_num) AS html, CAST(1 AS BIGINT) AS version_num, 'Forked from ' || run_id AS label FROM versions WHERE run_id % 3 = 0 AND run_id IN (SELECT o_orderkey FROM orders) GROUP BY run_id, section_key",
+    "fork_sections": f"WITH {V.SQL['versions']} SELECT run_id + 1000000 AS run_id, section_key, arg_max(html, version_num) AS html, CAST(1 AS BIGINT) AS version_num, 'Forked from ' || run_id AS label FROM versions WHERE run_id IN (SELECT o_orderkey FROM orders) GROUP BY run_id, section_key",
     "latest_status": f"WITH {V.SQL['events']} SELECT run_id, arg_max(status, (ev_at, event_id)) AS status FROM run_events GROUP BY 1",
     "stale_runs": f"WITH {V.SQL['events']} SELECT run_id FROM (SELECT run_id, arg_max(status, (ev_at, event_id)) AS status, max(ev_at) AS hb FROM run_events GROUP BY 1) WHERE status = 'running' AND hb < TIMESTAMP '2030-01-01' - INTERVAL 900 SECOND",
     "garble_pages": f"WITH {_GARBLE} SELECT doc_id, page_idx, checked, garble_check, round(ratio, 6) AS cipher_ratio FROM v",
@@ -247,8 +248,8 @@ SELECT doc_id, 'figure' AS kind, ref, arg_min(ord, (k, ord)) AS ord, CASE arg_mi
 c AS (SELECT doc_id, count(*) AS n, count(num) AS numbered, CAST(sum(orphan) AS BIGINT) AS orphans FROM k GROUP BY 1), t AS (SELECT DISTINCT doc_id, CAST(split_part(num, '.', 1) AS BIGINT) AS top FROM e), g AS (SELECT doc_id, max(d) AS gap FROM (SELECT doc_id, lead(top) OVER (PARTITION BY doc_id ORDER BY top) - top AS d FROM t) GROUP BY 1)
 SELECT doc_id, n, numbered, orphans, gap, n >= 3 AND orphans / numbered <= CASE WHEN n < 15 THEN 0.5 ELSE 0.3 END AND coalesce(gap, 0) <= 10 AS valid FROM c JOIN g USING (doc_id)""",
     "section_ranges": f"WITH {V.SQL['outline']}, n AS (SELECT doc_id, count(*) AS n FROM page_text GROUP BY 1) SELECT o.doc_id, ord, page - 1 AS first_page, coalesce((SELECT min(page) FROM outline x WHERE x.doc_id = o.doc_id AND x.page > o.page) - 1, n - 1) AS end_page FROM outline o JOIN n ON n.doc_id = o.doc_id",
-    "section_of_page": f"WITH {V.SQL['outline']} SELECT p.doc_id, p.page_idx, (SELECT arg_max(title, (page, ord)) FROM outline o WHERE o.doc_id = p.doc_id AND o.page <= p.page_idx + 1 AND ord % 2 = 0 AND page % 4 = 2) AS title FROM page_text p",
-    "title_to_page": f"""WITH {V.SQL['pages']}, b AS (SELECT item_id AS ord, lower(trim(substring(text, 1, 40))) AS t FROM benchmark), j AS (SELECT doc_id, ord, page_idx, t, array_to_string(string_split(lower(text), chr(10))[1:60], chr(10)) AS h, lower(text) AS f FROM b, page_text WHERE t <> ''),
+    "section_of_page": f"WITH {V.SQL['outline']} SELECT p.doc_id, p.page_idx, (SELECT arg_max(title, (page, ord)) FROM outline o WHERE o.doc_id = p.doc_id AND o.page <= p.page_idx + 1) AS title FROM page_text p",
+    "title_to_page": f"""WITH {V.SQL['pages']}, b AS (SELECT item_id AS ord, lower(trim(string_split(text, chr(10))[1])) AS t FROM benchmark), j AS (SELECT doc_id, ord, page_idx, t, array_to_string(string_split(lower(text), chr(10))[1:60], chr(10)) AS h, lower(text) AS f FROM b, page_text WHERE t <> ''),
 r AS (SELECT doc_id, ord, page_idx, strpos(chr(10) || h || chr(10), chr(10) || t || chr(10)) AS l, strpos(h, t) AS a, strpos(f, t) AS d FROM j)
 SELECT doc_id, ord, arg_min(page_idx, (CASE WHEN l > 0 THEN 0 WHEN a > 0 THEN 1 ELSE 2 END, CASE WHEN l > 0 THEN l WHEN a > 0 THEN a ELSE 0 END, page_idx)) AS page_idx FROM r WHERE l > 0 OR a > 0 OR d > 0 GROUP BY 1, 2""",
     "box_overlap": f"{_BOX} SELECT page_idx, a_id, b_id, round(o / aa, 6) AS share FROM j WHERE aa > 0 AND o / aa > 0.5",

@@ -39,9 +39,16 @@ def stages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Page texts: a source's documents in order of their id."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return t(spark, sf, "documents").select(F.col("source").alias("doc_id"), (F.row_number().over(w) - 1).alias("page_idx"), "text")
+    """Page texts: a source's documents in order of their id.
+
+    Ids are numbered slice by slice and the slices' counts summed up, so that no task sees a whole source.
+    """
+    docs = t(spark, sf, "documents").select("source", "doc_id", "text").withColumn("slice", F.coalesce(F.floor(F.col("doc_id") / 1024), F.lit(-1)))
+    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    bases = docs.groupBy("source", "slice").agg(F.count("*").alias("n")).select(F.col("source").alias("s"), F.col("slice").alias("k"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("source", "slice").orderBy("doc_id")
+    numbered = docs.withColumn("n", F.row_number().over(inside)).join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("k")))
+    return numbered.select(F.col("source").alias("doc_id"), (F.col("base") + F.col("n") - 1).cast("int").alias("page_idx"), "text")
 
 
 def page_lines(spark: SparkSession, sf: str) -> DataFrame:

@@ -27,7 +27,7 @@ def test_strip_version(spark, given, wanted):
 def test_ids(spark):
     assert one(spark, ids.request_id(F.col("x")), x="CMC-10352")["short"] == "10352"
     assert one(spark, ids.request_id(F.col("x")), x="none") is None
-    assert tuple(one(spark, ids.batch_id(F.col("x")), x="bax000584")) == ("BAX000584", "nest-BAX000584", "nest")
+    assert tuple(one(spark, ids.batch_id(F.col("x"), "nest-"), x="bax000584")) == ("BAX000584", "nest-BAX000584", "nest")
     assert tuple(one(spark, ids.batch_id(F.col("x")), x="BA259821-08")) == ("BA259821", "BA259821", "manual")
     assert one(spark, ids.batch_label(F.col("b"), F.col("l")), b="B1", l="1001707466") == "1001707466 (B1)"
     assert one(spark, ids.safe_segment(F.col("x")), x=" a/b  c ") == "a-b-c"
@@ -59,8 +59,8 @@ def test_batch_names(spark):
     assert one(spark, clean.mg_per_unit(F.col("c"), F.col("v")), c="180 mg/mL", v="2.00") == "360 mg"
     assert one(spark, clean.mg_per_unit(F.col("c"), F.col("v")), c="x", v="2") == ""
     assert tuple(one(spark, clean.amount_text(F.col("v"), F.col("u")), v="500", u="http://qudt.org/vocab/unit/MilliL")) == ("500 mL", True)
-    assert one(spark, clean.component_class(F.col("n"), F.col("r")), n="Glass vial", r="nest-1") is None
-    assert one(spark, clean.component_class(F.col("n"), F.col("r")), n="Glass vial", r="x") == "packaging"
+    assert one(spark, clean.component_class(F.col("n"), F.col("r"), "nest-"), n="Glass vial", r="nest-1") is None
+    assert one(spark, clean.component_class(F.col("n"), F.col("r"), "nest-"), n="Glass vial", r="x") == "packaging"
 
 
 CLEAN = "The requirements of this standard shall be used for each device and the test data are provided in the annex."

@@ -21,8 +21,8 @@ def got(frame, *columns):
 def test_prefix_binding(spark):
     rows = df(spark, "batch_id string", ("nest-BAX000584-01",), ("nest-BAX0005841",), ("x",))
     roots = df(spark, "root string", ("nest-BAX000584",))
-    assert got(B.bind_prefix(rows, roots), "batch_id") == [("nest-BAX000584-01",), ("nest-BAX0005841",)]
-    assert got(B.bind_prefix(rows, roots, exact=True), "batch_id") == [("nest-BAX000584-01",)]
+    assert got(B.bind_prefix(rows, roots, exact=False), "batch_id") == [("nest-BAX000584-01",), ("nest-BAX0005841",)]
+    assert got(B.bind_prefix(rows, roots), "batch_id") == [("nest-BAX000584-01",)]
 
 
 def test_id_exists_by_text(spark):
@@ -40,7 +40,7 @@ def test_yield_and_siblings(spark):
 def test_components_and_header(spark):
     c = df(spark, "root int, ord int, display_name string, resolved_name string, component_ref string",
            (1, 1, "Glass Vial", None, "r1"), (1, 2, "Glass vial", None, "r1"), (1, 3, "Stopper", None, "nest-1"), (1, 4, None, "drug substance", "urn:batch:x-1429707"), (1, 5, "other", None, "q"))
-    split = B.component_split(c, ["ord"])
+    split = B.component_split(c, ["ord"], intermediate="nest-")
     assert got(split, "kind", "name", "lot") == [("packaging", "Glass Vial", ""), ("substance", "drug substance", "1429707")]
     info = df(spark, "root int, batch_size string, batch_size_unit string, dose_strength string, dose_strength_unit string, density string, density_unit string", (1, "5", "x:unit", None, None, "1", "http://qudt.org/vocab/unit/GM"))
     stages = df(spark, "root int, unit_operation string, confident boolean", (1, "op", False))
@@ -193,6 +193,23 @@ def test_content_hash_ignores_order(spark):
     assert h[0] == h[1] != h[2]
 
 
+def test_ordered_similarity(spark):
+    cells = "k int, no int, v string"
+    a = df(spark, cells, *[(1, i, v) for i, v in enumerate("abcd")], *[(2, i, v) for i, v in enumerate("ab")], (3, 0, "x"))
+    b = df(spark, cells, *[(1, i, v) for i, v in enumerate("abcd")], *[(2, i, v) for i, v in enumerate("ba")], (4, 0, "x"))
+    assert got(C.ordered_similarity(a, b, "k", "v", ["no"]), "k", "similarity", "equal") == [(1, 1.0, True), (2, 0.5, False), (3, 0.0, False), (4, 1.0, True)]
+
+
+def test_ids_without_a_known_form_are_found_by_their_text(spark):
+    b = df(spark, "batch_id string", ("reg-0a/77",), (None,), ("",))
+    assert got(B.id_exists(df(spark, "id string", ("0A/7",), ("g-0a/77",), ("7",), ("7a",)), b), "id", "found") == [("0A/7", True), ("7", True), ("7a", False), ("g-0a/77", True)]
+
+
+def test_html_pieces(spark):
+    rows = [('a < b & c &amp; d > e',), ('<li data-list=x CLASS="a>b">t</LI>',), ("<!-- <p> -->z<?x?><font>q</font>",), ("",), (None,)]
+    assert [r.clean_html for r in J.sanitize_html(df(spark, "html string", *rows)).collect()] == ["a &lt; b &amp; c &amp; d &gt; e", '<li data-list="x">t</li>', "zq", "", None]
+
+
 def test_same_result_under_other_partitioning(spark, sf):
     from parchment.plans import registry
 
@@ -210,8 +227,8 @@ def test_same_result_under_other_partitioning(spark, sf):
 def test_titles_are_searched_in_every_source(spark, tmp_path):
     from parchment.plans.texts import title_to_page
 
-    docs = [(1, "hot", "first"), (2, "hot", "A title\nmore"), (3, None, "with a title inside"), (4, "src1", "A title"), (5, "src2", "none")]
+    docs = [(1, "hot", "first"), (2, "hot", "A title\nmore of the kind"), (3, None, "with a title inside"), (4, "src1", "A title"), (5, "src2", "ore of the kin")]
     spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(7, "A title")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, "A title"), (8, "ore of the kin\nnot this")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     found = {(r.doc_id, r.ord, r.page_idx) for r in title_to_page(spark, str(tmp_path)).collect()}
-    assert found == {("hot", 7, 1), (None, 7, 0), ("src1", 7, 0)}
+    assert found == {("hot", 7, 1), (None, 7, 0), ("src1", 7, 0), ("hot", 8, 1), ("src2", 8, 0)}
