@@ -40,8 +40,8 @@ FREQUENT, LONG = 64, 1024
 GATHERED, GATHERED_TEXTS, RANGE_TOKENS, RANGE_BITS = 2_000_000, 60_000, 1_000_000, 18
 #: Ids or keys that are broadcast at most (others are joined by shuffle); growth of the members compared.
 BROADCAST_ROWS, MORE = 100_000, 8
-#: Comparisons an entry, on average, from which on few members are met before all; members of a block.
-EACH, CROWD_BLOCK = 500, 4096
+#: Comparisons an entry, on average, from which on few members are met before all; members of a block; smallest keys a member is known by.
+EACH, CROWD_BLOCK, FIRST_KEYS = 500, 4096, 16
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SCATTERED = "bucket long, gathered long, tokens binary, owners binary, heavy binary, uids binary, sizes binary, parity binary"
 _RETURNED = "gathered long, tokens binary, owners binary, classes binary, uids binary, sizes binary, parity binary"
@@ -235,17 +235,22 @@ def _filtered(pairs: DataFrame, signs: DataFrame) -> DataFrame:
 
 
 def _compare_blocks(pdf):
-    """Pairs of strangers (is_base false) and members in other components that sizes, shared tokens and parity don't rule out."""
+    """Pairs of strangers (is_base false) and members in other components that sizes, shared tokens and parity don't rule out.
+
+    A pair that is known to share a smaller crowded key is left to that key's task.
+    """
     import pandas as pd
 
     base, query = pdf[pdf["is_base"]].reset_index(drop=True), pdf[~pdf["is_base"]].reset_index(drop=True)
     out_a, out_b = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
     if len(base) and len(query):
-        bits = np.stack(base["parity"].to_numpy()).view("u8")
+        key, none = int(pdf["key"].iloc[0]), np.iinfo("i8").max
+        firsts = lambda df: np.array([(list(x) + [none] * FIRST_KEYS)[:FIRST_KEYS] for x in df["firsts"]], "i8")
+        bits, b_firsts = np.stack(base["parity"].to_numpy()).view("u8"), firsts(base)
         n, shared, component, uid = (base[c].to_numpy("i8") for c in ("n", "shared", "component", "uid"))
         for at in range(0, len(query), 128):
             part = query.iloc[at : at + 128]
-            own = np.stack(part["parity"].to_numpy()).view("u8")
+            own, q_firsts = np.stack(part["parity"].to_numpy()).view("u8"), firsts(part)
             q_n, q_shared, q_component, q_uid = (part[c].to_numpy("i8")[:, None] for c in ("n", "shared", "component", "uid"))
             total = q_n + n
             fits = (q_component != component) & (100 * np.minimum(q_n, n) >= PERCENT * np.maximum(q_n, n)) & ((100 + PERCENT) * np.minimum(q_shared, shared) >= PERCENT * total)
@@ -253,16 +258,21 @@ def _compare_blocks(pdf):
             for k in range(8):
                 differ += np.bitwise_count(own[:, k, None] ^ bits[:, k])
             rows, columns = np.nonzero(fits & ((100 + PERCENT) * differ <= (100 - PERCENT) * total))
-            out_a.append(np.minimum(q_uid[rows, 0], uid[columns]))
-            out_b.append(np.maximum(q_uid[rows, 0], uid[columns]))
+            for i in range(0, len(rows), 20_000):
+                r, c = rows[i : i + 20_000], columns[i : i + 20_000]
+                x = q_firsts[r][:, :, None]
+                here = ~((x == b_firsts[c][:, None, :]) & (x < key)).any(axis=(1, 2))
+                out_a.append(np.minimum(q_uid[r[here], 0], uid[c[here]]))
+                out_b.append(np.maximum(q_uid[r[here], 0], uid[c[here]]))
     return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
 
 
 def _crowd_pairs(entries: DataFrame, signs: DataFrame) -> DataFrame:
     """Pairs (a, b) of strangers and members of crowded keys, block by block of their parities."""
-    rows = entries.join(signs, "uid").withColumn("blocks", F.ceil(F.col("m") / CROWD_BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("uid", F.lit(4)), F.col("blocks")).cast("int"))
+    firsts = entries.groupBy("uid").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts"))
+    rows = entries.join(signs.join(firsts, "uid"), "uid").withColumn("blocks", F.ceil(F.col("m") / CROWD_BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("uid", F.lit(4)), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ("key", "i", "j", "is_base", "uid", "n", "shared", "component", "parity")
+    columns = ("key", "i", "j", "is_base", "uid", "n", "shared", "component", "parity", "firsts")
     base = rows.withColumn("i", every).withColumn("j", F.col("own")).withColumn("is_base", F.lit(True)).select(*columns)
     query = rows.filter("component <> main").withColumn("j", every).withColumn("i", F.col("own")).withColumn("is_base", F.lit(False)).select(*columns)
     return base.unionByName(query).groupBy("key", "i", "j").applyInPandas(_compare_blocks, "a long, b long").distinct()
