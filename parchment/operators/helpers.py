@@ -73,16 +73,34 @@ def iou(a: str = "a_", b: str = "b_") -> Column:
     return F.when(union > 0, both / union).otherwise(0.0)
 
 
-def renamed(df: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame:
-    return df.select(*keys, *[F.col(c).alias(f"{prefix}{c}") for c in df.columns if c not in keys])
+#: Boxes of a page's cell, about; cells of a page along a side at most.
+CELL_BOXES, CELLS = 16, 256
 
 
-def rect_join(a: DataFrame, b: DataFrame, keys: Sequence[str], share: float | None = None, how: str = "inner") -> DataFrame:
+def rect_join(a: DataFrame, b: DataFrame, keys: Sequence[str], share: float | None = None) -> DataFrame:
     """Pairs of boxes on the same page (``keys``) with overlap; ``share``: of a's area, more than this.
 
-    The page is the hash key; the overlap is a residual predicate.
+    A page of many boxes is a grid of cells, as many as its boxes need: boxes meet by page and cell in a hash join,
+    and a pair counts in the one cell where its overlap begins.
     """
-    joined = renamed(a, "a_", keys).join(renamed(b, "b_", keys), list(keys), "inner")
+    names = [f"_k{i}" for i in range(len(keys))]
+    page = b.groupBy(*keys).agg(F.min("x0").alias("_x"), F.min("y0").alias("_y"), F.max("x1").alias("_w"), F.max("y1").alias("_h"), F.least(F.lit(CELLS), F.ceil(F.sqrt(F.count("*") / CELL_BOXES))).cast("int").alias("_n"))
+    page = page.select(*[F.col(c).alias(n) for c, n in zip(keys, names)], "_x", F.greatest(F.col("_w") - F.col("_x"), F.lit(1e-300)).alias("_w"), "_y", F.greatest(F.col("_h") - F.col("_y"), F.lit(1e-300)).alias("_h"), "_n")
+
+    def cell(value: Column, low: str, wide: str) -> Column:
+        return F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.floor((value - F.col(low)) / F.col(wide) * F.col("_n")))).cast("int")
+
+    def celled(df: DataFrame, p: str) -> DataFrame:
+        of = [df[c] == page[n] for c, n in zip(keys, names)]
+        both = df.join(page, of).drop(*names)
+        across = lambda lo, hi, low, wide: F.explode(F.sequence(cell(F.col(lo), low, wide), F.greatest(cell(F.col(lo), low, wide), cell(F.col(hi), low, wide))))
+        both = both.withColumn("_cx", across("x0", "x1", "_x", "_w")).withColumn("_cy", across("y0", "y1", "_y", "_h"))
+        grid = ["_cx", "_cy", "_x", "_w", "_y", "_h", "_n"]
+        return both.select(*keys, *(grid if p == "a_" else grid[:2]), *[F.col(c).alias(f"{p}{c}") for c in df.columns if c not in keys])
+
+    joined = celled(a, "a_").join(celled(b, "b_"), [*keys, "_cx", "_cy"])
+    begins = (cell(F.greatest("a_x0", "b_x0"), "_x", "_w") == F.col("_cx")) & (cell(F.greatest("a_y0", "b_y0"), "_y", "_h") == F.col("_cy"))
+    joined = joined.filter(begins).drop("_cx", "_cy", "_x", "_w", "_y", "_h", "_n")
     own = area(*_box("a_"))
-    out = joined.withColumn("overlap", intersection()).withColumn("share", F.when(own > 0, F.col("overlap") / own).otherwise(0.0))
-    return out.filter(F.col("share") > share) if share is not None else out.filter("overlap > 0")
+    out = joined.withColumn("overlap", intersection()).withColumn("share", F.when(own > 0, F.col("overlap") / own).otherwise(0.0)).filter("overlap > 0")
+    return out if share is None else out.filter(F.col("share") > share)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions import text as T
 
-from .helpers import area, gap_groups, iou, keep_first, rect_join, renamed
+from .helpers import area, gap_groups, iou, keep_first, rect_join
 
 PAGE = ["doc_id", "page_idx"]
 
@@ -38,7 +38,8 @@ def drop_tables_in_figures(tables: DataFrame, figures: DataFrame, share: float =
 
 def best_box_match(a: DataFrame, b: DataFrame, least: float = 0.10, keys: list[str] = PAGE) -> DataFrame:
     """C22. Every box of ``a`` (id) with the box of ``b`` of the highest intersection over union, null under the floor."""
-    pairs = renamed(a.select(*keys, "id", "x0", "y0", "x1", "y1"), "a_", keys).join(renamed(b.select(*keys, "id", "x0", "y0", "x1", "y1"), "b_", keys), keys).withColumn("iou", iou()).filter(F.col("iou") >= least)
+    box = [*keys, "id", "x0", "y0", "x1", "y1"]
+    pairs = rect_join(a.select(*box), b.select(*box), keys).withColumn("iou", iou()).filter(F.col("iou") >= least)
     best = pairs.groupBy(*keys, "a_id").agg(F.max_by(F.struct("b_id", "iou"), F.struct("iou", -F.col("b_id"))).alias("m"))
     return a.select(*keys, "id").join(best.select(*keys, F.col("a_id").alias("id"), F.col("m.b_id").alias("match"), F.col("m.iou").alias("iou")), [*keys, "id"], "left")
 

@@ -19,10 +19,10 @@ PAGE = ["doc_id", "page_idx"]
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Positioned blocks: captions, formulas, headings, references, watermarks, page numbers and plain text."""
     k, kind = (F.col("l_suppkey") % 5 + 1).cast("string"), F.col("l_partkey") % 10
-    words = [("Figure ", " — view"), ("Table ", " — list"), ("Table ", " (continued)"), ("a + b = c (", ")"), ("licensed to ", ""), None, ("", ".2 Heading"), ("A sentence of the body, number ", "."), ("see Figure ", " and a table")]
-    text = F.lit("ab")
-    for i, w in enumerate(words):
-        text = F.when(kind == i, F.lit("12") if w is None else F.concat(F.lit(w[0]), k, F.lit(w[1]))).otherwise(text)
+    before = F.lit(["Figure ", "Table ", "Table ", "a + b = c (", "licensed to ", "", "", "A sentence of the body, number ", "see Figure ", ""])
+    after = F.lit([" — view", " — list", " (continued)", ")", "", "", ".2 Heading", ".", " and a table", ""])
+    made = F.concat(F.get(before, kind.cast("int")), k, F.get(after, kind.cast("int")))
+    text = F.when(kind == 5, "12").when(kind == 9, "ab").otherwise(made)
     x0, y0 = (F.col("l_partkey") % 300).cast("double"), (F.col("l_suppkey") * 37 % 600).cast("double")
     return lines(spark, sf).select(
         F.col("root").alias("doc_id"), (F.col("l_linenumber") % 2).alias("page_idx"), F.col("ord").alias("block_no"), F.col("ord").alias("id"), text.alias("text"), kind.alias("what"), (F.col("l_suppkey") % 5 + 1).alias("number"),
@@ -306,7 +306,7 @@ p AS (SELECT doc_id, page_idx, size, sum(n) AS n FROM n GROUP BY ALL), z AS (SEL
     "table_boxes": f"""WITH {_B}, own AS (SELECT doc_id, page_idx, number AS table_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM b WHERE what < 4 GROUP BY 1, 2, 3)
 SELECT * FROM own UNION ALL SELECT doc_id, page_idx, number, x0, y0, x1, y1 FROM b WHERE what > 7 AND (doc_id, page_idx) NOT IN (SELECT doc_id, page_idx FROM own)""",
     "real_figures": f"""WITH {_B}, p AS (SELECT doc_id, page_idx, id + 1 AS id, count(*) AS n, bool_or(bold) AS curve, bool_or(NOT italic AND what > 4) AS fill FROM b WHERE id % 2 = 1 GROUP BY 1, 2, 3), t AS (SELECT a.doc_id, a.page_idx, a.id, sum({_OVER}) AS covered FROM b a JOIN b r ON r.doc_id = a.doc_id AND r.page_idx = a.page_idx AND r.what = 7 WHERE a.id % 2 = 0 GROUP BY 1, 2, 3)
-SELECT doc_id, page_idx, id, x0, y0, x1, y1 FROM b JOIN p USING (doc_id, page_idx, id) LEFT JOIN t USING (doc_id, page_idx, id) WHERE (n >= 6 OR coalesce(covered, 0) <= 0.1 AND (curve OR fill)) AND x0 <= 0.82 * 300""",
+SELECT doc_id, page_idx, id, x0, y0, x1, y1 FROM b JOIN p USING (doc_id, page_idx, id) LEFT JOIN t USING (doc_id, page_idx, id) WHERE (n >= 6 OR coalesce(covered, 0) <= 0.1 AND (curve OR fill)) AND x0 <= 0.82::DOUBLE * 300.0::DOUBLE""",
     "captured_pages": f"WITH {_B} SELECT doc_id, kind, number AS ref, min(page_idx) AS first_page, list(DISTINCT page_idx ORDER BY page_idx) AS pages FROM b GROUP BY 1, 2, 3",
     "line_groups": f"""WITH {_B}, s AS (SELECT doc_id, page_idx, y0, max(y1) AS y1 FROM b GROUP BY 1, 2, 3), g AS (SELECT *, max(y1) OVER (PARTITION BY doc_id, page_idx ORDER BY y0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s)
 SELECT doc_id, page_idx, y0, CAST(sum(CASE WHEN reach IS NULL OR y0 - reach > 26 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_idx ORDER BY y0 ROWS UNBOUNDED PRECEDING) AS BIGINT) AS group_no FROM g""",
@@ -328,7 +328,7 @@ SELECT r.doc_id, r.ord, count(*) AS n_blocks, max(page_idx) AS last_page FROM r
 SELECT b.doc_id, block_no - 1 AS ord, 'chosen' AS how FROM b JOIN r ON r.doc_id = b.doc_id AND ok AND block_no - 1 BETWEEN s AND e UNION ALL SELECT doc_id, e, 'rejected' FROM r WHERE NOT ok""",
     "resolved_pages": f"""WITH {_B}, e AS (SELECT doc_id, block_no AS ord, CASE WHEN what < 6 THEN block_no + number END AS seen, CASE WHEN what <> 9 THEN block_no ELSE 0 END AS printed FROM b),
 m AS (SELECT doc_id, list(seen - printed + 1 ORDER BY seen - printed + 1) AS l FROM e WHERE seen IS NOT NULL AND printed > 0 GROUP BY 1), o AS (SELECT doc_id, l[len(l) // 2 + 1] AS off FROM m),
-g AS (SELECT e.doc_id, ord, coalesce(seen, CASE WHEN printed > 0 THEN greatest(0, least(8, printed - 1 + coalesce(off, 0))) END, 0) AS p FROM e LEFT JOIN o ON o.doc_id = e.doc_id) SELECT doc_id, ord, max(p) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) + 1 AS page FROM g""",
+g AS (SELECT e.doc_id, ord, coalesce(seen, CASE WHEN printed > 0 THEN greatest(0, least(8, printed - 1 + coalesce(off, 0))) END, 0) AS p FROM e LEFT JOIN o ON o.doc_id = e.doc_id) SELECT doc_id, ord, max(p) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING)::INTEGER + 1::INTEGER AS page FROM g""",
     "contents_entries": """WITH t(page_idx, line_no, number, level, tail, printed) AS (VALUES (1, 0, '1', 1, NULL, NULL), (1, 1, '2', 1, '2 Terms', 4), (2, 0, '3', 1, '3 Long title', 6), (2, 1, 'B', 1, 'Annex B Notes', 0))
 SELECT o_orderkey AS doc_id, page_idx, line_no, number, level, coalesce(tail, '1 Scope of no. ' || o_orderkey || ' in full') AS title, CAST(coalesce(printed, o_custkey % 90 + 1) AS INTEGER) AS printed_page FROM orders, t""",
     "font_headings": f"""WITH {_B}, s AS (SELECT doc_id, block_no + 2 AS page_idx, block_no AS span_no, text, CASE WHEN what > 6 THEN size + 4 ELSE size END AS size, bold, what FROM b WHERE y1 >= 65 AND y0 <= 635 AND length(text) >= 3),

@@ -232,3 +232,19 @@ def test_titles_are_searched_in_every_source(spark, tmp_path):
     spark.createDataFrame([(7, "A title"), (8, "ore of the kin\nnot this")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     found = {(r.doc_id, r.ord, r.page_idx) for r in title_to_page(spark, str(tmp_path)).collect()}
     assert found == {("hot", 7, 1), (None, 7, 0), ("src1", 7, 0), ("hot", 8, 1), ("src2", 8, 0)}
+
+
+def test_boxes_meet_once_in_a_grid(spark, monkeypatch):
+    import random
+
+    from parchment.operators import helpers
+
+    monkeypatch.setattr(helpers, "CELL_BOXES", 2)
+    r = random.Random(2)
+    rows = []
+    for k in range(160):
+        x, y = r.choice([0, 10, 20, 55, 90]) + r.random() * r.choice([0, 5]), r.random() * 100
+        rows.append((1, k % 2, k, float(x), float(y), float(x + r.choice([1, 5, 100])), float(y + r.choice([0, 1, 40]))))
+    b = df(spark, BOX, *rows)
+    want = sorted((p, i, j) for _, p, i, x0, y0, x1, y1 in rows for _, q, j, u0, v0, u1, v1 in rows if p == q and min(x1, u1) > max(x0, u0) and min(y1, v1) > max(y0, v0))
+    assert sorted((x.page_idx, x.a_id, x.b_id) for x in helpers.rect_join(b, b, ["doc_id", "page_idx"]).collect()) == want
