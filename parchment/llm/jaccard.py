@@ -226,14 +226,6 @@ def _index(prefixes: DataFrame) -> DataFrame:
     return saved(entries.join(crowded, "key", "left").select(key.alias("key"), "uid", "n", "shared"), "index")
 
 
-def _filtered(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) that the parity of their sets doesn't rule out."""
-    left, right = (signs.select(F.col("uid").alias(x), F.col("parity").alias(f"parity_{x}")) for x in "ab")
-    differ = sum((F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k])) for k in range(1, 8)), F.bit_count(F.col("parity_a")[0].bitwiseXOR(F.col("parity_b")[0])))
-    near = pairs.join(left, "a").join(right, "b").filter((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b")))
-    return near.select("a", "b")
-
-
 def _compare_blocks(pdf):
     """Pairs of strangers (is_base false) and members in other components that sizes, shared tokens and parity don't rule out.
 
@@ -267,15 +259,15 @@ def _compare_blocks(pdf):
     return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
 
 
-def _crowd_pairs(entries: DataFrame, signs: DataFrame) -> DataFrame:
+def _crowd_pairs(entries: DataFrame) -> DataFrame:
     """Pairs (a, b) of strangers and members of crowded keys, block by block of their parities."""
     firsts = entries.groupBy("uid").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts"))
-    rows = entries.join(signs.join(firsts, "uid"), "uid").withColumn("blocks", F.ceil(F.col("m") / CROWD_BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("uid", F.lit(4)), F.col("blocks")).cast("int"))
+    rows = entries.join(firsts, "uid").withColumn("blocks", F.ceil(F.col("m") / CROWD_BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("uid", F.lit(4)), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     columns = ("key", "i", "j", "is_base", "uid", "n", "shared", "component", "parity", "firsts")
     base = rows.withColumn("i", every).withColumn("j", F.col("own")).withColumn("is_base", F.lit(True)).select(*columns)
     query = rows.filter("component <> main").withColumn("j", every).withColumn("i", F.col("own")).withColumn("is_base", F.lit(False)).select(*columns)
-    return base.unionByName(query).groupBy("key", "i", "j").applyInPandas(_compare_blocks, "a long, b long").distinct()
+    return base.unionByName(query).groupBy("key", "i", "j").applyInPandas(_compare_blocks, "a long, b long")
 
 
 def _verified(near: DataFrame, texts: DataFrame) -> DataFrame:
@@ -318,6 +310,7 @@ def _linked(index: DataFrame, texts: DataFrame, prefixes: DataFrame) -> DataFram
         if not left:
             return labels
         last = share > 1 and (left <= EACH * size or share >= most)
+        entries = entries.join(signs, "uid")
         strangers = entries.filter("component <> main")
         if last:  # each stranger with all members; those of crowded keys meet in tasks
             crowded = entries.filter(F.col("m") > FREQUENT)
@@ -325,18 +318,16 @@ def _linked(index: DataFrame, texts: DataFrame, prefixes: DataFrame) -> DataFram
         elif share == 1:
             drawn = entries.filter("uid = first")
         else:
-            row = F.struct("key", "n", "shared", "component")
+            row = F.struct("key", "n", "shared", "component", "parity")
             strangers = strangers.groupBy("uid").agg(F.max_by(row, F.struct("m", "key")).alias("r")).select("uid", "r.*")
             drawn = entries.filter(F.pmod(F.xxhash64("uid", F.lit(6)), F.lit(1 << 30)) * F.col("m") < share << 30)
-        a, b = (df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("uid", "n", "shared", "component")]) for df, x in ((strangers, "a"), (drawn, "b")))
+        a, b = (df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("uid", "n", "shared", "component", "parity")]) for df, x in ((strangers, "a"), (drawn, "b")))
         total = F.col("n_a") + F.col("n_b")
         fits = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & ((100 + PERCENT) * F.least("shared_a", "shared_b") >= PERCENT * total)
-        pairs = a.join(b, "key").filter("component_a <> component_b").filter(fits)
-        swap = F.col("uid_a") > F.col("uid_b")
-        pairs = pairs.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b"), F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b")).distinct()
-        near = _filtered(saved(pairs, "pairs"), signs)
-        if last:
-            near = near.union(_crowd_pairs(crowded, signs)).distinct()
+        differ = sum((F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k])) for k in range(1, 8)), F.bit_count(F.col("parity_a")[0].bitwiseXOR(F.col("parity_b")[0])))
+        near = a.join(b, "key").filter("component_a <> component_b").filter(fits).filter((100 + PERCENT) * differ <= (100 - PERCENT) * total)
+        near = near.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b"))
+        near = (near.union(_crowd_pairs(crowded)) if last else near).distinct()
         found = saved(_verified(near, texts), "links")
         links = found if links is None else links.union(found)
         labels = saved(components(links), "components")
@@ -386,5 +377,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     numbered = saved(docs.withColumn("kept_uid", F.monotonically_increasing_id()), "documents")
     rows = numbered.select(F.col("kept_uid").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "uid")
-    kept = _group(rows).groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.uid").alias("kept_uid"))
-    return numbered.join(saved(kept, "kept"), "kept_uid", "left_semi").select(*docs.columns)
+    grouped = _group(rows)
+    kept = grouped.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.uid").alias("uid"))
+    others = saved(grouped.select("uid").join(kept, "uid", "left_anti").select(F.col("uid").alias("kept_uid")), "dropped")
+    return numbered.join(_small(others), "kept_uid", "left_anti").select(*docs.columns)
