@@ -79,7 +79,25 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard, op3_best_fit_packing, op4_warc, op5_embedding_near_dedup, op6_benchmark_decontamination, op7_toxicity, op8_tool_calls, op9_language_id, op10_mixture_packing)}
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align_documents
+
+    return align_documents(_table(spark, sf_dir, "documents"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_products
+
+    return top_products(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit_filters
+
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard, op3_best_fit_packing, op4_warc, op5_embedding_near_dedup, op6_benchmark_decontamination, op7_toxicity, op8_tool_calls, op9_language_id, op10_mixture_packing, op11_tokenizer_alignment, op12_exact_top_k, op13_filter_audit)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _REACH = """r(x, y) AS (SELECT x, x FROM nodes UNION SELECT r.x, l.y FROM r JOIN links l ON l.x = r.y)"""
 ORACLE_SQL: dict[str, str] = {
@@ -111,4 +129,22 @@ SELECT conv_id, position, kind, call_id, status, CASE WHEN name = 'summarise' TH
 '{' || CASE name WHEN 'search' THEN '"arguments":{"limit":' || (turn + 1) || ',"text":' || CAST(to_json(text) AS VARCHAR) || '},' WHEN 'summarise' THEN '"arguments":{"length":"' || length(text) || '","text":' || CAST(to_json(text) AS VARCHAR) || '},' ELSE '' END
  || CASE WHEN call_id IS NULL THEN '' ELSE '"call_id":"' || call_id || '",' END || CASE WHEN name IS NULL AND text IS NOT NULL THEN '"content":' || CAST(to_json(text) AS VARCHAR) || ',' ELSE '' END || CASE WHEN name = 'summarise' THEN '"errors":["type: length"],' ELSE '' END
  || '"kind":"' || kind || '",' || CASE WHEN name IS NULL THEN '' ELSE '"name":"' || name || '",' END || '"position":' || position || ',"role":"' || role || '","status":"' || status || '"}' AS json FROM k""",
+    "op12_exact_top_k": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), n AS (SELECT row_number() OVER () AS k, * FROM e),
+s AS (SELECT q.k, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM n q JOIN n c ON q.k <> c.k WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id ASC NULLS LAST) AS INTEGER) AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op13_filter_audit": f"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS f FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') AS w FROM t),
+m AS (SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * (length(x) - length(translate(x, '{_UPPER}', ''))) > 2 * length(x))::INT
+ + 8 * regexp_matches(x, '[#$%&*|]')::INT + 16 * coalesce(f < doc_id OR (doc_id IS NULL AND f IS NOT NULL), false)::INT AS mask FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+p(prefix, applied, bit) AS (SELECT '', 0, 0 UNION ALL SELECT p.prefix || l.letter, p.applied | l.bit, l.bit FROM p JOIN letters l ON (p.applied & l.bit) = 0),
+s AS (SELECT part, prefix, sum(CASE WHEN mask & applied = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN here AND fails THEN n ELSE 0 END) AS removed, sum(CASE WHEN NOT here AND fails THEN n ELSE 0 END) AS redundant,
+ sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN here AND fails THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN here AND fails THEN toxic ELSE 0 END) AS toxic_lost
+ FROM (SELECT *, (mask & (applied - bit)) = 0 AS here, (mask & bit) <> 0 AS fails FROM p, c WHERE bit > 0) GROUP BY 1, 2),
+o AS (SELECT prefix AS filter_order, unnest(range(1, 6)) AS step FROM p WHERE length(prefix) = 5)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+ CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, right(prefix, 1)) AS BIGINT) AS shapley FROM o JOIN s ON s.prefix = left(filter_order, CAST(step AS INTEGER))""",
 }
