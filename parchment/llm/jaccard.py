@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
-from .store import saved
+from .graph import merged
+from .store import saved, spread_join
+from .store import small as _small
 
 #: Words of a shingle; similarity in percent (the prefixes below hold from 80 on).
 WORDS, PERCENT = 5, 80
@@ -38,8 +39,8 @@ WORDS, PERCENT = 5, 80
 FREQUENT, LONG = 64, 1024
 #: Tokens (and texts) that a task gathers before it hands them on; tokens of a hash range, about; bits of a range's number at most.
 GATHERED, GATHERED_TEXTS, RANGE_TOKENS, RANGE_BITS = 2_000_000, 60_000, 1_000_000, 18
-#: Ids or keys that are broadcast at most (others are joined by shuffle); growth of the members compared.
-BROADCAST_ROWS, MORE = 100_000, 8
+#: Growth of the members compared.
+MORE = 8
 #: Comparisons an entry, on average, from which on few members are met before all; members of a block; smallest keys a member is known by.
 EACH, CROWD_BLOCK, FIRST_KEYS = 500, 4096, 16
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -81,17 +82,12 @@ def _distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(uid, doc_id, rep) of all rows, and (uid, text) of one row for each text: the rep."""
     slim = saved(rows.select("uid", "doc_id", F.xxhash64("text", F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), "text", F.length("text")).alias("h2")), "rows")
     copied = slim.groupBy("h1", "h2").agg(F.min("uid").alias("rep"), F.count("*").alias("m")).filter("m > 1").select("h1", "h2", "rep")
-    of = slim.join(_small(saved(copied, "copied")), ["h1", "h2"], "left").select("uid", "doc_id", F.coalesce("rep", "uid").alias("rep"))
+    of = spread_join(slim, saved(copied, "copied"), ["h1", "h2"]).select("uid", "doc_id", F.coalesce("rep", "uid").alias("rep"))
     of = saved(of, "rep-of")
     others = _small(of.filter("uid <> rep").select("uid"))
     return of, rows.select("uid", "text").join(others, "uid", "left_anti")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A saved table of a few numbers a row, broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _scatter(bits: int, frequent: int):
     """Tokens of gathered texts by hash range, with their owners; tokens that alone are frequent here only say so."""
 
@@ -303,7 +299,7 @@ def _linked(index: DataFrame, texts: DataFrame, prefixes: DataFrame) -> DataFram
     """(node, component) of the texts that are linked with another."""
     signs = prefixes.filter("parity is not null").select("uid", "parity")
     columns, size, share = ("key", "uid", "n", "shared"), index.count(), 1
-    entries, links, labels = index, None, None
+    entries, labels = index, None
     while True:
         entries = _open(entries.select(*columns), labels)
         left, most = entries.agg(F.sum(F.when(F.col("component") != F.col("main"), F.col("m"))), F.max("m")).first()
@@ -329,8 +325,7 @@ def _linked(index: DataFrame, texts: DataFrame, prefixes: DataFrame) -> DataFram
         near = near.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b"))
         near = (near.union(_crowd_pairs(crowded)) if last else near).distinct()
         found = saved(_verified(near, texts), "links")
-        links = found if links is None else links.union(found)
-        labels = saved(components(links), "components")
+        labels = merged(labels, found)
         if last:
             return labels
         share *= MORE
@@ -346,11 +341,11 @@ def _group(rows: DataFrame) -> DataFrame:
     prefixes = returned.groupBy("gathered").applyInPandas(_prefixes, "uid long, n int, shared int, parity array<long>, keys array<long>, longer array<long>, extends array<boolean>")
     prefixes = saved(prefixes, "prefixes")
     labels = _linked(_index(prefixes), texts, prefixes)
-    grouped = of.join(prefixes.select(F.col("uid").alias("rep"), "n"), "rep")
+    of = saved(spread_join(of, prefixes.select(F.col("uid").alias("rep"), "n"), ["rep"]), "sizes")
     if labels is None:
-        grouped = grouped.withColumn("component", F.col("rep"))
+        grouped = of.withColumn("component", F.col("rep"))
     else:
-        grouped = grouped.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        grouped = spread_join(of, labels.withColumnRenamed("node", "rep"), ["rep"]).withColumn("component", F.coalesce("component", "rep"))
     component = F.when(F.col("n") == 0, F.col("uid")).otherwise(F.col("component"))
     return saved(grouped.select("uid", "doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component")), "grouped")
 
@@ -369,7 +364,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id of the group) of every document; see ``link_texts``."""
     grouped = link_texts(docs)
     lowest = saved(grouped.groupBy("component").agg(F.min("doc_id").alias("component_id")), "lowest")
-    return grouped.join(lowest, "component").select("doc_id", "n_shingles", "component_id")
+    return spread_join(grouped, lowest, ["component"]).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import saved
+from .store import saved, spread_join
 
 #: Vectors a centroid stands for, centroids of a level in all, sampled vectors a centroid, vectors of a block.
 SHARD, CENTROIDS, SAMPLE, BLOCK = 320, 4096, 24, 1024
@@ -288,8 +288,8 @@ def _search_block(pdf, threshold: float, kind: str, exact: bool = False):
     return pd.DataFrame({"uid": uid[keep], "n": n[keep], "low": low[keep], "computed": each[keep]})
 
 
-def _audit(points: DataFrame, counts: DataFrame, threshold: float, kind: str) -> float:
-    """Share of the true links of at most ``AUDIT`` queries that were found; all rows are compared.
+def _audit(points: DataFrame, counts: DataFrame, threshold: float, kind: str) -> float | None:
+    """Share of the true links of at most ``AUDIT`` queries that were found, null if they have none; all rows are compared.
 
     Half of the queries are drawn by hash from all rows, half from those with links.
     """
@@ -315,7 +315,7 @@ def _audit(points: DataFrame, counts: DataFrame, threshold: float, kind: str) ->
 
     truth = points.mapInArrow(run, "uid long, truth long").groupBy("uid").agg(F.sum("truth").alias("truth"))
     got = truth.join(counts, "uid", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("n", F.lit(0))))).first()
-    return got[1] / got[0] if got[0] else 1.0
+    return got[1] / got[0] if got[0] else None
 
 
 def _searched(placed: DataFrame, threshold: float, kind: str, exact: bool = False) -> DataFrame:
@@ -341,8 +341,8 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     are equal and not null and their cosine (of the components as they are, in double precision) reaches
     ``threshold``; null, empty and zero vectors and those with null or non-finite components link with nothing,
     nor do vectors of different widths.  Repeated rows are vectors of their own; component_id is the smallest id
-    reached (null if all ids are null); an empty table gives no rows.  Recall is 0.9 or more: below, all vectors
-    of a label are compared.
+    reached (null if all ids are null); an empty table gives no rows.  Recall is 0.9 or more: below, or where
+    the audited vectors have no link to measure it by, all vectors of a label are compared.
     """
     rows, kind = usable(vectors)
     equal = rows.filter("v is not null").groupBy("shelf", F.xxhash64("v", F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2"))
@@ -354,9 +354,9 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         links = _searched(placed, threshold, kind)
         counts = saved(links.groupBy("uid").agg(F.sum("n").alias("n")), "counts")
         recall = _audit(points, counts, threshold, kind)
-        if recall >= RECALL or not centroids:
+        if recall is None or recall >= RECALL or not centroids:
             break
-    if recall < LEAST:
+    if recall is None or recall < LEAST:
         links = _searched(slim.withColumn("shards", F.array("shelf")), threshold, kind, exact=True)
         counts = saved(links.groupBy("uid").agg(F.sum("n").alias("n")), "counts")
         recall = 1.0
@@ -369,6 +369,6 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     own = own.join(counts.withColumnRenamed("uid", "rep"), "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     own = saved(own.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "own")
     lowest = saved(own.groupBy("component").agg(F.min("vec_id").alias("component_id")), "lowest")
-    linked = own.join(lowest, "component").select("vec_id", "n_links", "component_id")
+    linked = spread_join(own, lowest, ["component"]).select("vec_id", "n_links", "component_id")
     alone = keyed.filter("shelf is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).withColumn("recall", F.lit(float(recall))).withColumn("compared", F.lit(float(compared)))

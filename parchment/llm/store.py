@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -61,3 +62,28 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+#: Rows of a side that is broadcast at most; share of all rows from which a key is joined by broadcast.
+BROADCAST_ROWS, HEAVY = 100_000, 1000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A saved table of a few numbers a row, broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` (a saved table) with the columns of ``right``, which has one row for each of the keys; without one, nulls.
+
+    A small right side is broadcast.  Otherwise keys with over a thousandth of the left rows, at most ``HEAVY`` of
+    them, are joined by broadcast and the others by shuffle, so no key gathers its rows in one task.
+    """
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), keys, "left")
+    most = left.count() / HEAVY
+    heavy = saved(left.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > most).select(*keys), "heavy-keys")
+    if heavy.isEmpty():
+        return left.join(right, keys, "left")
+    hot = left.join(F.broadcast(heavy), keys, "left_semi").join(F.broadcast(right.join(F.broadcast(heavy), keys, "left_semi")), keys, "left")
+    return left.join(F.broadcast(heavy), keys, "left_anti").join(right, keys, "left").unionByName(hot)
