@@ -27,7 +27,7 @@ from .store import saved
 from .tokens import _byte_letters, tokenizer_path
 
 #: Characters of texts that a batch gathers (a longer text is a batch of its own), and chunks a worker keeps the ids of.
-GATHERED, MEMO = 4_000_000, 400_000
+GATHERED, MEMO = 1_000_000, 300_000
 #: Blanks and what follows them: neither tokenizer joins a letter to a blank behind it.  Texts with other blanks are one chunk.
 _CHUNK, _ODD = re.compile("[ \t\n\v\f]*[^ \t\n\v\f]+|[ \t\n\v\f]+"), re.compile("[\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _ROW = "batch long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes binary, times binary, code int, pair long, links long"
@@ -46,11 +46,11 @@ class Encoders:
         self.a.encode_special_tokens = True
         back = {letter: byte for byte, letter in _byte_letters().items()}
         pieces = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
-        self.a_bytes = [bytes(back[c] for c in p) if all(c in back for c in p) else p.encode() for p in pieces]
-        self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.a_bytes = pa.array([bytes(back[c] for c in p) if all(c in back for c in p) else p.encode() for p in pieces], pa.large_binary())
+        self.b_bytes = pa.array([self._piece(i) for i in range(self.b.get_piece_size())], pa.large_binary())
         self.lead = len(self.b.encode("x"))
         # a chunk may be cut off where no piece joins a letter to a blank behind it
-        self.cuts = not any(re.search("[^ \t\n\v\f][ \t\n\v\f]", p.decode("utf-8", "replace")) for p in self.b_bytes)
+        self.cuts = not any(re.search("[^ \t\n\v\f][ \t\n\v\f]", p.decode("utf-8", "replace")) for p in self.b_bytes.to_pylist())
         self.memo: dict[str, tuple] = {}
 
     def _piece(self, i: int) -> bytes:
@@ -65,14 +65,28 @@ class Encoders:
             return []
         return [f" {text}"] if not self.cuts or _ODD.search(text) else _CHUNK.findall(f" {text}")
 
+    def _packed(self, raw: list[bytes], ids: list[list[int]], token_bytes: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Ids of each chunk as 32-bit integers, and whether its tokens' bytes are its own."""
+        flat = np.fromiter(chain.from_iterable(ids), "i4")
+        ends = np.zeros(len(ids) + 1, "i8")
+        np.cumsum(list(map(len, ids)), out=ends[1:])
+        taken, packed, cuts = pc.take(token_bytes, pa.array(flat)), flat.tobytes(), (4 * ends).tolist()
+        at, whole = np.frombuffer(taken.buffers()[1], "i8", len(flat) + 1)[ends], taken.buffers()[2]
+        if (np.diff(at) == list(map(len, raw))).all() and memoryview(whole)[: at[-1]] == b"".join(raw):
+            same = np.ones(len(raw), bool)
+        else:
+            same = np.array([whole[i:j].to_pybytes() == x for i, j, x in zip(at[:-1].tolist(), at[1:].tolist(), raw)], bool)
+        return [packed[i:j] for i, j in zip(cuts, cuts[1:])], same
+
     def ids(self, chunks: list[str]) -> list[tuple]:
-        """(A ids, B ids) of each chunk, (None, None) if their bytes aren't its own."""
+        """(A ids, B ids) of each chunk as 32-bit integers, empty ones if their bytes aren't its own."""
         new = [c for c in chunks if c not in self.memo]
         here = {}
-        for c, a, b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), self.b.encode([f"x{c}" for c in new], num_threads=1)):
-            a, b, raw = a.ids, b[self.lead :], c.encode()
-            same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
-            here[c] = (a, b) if same else (None, None)
+        if new:
+            raw = [c.encode() for c in new]
+            a, same_a = self._packed(raw, [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)], self.a_bytes)
+            b, same_b = self._packed(raw, [ids[self.lead :] for ids in self.b.encode([f"x{c}" for c in new], num_threads=1)], self.b_bytes)
+            here = {c: (x, y) if z else (b"", b"") for c, x, y, z in zip(new, a, b, (same_a & same_b).tolist())}
         known = [here.get(c) or self.memo[c] for c in chunks]
         if len(self.memo) >= MEMO:
             self.memo.clear()
@@ -115,17 +129,17 @@ def align_batch(texts: list[str | None], own: Encoders) -> tuple[dict[str, list]
     known = own.ids(coded.dictionary.to_pylist())
     code, doc = coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(texts)), counts)
     lost = np.zeros(len(texts), bool)
-    lost[doc[np.array([a is None for a, _ in known], bool)[code]]] = True
+    lost[doc[np.array([not a for a, _ in known], bool)[code]]] = True
     kept = ~lost[doc]
     code, doc = pa.array(code[kept]), pa.array(doc[kept])
     size = np.array([0 if not t or gone else 1 + len(t.encode()) for t, gone in zip(texts, lost)], "i8")
     before = pa.array(np.cumsum(size) - size)
     sides = []
     for k, lengths in enumerate((own.a_bytes, own.b_bytes)):
-        found = [ids[k] or [] for ids in known]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype("i4")
-        lists = pa.ListArray.from_arrays(offsets, pa.array(list(chain.from_iterable(found)), pa.int32()))
-        sides.append(_ends(pc.take(lists, code), doc, pa.array([len(x) for x in lengths], pa.int64()), before, "ab"[k]))
+        found = [ids[k] for ids in known]
+        offsets = np.concatenate([[0], np.cumsum(list(map(len, found))) // 4]).astype("i4")
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), "i4")))
+        sides.append(_ends(pc.take(lists, code), doc, pc.cast(pc.binary_length(lengths), pa.int64()), before, "ab"[k]))
     line = sides[0].join(sides[1], ["doc", "end"], join_type="full outer", use_threads=False).combine_chunks()
     line = line.take(pc.sort_indices(pc.add(pc.take(before, line["doc"]), line["end"])))
     has_a, has_b = (line[c].is_valid().to_numpy() for c in "ab")
@@ -166,6 +180,7 @@ def _aligner(a_path: str, b_path: str) -> Callable[[Iterator[pa.RecordBatch]], I
                 yield row(first + no, len(part["doc_id"]), part)
             for b in pairs.to_batches(max_chunksize=50_000):
                 yield row(first + no, b.num_rows, {c: b.column(c).to_numpy() for c in pairs.column_names})
+            pa.default_memory_pool().release_unused()
 
         doc_ids, texts, n, no = [], [], 0, 0
         for b in batches:
