@@ -45,14 +45,33 @@ def best_box_match(a: DataFrame, b: DataFrame, least: float = 0.10, keys: list[s
 
 
 def claim_caption_above(tables: DataFrame, blocks: DataFrame, gap: float = 40.0) -> DataFrame:
-    """C23. The ``Table`` block that ends at most ``gap`` above a table (or 5 into it): first in order, each caption once.
+    """C23. Tables (by id) with the ``Table`` blocks (by block_no) that end at most ``gap`` above them, or 5 into them.
 
-    A caption goes to the first table that can take it; a table takes its first caption left.
+    A table grows up to the top of each block that it claims, so it may reach further ones; a block goes to one
+    table.  Returned: the first block claimed and its text, the grown top, and how many were claimed.  Only what lies
+    within reach is folded together: parts of a page that no claim can bridge are rows of their own.
     """
-    caps = blocks.filter(F.col("text").rlike("(?i)^table ")).select(*PAGE, "block_no", "text", F.col("y1").alias("bottom"))
-    pairs = tables.select(*PAGE, "id", "y0").join(caps, PAGE).filter((F.col("bottom") <= F.col("y0") + 5) & (F.col("y0") - F.col("bottom") <= gap))
-    first = keep_first(pairs, [*PAGE, "block_no"], ["id"])
-    return keep_first(first, [*PAGE, "id"], ["block_no"]).select(*PAGE, "id", "block_no", "text")
+    caps = blocks.filter(F.col("text").rlike("(?i)^table ")).select(*PAGE, F.col("block_no").cast("long").alias("ord"), F.col("y0").alias("top"), F.col("y1").alias("bottom"), "text", F.lit(False).alias("is_table"))
+    both = tables.select(*PAGE, F.col("id").cast("long").alias("ord"), F.col("y0").alias("top"), (F.col("y0") + 5).alias("bottom"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("is_table")).unionByName(caps)
+    reach = both.withColumn("low", F.least("top", "bottom") - gap).withColumn("high", F.greatest("bottom", F.col("top") + 5))
+    item = F.struct("ord", "top", "bottom", "text")
+    of = lambda is_table: F.array_sort(F.collect_list(F.when(F.col("is_table") == is_table, item)))
+    parts = gap_groups(reach, PAGE, "low", "high", 0.0).groupBy(*PAGE, "group_no").agg(of(True).alias("tables"), of(False).alias("caps")).filter((F.size("tables") > 0) & (F.size("caps") > 0))
+    none = F.array().cast("array<bigint>")
+
+    def claim(s: Column, t: Column) -> Column:
+        def one(own: Column, c: Column) -> Column:
+            ok = (c["bottom"] <= own["top"] + 5) & (own["top"] - c["bottom"] <= gap) & ~F.array_contains(s["used"], c["ord"])
+            return F.when(ok, F.struct(F.least(own["top"], c["top"]).alias("top"), F.concat(own["taken"], F.array(c["ord"])).alias("taken"))).otherwise(own)
+
+        own = F.aggregate("caps", F.struct(t["top"].alias("top"), none.alias("taken")), one)
+        return F.struct(F.concat(s["used"], own["taken"]).alias("used"), F.concat(s["out"], F.array(F.struct(t["ord"].alias("id"), own["top"].alias("top"), own["taken"].alias("taken")))).alias("out"))
+
+    start = F.struct(none.alias("used"), F.array().cast("array<struct<id:bigint,top:double,taken:array<bigint>>>").alias("out"))
+    claimed = parts.select(*PAGE, "caps", F.explode(F.aggregate("tables", start, claim, lambda s: s["out"])).alias("t")).filter(F.size("t.taken") > 0)
+    first = F.get("t.taken", F.lit(0))
+    text = F.get(F.filter("caps", lambda c: c["ord"] == first), F.lit(0))["text"]
+    return claimed.select(*PAGE, "t.id", first.alias("block_no"), text.alias("text"), F.col("t.top").alias("y0"), F.size("t.taken").alias("n_claimed"))
 
 
 def caption_near(regions: DataFrame, texts: DataFrame, pattern: str, above: bool = True) -> DataFrame:
@@ -97,9 +116,9 @@ def stitch_table_pages(tables: DataFrame) -> DataFrame:
 
 
 def figure_caption_by_overlap(figures: DataFrame, model: DataFrame, near: DataFrame) -> DataFrame:
-    """C26, E21. ref of each figure: the captioned model box of the largest overlap, else one without a box, else the nearby caption, else -1, -2, ..."""
-    boxed = rect_join(figures.select(*PAGE, "id", "x0", "y0", "x1", "y1"), model.filter("ref is not null and x0 is not null").select(*PAGE, "ref", "x0", "y0", "x1", "y1"), PAGE)
-    by_box = boxed.groupBy(*PAGE, "a_id").agg(F.max_by("b_ref", F.struct("share", "b_ref")).alias("r1")).withColumnRenamed("a_id", "id")
+    """C26, E21. ref of each figure: the captioned model box of which the figure covers the largest share, else one without a box, else the nearby caption, else -1, -2, ..."""
+    boxed = rect_join(model.filter("ref is not null and x0 is not null").select(*PAGE, "ref", "x0", "y0", "x1", "y1"), figures.select(*PAGE, "id", "x0", "y0", "x1", "y1"), PAGE)
+    by_box = boxed.groupBy(*PAGE, "b_id").agg(F.max_by("a_ref", F.struct("share", "a_ref")).alias("r1")).withColumnRenamed("b_id", "id")
     loose = model.filter("ref is not null and x0 is null").groupBy(*PAGE).agg(F.min("ref").alias("r2"))
     out = figures.join(by_box, [*PAGE, "id"], "left").join(loose, PAGE, "left").join(near.select(*PAGE, "id", F.col("ref").alias("r3")), [*PAGE, "id"], "left")
     out = out.withColumn("ref", F.coalesce("r1", "r2", "r3")).drop("r1", "r2", "r3")
@@ -203,10 +222,9 @@ def running_extent(tables: DataFrame) -> DataFrame:
 
 
 def clip_below_next(figures: DataFrame) -> DataFrame:
-    """E23. A figure's bottom ends at the top of any higher-numbered figure below it on the page."""
+    """E23. A figure's bottom ends at the highest top of the page's figures with a higher number, wherever they lie."""
     w = Window.partitionBy(*PAGE).orderBy("number").rangeBetween(1, Window.unboundedFollowing)
-    tops = F.filter(F.collect_list("y0").over(w), lambda y: y > F.col("y0"))
-    return figures.withColumn("y1", F.least("y1", F.array_min(tops)))
+    return figures.withColumn("y1", F.least("y1", F.min("y0").over(w)))
 
 
 def numbered_formulas(blocks: DataFrame, pad_x: float = 20.0, pad_y: float = 5.0) -> DataFrame:

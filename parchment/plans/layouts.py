@@ -279,6 +279,7 @@ _B = """bl AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 AS page_idx, row_nu
  (l_partkey % 300)::DOUBLE AS x0, (l_suppkey * 37 % 600)::DOUBLE AS y0, (l_partkey % 300 + 20 + l_partkey % 200)::DOUBLE AS x1, (l_suppkey * 37 % 600 + 10 + l_linenumber * 9)::DOUBLE AS y1, (l_partkey % 5 + 6)::DOUBLE AS size, l_suppkey % 2 = 0 AS bold, l_suppkey % 3 = 0 AS italic,
  CASE WHEN l_suppkey % 2 = 0 THEN 'figure' ELSE 'table' END AS kind FROM lineitem), b AS (SELECT *, block_no AS id FROM bl)"""
 _OVER = "greatest(0, least(a.x1, r.x1) - greatest(a.x0, r.x0)) * greatest(0, least(a.y1, r.y1) - greatest(a.y0, r.y0)) / ((a.x1 - a.x0) * (a.y1 - a.y0))"
+_OVER_R = _OVER.replace("((a.x1 - a.x0) * (a.y1 - a.y0))", "((r.x1 - r.x0) * (r.y1 - r.y0))")
 _OUT = "o AS (SELECT doc_id, block_no - 1 AS ord, text AS title, page_idx + 1 AS page FROM b WHERE what IN (0, 1, 6))"
 ORACLE_SQL = {
     "band_filtered": f"WITH {_B} SELECT doc_id, page_idx, block_no FROM b WHERE y1 >= 65 AND y0 <= 635",
@@ -290,11 +291,15 @@ SELECT doc_id, count(*) AS n, max(length(x)) AS longest FROM s WHERE x <> '' GRO
     "suppressed_blocks": f"WITH {_B} SELECT a.doc_id, a.page_idx, a.block_no FROM b a WHERE a.id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM b r WHERE r.doc_id = a.doc_id AND r.page_idx = a.page_idx AND r.id % 2 = 1 AND {_OVER} > 0.5 AND NOT (r.kind = 'figure' AND a.what = 0))",
     "kept_formulas": f"WITH {_B} SELECT a.doc_id, a.page_idx, a.id FROM b a WHERE a.id % 2 = 0 AND a.x1 - a.x0 >= 20 AND a.y1 - a.y0 >= 8 AND NOT EXISTS (SELECT 1 FROM b r WHERE r.doc_id = a.doc_id AND r.page_idx = a.page_idx AND r.id % 2 = 1 AND {_OVER} > 0.2)",
     "kept_tables": f"WITH {_B} SELECT a.doc_id, a.page_idx, a.id FROM b a WHERE a.kind = 'table' AND NOT EXISTS (SELECT 1 FROM b r WHERE r.doc_id = a.doc_id AND r.page_idx = a.page_idx AND r.kind = 'figure' AND {_OVER} > 0.6)",
-    "claimed_captions": f"""WITH {_B}, p AS (SELECT a.doc_id, a.page_idx, a.id, r.block_no, r.text FROM b a JOIN b r ON r.doc_id = a.doc_id AND r.page_idx = a.page_idx AND r.what IN (1, 2) AND r.y1 <= a.y0 + 5 AND a.y0 - r.y1 <= 150 WHERE a.what IN (0, 7, 8, 9)),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_idx, block_no ORDER BY id) AS k FROM p), g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_idx, id ORDER BY block_no) AS j FROM f WHERE k = 1) SELECT doc_id, page_idx, id, block_no, text FROM g WHERE j = 1""",
+    "claimed_captions": f"""WITH RECURSIVE {_B}, p AS (SELECT a.doc_id, a.page_idx, a.id, a.y0 AS top0, r.block_no, r.text, r.y0 AS c0, r.y1 AS c1, row_number() OVER (PARTITION BY a.doc_id, a.page_idx ORDER BY a.id, r.block_no) AS n
+ FROM b a JOIN b r ON r.doc_id = a.doc_id AND r.page_idx = a.page_idx AND r.what IN (1, 2) WHERE a.what IN (0, 7, 8, 9)),
+s AS (SELECT doc_id, page_idx, CAST(0 AS BIGINT) AS n, CAST(-1 AS INTEGER) AS id, CAST(0 AS DOUBLE) AS top, CAST([] AS INTEGER[]) AS used, CAST(NULL AS INTEGER) AS got FROM p WHERE n = 1 UNION ALL
+ SELECT s.doc_id, s.page_idx, p.n, p.id, CASE WHEN f.ok THEN least(f.top, p.c0) ELSE f.top END, CASE WHEN f.ok THEN list_append(s.used, p.block_no) ELSE s.used END, CASE WHEN f.ok THEN p.block_no END
+ FROM s JOIN p ON p.doc_id = s.doc_id AND p.page_idx = s.page_idx AND p.n = s.n + 1, LATERAL (SELECT t AS top, p.c1 <= t + 5 AND t - p.c1 <= 150 AND NOT list_contains(s.used, p.block_no) AS ok FROM (SELECT CASE WHEN s.id = p.id THEN s.top ELSE p.top0 END AS t)) f),
+g AS (SELECT doc_id, page_idx, id, min(got) AS block_no, min(top) AS y0, CAST(count(got) AS INTEGER) AS n_claimed FROM s WHERE n > 0 GROUP BY 1, 2, 3 HAVING count(got) > 0) SELECT doc_id, page_idx, CAST(g.id AS BIGINT) AS id, CAST(g.block_no AS BIGINT) AS block_no, b.text, g.y0, n_claimed FROM g JOIN b USING (doc_id, page_idx, block_no)""",
     "nearby_captions": f"""WITH {_B}, t AS (SELECT doc_id, page_idx, list(text ORDER BY block_no) AS l FROM b GROUP BY 1, 2), h AS (SELECT doc_id, page_idx, id, list_filter(l[1:greatest(1, CAST(floor(y0 / 700 * len(l)) AS INTEGER) + 2)], lambda x: regexp_matches(x, '^(Figure|Table) ')) AS hit FROM b JOIN t USING (doc_id, page_idx))
 SELECT doc_id, page_idx, id, CASE WHEN len(hit) > 0 THEN hit[len(hit)] END AS caption FROM h""",
-    "figure_captions": f"""WITH {_B}, j AS (SELECT a.doc_id, a.page_idx, a.id, CAST(r.number AS VARCHAR) AS ref, {_OVER} AS share FROM b a JOIN b r ON r.doc_id = a.doc_id AND r.page_idx = a.page_idx AND r.id % 4 = 1 WHERE a.id % 2 = 0), r1 AS (SELECT doc_id, page_idx, id, arg_max(ref, (share, ref)) AS r1 FROM j WHERE share > 0 GROUP BY 1, 2, 3),
+    "figure_captions": f"""WITH {_B}, j AS (SELECT a.doc_id, a.page_idx, a.id, CAST(r.number AS VARCHAR) AS ref, {_OVER_R} AS share FROM b a JOIN b r ON r.doc_id = a.doc_id AND r.page_idx = a.page_idx AND r.id % 4 = 1 WHERE a.id % 2 = 0), r1 AS (SELECT doc_id, page_idx, id, arg_max(ref, (share, ref)) AS r1 FROM j WHERE share > 0 GROUP BY 1, 2, 3),
 r2 AS (SELECT doc_id, page_idx, min('loose ' || number) AS r2 FROM b WHERE id = 3 AND number < 3 GROUP BY 1, 2), c AS (SELECT doc_id, page_idx, id, coalesce(r1, r2, CASE WHEN number = 4 THEN 'near' END) AS ref FROM b LEFT JOIN r1 USING (doc_id, page_idx, id) LEFT JOIN r2 USING (doc_id, page_idx) WHERE id % 2 = 0)
 SELECT doc_id, page_idx, id, coalesce(ref, CAST(-sum(CASE WHEN ref IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_idx, id ROWS UNBOUNDED PRECEDING) AS VARCHAR)) AS ref FROM c""",
     "filled_media": f"WITH {_B}, c AS (SELECT DISTINCT doc_id, kind, number FROM b WHERE id <= 2), u AS (SELECT * FROM c UNION ALL SELECT doc_id, kind, number FROM b WHERE id > 2 AND what < 5 AND (doc_id, kind, number) NOT IN (SELECT doc_id, kind, number FROM c)) SELECT doc_id, kind, CAST(number AS VARCHAR) AS ref, count(*) AS n FROM u GROUP BY ALL",
@@ -313,7 +318,7 @@ SELECT doc_id, page_idx, y0, CAST(sum(CASE WHEN reach IS NULL OR y0 - reach > 26
     "emitted_media": f"""WITH {_B}, c AS (SELECT doc_id, page_idx, block_no, CASE what WHEN 0 THEN 'figure' WHEN 3 THEN 'formula' ELSE 'table' END AS kind, CAST(number AS VARCHAR) AS ref FROM b WHERE what < 4), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, ref ORDER BY page_idx, block_no) AS k FROM c) SELECT doc_id, page_idx, block_no, kind, ref FROM n WHERE k = 1""",
     "table_extents": f"""WITH {_B}, t AS (SELECT doc_id, kind AS ref, block_no AS page_idx, x0 / 600 AS x0, x1 / 600 AS x1 FROM b), s AS (SELECT doc_id, ref, page_idx, CASE WHEN x0 < 0.3 AND x1 < 0.85 THEN 0.05::DOUBLE ELSE x0 END AS a, CASE WHEN x0 < 0.3 AND x1 < 0.85 THEN 0.88::DOUBLE ELSE x1 END AS z FROM t)
 SELECT doc_id, ref, page_idx, min(a) OVER w AS x0, max(z) OVER w AS x1 FROM s WINDOW w AS (PARTITION BY doc_id, ref ORDER BY page_idx ROWS UNBOUNDED PRECEDING)""",
-    "clipped_figures": f"WITH {_B} SELECT a.doc_id, a.page_idx, a.id, a.number, a.y0, least(a.y1, coalesce((SELECT min(r.y0) FROM b r WHERE r.doc_id = a.doc_id AND r.page_idx = a.page_idx AND r.number > a.number AND r.y0 > a.y0), a.y1)) AS y1 FROM b a",
+    "clipped_figures": f"WITH {_B} SELECT a.doc_id, a.page_idx, a.id, a.number, a.y0, least(a.y1, coalesce((SELECT min(r.y0) FROM b r WHERE r.doc_id = a.doc_id AND r.page_idx = a.page_idx AND r.number > a.number), a.y1)) AS y1 FROM b a",
     "numbered_formulas": f"WITH {_B}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, number ORDER BY page_idx, block_no) AS k FROM b WHERE what = 3) SELECT doc_id, CAST(number AS VARCHAR) AS number, page_idx, x0 - 20 AS x0, y0 - 5 AS y0, x1 + 20 AS x1, y1 + 5 AS y1 FROM f WHERE k = 1",
     "expanded_clips": f"WITH {_B}, c AS (SELECT doc_id, page_idx, id, x0 / 1024.0::DOUBLE * 600.0::DOUBLE AS x0, greatest(0.0::DOUBLE, y0 / 1024.0::DOUBLE * 700.0::DOUBLE - CASE WHEN bold THEN 55 ELSE 20 END) AS y0, x1 / 1024.0::DOUBLE * 600.0::DOUBLE AS x1, least(690.0::DOUBLE, y1 / 1024.0::DOUBLE * 700.0::DOUBLE + 90) AS y1 FROM b) SELECT * FROM c WHERE y1 - y0 > 5 AND x1 - x0 > 5",
     "heading_above": f"""WITH {_B}, h AS (SELECT doc_id, page_idx, block_no AS ord, text AS title, y0 AS hy FROM b WHERE what = 6), i AS (SELECT doc_id, page_idx, id, y0 FROM b WHERE what > 6),

@@ -61,9 +61,9 @@ def admit_files(files: DataFrame, accepts: list[str], max_mb: int = 200) -> tupl
 
 
 def write_snapshot(pack: dict[str, DataFrame], path: str) -> None:
-    """A6. Every relation of a pack as parquet by run, so that a rebuild queries nothing again."""
+    """A6. Every relation of a pack as parquet by run, so that a rebuild queries nothing again; other runs' rows at the path stay."""
     for name, df in pack.items():
-        df.write.mode("overwrite").partitionBy("run_id").parquet(f"{path}/{name}")
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/{name}")
 
 
 def read_snapshot(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:

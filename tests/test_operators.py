@@ -133,6 +133,29 @@ def test_asof_and_gaps(spark):
 BOX = "doc_id int, page_idx int, id long, x0 double, y0 double, x1 double, y1 double"
 
 
+CAPTION = "doc_id int, page_idx int, block_no int, text string, y0 double, y1 double"
+
+
+def test_tables_grow_by_claimed_captions(spark):
+    """A claimed caption's top is the table's: what lies above it comes within reach, later tables get what is left."""
+    tables = df(spark, BOX, (1, 0, 1, 0.0, 100.0, 9.0, 160.0), (1, 0, 2, 0.0, 110.0, 9.0, 170.0), (1, 0, 3, 0.0, 900.0, 9.0, 950.0), (1, 1, 1, 0.0, 30.0, 9.0, 60.0))
+    blocks = df(spark, CAPTION, (1, 0, 0, "Table 1 — near", 80.0, 90.0), (1, 0, 1, "Table 2 — above it", 45.0, 55.0), (1, 0, 2, "Table 3 — too far up", -20.0, -1.0), (1, 0, 3, "Table 4 — inside", 95.0, 104.0), (1, 0, 4, "Table 5 — alone", 870.0, 880.0), (1, 1, 9, "Table 6", 10.0, 20.0))
+    # block 0 raises the first table to 80, block 1 to 45; block 3 now lies below its reach and is the second table's
+    assert got(L.claim_caption_above(tables, blocks), "page_idx", "id", "block_no", "y0", "n_claimed") == [(0, 1, 0, 45.0, 2), (0, 2, 3, 95.0, 1), (0, 3, 4, 870.0, 1), (1, 1, 9, 10.0, 1)]
+
+
+def test_captions_by_the_share_of_the_model_box(spark):
+    figures = df(spark, BOX, (1, 0, 1, 0.0, 0.0, 100.0, 100.0))
+    model = df(spark, "doc_id int, page_idx int, ref string, x0 double, y0 double, x1 double, y1 double", (1, 0, "small", 10.0, 10.0, 20.0, 20.0), (1, 0, "large", 50.0, 0.0, 400.0, 400.0))
+    near = df(spark, "doc_id int, page_idx int, id long, ref string")
+    assert got(L.figure_caption_by_overlap(figures, model, near), "id", "ref") == [(1, "small")]
+
+
+def test_figures_end_at_any_higher_number(spark):
+    figures = df(spark, "doc_id int, page_idx int, number int, y0 double, y1 double", (1, 0, 1, 300.0, 500.0), (1, 0, 2, 100.0, 200.0), (1, 0, 2, 150.0, 400.0), (1, 1, 1, 0.0, 9.0))
+    assert got(L.clip_below_next(figures), "page_idx", "number", "y1") == [(0, 1, 100.0), (0, 2, 200.0), (0, 2, 400.0), (1, 1, 9.0)]
+
+
 def test_boxes(spark):
     b = df(spark, BOX, (1, 0, 1, 0.0, 0.0, 10.0, 10.0), (1, 0, 2, 35.0, 0.0, 50.0, 10.0), (1, 0, 3, 200.0, 0.0, 210.0, 10.0), (1, 0, 4, 0.0, 0.0, 2.0, 50.0))
     assert got(L.cluster_boxes(b), "id", "cluster") == [(1, 1), (2, 1), (3, 3)]
@@ -141,8 +164,8 @@ def test_boxes(spark):
     blocks = df(spark, "doc_id int, page_idx int, block_no int, text string, x0 double, y0 double, x1 double, y1 double", (1, 0, 0, "inside", 1.0, 1.0, 2.0, 2.0), (1, 0, 1, "Figure 2 — c", 1.0, 1.0, 2.0, 2.0), (1, 0, 2, "out", 90.0, 1.0, 92.0, 2.0))
     region = df(spark, "doc_id int, page_idx int, kind string, x0 double, y0 double, x1 double, y1 double", (1, 0, "figure", 0.0, 0.0, 10.0, 10.0))
     assert got(L.suppress_inside(blocks, region), "block_no") == [(1,), (2,)]
-    caps = L.claim_caption_above(df(spark, BOX, (1, 0, 1, 0.0, 30.0, 9.0, 60.0)), df(spark, "doc_id int, page_idx int, block_no int, text string, y1 double", (1, 0, 0, "Table 1 — x", 10.0), (1, 0, 1, "Table 2 — y", 31.0), (1, 0, 2, "text", 29.0)))
-    assert got(caps, "id", "text") == [(1, "Table 1 — x")]
+    caps = L.claim_caption_above(df(spark, BOX, (1, 0, 1, 0.0, 30.0, 9.0, 60.0)), df(spark, CAPTION, (1, 0, 0, "Table 1 — x", 5.0, 10.0), (1, 0, 1, "Table 2 — y", 26.0, 31.0), (1, 0, 2, "text", 20.0, 29.0)))
+    assert got(caps, "id", "text", "y0", "n_claimed") == [(1, "Table 1 — x", 5.0, 1)]
     near = L.caption_near(df(spark, "doc_id int, page_idx int, id int, y0 double, y1 double", (1, 0, 1, 0.5, 0.6)), df(spark, "doc_id int, page_idx int, blocks array<string>", (1, 0, ["Figure 1 - a", "x", "Figure 2 - b", "y"])), "^Figure")
     assert got(near, "caption") == [("Figure 2 - b",)]
     figs = L.negative_ids(df(spark, "doc_id int, page_idx int, id int, ref string", (1, 0, 1, None), (1, 0, 2, "5"), (1, 1, 3, None)))

@@ -25,3 +25,10 @@ def test_admission_and_sinks(spark, tmp_path):
     for _ in range(2):
         W.write_audit(spark.createDataFrame([(1,)], "run_id int"), str(tmp_path / "audit"))
     assert spark.read.json(str(tmp_path / "audit")).count() == 2
+
+
+def test_snapshots_of_other_runs_stay(spark, tmp_path):
+    path = str(tmp_path / "s")
+    for run, value in ((1, "a"), (2, "b"), (1, "c")):
+        W.write_snapshot({"r": spark.createDataFrame([(run, value)], "run_id int, v string")}, path)
+    assert sorted((r.run_id, r.v) for r in W.read_snapshot(spark, path, ["r"])["r"].collect()) == [(1, "c"), (2, "b")]
