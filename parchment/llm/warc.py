@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import new_path, saved
+from .store import new_path, saved, spread_join
 
 VERSION = "WARC/1.1\r\n"
 #: Records of a file at most; duplicated payloads that are broadcast at most.
@@ -78,6 +78,10 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     return read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("piece"))
 
 
+def _hashed(pieces: DataFrame) -> DataFrame:
+    return pieces.withColumn("h1", F.xxhash64("value", F.lit(1))).withColumn("h2", F.xxhash64(F.lit(2), "value", F.octet_length("value")))
+
+
 def _header(name: str, header: str = "header") -> Column:
     return F.regexp_extract(header, rf"(?i)(?:^|\r\n){name}: *([^\r\n]*)", 1)
 
@@ -93,7 +97,7 @@ def _fields(df: DataFrame) -> DataFrame:
     http = F.position(F.lit("\r\n\r\n").cast("binary"), F.col("raw"))
     df = df.withColumn("payload", F.when(F.col("whole"), F.when(http > 0, F.substring("raw", http + 4, F.octet_length("raw"))).otherwise(F.col("raw"))))
     return df.select(
-        *[c for c in df.columns if c in ("file", "block", "piece", "off")], "bytes", "header_bytes", "block_bytes", "whole",
+        *[c for c in df.columns if c in ("file", "block", "piece", "h1", "h2")], "bytes", "header_bytes", "block_bytes", "whole",
         _header("WARC-Type").alias("record_type"), _header("WARC-Record-ID").alias("record_id"), _header("X-Page-ID").try_cast("long").alias("page_id"), _header("WARC-Refers-To").alias("refers_to_id"), _header("WARC-Target-URI").alias("url"),
         F.octet_length("payload").cast("long").alias("payload_bytes"), digest(F.col("payload")).alias("payload_digest"),
     )
@@ -122,10 +126,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Bytes and digest are those of the payload as stored, so a revisit has 0 bytes.  Pieces off the chain
     from the start of their file are payload; a file that doesn't start with a record has none.
     """
-    pieces = saved(_fields(_pieces(spark, path)), "pieces")
+    pieces = saved(_fields(_hashed(_pieces(spark, path))), "pieces")
     order = Window.partitionBy("file").orderBy("block", "piece")
     start = F.coalesce(F.sum(F.col("bytes") + len(VERSION)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - len(VERSION)
-    line = saved(pieces.select("file", "block", "piece", "whole", start.alias("off"), (start + len(VERSION) + F.col("header_bytes") + F.col("block_bytes") + 4).alias("next"), "bytes"), "offsets")
+    line = saved(pieces.select("file", "block", "piece", "h1", "h2", "whole", start.alias("off"), (start + len(VERSION) + F.col("header_bytes") + F.col("block_bytes") + 4).alias("next"), "bytes"), "offsets")
     by_offset = Window.partitionBy("file").orderBy("off")
     found = line.filter("next is not null and off >= 0").select("file", "block", "piece", "whole", "off", "next").withColumn("following", F.lead("off").over(by_offset))
     far = found.filter("following is null or following <> next").select("file", F.col("next").alias("off")).distinct().withColumn("target", F.lit(True))
@@ -144,8 +148,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     # payloads with the version line inside: the pieces up to the successor are joined again
     owner = line.join(records.select("file", "off", F.col("off").alias("own"), F.col("whole").alias("own_whole")), ["file", "off"], "left")
     owner = owner.withColumn("own", F.last("own", ignorenulls=True).over(by_offset)).withColumn("own_whole", F.last("own_whole", ignorenulls=True).over(by_offset)).filter("not own_whole")
-    parts = saved(owner.select(*keys, "off", "own"), "parts")
-    values = _pieces(spark, path).join(parts, keys)
+    # they are known again by their bytes: another scan may split the files elsewhere
+    parts = saved(owner.select("file", "h1", "h2", "off", "own"), "parts")
+    wanted = saved(parts.select("h1", "h2").distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = _hashed(_pieces(spark, path)).select("h1", "h2", "value").join(wanted, ["h1", "h2"], "left_semi")
+    texts = saved(texts.groupBy("h1", "h2").agg(F.first("value").alias("value")), "part-texts")
+    values = spread_join(parts, texts, ["h1", "h2"])
     whole = values.groupBy("file", "own").agg(F.sort_array(F.collect_list(F.struct("off", "value"))).alias("parts"))
     whole = whole.select("file", F.lit(0).alias("block"), F.lit(0).alias("piece"), F.array_join("parts.value", VERSION).alias("value"))
     return out.unionByName(_fields(whole).filter("whole").select(*names))

@@ -1,7 +1,8 @@
 import base64
 import hashlib
 
-from parchment.llm.warc import VERSION, read_archives, round_trip
+import parchment.llm.warc as W
+from parchment.llm.warc import VERSION, read_archives, round_trip, write_archives
 from parchment.llm.store import new_path
 
 SCHEMA = "page_id long, url string, html string"
@@ -71,3 +72,26 @@ def test_query_on_the_table(spark, sf):
 
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     assert got(QUERIES["op4_warc"](spark, sf)) == expected(rows)
+
+
+def test_splits_that_change_between_scans(spark):
+    """Executors that come or go change the splits: records with the version line inside are still whole."""
+    rows = [(k, "u", (VERSION * 3 + f"tail {k}") if k % 2 else f"plain {k} " * 300) for k in range(20)]
+    path = new_path(spark, "changing")
+    write_archives(spark.createDataFrame(rows, SCHEMA).coalesce(1), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    read = W._hashed
+
+    def other_splits(pieces):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+        return read(pieces)
+
+    try:
+        records = read_archives(spark, path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        assert sorted(r.page_id for r in records.collect()) == list(range(20))
+        W._hashed = other_splits
+        assert sorted(r.page_id for r in read_archives(spark, path).collect()) == list(range(20))
+    finally:
+        W._hashed = read
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
