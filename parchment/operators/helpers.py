@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from parchment.functions.ids import blank_to_null
 
+from .scans import PLACES, running
+
 
 def nulls_last(*columns: str) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in columns]
@@ -32,18 +34,18 @@ def ordered_list(value: Column, order: Column, separator: str = ", ") -> Column:
     return F.nullif(F.array_join(F.transform(pairs, lambda x: x["v"]), separator), F.lit(""))
 
 
-def asof_last(items: DataFrame, marks: DataFrame, keys: Sequence[str], at: str, mark_at: str, take: Sequence[str]) -> DataFrame:
+def asof_last(items: DataFrame, marks: DataFrame, keys: Sequence[str], at: str, mark_at: str, take: Sequence[str], width: float = PLACES) -> DataFrame:
     """Each item with the columns ``take`` of the last mark at or before it within the keys; null before the first.
 
-    One shuffle by the keys: items and marks are laid on one line and the last mark is carried on.
+    Items and marks are laid on one line and the last mark is carried on, from slice to slice of ``width`` places;
+    marks without a place are left out, items without one find none.
     """
     mark = F.struct(*[F.col(c) for c in take])
-    marks = marks.select(*keys, F.col(mark_at).alias("_at"), F.lit(0).alias("_kind"), *([F.col("ord")] if "ord" in marks.columns else [F.lit(0).alias("ord")]), mark.alias("_mark"))
+    marks = marks.filter(F.col(mark_at).isNotNull()).select(*keys, F.col(mark_at).alias("_at"), F.lit(0).alias("_kind"), *([F.col("ord")] if "ord" in marks.columns else [F.lit(0).alias("ord")]), mark.alias("_mark"))
     own = items.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(0).alias("ord"), F.struct(*items.columns).alias("_item"))
     line = marks.unionByName(own, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_at", "_kind", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    carried = line.withColumn("_mark", F.last("_mark", ignorenulls=True).over(w)).filter("_kind = 1")
-    return carried.select("_item.*", *[F.col(f"_mark.{c}").alias(c) for c in take])
+    carried = running(line, keys, ["_at", "_kind", "ord"], "_mark", "_last", "last", width).filter("_kind = 1").withColumn("_last", F.when(F.col("_at").isNotNull(), F.col("_last")))
+    return carried.select("_item.*", *[F.col(f"_last.{c}").alias(c) for c in take])
 
 
 def gap_groups(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: float, name: str = "group_no") -> DataFrame:
@@ -77,8 +79,8 @@ def iou(a: str = "a_", b: str = "b_") -> Column:
 CELL_BOXES, CELLS = 16, 256
 
 
-def rect_join(a: DataFrame, b: DataFrame, keys: Sequence[str], share: float | None = None) -> DataFrame:
-    """Pairs of boxes on the same page (``keys``) with overlap; ``share``: of a's area, more than this.
+def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs of boxes on the same page (``keys``) that overlap or touch.
 
     A page of many boxes is a grid of cells, as many as its boxes need: boxes meet by page and cell in a hash join,
     and a pair counts in the one cell where its overlap begins.
@@ -100,7 +102,12 @@ def rect_join(a: DataFrame, b: DataFrame, keys: Sequence[str], share: float | No
 
     joined = celled(a, "a_").join(celled(b, "b_"), [*keys, "_cx", "_cy"])
     begins = (cell(F.greatest("a_x0", "b_x0"), "_x", "_w") == F.col("_cx")) & (cell(F.greatest("a_y0", "b_y0"), "_y", "_h") == F.col("_cy"))
-    joined = joined.filter(begins).drop("_cx", "_cy", "_x", "_w", "_y", "_h", "_n")
-    own = area(*_box("a_"))
+    touch = (F.greatest("a_x0", "b_x0") <= F.least("a_x1", "b_x1")) & (F.greatest("a_y0", "b_y0") <= F.least("a_y1", "b_y1"))
+    return joined.filter(begins & touch).drop("_cx", "_cy", "_x", "_w", "_y", "_h", "_n")
+
+
+def rect_join(a: DataFrame, b: DataFrame, keys: Sequence[str], share: float | None = None) -> DataFrame:
+    """Pairs of boxes on the same page (``keys``) with overlap; ``share``: of a's area, more than this."""
+    joined, own = meeting(a, b, keys), area(*_box("a_"))
     out = joined.withColumn("overlap", intersection()).withColumn("share", F.when(own > 0, F.col("overlap") / own).otherwise(0.0)).filter("overlap > 0")
     return out if share is None else out.filter(F.col("share") > share)

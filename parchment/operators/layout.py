@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from parchment.functions import text as T
 
-from .helpers import area, gap_groups, iou, keep_first, rect_join
+from .graph import components
+from .helpers import area, gap_groups, iou, keep_first, meeting, rect_join
 
 PAGE = ["doc_id", "page_idx"]
 
@@ -165,33 +166,16 @@ def table_envelope(cells: DataFrame, layout: DataFrame) -> DataFrame:
 
 
 def cluster_boxes(boxes: DataFrame, gap: float = 30.0) -> DataFrame:
-    """D29. Adds cluster: boxes (over 3 wide and high) whose padded rectangles touch hang together; a page at a time."""
-
-    def cluster(pdf):
-        # a sweep from left to right; boxes still open are compared, so memory grows with the page, not its square
-        x0, y0, x1, y1 = (pdf[c].tolist() for c in ("x0", "y0", "x1", "y1"))
-        up = list(range(len(pdf)))
-
-        def find(k):
-            while up[k] != k:
-                up[k] = up[up[k]]
-                k = up[k]
-            return k
-
-        open_boxes: list[int] = []
-        for k in sorted(range(len(pdf)), key=x0.__getitem__):
-            open_boxes = [j for j in open_boxes if x1[j] >= x0[k] - gap]
-            for j in open_boxes:
-                if y0[k] - gap <= y1[j] and y0[j] - gap <= y1[k]:
-                    a, b = find(k), find(j)
-                    up[max(a, b)] = min(a, b)
-            open_boxes.append(k)
-        ids = pdf["id"].tolist()
-        pdf["cluster"] = [ids[find(k)] for k in range(len(pdf))]
-        return pdf
+    """D29. Adds cluster, the smallest id of the boxes (over 3 wide and high) that hang together: two at most ``gap`` apart do.
 
-    rows = boxes.filter((F.col("x1") - F.col("x0") > 3) & (F.col("y1") - F.col("y0") > 3)).select(*PAGE, "id", "x0", "y0", "x1", "y1")
-    return rows.groupBy(*PAGE).applyInPandas(lambda pdf: cluster(pdf.sort_values("id").reset_index(drop=True)), f"{', '.join(f'{n} {t}' for n, t in rows.dtypes)}, cluster long")
+    Boxes meet by cells of their page's grid, and what hangs together is found by contracting the pairs: no page is one task.
+    """
+    rows = boxes.filter((F.col("x1") - F.col("x0") > 3) & (F.col("y1") - F.col("y0") > 3)).select(*PAGE, F.col("id").cast("long").alias("id"), "x0", "y0", "x1", "y1")
+    # ids of pages without one meet nothing
+    padded = rows.select(*PAGE, "id", (F.col("x0") - gap).alias("x0"), (F.col("y0") - gap).alias("y0"), (F.col("x1") + gap).alias("x1"), (F.col("y1") + gap).alias("y1"))
+    pairs = meeting(padded, rows, PAGE).filter("a_id < b_id").select(*PAGE, F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    of = components(pairs, PAGE)
+    return rows.join(of.withColumnRenamed("node", "id"), [*PAGE, "id"], "left").withColumn("cluster", F.coalesce("component", "id")).drop("component")
 
 
 def real_figures(paths: DataFrame, clusters: DataFrame, blocks: DataFrame, page_w: float) -> DataFrame:

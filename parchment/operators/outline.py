@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parchment.functions import text as T
 
 from .helpers import asof_last, keep_first
+from .scans import PLACES, next_greater, running, upper_medians
 
 
 # Texts of heading size that are no headings.
@@ -23,12 +24,6 @@ NO_HEADING = (
 )
 
 
-def upper_median(values: Column) -> Column:
-    """Aggregate: ``sorted[n // 2]``, which no percentile gives for an even count."""
-    s = F.sort_array(F.collect_list(values))
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
-
-
 def heading_candidates(lines: DataFrame) -> DataFrame:
     """H32, E7. Outline entries of page lines: the first line of each number. ``lines``: doc_id, page_idx, line_no, text."""
     found = lines.withColumn("num", T.heading_number(F.col("text"))).filter("num is not null and not substring(text, 1, 120) rlike '(?i)Copyrighted material|licensed to|Techstreet'")
@@ -44,7 +39,7 @@ def heading_by_font(spans: DataFrame) -> DataFrame:
     s = spans.withColumn("text", F.trim("text")).filter((F.col("y1") >= 65) & (F.col("y0") <= F.col("page_h") - 65) & (F.length("text") >= 3))
     numbered = F.col("text").rlike(r"^(\d+(?:\.\d+)*)\s+\S") | F.col("text").rlike(r"(?i)^(Annex\s+[A-Z])\b")
     bold = keep_first(s.filter(F.col("bold") & (F.col("size") >= 8) & numbered), ["doc_id", "text"], ["page_idx", "span_no"])
-    limit = s.filter("size >= 6").groupBy("doc_id").agg((upper_median(F.col("size")) + 1.5).alias("least"))
+    limit = upper_medians(s.filter("size >= 6"), ["doc_id"], "size", "least").withColumn("least", F.col("least") + 1.5)
     skip = F.substring("text", 1, 120).rlike(T.WATERMARK) | ~F.col("text").rlike(r"^[\p{Lu}\p{Nd}]")
     for pattern in NO_HEADING:
         skip = skip | F.col("text").rlike(pattern)
@@ -120,15 +115,15 @@ def title_to_page(titles: DataFrame, pages: DataFrame, contents: DataFrame | Non
 
 def median_offset(found: DataFrame) -> DataFrame:
     """D25. Upper median of page found minus (printed page - 1) of each document; documents without one are 0 at the use."""
-    return found.filter("page_idx is not null and printed_page > 0").groupBy("doc_id").agg(upper_median(F.col("page_idx") - (F.col("printed_page") - 1)).alias("offset"))
+    return upper_medians(found.filter("page_idx is not null and printed_page > 0").withColumn("_moved", F.col("page_idx") - (F.col("printed_page") - 1)), ["doc_id"], "_moved", "offset")
 
 
-def monotone_pages(entries: DataFrame, offsets: DataFrame, n_pages: DataFrame) -> DataFrame:
+def monotone_pages(entries: DataFrame, offsets: DataFrame, n_pages: DataFrame, width: float = PLACES) -> DataFrame:
     """E9. Pages never fall: the running maximum of the page found, else the printed page moved by the offset and clamped, else 0."""
     out = entries.join(offsets, "doc_id", "left").join(n_pages, "doc_id", "left")
     guess = F.when(F.col("printed_page") > 0, F.greatest(F.lit(0), F.least(F.col("n_pages") - 1, F.col("printed_page") - 1 + F.coalesce("offset", F.lit(0)))))
-    w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("page", F.max(F.coalesce("page_idx", guess, F.lit(0))).over(w) + 1).drop("offset", "n_pages")
+    out = running(out.withColumn("_found", F.coalesce("page_idx", guess, F.lit(0))), ["doc_id"], ["ord"], "_found", "_page", "max", width)
+    return out.withColumn("page", F.col("_page") + 1).drop("offset", "n_pages", "_found", "_page")
 
 
 def dedupe_outline(outline: DataFrame, far: int = 70) -> DataFrame:
@@ -175,10 +170,9 @@ def pick_outline(chain: list[DataFrame], least: list[int] | None = None) -> Data
     return tagged.withColumn("_best", best).filter("method = _best").drop("_best")
 
 
-def section_ranges(outline: DataFrame, n_pages: DataFrame) -> DataFrame:
+def section_ranges(outline: DataFrame, n_pages: DataFrame, width: float = PLACES) -> DataFrame:
     """E8, C17. Adds end_page: the page of the first later entry on a later page, minus 1, else the last page (0-indexed as first_page)."""
-    w = Window.partitionBy("doc_id").orderBy("page").rangeBetween(1, Window.unboundedFollowing)
-    out = outline.withColumn("_next", F.min("page").over(w)).join(n_pages, "doc_id", "left")
+    out = next_greater(outline, ["doc_id"], "page", "_next", width).join(n_pages, "doc_id", "left")
     return out.withColumn("first_page", F.col("page") - 1).withColumn("end_page", F.coalesce(F.col("_next") - 1, F.col("n_pages") - 1)).drop("_next", "n_pages")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parchment.functions import ids
 
 from .helpers import keep_first, nulls_last
+from .scans import PLACES, SECONDS, fold_counter, fold_states, time_slice
 
 #: Which status may follow which.
 TRANSITIONS = {"queued": ("running", "failed"), "running": ("awaiting_user", "complete", "failed", "queued"), "awaiting_user": ("queued", "running", "complete", "failed"), "complete": (), "failed": ("queued",)}
@@ -73,26 +74,19 @@ def current_sections(versions: DataFrame) -> DataFrame:
     return one.select("run_id", "section_key", "v.html", "v.version_num", "revision")
 
 
-def apply_edits(current: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_edits(current: DataFrame, edits: DataFrame, width: float = PLACES) -> tuple[DataFrame, DataFrame]:
     """E5. (accepted, rejected) edits: an edit must name the section's revision; a section never seen starts at 1.
 
     Several edits of a section are taken in order: one that names the next revision is accepted after another,
-    so the accepted ones are those that continue a chain from the current revision.
+    so the accepted ones are those that continue a chain from the current revision.  A slice of a section's edits
+    spans ``width`` of ``ord``.
     """
-    own = edits.groupBy("run_id", "section_key").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("revision").cast("long").alias("revision"), "html"))).alias("edits"))
-    own = own.join(current.select("run_id", "section_key", F.col("revision").cast("long").alias("now")), ["run_id", "section_key"], "left")
-    # one fold a section, which keeps what each edit met and left
-    none = F.array().cast("array<struct<ord:int,revision:bigint,html:string,actual:bigint,after:bigint>>")
-    typed = lambda e, at, to: F.struct(e["ord"].cast("int").alias("ord"), e["revision"].alias("revision"), e["html"].alias("html"), at.alias("actual"), to.alias("after"))
-
-    def step(s: Column, e: Column) -> Column:
-        to = F.when(e["revision"] == s["at"], s["at"] + 1).otherwise(s["at"])
-        return F.struct(to.alias("at"), F.concat(s["out"], F.array(typed(e, s["at"], to))).alias("out"))
-
-    folded = F.aggregate("edits", F.struct(F.coalesce("now", F.lit(0).cast("long")).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    done = own.select("run_id", "section_key", F.explode(folded).alias("e")).select("run_id", "section_key", "e.*").withColumn("ok", F.col("revision") == F.col("actual"))
-    accepted = done.filter("ok").select("run_id", "section_key", "html", F.col("after").alias("version_num"), F.concat(F.lit("Edited (v"), F.col("after").cast("string"), F.lit(")")).alias("label"))
-    rejected = done.filter("not ok").select("run_id", "section_key", "ord", F.col("revision").alias("expected"), "actual")
+    keys = ["run_id", "section_key"]
+    own = edits.select(*keys, F.col("ord").cast("int").alias("ord"), F.col("revision").cast("long").alias("revision"), "html")
+    done = fold_counter(own, keys, "ord", "revision", current, "revision", width)
+    after = F.col("actual") + 1
+    accepted = done.filter("ok").select(*keys, "html", after.alias("version_num"), F.concat(F.lit("Edited (v"), after.cast("string"), F.lit(")")).alias("label"))
+    rejected = done.filter("not ok").select(*keys, "ord", F.col("revision").alias("expected"), "actual")
     return accepted, rejected
 
 
@@ -157,28 +151,18 @@ def stage_progress(runs: DataFrame, stages: DataFrame) -> DataFrame:
     return both.select("run_id", "stage", "ord", state.alias("state"))
 
 
-def run_state(events: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+def run_state(events: DataFrame, order: list[str], seconds: float = SECONDS) -> tuple[DataFrame, DataFrame]:
     """J1 in batch form: (current state of each run, events that no transition allows).
 
-    Events of a run are folded in order; an event that may not follow the state is rejected and changes nothing.
+    Events of a run are folded in order (the first column is a time, of which a slice spans ``seconds``); an event
+    that may not follow the state is rejected and changes nothing.
     """
-    allowed = F.create_map(*[F.lit(x) for k, v in TRANSITIONS.items() for x in (k, ",".join(v))])
-    fits = lambda at, to: F.when(at == "", to.isin("queued", "running")).otherwise(F.array_contains(F.split(F.coalesce(allowed[at], F.lit("queued,running")), ","), to))
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    own = events.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), "status", "at"))).alias("events"))
-
-    def step(s: Column, e: Column) -> Column:
-        ok = F.coalesce(fits(s["at"], e["status"]), F.lit(False))
-        to = F.when(ok, e["status"]).otherwise(s["at"])
-        return F.struct(to.alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("before"), to.alias("state"), ok.alias("ok")))).alias("out"))
-
-    # one fold a run, which keeps the state before and after each event
-    start = F.struct(F.lit("").alias("at"), F.array().cast("array<struct<before:string,state:string,ok:boolean>>").alias("out"))
-    states = own.withColumn("states", F.aggregate("events", start, step, lambda s: s["out"]))
-    marked = states.select("run_id", F.posexplode(F.arrays_zip("events", "states")).alias("no", "e")).select("run_id", "no", "e.events.status", "e.events.at", "e.states.before", "e.states.state", "e.states.ok")
+    own = events.select("run_id", *dict.fromkeys(["status", "at", *order]))
+    marked = fold_states(own, ["run_id"], order, "status", ["", *TRANSITIONS], {"": ("queued", "running"), **TRANSITIONS}, time_slice(F.col(order[0]), seconds))
+    place = F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"{c}_none"), F.col(c))])
     started = F.min(F.when(F.col("ok") & (F.col("status") == "running"), F.col("at")))
     ended = F.max(F.when(F.col("ok") & F.col("status").isin("complete", "failed"), F.col("at")))
-    state = marked.groupBy("run_id").agg(F.max_by("state", "no").alias("status"), started.alias("started_at"), ended.alias("ended_at"))
+    state = marked.groupBy("run_id").agg(F.max_by("state", place).alias("status"), started.alias("started_at"), ended.alias("ended_at"))
     state = state.withColumn("progress", F.when(F.col("status") == "complete", 100)).withColumn("duration_ms", ids.elapsed_ms(F.col("started_at"), F.col("ended_at")))
     return state, marked.filter("not ok").select("run_id", "status", "before", "at")
 
