@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .store import saved
 from .tokens import _byte_letters, tokenizer_path
 
-#: Characters of texts that a batch gathers (a longer text is a batch of its own), and chunks a worker keeps the ids of.
-GATHERED, MEMO = 1_000_000, 300_000
+#: Characters of texts that a batch gathers (a longer text is a batch of its own), and chunks that each of a worker's two memos keeps the ids of.
+GATHERED, MEMO = 2_000_000, 300_000
 #: Blanks and what follows them: neither tokenizer joins a letter to a blank behind it.  Texts with other blanks are one chunk.
 _CHUNK, _ODD = re.compile("[ \t\n\v\f]*[^ \t\n\v\f]+|[ \t\n\v\f]+"), re.compile("[\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _ROW = "batch long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes binary, times binary, code int, pair long, links long"
@@ -52,6 +52,7 @@ class Encoders:
         # a chunk may be cut off where no piece joins a letter to a blank behind it
         self.cuts = not any(re.search("[^ \t\n\v\f][ \t\n\v\f]", p.decode("utf-8", "replace")) for p in self.b_bytes.to_pylist())
         self.memo: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -80,17 +81,19 @@ class Encoders:
 
     def ids(self, chunks: list[str]) -> list[tuple]:
         """(A ids, B ids) of each chunk as 32-bit integers, empty ones if their bytes aren't its own."""
-        new = [c for c in chunks if c not in self.memo]
-        here = {}
+        memo, older = self.memo, self.older
+        known = [memo.get(c) or older.get(c) for c in chunks]
+        new = [c for c, k in zip(chunks, known) if not k]
         if new:
             raw = [c.encode() for c in new]
             a, same_a = self._packed(raw, [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)], self.a_bytes)
             b, same_b = self._packed(raw, [ids[self.lead :] for ids in self.b.encode([f"x{c}" for c in new], num_threads=1)], self.b_bytes)
-            here = {c: (x, y) if z else (b"", b"") for c, x, y, z in zip(new, a, b, (same_a & same_b).tolist())}
-        known = [here.get(c) or self.memo[c] for c in chunks]
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo.update((c, ids) for c, ids in here.items() if len(c) <= 32)
+            found = list(zip(a, b)) if (same := same_a & same_b).all() else [(x, y) if z else (b"", b"") for x, y, z in zip(a, b, same.tolist())]
+            each = iter(found)
+            known = [k or next(each) for k in known]
+        if len(memo) >= MEMO:  # what is used again stays in the younger one
+            self.memo, self.older = {}, memo
+        self.memo.update((c, ids) for c, ids in zip(chunks, known) if len(c) <= 32)
         return known
 
 

@@ -1,67 +1,12 @@
-"""Connected components on tables, by contracting the edges."""
+"""Components of links that arrive in rounds."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import saved, spread_join
-
-#: Edges that one task finishes; more are contracted first.
-SMALL = 16_384
-
-
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The smallest node that each node of a few edges reaches."""
-    up: dict[int, int] = {}
-
-    def find(k: int) -> int:
-        while up.setdefault(k, k) != k:
-            up[k] = up[up[k]]
-            k = up[k]
-        return k
-
-    for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-            a, b = find(a), find(b)
-            up[max(a, b)] = min(a, b)
-    nodes = list(up)
-    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([find(k) for k in nodes], pa.int64())], names=["node", "component"])
-
-
-def _pairs(edges: DataFrame) -> DataFrame:
-    return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each node of ``edges`` (a, b: long) reaches.
-
-    Nodes without an edge to another node have no row.  In each round a node joins the neighbour that a hash puts
-    first, if that is before itself; edges become edges between what was joined, without loops and repeats, and only
-    these go on.  Any edge's later node joins another, so about half of the nodes are left at most and the rows fall
-    geometrically.  The last ``SMALL`` edges are finished in one task; then the rounds are read backwards.
-    """
-    left, rounds = saved(_pairs(edges), "edges"), []
-    while left.count() > SMALL:
-        place = lambda c, k=len(rounds): F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("node"))
-        near = left.union(left.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min_by("b", place("b")).alias("near"))
-        first: Column = F.when(place("near") < place("node"), F.col("near")).otherwise(F.col("node"))
-        up = saved(near.select("node", first.alias("up")), "joined")
-        rounds.append(up)
-        for c in ("a", "b"):
-            left = saved(spread_join(left, up.select(F.col("node").alias(c), F.col("up").alias("to")), [c]).withColumn(c, F.coalesce("to", c)).drop("to"), "moved")
-        left = saved(_pairs(left), "edges")
-    labels = saved(left.coalesce(1).mapInArrow(_finish, "node long, component long"), "labels")
-    if not rounds:
-        return labels
-    for up in reversed(rounds):
-        of = spread_join(up, labels.select(F.col("node").alias("up"), "component"), ["up"])
-        labels = saved(of.select("node", F.coalesce("component", "up").alias("component")), "labels")
-    lowest = saved(labels.groupBy("component").agg(F.min("node").alias("low")), "lowest")
-    return saved(spread_join(labels, lowest, ["component"]).select("node", F.col("low").alias("component")), "labels")
+from parchment.operators.graph import components
+from parchment.tables import saved, spread_join
 
 
 def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@ import random
 
 import pytest
 
-import parchment.llm.graph as G
-import parchment.llm.store as S
+import parchment.operators.graph as G
+import parchment.tables as S
+from parchment.llm.graph import merged
 
 
 def expected(edges):
@@ -52,7 +53,7 @@ def test_only_new_edges_are_added(spark, monkeypatch):
     random.Random(2).shuffle(edges)
     labels = None
     for at in range(0, len(edges), 150):
-        labels = G.merged(labels, spark.createDataFrame(edges[at : at + 150], "a long, b long"))
+        labels = merged(labels, spark.createDataFrame(edges[at : at + 150], "a long, b long"))
     assert given(labels) == expected(edges)
 
 
