@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from parchment.operators.outline import heading_candidates
+from parchment.operators.pages import doc_garble
 from parchment.operators.records import TRANSITIONS
 
-RUN_OUT = "run_id long, status string, at timestamp, progress int, rejected boolean"
+RUN_OUT = "run_id long, event_id long, status string, at timestamp, before string, progress int, reason string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -20,33 +22,81 @@ def with_event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
 
 
 class RunState(StatefulProcessor):
-    """Current status of a run; an event that may not follow it comes out as rejected and changes nothing."""
+    """Status of a run, whose events wait until the watermark has passed them and then apply in order of time.
+
+    What comes out has a reason where it is rejected: ``late`` (behind the watermark when it came, so others were
+    applied already) or ``not allowed`` (may not follow the state).  Neither changes the state.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.status = handle.getValueState("status", "status string")
+        self.waiting = handle.getListState("waiting", "us long, event_id long, status string")
 
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-        import pandas as pd
+    def _wait_for(self, waiting: list[tuple]) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if waiting:
+            self.waiting.put(waiting)
+            self.handle.registerTimer(min(w[0] for w in waiting) // 1000 + 1)
+        else:
+            self.waiting.clear()
 
-        pdf = pd.concat(list(rows)).sort_values(["at", "event_id"])
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        passed, waiting, late = timerValues.getCurrentWatermarkInMs() * 1000, list(self.waiting.get()) if self.waiting.exists() else [], []
+        for pdf in rows:
+            for e in zip(pdf["us"].tolist(), pdf["event_id"].tolist(), pdf["status"].tolist()):
+                (late if e[0] < passed else waiting).append(e)
+        self._wait_for([tuple(w) for w in waiting])
         now = self.status.get()[0] if self.status.exists() else ""
-        out = []
-        for e in pdf.itertuples():
-            ok = e.status in (("queued", "running") if not now else TRANSITIONS.get(now, ()))
-            now = e.status if ok else now
-            out.append((key[0], e.status, e.at, 100 if ok and now == "complete" else None, not ok))
+        yield _events([(key[0], i, s, us, now, None, "late") for us, i, s in sorted(late, key=lambda e: e[:2])])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        passed, now, out = timerValues.getCurrentWatermarkInMs() * 1000, self.status.get()[0] if self.status.exists() else "", []
+        waiting = sorted((tuple(w) for w in self.waiting.get()), key=lambda e: e[:2])
+        for us, i, s in waiting:
+            if us >= passed:
+                break
+            ok = s in (("queued", "running") if not now else TRANSITIONS.get(now, ()))
+            out.append((key[0], i, s, us, now, 100 if ok and s == "complete" else None, None if ok else "not allowed"))
+            now = s if ok else now
         if now:
             self.status.update((now,))
-        yield pd.DataFrame(out, columns=["run_id", "status", "at", "progress", "rejected"]).astype({"progress": "Int32"})
+        self._wait_for([e for e in waiting if e[0] >= passed])
+        yield _events(out)
 
     def close(self) -> None:
         pass
 
 
+def _events(rows: list[tuple]):
+    import pandas as pd
+
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in RUN_OUT.split(", ")])
+    return out.assign(at=pd.to_datetime(out["at"].astype("int64"), unit="us"), progress=out["progress"].astype("Int32"), run_id=out["run_id"].astype("int64"), event_id=out["event_id"].astype("int64"))
+
+
 def run_state_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """J1. Accepted and rejected status events (run_id, status, at, event_id) in event-time order within a batch; needs the RocksDB state store."""
-    own = with_event_time(events, "at", delay).select("run_id", "status", "at", "event_id")
-    return own.groupBy("run_id").transformWithStateInPandas(RunState(), RUN_OUT, "Append", "None")
+    """J1. Status events (run_id, status, at, event_id) in order of time, each with the state it met, or the reason for its rejection.
+
+    An event comes out once the watermark (the latest time seen, less ``delay``) has passed it, in whichever batch it
+    came; the state of a run and what still waits are all that is kept.  Needs the RocksDB state store.
+    """
+    # the time goes on as a number: a column with a watermark would lose its late rows before they are counted
+    own = with_event_time(events, "at", delay).select("run_id", F.unix_micros("at").alias("us"), F.col("event_id").cast("long").alias("event_id"), "status")
+    return own.filter("us is not null").groupBy("run_id").transformWithStateInPandas(RunState(), RUN_OUT, "Append", "EventTime")
+
+
+def run_state_sinks(states: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """J1. Writes the applied events to ``path``/applied and the others to ``path``/rejects; a batch that is run again overwrites its own folders."""
+
+    def put(batch: DataFrame, no: int) -> None:
+        batch.persist()
+        batch.filter("reason is null").drop("reason").write.mode("overwrite").parquet(f"{path}/applied/batch={no}")
+        batch.filter("reason is not null").write.mode("overwrite").parquet(f"{path}/rejects/batch={no}")
+        batch.unpersist()
+
+    return states.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class StaleRuns(StatefulProcessor):
@@ -90,6 +140,45 @@ def stale_runs_stream(events: DataFrame, timeout_s: int = 900, delay: str = "1 m
     return own.groupBy("run_id").transformWithStateInPandas(StaleRuns(timeout_s), "run_id long, heartbeat_ms long", "Append", "EventTime")
 
 
+class Checkpoints(StatefulProcessor):
+    """Latest output of each stage of a run; what is older than the one kept, or the same again, changes nothing."""
+
+    def __init__(self, stages: list[str]):
+        self.stages = stages
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getMapState("kept", "stage string", "place long, output string")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        import pandas as pd
+
+        changed = False
+        for pdf in rows:
+            for stage, place, output in zip(pdf["stage"].tolist(), pdf["place"].tolist(), pdf["output"].tolist()):
+                old = self.kept.getValue((stage,)) if self.kept.containsKey((stage,)) else None
+                if old is None or (place, output or "") > (old[0], old[1] or ""):
+                    self.kept.updateValue((stage,), (place, output))
+                    changed = True
+        out = []
+        if changed:
+            done = sorted(k[0] for k in self.kept.keys())  # noqa: SIM118
+            out = [(key[0], done, next((s for s in self.stages if s not in done), None))]
+        yield pd.DataFrame(out, columns=["run_id", "done", "resume_at"]).astype({"run_id": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def checkpoint_stream(events: DataFrame, stages: list[str]) -> DataFrame:
+    """J3. (run_id, done, resume_at) of each run whose checkpoints (run_id, stage, output, place) changed: its stages done and the first of ``stages`` that isn't.
+
+    A run keeps one row a stage.  Of two outputs of a stage the one of the larger ``place`` counts, so replays, repeats
+    and shuffled batches end in the same state.  Needs the RocksDB state store.
+    """
+    own = events.filter("stage is not null and place is not null").select("run_id", "stage", F.col("place").cast("long").alias("place"), F.col("output").cast("string").alias("output"))
+    return own.groupBy("run_id").transformWithStateInPandas(Checkpoints(stages), "run_id long, done array<string>, resume_at string", "Update", "None")
+
+
 def upsert_stream(events: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
     """J3. Keeps the last row of each key: a batch's last rows are appended with their order, and ``latest`` reads them back.
 
@@ -138,10 +227,86 @@ def section_edit_stream(edits: DataFrame) -> DataFrame:
     return edits.groupBy("run_id", "section_key").transformWithStateInPandas(SectionEdits(), "run_id long, section_key string, html string, revision long, accepted boolean", "Append", "None")
 
 
-def incremental_documents(pages: DataFrame, path: str, checkpoint: str, work: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """J5. New pages through a batch operator (verdicts, outlines), exactly once: each batch writes its own folder."""
+class WholeDocuments(StatefulProcessor):
+    """Pages of a document wait for each other; all of them come out once, when the last one is there."""
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pages = handle.getMapState("pages", "page_idx int", "text string")
+        self.done = handle.getValueState("done", "n_pages int")
+
+    def _until(self, ms: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(ms + self.wait_ms)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        import pandas as pd
+
+        pdf = pd.concat(list(rows))
+        self._until(int(pdf["ms"].max()))
+        out = []
+        if not self.done.exists():
+            for page, text in zip(pdf["page_idx"].tolist(), pdf["text"].tolist()):
+                if not self.pages.containsKey((page,)):  # the first of repeated pages
+                    self.pages.updateValue((page,), (text,))
+            n = int(pdf["n_pages"].max())
+            found = {k[0]: v[0] for k, v in self.pages.iterator()}
+            if all(page in found for page in range(n)):
+                out = [(key[0], page, found[page], True) for page in range(n)]
+                self.pages.clear()
+                self.done.update((n,))
+        yield _pages(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        out = [(key[0], k[0], v[0], False) for k, v in self.pages.iterator()]
+        self.pages.clear()
+        self.done.clear()
+        yield _pages(sorted(out, key=lambda x: x[1]))
+
+    def close(self) -> None:
+        pass
+
+
+def _pages(rows: list[tuple]):
+    import pandas as pd
+
+    return pd.DataFrame(rows, columns=["doc_id", "page_idx", "text", "whole"]).astype({"page_idx": "int32", "whole": "bool"})
+
+
+def whole_documents(pages: DataFrame, wait_s: int = 86_400, delay: str = "1 hour") -> DataFrame:
+    """J5. Pages (doc_id string, page_idx, text, n_pages, at) of documents all of whose pages have come, each once: doc_id, page_idx, text, whole.
+
+    However pages are dealt over batches, a document comes out in one.  Repeated pages are dropped, also after it came
+    out; a document that lacks pages ``wait_s`` after its last one comes out with whole = false; then it is forgotten.
+    """
+    own = with_event_time(pages, "at", delay).select("doc_id", F.col("page_idx").cast("int").alias("page_idx"), F.col("n_pages").cast("int").alias("n_pages"), "text", F.unix_millis("at").alias("ms"))
+    own = own.filter("page_idx is not null and n_pages is not null and ms is not null")
+    return own.groupBy("doc_id").transformWithStateInPandas(WholeDocuments(1000 * wait_s), "doc_id string, page_idx int, text string, whole boolean", "Append", "EventTime")
+
+
+def verdicts_and_outlines(pages: DataFrame) -> dict[str, DataFrame]:
+    """Garble verdicts of documents, and the outline entries of those that aren't garbled."""
+    verdicts = doc_garble(pages)
+    good = pages.join(verdicts.filter("not garbled").select("doc_id"), "doc_id", "left_semi")
+    lines = good.select("doc_id", "page_idx", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return {"verdicts": verdicts, "outline": heading_candidates(lines)}
+
+
+def incremental_documents(pages: DataFrame, path: str, checkpoint: str, work: Callable[[DataFrame], dict[str, DataFrame]] = verdicts_and_outlines, wait_s: int = 86_400, delay: str = "1 hour") -> StreamingQuery:
+    """J5. New pages through ``work`` (verdicts, then outlines), a whole document at a time and exactly once.
+
+    Each batch writes its own folder below ``path``/name; pages of documents that stayed incomplete go to ``path``/incomplete.
+    """
 
     def put(batch: DataFrame, no: int) -> None:
-        work(batch).write.mode("overwrite").parquet(f"{path}/batch={no}")
+        batch.persist()
+        whole = batch.filter("whole").drop("whole")
+        for name, df in {**work(whole), "incomplete": batch.filter("not whole").drop("whole")}.items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={no}")
+        batch.unpersist()
 
-    return pages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return whole_documents(pages, wait_s, delay).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
