@@ -114,10 +114,11 @@ def translate_terms(x: Column, terms: dict[str, str] | None = None) -> Column:
         out = v
         for word, english in words:
             out = F.regexp_replace(out, rf"(?iu)(?<![A-Za-zÀ-ÿ])\Q{word}\E(?![A-Za-zÀ-ÿ])", english)
-        # most texts hold no term: one look for all of them
-        return F.when(v.rlike("(?iu)" + "|".join(rf"\Q{word}\E" for word, _ in words)), out).otherwise(v)
+        return out
 
-    return F.coalesce(bound(fix_mojibake(x), translated), F.lit(""))
+    # most texts hold neither a term nor misread letters: one look for all of them
+    some = x.rlike("(?iu)[ÃÂ]|" + "|".join(rf"\Q{word}\E" for word, _ in words))
+    return F.coalesce(F.when(some, bound(fix_mojibake(x), translated)).otherwise(x), F.lit(""))
 
 
 def technique(header: Column, hint: Column, hints: tuple[tuple[str, str], ...] = PARAMETER_HINTS) -> Column:
@@ -143,7 +144,8 @@ def round_value(x: Column) -> Column:
     kept = F.when(number.startswith("."), F.concat(F.lit("0"), number)).when(number.startswith("-."), F.concat(F.lit("-0"), F.substring(number, 2, 1 << 20))).otherwise(number)
     rounded = F.round(F.coalesce(number.try_cast("decimal(30,8)"), number.try_cast("double").cast("decimal(30,8)")), 2).cast("decimal(30,2)").cast("string")
     trimmed = F.regexp_replace(F.regexp_replace(rounded, r"0+$", ""), r"\.$", "")
-    return F.when(~is_number, s).when(short, kept).otherwise(F.when(trimmed == "-0", "0").otherwise(trimmed))
+    # most numbers have their form already
+    return F.when(s.rlike(r"^-?\d+(\.\d{0,2})?$"), s).when(~is_number, s).when(short, kept).otherwise(F.when(trimmed == "-0", "0").otherwise(trimmed))
 
 
 def parameter_label(tech: Column, parameter: Column, units: Column, analyte: Column) -> Column:

@@ -30,8 +30,8 @@ def first_filled_by(column: str, order: Column | str) -> Column:
 
 def ordered_list(value: Column, order: Column, separator: str = ", ") -> Column:
     """Aggregate: values joined in order; null where there are none."""
-    pairs = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v")))))
-    return F.nullif(F.array_join(F.transform(pairs, lambda x: x["v"]), separator), F.lit(""))
+    pairs = F.sort_array(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v")))))
+    return F.nullif(F.array_join(pairs["v"], separator), F.lit(""))
 
 
 def asof_last(items: DataFrame, marks: DataFrame, keys: Sequence[str], at: str, mark_at: str, take: Sequence[str], width: float = PLACES) -> DataFrame:

@@ -127,15 +127,15 @@ def results_pivot(rows: DataFrame, order: Column) -> DataFrame:
 
     ``rows``: request_id, technique, label, sample_id, value.
     """
-    cells = rows.groupBy("request_id", "technique", "label", "sample_id").agg(F.max_by("value", order).alias("value"))
-    # a line has its cells as a map, a request its samples: the rows are read once and no spine is joined
-    lines = cells.groupBy("request_id", "technique", "label").agg(F.map_from_entries(F.collect_list(F.when(F.col("sample_id").isNotNull(), F.struct("sample_id", "value")))).alias("m"), F.max(F.when(F.col("sample_id").isNull(), F.struct("value"))).alias("none"))
-    samples = F.array_distinct(F.flatten(F.collect_list(F.map_keys("m")).over(Window.partitionBy("request_id"))))
-    some = F.max(F.col("none").isNotNull()).over(Window.partitionBy("request_id"))
-    wide = lines.withColumn("s", samples).withColumn("some", some)
+    line = ["request_id", "technique", "label"]
+    cells = rows.repartition(*line).groupBy(*line, "sample_id").agg(F.max_by("value", order).alias("value"))
+    # a line has its cells as a map, a request its samples once; they meet by request
+    lines = cells.groupBy(*line).agg(F.map_from_entries(F.collect_list(F.when(F.col("sample_id").isNotNull(), F.struct("sample_id", "value")))).alias("m"), F.max(F.when(F.col("sample_id").isNull(), F.struct("value"))).alias("none"))
+    samples = rows.groupBy(F.col("request_id").alias("of")).agg(F.collect_set("sample_id").alias("s"), F.bool_or(F.col("sample_id").isNull()).alias("some"))
+    wide = lines.join(samples, F.col("request_id").eqNullSafe(F.col("of")))
     every = F.concat(F.transform("s", lambda s: F.struct(s.alias("sample_id"), F.col("m")[s].alias("value"))), F.when(F.col("some"), F.array(F.struct(F.lit(None).cast("string").alias("sample_id"), F.col("none.value").alias("value")))).otherwise(F.array()))
-    long = wide.select("request_id", "technique", "label", F.explode(every).alias("c"))
-    return long.select("request_id", "technique", "label", "c.sample_id", F.coalesce(F.nullif("c.value", F.lit("")), F.lit(NA)).alias("value"))
+    long = wide.select(*line, F.explode(every).alias("c"))
+    return long.select(*line, "c.sample_id", F.coalesce(F.nullif("c.value", F.lit("")), F.lit(NA)).alias("value"))
 
 
 def prefer_container(rows: DataFrame) -> DataFrame:
@@ -153,9 +153,7 @@ def matrix_cells(rows: DataFrame, order: list[Column]) -> DataFrame:
     """D9. One cell a batch, sample, technique key and leaf: distinct rounded values in first-seen order, and whether any is actual."""
     w = Window.partitionBy("request_id", "batch_id").orderBy(*order)
     numbered = rows.withColumn("ord", F.row_number().over(w)).withColumn("actual", F.col("value_source") == "actual")
-    # labels are read once for all rows of a cell that are alike
-    alike = numbered.groupBy("request_id", "batch_id", "sample_name", "technique", "particle_size", "analyte_name", "result_name", "reported_value").agg(F.min("ord").alias("ord"), F.bool_or("actual").alias("actual"))
-    cells = alike.select(
+    cells = numbered.select(
         "request_id", "batch_id", "sample_name", clean.tech_key(F.col("technique")).alias("tech_key"), clean.leaf_label(F.col("particle_size"), F.col("analyte_name"), F.col("result_name")).alias("leaf"),
         clean.round_value(F.col("reported_value")).alias("value"), "actual", "ord",
     )

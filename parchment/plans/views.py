@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parchment.tables import BROADCAST_ROWS
+
 
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -41,14 +43,18 @@ def stages(spark: SparkSession, sf: str) -> DataFrame:
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """Page texts: a source's documents in order of their id.
 
-    Ids are numbered slice by slice and the slices' counts summed up, so that no task sees a whole source.
+    Ids are numbered slice by slice and the slices' counts summed up, so that no task sees a whole source; texts join
+    their numbers once, which are broadcast where they are few.
     """
-    docs = t(spark, sf, "documents").select("source", "doc_id", "text").withColumn("slice", F.coalesce(F.floor(F.col("doc_id") / 1024), F.lit(-1)))
+    texts = t(spark, sf, "documents").select("doc_id", "text")
+    docs = t(spark, sf, "documents").select("source", "doc_id").withColumn("slice", F.coalesce(F.floor(F.col("doc_id") / 1024), F.lit(-1)))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = docs.groupBy("source", "slice").agg(F.count("*").alias("n")).select(F.col("source").alias("s"), F.col("slice").alias("k"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "slice").orderBy("doc_id")
     numbered = docs.withColumn("n", F.row_number().over(inside)).join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("k")))
-    return numbered.select(F.col("source").alias("doc_id"), (F.col("base") + F.col("n") - 1).cast("int").alias("page_idx"), "text")
+    numbers = numbered.select(F.col("doc_id").alias("id"), F.col("source"), (F.col("base") + F.col("n") - 1).cast("int").alias("page_idx"))
+    numbers = F.broadcast(numbers) if texts.count() <= BROADCAST_ROWS else numbers
+    return texts.join(numbers, F.col("doc_id").eqNullSafe(F.col("id"))).select(F.col("source").alias("doc_id"), "page_idx", "text")
 
 
 def page_lines(spark: SparkSession, sf: str) -> DataFrame:
