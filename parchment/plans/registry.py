@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import batches, layouts, records, reports, texts
+from . import batches, layouts, records, reports, sources, texts
 
-QUERIES: dict = {**reports.QUERIES, **texts.QUERIES, **batches.QUERIES, **layouts.QUERIES, **records.QUERIES}
-ORACLE_SQL: dict = {**reports.ORACLE_SQL, **texts.ORACLE_SQL, **batches.ORACLE_SQL, **layouts.ORACLE_SQL, **records.ORACLE_SQL}
+QUERIES: dict = {**reports.QUERIES, **texts.QUERIES, **batches.QUERIES, **layouts.QUERIES, **records.QUERIES, **sources.QUERIES}
+ORACLE_SQL: dict = {**reports.ORACLE_SQL, **texts.ORACLE_SQL, **batches.ORACLE_SQL, **layouts.ORACLE_SQL, **records.ORACLE_SQL, **sources.ORACLE_SQL}

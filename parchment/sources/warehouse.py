@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from .pack import scan_pack
+
+__all__ = ["admit_files", "extension", "lower_columns", "read_snapshot", "scan_objects", "scan_pack", "scan_text_media", "scan_warehouse", "write_audit", "write_snapshot"]
 
 
 def lower_columns(df: DataFrame) -> DataFrame:
@@ -26,14 +29,6 @@ def scan_warehouse(spark: SparkSession, source: str, table: str, partition: tupl
     return lower_columns(spark.read.parquet(f"{source}/{table}.parquet"))
 
 
-def scan_pack(spark: SparkSession, path: str, schemas: dict[str, StructType | str]) -> dict[str, DataFrame]:
-    """A2. Captured packs, one JSON object of named row arrays a file; an absent name is an empty relation of its schema."""
-    kinds = {n: s if isinstance(s, StructType) else StructType.fromDDL(s) for n, s in schemas.items()}
-    fields = ", ".join(f"`{n}` array<{s.simpleString()}>" for n, s in kinds.items())
-    packs = spark.read.schema(fields).option("multiLine", True).json(path)
-    return {n: packs.select(F.explode(n).alias("r")).select("r.*") for n in kinds}
-
-
 def scan_objects(spark: SparkSession, path: str, ext: str | None = None) -> DataFrame:
     """A3. Files as rows: key, bytes, size; only the wanted extension."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
