@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions import clean, ids
 
-from .helpers import first_filled_by, keep_first, nulls_last, ordered_list
+from .helpers import contains_join, first_filled_by, keep_first, nulls_last, ordered_list
 
 
 def bind_prefix(df: DataFrame, roots: DataFrame, exact: bool = True, pattern: str = r"BA[A-Z]?\d{4,}") -> DataFrame:
@@ -85,10 +85,6 @@ def decode_dict(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
     return out.withColumn(f"{column}_label", F.coalesce("_label", "_raw")).withColumn(f"{column}_confident", F.col("_label").isNotNull() | (F.col("_raw") == "")).drop("_raw", "_label")
 
 
-#: Characters by which ids without a known form are looked up.
-GRAM = 5
-
-
 def short_id(batch: Column) -> Column:
     return F.upper(F.regexp_substr(batch, F.lit(r"BA[A-Z]?\d+")))
 
@@ -96,18 +92,16 @@ def short_id(batch: Column) -> Column:
 def id_exists(wanted: DataFrame, batches: DataFrame, pattern: str = r"[A-Z]+[A-Z]?\d+") -> DataFrame:
     """C12. id, found: whether an id occurs in any batch_id, case-insensitively.
 
-    Ids are looked up by the short ids that batches contain (a hash join).  What isn't found so is joined by its
-    last ``GRAM`` characters with all such stretches of the batches, and compared in full where they are equal.
+    Ids are looked up by the short ids that batches contain (a hash join), and what isn't found so by its rarest run
+    of three characters.
     """
     keys = batches.select(F.explode(F.regexp_extract_all(F.upper("batch_id"), F.lit(f"({pattern})"), 1)).alias("_id")).distinct().withColumn("_hit", F.lit(True))
     first = wanted.select("id").distinct().withColumn("_id", F.upper("id")).join(keys, "_id", "left")
     found = first.filter("_hit").select("id", F.lit(True).alias("found"))
     rest = first.filter("_hit is null").select("id", "_id")
-    gram = F.expr(f"right(_id, {GRAM})")
     hay = batches.select(F.upper("batch_id").alias("_hay")).distinct()
-    starts = F.expr(f"flatten(transform(sequence(1, greatest(1, length(_hay))), i -> transform(sequence(1, {GRAM}), n -> substring(_hay, i, n))))")
-    grams = hay.select("_hay", F.explode(F.array_distinct(starts)).alias("_gram"))
-    hits = rest.filter("_id <> ''").withColumn("_gram", gram).join(grams, "_gram").filter(F.contains("_hay", F.col("_id"))).select("id").union(rest.filter("_id = ''").select("id")).distinct().withColumn("found", F.lit(True))
+    within = contains_join(rest, "_id", hay, "_hay").select("_id").distinct()
+    hits = rest.join(within, "_id", "left_semi").select("id").union(rest.filter("_id = ''").select("id")).distinct().withColumn("found", F.lit(True))
     return found.unionByName(rest.select("id").join(hits, "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("found")))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .helpers import asof_last
+from .scans import PLACES, running
+
 
 def row_counts(pack: dict[str, DataFrame]) -> DataFrame:
     """D21. Rows of each relation."""
@@ -47,6 +50,57 @@ def multiset_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return expected.exceptAll(actual).withColumn("side", F.lit("expected")).unionByName(actual.exceptAll(expected).withColumn("side", F.lit("actual")))
 
 
+def _longest_rise(pdf):
+    """The rows of a block that keep their order: a longest run of growing places."""
+    from bisect import bisect_left
+
+    pdf = pdf.sort_values("e_rank")
+    ends, tails, before = [], [], []
+    for k, place in enumerate(pdf["a_rank"].tolist()):
+        n = bisect_left(ends, place)
+        before.append(tails[n - 1] if n else -1)
+        ends[n : n + 1], tails[n : n + 1] = [place], [k]
+    kept, k = [False] * len(pdf), tails[-1]
+    while k >= 0:
+        kept[k], k = True, before[k]
+    return pdf.assign(kept=kept)
+
+
+def heading_changes(expected: DataFrame, actual: DataFrame, key: str, width: float = PLACES) -> DataFrame:
+    """G3. Headings (key, ord, title) of two versions told apart: (key, title, change, e_ord, a_ord), change being kept, moved, deleted or inserted.
+
+    Titles that occur once on both sides are anchors; a longest run of them in one order is kept, the others have
+    moved.  Titles that repeat are kept where both sides have them between the same kept anchors, as often as they
+    do.  Anchors fall into blocks that no heading has left (the first n places hold the first n headings); only
+    blocks of more than one are looked at as a whole.  Null titles are left out.
+    """
+    e, a = (df.filter("title is not null").select(key, "title", F.col("ord").cast("long").alias(f"{s}_ord")) for df, s in ((expected, "e"), (actual, "a")))
+    once = lambda df, s: df.groupBy(key, "title").agg(F.min(f"{s}_ord").alias(f"{s}_ord"), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
+    line = once(e, "e").join(once(a, "a"), [key, "title"]).withColumn("_one", F.lit(1))
+    for s in "ea":
+        line = running(line, [key], [f"{s}_ord", "title"], "_one", f"{s}_rank", "sum", width)
+    line = running(line, [key], ["e_rank"], "a_rank", "_most", "max", width).withColumn("_end", (F.col("_most") == F.col("e_rank")).cast("int"))
+    line = running(line, [key], ["e_rank"], "_end", "_ends", "sum", width).withColumn("block", F.col("_ends") - F.col("_end"))
+    # a heading in its own place, with all before it before it, is a block by itself
+    line = line.withColumn("_alone", (F.col("e_rank") == F.col("a_rank")) & (F.col("_end") == 1)).select(key, "title", "e_ord", "a_ord", "e_rank", "a_rank", "block", "_alone")
+    blocks = line.filter("not _alone").drop("_alone")
+    found = blocks.groupBy(key, "block").applyInPandas(_longest_rise, f"{', '.join(f'`{n}` {t}' for n, t in blocks.dtypes)}, kept boolean")
+    anchors = found.unionByName(line.filter("_alone").drop("_alone").withColumn("kept", F.lit(True))).select(key, "title", "e_ord", "a_ord", "kept")
+    # repeats: the k-th of a title between two kept anchors on either side
+    kept = anchors.filter("kept").withColumn("_one", F.lit(1))
+    kept = running(kept, [key], ["e_ord", "title"], "_one", "gap", "sum", width)
+
+    def placed(df: DataFrame, s: str) -> DataFrame:
+        rest = df.join(anchors.select(key, "title"), [key, "title"], "left_anti").withColumn("_row", F.monotonically_increasing_id())
+        marks = kept.select(key, F.col(f"{s}_ord").alias("_place"), "gap")
+        inside = asof_last(rest.withColumn("_own", F.col(f"{s}_ord")), marks, [key], "_own", "_place", ["gap"], width).withColumn("gap", F.coalesce("gap", F.lit(0)))
+        return inside.withColumn("_k", F.row_number().over(Window.partitionBy(key, "gap", "title").orderBy(f"{s}_ord", "_row"))).drop("_own", "_row")
+
+    rest = placed(e, "e").join(placed(a, "a"), [key, "gap", "title", "_k"], "full")
+    change = F.when(F.col("a_ord").isNull(), "deleted").when(F.col("e_ord").isNull(), "inserted").otherwise("kept")
+    return anchors.select(key, "title", F.when(F.col("kept"), "kept").otherwise("moved").alias("change"), "e_ord", "a_ord").unionByName(rest.select(key, "title", change.alias("change"), "e_ord", "a_ord"))
+
+
 def cell_similarity(expected: DataFrame, actual: DataFrame, key: str, value: str, least: float = 0.98) -> DataFrame:
     """G4. Multiset Dice ``2 n(A and B) / (n(A) + n(B))`` of the values of each key, and whether it reaches ``least``.
 

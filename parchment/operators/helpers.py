@@ -48,6 +48,22 @@ def asof_last(items: DataFrame, marks: DataFrame, keys: Sequence[str], at: str,
     return carried.select("_item.*", *[F.col(f"_last.{c}").alias(c) for c in take])
 
 
+def contains_join(needles: DataFrame, needle: str, texts: DataFrame, text: str, size: int = 3) -> DataFrame:
+    """(needle, text): distinct pairs of which the text contains the needle; an empty one is in none.
+
+    For short texts (ids, words).  A needle is looked up by the one of its runs of ``size`` characters (a shorter one: by
+    itself) that the fewest texts hold, and compared in full where they meet: what many texts share is no key.
+    """
+    runs = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    own = needles.select(F.col(needle).alias("_needle")).filter("_needle <> ''").distinct()
+    own = own.select("_needle", F.explode(F.when(F.length("_needle") < size, F.array("_needle")).otherwise(F.array_distinct(runs(F.col("_needle"), size)))).alias("_run"))
+    held = texts.select(F.col(text).alias("_text")).filter("_text <> ''").distinct()
+    held = held.select("_text", F.explode(F.array_distinct(F.concat(*[runs(F.col("_text"), n) for n in range(1, size + 1)]))).alias("_run")).join(own.select("_run").distinct(), "_run", "left_semi")
+    often = held.groupBy("_run").agg(F.count("*").alias("_n"))
+    rarest = own.join(often, "_run", "left").groupBy("_needle").agg(F.min_by("_run", F.struct(F.coalesce("_n", F.lit(0)), "_run")).alias("_run"))
+    return rarest.join(held, "_run").filter(F.contains("_text", F.col("_needle"))).select(F.col("_needle").alias(needle), F.col("_text").alias(text))
+
+
 def gap_groups(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: float, name: str = "group_no") -> DataFrame:
     """Number the runs of items whose start is within ``gap`` of all ends so far."""
     w = Window.partitionBy(*keys).orderBy(start, end)

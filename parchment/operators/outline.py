@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions import text as T
 
-from .helpers import asof_last, keep_first
+from .helpers import asof_last, contains_join, keep_first
 from .scans import PLACES, next_greater, running, upper_medians
 
 
@@ -98,9 +98,12 @@ def title_to_page(titles: DataFrame, pages: DataFrame, contents: DataFrame | Non
     same = F.col("_word") == F.col("_w")
     keyed = "doc_id" in titles.columns
     long = t.filter("_w is not null").join(words, F.col("doc_id").eqNullSafe(F.col("_doc")) & same if keyed else same).drop("_word")
-    # titles of one or two words have none: a short list that is held against the pages of its document, or all
-    short, texts = t.filter("_w is null"), pages.select(F.col("doc_id").alias("_doc"), "page_idx", F.lower("text").alias("_text"))
-    short = short.join(texts, F.col("doc_id").eqNullSafe(F.col("_doc"))) if keyed else texts.join(F.broadcast(short), F.contains("_text", F.col("_t"))).withColumn("doc_id", F.col("_doc"))
+    # titles of one or two words have none: their longest word is within a word of the text, found by its rarest run
+    short = t.filter("_w is null").withColumn("_part", F.array_max(F.transform(F.split("_t", "[ \n]"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    holding = contains_join(short, "_part", words, "_word")
+    at = F.col("doc_id").eqNullSafe(F.col("_doc"))
+    short = short.join(holding, "_part").join(words, "_word") if not keyed else short.join(holding, "_part").alias("s").join(words.alias("p"), at & (F.col("s._word") == F.col("p._word")))
+    short = short.withColumn("doc_id", F.col("_doc")).select("doc_id", "ord", "title", "_t", "page_idx").distinct()
     both = long.withColumn("doc_id", F.col("_doc")).select("doc_id", "ord", "title", "_t", "page_idx").unionByName(short.select("doc_id", "ord", "title", "_t", "page_idx"))
     head = F.lower(F.array_join(F.slice(F.split("text", "\n"), 1, 60), "\n"))
     p = pages.select(F.col("doc_id").alias("_doc"), F.col("page_idx").alias("_page"), head.alias("_head"), F.lower("text").alias("_text"))

@@ -31,13 +31,13 @@ def _nulls_last(columns: Sequence[str]) -> list[Column]:
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, how: str = "last", width: float = PLACES) -> DataFrame:
-    """Adds ``name``: the last value that isn't null, or the maximum or minimum (``how``), of the rows up to each one.
+    """Adds ``name``: the last value that isn't null, or the maximum, minimum or sum (``how``), of the rows up to each one.
 
     ``order``: columns, nulls last; the first is a number and a slice spans ``width`` of it.
     """
     by_place = F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"{c}_none"), F.col(c))])
-    total = {"last": F.max_by(value, F.when(F.col(value).isNotNull(), by_place)), "max": F.max(value), "min": F.min(value)}[how]
-    so_far = {"last": lambda c: F.last(c, ignorenulls=True), "max": F.max, "min": F.min}[how]
+    total = {"last": F.max_by(value, F.when(F.col(value).isNotNull(), by_place)), "max": F.max(value), "min": F.min(value), "sum": F.sum(value)}[how]
+    so_far = {"last": lambda c: F.last(c, ignorenulls=True), "max": F.max, "min": F.min, "sum": F.sum}[how]
     own = df.withColumn("_slice", slice_of(F.col(order[0]), width)).withColumn("_row", F.lit(1))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = own.groupBy(*keys, "_slice").agg(total.alias(value)).withColumn(value, so_far(value).over(before)).filter(F.col(value).isNotNull()).withColumn("_row", F.lit(0))

@@ -5,12 +5,13 @@ import random
 
 import pytest
 
+from parchment.operators import compare as C
 from parchment.operators import graph as G
 from parchment.operators import layout as L
 from parchment.operators import outline as O
 from parchment.operators import records as R
 from parchment.operators import scans as S
-from parchment.operators.helpers import asof_last
+from parchment.operators.helpers import asof_last, contains_join
 
 
 def made(seed, n=400):
@@ -152,3 +153,48 @@ def test_pages_over_slices(spark):
     entries = spark.createDataFrame([(1, k, p, 0) for k, p in enumerate([3, None, 9, 2, None, 11, 4])], "doc_id int, ord int, page_idx int, printed_page int")
     offsets, n = spark.createDataFrame([], "doc_id int, offset int"), spark.createDataFrame([(1, 20)], "doc_id int, n_pages int")
     assert [r.page for r in O.monotone_pages(entries, offsets, n, width=2).orderBy("ord").collect()] == [4, 4, 10, 10, 10, 12, 12]
+
+
+def test_texts_with_a_needle(spark):
+    """Any length of needle; runs that nearly every text holds are no help and no harm."""
+    r = random.Random(11)
+    texts = ["".join(r.choice("aaab") for _ in range(r.randrange(0, 12))) for _ in range(60)] + ["né", "xaaaax", None]
+    needles = ["a", "ab", "aab", "aaabaa", "bbbb", "é", "zzz", "", "xaaaax", "xaaaaxx", None]
+    out = contains_join(spark.createDataFrame([(x,) for x in needles * 2], "n string"), "n", spark.createDataFrame([(x,) for x in texts], "t string"), "t").collect()
+    assert sorted((x.n, x.t) for x in out) == sorted({(n, t) for n in needles for t in texts if n and t and n in t})
+
+
+def longest(places):
+    best = []
+    for p in places:
+        best.append(1 + max((b for q, b in zip(places, best) if q < p), default=0))
+    return max(best, default=0)
+
+
+@pytest.mark.parametrize("width", [3, 10_000])
+def test_heading_changes(spark, width):
+    """What keeps its order is as long as can be; every heading of both sides has one change; repeats stay where they are."""
+    r = random.Random(12)
+    e, a = [], []
+    for doc in "xyz":
+        own = [f"h{k}" for k in range(40)]
+        new = [h for h in own if r.random() > 0.1]
+        for _ in range({"x": 0, "y": 3, "z": 40}[doc]):
+            new.insert(r.randrange(len(new)), new.pop(r.randrange(len(new))))
+        for k in range(3):
+            new.insert(r.randrange(len(new)), f"new {k}")
+        e += [(doc, k, h) for k, h in enumerate(own)] + [(doc, 900, "Notes"), (doc, -1, "Notes"), (doc, 950, None)]
+        a += [(doc, 10 * k, h) for k, h in enumerate(new)] + [(doc, 9000, "Notes"), (doc, -10, "Notes"), (doc, 9001, "Notes")]
+    rows = C.heading_changes(spark.createDataFrame(e, "doc string, ord int, title string"), spark.createDataFrame(a, "doc string, ord int, title string"), "doc", width).collect()
+    assert sorted((x.doc, x.e_ord) for x in rows if x.e_ord is not None) == sorted((d, k) for d, k, t in e if t)
+    assert sorted((x.doc, x.a_ord) for x in rows if x.a_ord is not None) == sorted((d, k) for d, k, t in a if t)
+    for doc in "xyz":
+        there = {t: k for d, k, t in a if d == doc}
+        both = [there[t] for d, k, t in e if d == doc and t in there and t != "Notes"]
+        own = [x for x in rows if x.doc == doc]
+        kept = sorted((x.e_ord, x.a_ord) for x in own if x.change == "kept" and x.title != "Notes")
+        assert len(kept) == longest(both) and [p for _, p in kept] == sorted(p for _, p in kept)
+        assert {x.title for x in own if x.change == "deleted"} == {t for d, _, t in e if d == doc and t and t not in there}
+        assert {x.title for x in own if x.change == "inserted"} == {"new 0", "new 1", "new 2", "Notes"}
+        assert sorted((x.e_ord, x.a_ord) for x in own if x.title == "Notes" and x.change == "kept") == [(-1, -10), (900, 9000)]
+    assert not [x for x in rows if x.doc == "x" and x.change == "moved"]
