@@ -164,6 +164,8 @@ class Reader:
 
     def __init__(self, restorer: Restorer, known: dict[str, float] | None = None):
         self.restorer, self.known, self.memo = restorer, known, {}
+        #: lengths of known words of three letters or more
+        self.lengths = sorted({len(k) for k in known or () if not k.endswith("*") and len(k) > 2})
 
     def _features(self, chunk: str) -> tuple[str, ...]:
         """Of the chunk as written and as restored."""
@@ -182,8 +184,7 @@ class Reader:
         if self.known is None:
             return self._features(letters)
         forms = {letters, self.restorer.word(letters)} if suspicious(letters) else {letters}
-        parts = {f[a:b] for f in forms for a in range(len(f)) for b in range(a + 3, min(len(f), a + 20) + 1)}
-        found = {p for p in parts if p in self.known}
+        found = {p for f in forms for n in self.lengths for a in range(len(f) - n + 1) if (p := f[a : a + n]) in self.known}
         for f in forms:
             heads = {a: own for a in range(len(f) - 4) if (own := [x for x in stems(f[a : a + 7])[1:] if x in self.known])}
             if heads:

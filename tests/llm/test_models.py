@@ -295,3 +295,13 @@ def test_vectors_against_brute_force(spark):
     for k in (2001, 2002, 2003, 2004, 2005, 2006, 2007):
         assert (out[k].n_links, out[k].component_id, out[k].kept) == (0, k, True)
     assert link_vectors(spark.createDataFrame([], VEC)).collect() == []
+
+
+def test_long_words_are_found_spaced():
+    """Whole words of any length inside spaced letters."""
+    from parchment.llm.toxicity import Reader
+
+    word = "antidisestablishmentarianism"
+    reader = Reader(Restorer([]), {word: 0.9, "clown": 0.9})
+    assert reader.features(" ".join(word)) == {word}
+    assert reader.features("so " + " ".join("xx" + word + "clown") + " it is") == {word, "clown"}
