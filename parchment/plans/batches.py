@@ -117,7 +117,7 @@ def material_properties(spark: SparkSession, sf: str) -> DataFrame:
 def quality_standards(spark: SparkSession, sf: str) -> DataFrame:
     """Two chained left joins; references without a lot keep a null name."""
     p = V.t(spark, sf, "orders").select(F.col("o_orderkey").alias("ref_id"), F.when(F.col("o_orderkey") % 2 == 0, "qualityStandardRef").otherwise("other").alias("parameter_ref"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("value"))
-    c = V.t(spark, sf, "orders").filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("component_id"), F.concat(F.lit("urn:batch:"), (F.col("o_custkey") * 2).cast("string")).alias("component_ref"))
+    c = V.t(spark, sf, "orders").select(F.col("o_orderkey").alias("component_id"), F.concat(F.lit("urn:batch:"), (F.col("o_custkey") * 2).cast("string")).alias("component_ref"))
     lots = V.t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("displayname"))
     return B.quality_standard(p, c, lots)
 
@@ -185,8 +185,8 @@ def batch_flags(spark: SparkSession, sf: str) -> DataFrame:
     unit = F.when(F.col("o_orderkey") % 2 == 0, "http://qudt.org/vocab/unit/L").otherwise("urn:unit:9")
     code = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "BAX").otherwise("BA"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0"))
     info = o.select(code.alias("root"), F.when(F.col("o_custkey") % 4 != 0, "5").alias("batch_size"), unit.alias("batch_size_unit"), F.lit("").alias("dose_strength"), unit.alias("dose_strength_unit"), F.when(F.col("o_custkey") % 5 == 0, "1.1").alias("density"), unit.alias("density_unit"))
-    comp = o.filter("o_orderkey % 10 <> 0").select(code.alias("root"))
-    parts = o.filter("o_custkey % 6 <> 0").select(code.alias("root"), F.when(F.col("o_custkey") % 3 == 0, "packaging").otherwise("substance").alias("kind"))
+    comp = o.filter("o_orderstatus <> 'P'").select(code.alias("root"))
+    parts = o.filter("o_orderpriority <> '5-LOW'").select(code.alias("root"), F.when(F.col("o_orderpriority") == "1-URGENT", "packaging").otherwise("substance").alias("kind"))
     stages = o.select(code.alias("root"), F.lit("urn:op:7").alias("unit_operation"), (F.col("o_custkey") % 2 == 0).alias("confident"))
     return B.batch_flags(info, comp, parts, stages)
 
@@ -205,8 +205,8 @@ def measured_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def requests_with_data(spark: SparkSession, sf: str) -> DataFrame:
     """By the validation count, else by any row; a null count is 0."""
-    o = V.t(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"), "o_custkey")
-    validation = o.filter("o_custkey % 3 <> 0").select("request_id", _case(F.col("o_custkey") % 4, "0", F.lit(None).cast("string"), "7", other="many").alias("result_rows"))
+    o = V.t(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"), "o_custkey", "o_orderstatus")
+    validation = o.filter("o_orderstatus <> 'F'").select("request_id", _case(F.col("o_custkey") % 4, "0", F.lit(None).cast("string"), "7", other="many").alias("result_rows"))
     return R.has_data_results(o, validation, V.t(spark, sf, "lineitem").filter("l_quantity > 30").select(F.col("l_orderkey").alias("request_id")))
 
 
@@ -283,7 +283,7 @@ SELECT root, {', '.join(f"count(*) FILTER (WHERE kind = '{x}') AS n_{x}" for x i
 CASE WHEN l_partkey % 3 = 0 THEN 'Step ' || lpad(CAST(ord AS VARCHAR), 3, '0') ELSE CASE l_suppkey % 5 WHEN 0 THEN 'Mixing' WHEN 1 THEN 'Filling' WHEN 2 THEN 'Filtration' ELSE 'urn:op:' || (l_suppkey % 5) END END AS unit_operation, l_partkey % 3 = 0 OR l_suppkey % 5 < 3 AS confident, ord AS stage_index FROM ln""",
     "decoded_status": "SELECT o_orderkey, v AS region, CASE WHEN v = '' THEN '' ELSE coalesce(r_name, v) END AS region_label, v = '' OR r_name IS NOT NULL AS region_confident FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE CAST(o_custkey % 8 AS VARCHAR) END AS v FROM orders) LEFT JOIN region ON CAST(r_regionkey AS VARCHAR) = v",
     "material_properties": "SELECT p_partkey AS material_id, p_brand AS value FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)",
-    "quality_standards": "SELECT o_orderkey AS ref_id, o_orderpriority AS quality_standard, p_name AS component_name FROM orders LEFT JOIN part ON o_orderkey % 3 <> 0 AND p_partkey = o_custkey * 2 WHERE o_orderkey % 2 = 0 AND o_orderstatus <> 'P'",
+    "quality_standards": "SELECT o_orderkey AS ref_id, o_orderpriority AS quality_standard, p_name AS component_name FROM orders LEFT JOIN part ON p_partkey = o_custkey * 2 WHERE o_orderkey % 2 = 0 AND o_orderstatus <> 'P'",
     "picked_parameters": "SELECT p_partkey, p_brand AS parameter_ref FROM part WHERE p_brand IN ('Brand#11', 'Brand#23', 'Brand#5', 'Brand#1')",
     "last_values": f"WITH {_LINES} SELECT root, CASE WHEN l_partkey % 3 < 2 THEN 'density' ELSE 'ph' END AS name, CAST(arg_max(l_partkey, ord) AS VARCHAR) AS value FROM ln WHERE l_suppkey % 4 <> 0 GROUP BY 1, 2",
     "batches_with_data": "SELECT o_orderkey AS root, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49 OR l_returnflag = 'R' AND l_quantity < 3) AS has_data FROM orders",
@@ -298,11 +298,11 @@ coalesce(CASE WHEN hd.root % 2 <> 0 AND o_custkey % 3 = 0 THEN CAST(o_custkey AS
 SELECT root, CAST(ord AS INTEGER) AS ord, parameter, CASE ord WHEN 0 THEN CASE WHEN root % 3 = 0 THEN '—' ELSE CAST(root % 50 AS VARCHAR) END WHEN 1 THEN coalesce(nullif(dose_form_label, ''), nullif(dose_form_code, ''), '—') WHEN 2 THEN dose_mg WHEN 3 THEN CASE WHEN root % 6 = 0 THEN 'Bag' ELSE coalesce(nullif(container, ''), '—') END ELSE '—' END AS value FROM hd, p""",
     "batch_flags": """WITH o AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'BAX' ELSE 'BA' END || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS root, * FROM orders), f AS (
 SELECT root, 1 AS rule_no, 'general_info' AS area, 'batch_size unit not decoded: urn:unit:9' AS message FROM o WHERE o_custkey % 4 <> 0 AND o_orderkey % 2 <> 0 UNION ALL SELECT root, 3, 'general_info', 'density unit not decoded: urn:unit:9' FROM o WHERE o_custkey % 5 = 0 AND o_orderkey % 2 <> 0
-UNION ALL SELECT root, 4, 'stages', 'operation not decoded: urn:op:7' FROM o WHERE o_custkey % 2 <> 0 UNION ALL SELECT root, 5, 'composition', 'no composition' FROM o WHERE o_orderkey % 10 = 0
-UNION ALL SELECT root, 6, 'components', 'no drug-substance lot' FROM o WHERE o_custkey % 3 = 0 UNION ALL SELECT root, 7, 'header', 'manual registration' FROM o WHERE o_orderkey % 3 <> 0) SELECT root, rule_no, 'warn' AS severity, area, message FROM f""",
+UNION ALL SELECT root, 4, 'stages', 'operation not decoded: urn:op:7' FROM o WHERE o_custkey % 2 <> 0 UNION ALL SELECT root, 5, 'composition', 'no composition' FROM o WHERE o_orderstatus = 'P'
+UNION ALL SELECT root, 6, 'components', 'no drug-substance lot' FROM o WHERE o_orderpriority IN ('1-URGENT', '5-LOW') UNION ALL SELECT root, 7, 'header', 'manual registration' FROM o WHERE o_orderkey % 3 <> 0) SELECT root, rule_no, 'warn' AS severity, area, message FROM f""",
     "bound_requests": f"WITH {V.SQL['results']} SELECT request_id, list(DISTINCT sample_id ORDER BY sample_id) AS samples FROM results WHERE request_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1",
     "measured_names": "SELECT p_partkey, CASE p_partkey % 6 WHEN 3 THEN 'Density' WHEN 5 THEN 'Purity' END AS result_name FROM part WHERE p_partkey % 6 >= 3",
-    "requests_with_data": "SELECT o_orderkey AS request_id, CASE WHEN o_custkey % 3 <> 0 AND o_custkey % 4 < 3 THEN o_custkey % 4 = 2 ELSE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30) END AS has_data FROM orders",
+    "requests_with_data": "SELECT o_orderkey AS request_id, CASE WHEN o_orderstatus <> 'F' AND o_custkey % 4 < 3 THEN o_custkey % 4 = 2 ELSE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30) END AS has_data FROM orders",
     "stability_rows": f"""WITH {V.SQL['results']} SELECT request_id, experiment_id, sample_id, result_name, reported_value,
 CAST(row_number() OVER (PARTITION BY request_id ORDER BY technique, batch_id, sample_name, particle_size NULLS LAST, result_name, reported_value, value_source, experiment_id, sample_id, detail_context) AS INTEGER) AS report_no,
 CAST(row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN timepoint LIKE 'Day%' THEN 0 ELSE 1 END, CAST(regexp_extract(timepoint, '[0-9]+') AS INTEGER), CASE storage WHEN '5C' THEN 0 WHEN '25C' THEN 1 ELSE 9 END, sample_name, technique, batch_id, particle_size NULLS LAST, result_name, reported_value, value_source, experiment_id, sample_id, detail_context) AS INTEGER) AS stability_no FROM rows_""",

@@ -48,15 +48,17 @@ def stage_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resume_points(spark: SparkSession, sf: str) -> DataFrame:
-    """J3 in batch form."""
-    e = V.t(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.element_at(F.lit(STAGES), (F.col("event_id") % 3 + 1).cast("int")).alias("stage"), F.col("event_type").alias("output"), "event_id")
-    return R.resume_points(e.filter("event_id % 5 <> 0"), _stages(spark), ["event_id"])
+    """J3 in batch form: three kinds of events are checkpoints of the stages."""
+    kind = F.col("event_type")
+    stage = F.when(kind == "signup", STAGES[0]).when(kind == "click", STAGES[1]).when(kind == "purchase", STAGES[2])
+    e = V.t(spark, sf, "events").select(F.col("user_id").alias("run_id"), stage.alias("stage"), F.col("props").alias("output"), "event_id")
+    return R.resume_points(e.filter("stage is not null"), _stages(spark), ["event_id"])
 
 
 def attached_files(spark: SparkSession, sf: str) -> DataFrame:
     """A10, A8."""
     files = V.t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.concat(F.lit("up/"), F.col("l_partkey").cast("string"), F.lit(".pdf")).alias("filename"), F.when(F.col("l_suppkey") % 2 == 0, "input").otherwise("output").alias("kind"), F.col("l_quantity").alias("size"))
-    return R.attach_files(_orders(spark, sf).filter("c % 2 = 0").select(F.col("k").alias("run_id")), files)
+    return R.attach_files(_orders(spark, sf).filter("o_orderstatus <> 'P'").select(F.col("k").alias("run_id")), files)
 
 
 def previews(spark: SparkSession, sf: str) -> DataFrame:
@@ -207,9 +209,9 @@ ORACLE_SQL = {
     "version_numbers": f"WITH {V.SQL['versions']} SELECT run_id, section_key, version_num AS t, version_num FROM versions WHERE version_num > 2",
     "restored_versions": f"""WITH {V.SQL['versions']}, s AS (SELECT run_id, section_key, max(version_num) AS n FROM versions GROUP BY 1, 2) SELECT run_id, section_key, CASE WHEN n >= 2 THEN n + 1 ELSE 2 END AS version_num, CASE WHEN n >= 2 THEN 'Restored v2' ELSE 'rejected' END AS label FROM s""",
     "stage_progress": f"""WITH {_O}, s AS (SELECT unnest(range(3))::INTEGER AS ord) SELECT k AS run_id, {_STAGE.format('ord')} AS stage, ord, CASE WHEN o_orderstatus NOT IN ('O', 'F') OR ord < c % 3 THEN 'complete' WHEN o_orderstatus = 'F' AND ord = c % 3 THEN 'invalid' ELSE 'incomplete' END AS state FROM o, s""",
-    "resume_points": f"""WITH e AS (SELECT DISTINCT user_id AS run_id, event_id % 3 AS s FROM events WHERE event_id % 5 <> 0), d AS (SELECT run_id, list({_STAGE.format('s')} ORDER BY {_STAGE.format('s')}) AS done, list(s) AS n FROM e GROUP BY 1)
+    "resume_points": f"""WITH e AS (SELECT DISTINCT user_id AS run_id, CASE event_type WHEN 'signup' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 END AS s FROM events WHERE event_type IN ('signup', 'click', 'purchase')), d AS (SELECT run_id, list({_STAGE.format('s')} ORDER BY {_STAGE.format('s')}) AS done, list(s) AS n FROM e GROUP BY 1)
 SELECT run_id, done, CASE WHEN NOT list_contains(n, 0) THEN 'ingest' WHEN NOT list_contains(n, 1) THEN 'outline' WHEN NOT list_contains(n, 2) THEN 'build' END AS resume_at FROM d""",
-    "attached_files": "SELECT l_orderkey AS run_id, 'up/' || l_partkey || '.pdf' AS filename, CASE WHEN l_suppkey % 2 = 0 THEN 'input' ELSE 'output' END AS kind, CAST(l_quantity AS BIGINT) AS size, l_orderkey || CASE WHEN l_suppkey % 2 = 0 THEN '/input/' ELSE '/output/' END || l_partkey || '.pdf' AS key FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 2 = 0)",
+    "attached_files": "SELECT l_orderkey AS run_id, 'up/' || l_partkey || '.pdf' AS filename, CASE WHEN l_suppkey % 2 = 0 THEN 'input' ELSE 'output' END AS kind, CAST(l_quantity AS BIGINT) AS size, l_orderkey || CASE WHEN l_suppkey % 2 = 0 THEN '/input/' ELSE '/output/' END || l_partkey || '.pdf' AS key FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')",
     "previews": f"WITH {_O} SELECT c AS run_id, min(k) AS file_id, 'r' || min(k) || '.PDF' AS filename FROM o WHERE k % 2 = 0 AND k % 3 <> 0 AND k % 5 <> 0 GROUP BY 1",
     "searched_runs": f"WITH {_O} SELECT k, 'Run ' || k AS id FROM o WHERE contains(lower(o_orderpriority || ' ' || o_orderstatus || ' Run ' || k), '7') AND contains(lower(o_orderpriority), 'high')",
     "prompt_texts": "SELECT p_partkey AS prompt_key, CASE WHEN p_size > 20 AND p_size % 2 <> 0 THEN p_brand ELSE p_name END AS text, p_size > 20 AND p_size % 2 <> 0 AS overridden FROM part",

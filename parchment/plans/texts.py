@@ -178,7 +178,7 @@ def fan_out(spark: SparkSession, sf: str) -> DataFrame:
 def parse_responses(spark: SparkSession, sf: str) -> DataFrame:
     """K3 over a fenced reply, one with words around it and, every third, a broken one."""
     e = V.t(spark, sf, "events")
-    reply = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Here it is: "), "props")).otherwise(F.substring("props", 1, 3))
+    reply = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Here it is: "), "props")).otherwise(F.translate("props", "{}", "()"))
     return J.parse_replies(e.select("event_id", reply.alias("reply"))).select("event_id", "reason", "truncated")
 
 
