@@ -9,6 +9,7 @@ from parchment.functions import text as T
 
 from .graph import components
 from .helpers import area, gap_groups, iou, keep_first, meeting, rect_join
+from .scans import PLACES, next_greater, running
 
 PAGE = ["doc_id", "page_idx"]
 
@@ -88,32 +89,39 @@ def caption_near(regions: DataFrame, texts: DataFrame, pattern: str, above: bool
     return r.select(*PAGE, "id", F.get(hit, F.size(hit) - 1 if above else F.lit(0)).alias("caption"))
 
 
-def stitch_table_pages(tables: DataFrame) -> DataFrame:
-    """C25. Uncaptioned tables take the ref of the captioned one (or one stitched to it) one or two pages back that overlaps half their width.
-
-    ``tables``: doc_id, page_idx, id, ref (null: uncaptioned), x0, x1, near_figure.  A document's tables are few;
-    they are folded in page order by document.
+def _stitched(pdf):
+    """Refs of the tables of a stretch of pages, in page order; ``seen`` is the place of a ref's first caption."""
+    pdf = pdf.sort_values(["page_idx", "id"]).reset_index(drop=True)
+    last: dict[str, tuple] = {}  # of each ref: place of its first caption, and page and sides of its latest table
+    refs = []
+    for t in pdf.itertuples():
+        ref, seen = t.ref, t.seen
+        if ref is None and not t.near_figure and t.x1 > t.x0:
+            near = [(-page, first, r) for r, (first, page, x0, x1) in last.items() if 1 <= t.page_idx - page <= 2 and (min(x1, t.x1) - max(x0, t.x0)) / (t.x1 - t.x0) >= 0.5]
+            ref = min(near)[2] if near else None
+            seen = last[ref][0] if near else None
+        if ref is not None:
+            last[ref] = (seen, t.page_idx, t.x0, t.x1)
+        refs.append(ref)
+    pdf["stitched_ref"] = refs
+    return pdf.drop(columns=["seen", "stretch"])
+
+
+def stitch_table_pages(tables: DataFrame, width: float = PLACES) -> DataFrame:
+    """C25. Uncaptioned tables take the ref of which the latest table (captioned, or stitched to it) is one or two pages back and covers half their width.
+
+    Of several the latest page's counts, on one page the ref that was captioned first in the document.  ``tables``:
+    doc_id, page_idx, id, ref (null: uncaptioned), x0, x1, near_figure.  Nothing reaches over two pages without a
+    table, so a document falls into stretches of pages that are stitched apart; only a stretch is folded in order.
     """
-
-    def stitch(pdf):
-        pdf = pdf.sort_values(["page_idx", "id"]).reset_index(drop=True)
-        known: list[tuple[int, float, float, str]] = []
-        refs = []
-        for t in pdf.itertuples():
-            ref = t.ref
-            if ref is None and not t.near_figure and t.x1 > t.x0:
-                for page, x0, x1, r in reversed(known):
-                    if 1 <= t.page_idx - page <= 2 and (min(x1, t.x1) - max(x0, t.x0)) / (t.x1 - t.x0) >= 0.5:
-                        ref = r
-                        break
-            if ref is not None:
-                known.append((t.page_idx, t.x0, t.x1, ref))
-            refs.append(ref)
-        pdf["stitched_ref"] = refs
-        return pdf
-
-    columns = tables.select("doc_id", "page_idx", "id", "ref", "x0", "x1", "near_figure")
-    return columns.groupBy("doc_id").applyInPandas(stitch, f"{', '.join(f'{n} {t}' for n, t in columns.dtypes)}, stitched_ref string")
+    columns = tables.select("doc_id", F.col("page_idx").cast("long").alias("page_idx"), "id", "ref", "x0", "x1", "near_figure")
+    pages = columns.select("doc_id", (-F.col("page_idx")).alias("_back")).distinct()
+    pages = next_greater(pages, ["doc_id"], "_back", "_before", width).select("doc_id", (-F.col("_back")).alias("page_idx"), F.coalesce(F.col("_before") - F.col("_back") > 2, F.lit(True)).cast("int").alias("_begins"))
+    pages = running(pages, ["doc_id"], ["page_idx"], "_begins", "stretch", "sum", width).select("doc_id", "page_idx", "stretch")
+    place = F.concat(F.lpad(F.col("page_idx").cast("string"), 20, "0"), F.lit("/"), F.lpad(F.col("id").cast("string"), 20, "0"))
+    seen = columns.filter("ref is not null").groupBy("doc_id", "ref").agg(F.min(place).alias("seen"))
+    placed = columns.join(pages, ["doc_id", "page_idx"]).join(seen, ["doc_id", "ref"], "left").select(*columns.columns, "stretch", "seen")
+    return placed.groupBy("doc_id", "stretch").applyInPandas(_stitched, f"{', '.join(f'{n} {t}' for n, t in columns.dtypes)}, stitched_ref string")
 
 
 def figure_caption_by_overlap(figures: DataFrame, model: DataFrame, near: DataFrame) -> DataFrame:

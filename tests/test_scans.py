@@ -198,3 +198,27 @@ def test_heading_changes(spark, width):
         assert {x.title for x in own if x.change == "inserted"} == {"new 0", "new 1", "new 2", "Notes"}
         assert sorted((x.e_ord, x.a_ord) for x in own if x.title == "Notes" and x.change == "kept") == [(-1, -10), (900, 9000)]
     assert not [x for x in rows if x.doc == "x" and x.change == "moved"]
+
+
+@pytest.mark.parametrize("width", [3, 10_000])
+def test_tables_stitched_over_pages(spark, width):
+    """The latest page counts, on one page the ref captioned first; a ref's latest table is the one to go on from; two empty pages end all."""
+    T = "doc_id int, page_idx int, id int, ref string, x0 double, x1 double, near_figure boolean"
+    named = [(1, 0, 1, "b", 0.0, 50.0, False), (1, 0, 2, "a", 0.0, 50.0, False), (1, 1, 3, None, 0.0, 35.0, False), (1, 2, 4, None, 30.0, 50.0, False), (1, 3, 5, None, 0.0, 40.0, True), (1, 4, 6, None, 30.0, 50.0, False), (1, 7, 7, None, 30.0, 50.0, False)]
+    r = random.Random(13)
+    rows = named + [(2, r.randrange(60), k, r.choice([None, None, "3", "4", "5"]), x := r.uniform(0, 50), x + r.choice([0, 10, 60]), r.random() < 0.1) for k in range(120)]
+    expected, last = {}, {}
+    for d, p, k, ref, x0, x1, near in sorted(rows, key=lambda t: t[:3]):
+        own = last.setdefault(d, {})
+        if ref is None and not near and x1 > x0:
+            best = -1
+            for other, (q, a, b) in own.items():
+                if 1 <= p - q <= 2 and (min(b, x1) - max(a, x0)) / (x1 - x0) >= 0.5 and q > best:
+                    best, ref = q, other
+        if ref is not None:
+            own[ref] = (p, x0, x1)
+        expected[d, k] = ref
+    out = {(x.doc_id, x.id): x.stitched_ref for x in L.stitch_table_pages(spark.createDataFrame(rows, T), width).collect()}
+    assert out == expected
+    # page 2 goes on from "a", as the latest table of "b" is page 1's, which it doesn't cover by half
+    assert [out[1, k] for k in range(1, 8)] == ["b", "a", "b", "a", None, "a", None]
