@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parchment.functions import text as T
 
 from .graph import components
-from .helpers import area, gap_groups, iou, keep_first, meeting, rect_join
+from .helpers import area, asof_last, gap_groups, iou, keep_first, meeting, rect_join
 from .scans import PLACES, next_greater, running
 
 PAGE = ["doc_id", "page_idx"]
@@ -149,11 +149,11 @@ def fill_missing_media(captured: DataFrame, model: DataFrame) -> DataFrame:
 
 def expand_figure_box(detected: DataFrame, model: DataFrame) -> DataFrame:
     """C34. A figure's box united with the first captioned model box that covers 0.30 of its width and 0.20 of its height."""
-    m = model.filter("ref is not null").select(*PAGE, F.col("ord").alias("m_ord"), *[F.col(c).alias(f"m_{c}") for c in ("x0", "y0", "x1", "y1")])
-    both = detected.join(m, PAGE)
-    wide = (F.least("x1", "m_x1") - F.greatest("x0", "m_x0")) / (F.col("x1") - F.col("x0"))
-    high = (F.least("y1", "m_y1") - F.greatest("y0", "m_y0")) / (F.col("y1") - F.col("y0"))
-    first = both.filter((wide >= 0.30) & (high >= 0.20)).groupBy(*PAGE, "id").agg(F.min_by(F.struct("m_x0", "m_y0", "m_x1", "m_y1"), "m_ord").alias("m"))
+    sides = ("x0", "y0", "x1", "y1")
+    both = meeting(detected.select(*PAGE, "id", *sides), model.filter("ref is not null").select(*PAGE, "ord", *sides), PAGE)
+    wide = (F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")) / (F.col("a_x1") - F.col("a_x0"))
+    high = (F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0")) / (F.col("a_y1") - F.col("a_y0"))
+    first = both.filter((wide >= 0.30) & (high >= 0.20)).groupBy(*PAGE, F.col("a_id").alias("id")).agg(F.min_by(F.struct(*[F.col(f"b_{c}").alias(f"m_{c}") for c in sides]), "b_ord").alias("m"))
     out = detected.join(first, [*PAGE, "id"], "left")
     return out.select(*PAGE, "id", *[F.coalesce((F.least if c.endswith("0") else F.greatest)(F.col(c), F.col(f"m.m_{c}")), F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
@@ -239,19 +239,21 @@ def expand_clip(boxes: DataFrame, footer: float = 10.0) -> DataFrame:
 def asof_heading_y(items: DataFrame, headings: DataFrame) -> DataFrame:
     """C15. Items with the nearest heading above them on their page; where all are below, the entry before the page's first."""
     h = headings.select(*PAGE, "ord", "title", F.col("y0").alias("hy"))
-    on_page = items.join(h, PAGE, "left")
-    best = on_page.groupBy(*PAGE, "id").agg(F.max_by(F.struct("ord", "title"), F.when(F.col("hy") <= F.col("y0"), F.struct("hy", "ord"))).alias("above"), F.min("ord").alias("first"))
-    before = headings.groupBy("doc_id", "ord").agg(F.min("title").alias("before_title"))
-    out = best.join(before.withColumn("first", F.col("ord") + 1).drop("ord"), ["doc_id", "first"], "left")
-    return out.select(*PAGE, "id", F.coalesce("above.title", "before_title").alias("title"))
+    above = asof_last(items.select(*PAGE, "id", "y0"), h, PAGE, "y0", "hy", ["title"])
+    first = h.groupBy(*PAGE).agg(F.min("ord").alias("first"))
+    before = headings.groupBy("doc_id", "ord").agg(F.min("title").alias("before_title")).select("doc_id", (F.col("ord") + 1).alias("first"), "before_title")
+    out = above.join(first, PAGE, "left").join(before, ["doc_id", "first"], "left")
+    return out.select(*PAGE, "id", F.coalesce("title", "before_title").alias("title"))
 
 
 def preceding_anchor(items: DataFrame, blocks: DataFrame) -> DataFrame:
     """C16. Last 60 characters of the nearest block of ten or more characters above an item, else of a short one; no watermarks or page numbers."""
     b = blocks.filter(~F.substring("text", 1, 120).rlike(T.WATERMARK) & ~F.trim("text").rlike(T.PAGE_NUMBER)).select(*PAGE, F.trim("text").alias("text"), F.col("y1").alias("by1"))
-    pairs = items.select(*PAGE, "id", "y0").join(b, PAGE).filter(F.col("by1") <= F.col("y0") + 2)
-    best = pairs.groupBy(*PAGE, "id").agg(F.max_by("text", F.struct((F.length("text") >= 10).alias("long"), "by1", "text")).alias("text"))
-    return best.select(*PAGE, "id", F.substring("text", F.greatest(F.lit(1), F.length("text") - 59), F.lit(60)).alias("anchor"))
+    found = items.select(*PAGE, "id", (F.col("y0") + 2).alias("reach"))
+    for name, own in (("far", b.filter(F.length("text") >= 10)), ("near", b.filter(F.length("text") < 10))):
+        found = asof_last(found, own.groupBy(*PAGE, "by1").agg(F.max("text").alias(name)), PAGE, "reach", "by1", [name])
+    text = F.coalesce("far", "near")
+    return found.filter(text.isNotNull()).select(*PAGE, "id", F.substring(text, F.greatest(F.lit(1), F.length(text) - 59), F.lit(60)).alias("anchor"))
 
 
 def formula_bands(lines: DataFrame) -> DataFrame:
