@@ -62,7 +62,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The toxicity and language models, connected components and the tokenizer are beyond SQL; ``tests/llm/test_pipeline.py`` holds the stages against brute force.
+#: The toxicity and language models, connected components and the tokenizer are beyond SQL; ``tests/llm/test_pipeline.py`` holds near duplicates and decontamination against brute force, toxicity, language and packing against a plain loop over the library's own reader, parser and tokenizer, which have tests of their own.
 ORACLE_SQL = None
 
 
