@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchment.tables import saved
+
 from .helpers import asof_last
 from .scans import PLACES, running
 
@@ -76,19 +78,20 @@ def heading_changes(expected: DataFrame, actual: DataFrame, key: str, width: flo
     """
     e, a = (df.filter("title is not null").select(key, "title", F.col("ord").cast("long").alias(f"{s}_ord")) for df, s in ((expected, "e"), (actual, "a")))
     once = lambda df, s: df.groupBy(key, "title").agg(F.min(f"{s}_ord").alias(f"{s}_ord"), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
-    line = once(e, "e").join(once(a, "a"), [key, "title"]).withColumn("_one", F.lit(1))
+    # each step reads its rows twice, so the one before is a written table
+    line = saved(once(e, "e").join(once(a, "a"), [key, "title"]).withColumn("_one", F.lit(1)), "anchors")
     for s in "ea":
-        line = running(line, [key], [f"{s}_ord", "title"], "_one", f"{s}_rank", "sum", width)
-    line = running(line, [key], ["e_rank"], "a_rank", "_most", "max", width).withColumn("_end", (F.col("_most") == F.col("e_rank")).cast("int"))
+        line = saved(running(line, [key], [f"{s}_ord", "title"], "_one", f"{s}_rank", "sum", width), "ranks")
+    line = saved(running(line, [key], ["e_rank"], "a_rank", "_most", "max", width).withColumn("_end", (F.col("_most") == F.col("e_rank")).cast("int")), "places")
     line = running(line, [key], ["e_rank"], "_end", "_ends", "sum", width).withColumn("block", F.col("_ends") - F.col("_end"))
     # a heading in its own place, with all before it before it, is a block by itself
     line = line.withColumn("_alone", (F.col("e_rank") == F.col("a_rank")) & (F.col("_end") == 1)).select(key, "title", "e_ord", "a_ord", "e_rank", "a_rank", "block", "_alone")
     blocks = line.filter("not _alone").drop("_alone")
     found = blocks.groupBy(key, "block").applyInPandas(_longest_rise, f"{', '.join(f'`{n}` {t}' for n, t in blocks.dtypes)}, kept boolean")
-    anchors = found.unionByName(line.filter("_alone").drop("_alone").withColumn("kept", F.lit(True))).select(key, "title", "e_ord", "a_ord", "kept")
+    anchors = saved(found.unionByName(line.filter("_alone").drop("_alone").withColumn("kept", F.lit(True))).select(key, "title", "e_ord", "a_ord", "kept"), "kept-anchors")
     # repeats: the k-th of a title between two kept anchors on either side
     kept = anchors.filter("kept").withColumn("_one", F.lit(1))
-    kept = running(kept, [key], ["e_ord", "title"], "_one", "gap", "sum", width)
+    kept = saved(running(kept, [key], ["e_ord", "title"], "_one", "gap", "sum", width), "gaps")
 
     def placed(df: DataFrame, s: str) -> DataFrame:
         rest = df.join(anchors.select(key, "title"), [key, "title"], "left_anti").withColumn("_row", F.monotonically_increasing_id())
@@ -113,20 +116,20 @@ def cell_similarity(expected: DataFrame, actual: DataFrame, key: str, value: str
 
 
 def ordered_similarity(expected: DataFrame, actual: DataFrame, key: str, value: str, order: list[str], least: float = 0.98) -> DataFrame:
-    """G4. Ratio of matching blocks of the ordered cells of each key, 1 where nothing is expected, and whether it reaches ``least``.
+    """G4. Share of the cells of each key that keep their order, ``2 kept / (n expected + n actual)``, 1 where nothing is expected, and whether it reaches ``least``.
 
-    The cells of a key are one document's and are compared in one task, as the ratio isn't a sum over cells.
+    ``order``: the first column is a number.  What is kept is told by ``heading_changes``: a longest run of the cells
+    that occur once, and repeats between the same ones of these, in whatever order they have there.  Null cells are alike.
     """
-    listed = lambda df, name: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias(name)).select(key, F.col(f"{name}.{value}").alias(name))
-    both = listed(expected, "e").join(listed(actual, "a"), key, "full")
-
-    def ratio(pairs):
-        from difflib import SequenceMatcher
 
-        return pairs.apply(lambda r: SequenceMatcher(None, list(r["e"]), list(r["a"])).ratio() if r["e"] is not None and r["a"] is not None else float(r["e"] is None), axis=1)
+    def numbered(df: DataFrame) -> DataFrame:
+        rows = df.select(key, *order, F.coalesce(F.col(value).cast("string"), F.lit("\0")).alias("title"), F.lit(1).alias("_one"))
+        return saved(running(rows, [key], order, "_one", "_no", "sum").select(key, F.col("_no").alias("ord"), "title"), "numbered")
 
-    out = both.withColumn("similarity", F.pandas_udf(ratio, "double")(F.struct("e", "a")))
-    return out.select(key, "similarity", (F.col("similarity") >= least).alias("equal"))
+    changes = heading_changes(numbered(expected), numbered(actual), key)
+    counts = changes.groupBy(key).agg(F.count_if(F.col("change") == "kept").alias("kept"), F.count("e_ord").alias("n_e"), F.count("a_ord").alias("n_a"))
+    similarity = F.when(F.col("n_e") == 0, 1.0).otherwise(2 * F.col("kept") / (F.col("n_e") + F.col("n_a")))
+    return counts.select(key, similarity.alias("similarity"), (similarity >= least).alias("equal"))
 
 
 def audit_record(ids: DataFrame, counts: DataFrame, hashes: DataFrame, flags: DataFrame) -> DataFrame:

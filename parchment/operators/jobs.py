@@ -163,23 +163,36 @@ def apply_manual_fields(reports: DataFrame, fields: DataFrame, names: dict[str,
     return out.drop(*[f"_m_{c}" for c in names.values()])
 
 
-def model_map(tasks: DataFrame, call: Callable[[str], str], retries: int = 2) -> DataFrame:
-    """K14. Adds reply and error: ``call`` on every prompt, tried again a bounded number of times; one task's failure stays its own."""
+def model_map(tasks: DataFrame, call: Callable, retries: int = 2, batch: int | None = None) -> DataFrame:
+    """K14. Adds reply and error: ``call`` on every prompt, tried again a bounded number of times; one task's failure stays its own.
+
+    ``batch``: ``call`` takes up to so many prompts as a list and returns as many replies; the prompts of a batch that
+    keeps failing are tried one by one.
+    """
     schema = f"{', '.join(f'{n} {t}' for n, t in tasks.dtypes)}, reply string, error string"
 
+    def tried(prompts: list) -> tuple[list, str | None]:
+        error = None
+        for _ in range(retries + 1):
+            try:
+                replies = list(call(prompts)) if batch else [call(p) for p in prompts]
+                if len(replies) != len(prompts):
+                    raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
+                return replies, None
+            except Exception as e:  # noqa: BLE001
+                error = f"{type(e).__name__}: {e}"
+        return [None] * len(prompts), error
+
     def run(frames: Iterator):
         for pdf in frames:
             replies, errors = [], []
-            for prompt in pdf["prompt"]:
-                reply = error = None
-                for _ in range(retries + 1):
-                    try:
-                        reply, error = call(prompt), None
-                        break
-                    except Exception as e:  # noqa: BLE001
-                        error = f"{type(e).__name__}: {e}"
-                replies.append(reply)
-                errors.append(error)
+            prompts = pdf["prompt"].tolist()
+            for at in range(0, len(prompts), batch or 1):
+                part = prompts[at : at + (batch or 1)]
+                found, error = tried(part)
+                for one in [(found, error)] if error is None or len(part) == 1 else map(lambda p: tried([p]), part):
+                    replies += one[0]
+                    errors += [one[1]] * len(one[0])
             yield pdf.assign(reply=replies, error=errors)
 
     return tasks.mapInPandas(run, schema)
@@ -198,11 +211,13 @@ def pair_lists(docs: DataFrame, path: str, first: str, second: str) -> DataFrame
 def gold_lookup(cells: DataFrame, sections: DataFrame) -> DataFrame:
     """C32. Text of each (heading, label) of the section map: the first cell whose heading and label begin with them, in any case.
 
-    ``cells``: heading, label, text, ord; an empty label joins all cells of the heading.  The map is a short
-    fixed list, so the prefix join is against a broadcast of it.
+    ``cells``: heading, label, text, ord; an empty label joins all cells of the heading.  A heading meets the map by
+    each of its beginnings, so the join is by hash, however long the map is.
     """
-    s = F.broadcast(sections.select("section", F.lower("heading").alias("_h"), F.lower(F.coalesce("label", F.lit(""))).alias("_l")))
-    hit = cells.join(s, F.startswith(F.lower("heading"), F.col("_h")) & ((F.col("_l") == "") | F.startswith(F.lower(F.coalesce("label", F.lit(""))), F.col("_l"))))
+    s = sections.select("section", F.lower("heading").alias("_h"), F.lower(F.coalesce("label", F.lit(""))).alias("_l"))
+    heading = F.lower("heading")
+    begun = cells.filter("heading is not null").withColumn("_h", F.explode(F.transform(F.sequence(F.lit(0), F.length(heading)), lambda n: F.substring(heading, F.lit(1), n))))
+    hit = begun.join(s, "_h").filter((F.col("_l") == "") | F.startswith(F.lower(F.coalesce("label", F.lit(""))), F.col("_l")))
     out = hit.groupBy("section", "_l").agg(F.min_by("text", "ord").alias("one"), ordered_list(F.col("text"), F.col("ord"), "\n").alias("all"))
     return out.select("section", F.when(F.col("_l") == "", F.col("all")).otherwise(F.col("one")).alias("text"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions import text as T
+from parchment.tables import saved
 
 from .graph import components
 from .helpers import area, asof_last, gap_groups, iou, keep_first, meeting, rect_join
@@ -116,7 +117,7 @@ def stitch_table_pages(tables: DataFrame, width: float = PLACES) -> DataFrame:
     """
     columns = tables.select("doc_id", F.col("page_idx").cast("long").alias("page_idx"), "id", "ref", "x0", "x1", "near_figure")
     pages = columns.select("doc_id", (-F.col("page_idx")).alias("_back")).distinct()
-    pages = next_greater(pages, ["doc_id"], "_back", "_before", width).select("doc_id", (-F.col("_back")).alias("page_idx"), F.coalesce(F.col("_before") - F.col("_back") > 2, F.lit(True)).cast("int").alias("_begins"))
+    pages = saved(next_greater(pages, ["doc_id"], "_back", "_before", width).select("doc_id", (-F.col("_back")).alias("page_idx"), F.coalesce(F.col("_before") - F.col("_back") > 2, F.lit(True)).cast("int").alias("_begins")), "pages")
     pages = running(pages, ["doc_id"], ["page_idx"], "_begins", "stretch", "sum", width).select("doc_id", "page_idx", "stretch")
     place = F.concat(F.lpad(F.col("page_idx").cast("string"), 20, "0"), F.lit("/"), F.lpad(F.col("id").cast("string"), 20, "0"))
     seen = columns.filter("ref is not null").groupBy("doc_id", "ref").agg(F.min(place).alias("seen"))

@@ -233,6 +233,15 @@ def contents_entries(spark: SparkSession, sf: str) -> DataFrame:
     return O.contents_entries(pages)
 
 
+def contents_of_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """E11, E12, H31 over the texts: a source's contents pages list its documents' first words, every fourth entry over two lines."""
+    p = V.pages(spark, sf)
+    words = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")), " "), 1, 3), " ")
+    line = F.concat((F.col("page_idx") + 1).cast("string"), F.lit(" "), F.coalesce(F.nullif(words, F.lit("")), F.lit("Untitled")), F.when(F.col("page_idx") % 4 == 1, "\n").otherwise(" "), F.lit("........ "), (F.col("page_idx") + 1).cast("string"))
+    listed = p.select("doc_id", F.floor(F.col("page_idx") / 30).cast("int").alias("page"), F.struct("page_idx", line.alias("line")).alias("e")).groupBy("doc_id", "page").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    return O.contents_entries(listed.select("doc_id", F.col("page").alias("page_idx"), F.concat(F.lit("Contents\n"), F.array_join("e.line", "\n")).alias("text")))
+
+
 def font_headings(spark: SparkSession, sf: str) -> DataFrame:
     """Bold numbered spans, else spans above the median size."""
     s = blocks(spark, sf).withColumn("page_idx", F.col("block_no") + 2).withColumn("span_no", F.col("block_no")).withColumn("n_pages", F.lit(20))
@@ -268,7 +277,7 @@ def section_bodies(spark: SparkSession, sf: str) -> DataFrame:
 
 _NAMES = (
     band_filtered, layout_artifacts, tiny_media, extraction_routes, text_blocks, suppressed_blocks, kept_formulas, kept_tables, claimed_captions, nearby_captions, figure_captions, filled_media, expanded_figures, block_styles, table_boxes,
-    real_figures, captured_pages, line_groups, emitted_media, table_extents, clipped_figures, numbered_formulas, expanded_clips, heading_above, anchors, formula_lines, sectioned_blocks, chosen_ranges, resolved_pages, contents_entries,
+    real_figures, captured_pages, line_groups, emitted_media, table_extents, clipped_figures, numbered_formulas, expanded_clips, heading_above, anchors, formula_lines, sectioned_blocks, chosen_ranges, resolved_pages, contents_entries, contents_of_documents,
     font_headings, picked_outline, flushed_media, inline_headers, section_bodies,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -334,6 +343,8 @@ SELECT b.doc_id, block_no - 1 AS ord, 'chosen' AS how FROM b JOIN r ON r.doc_id
     "resolved_pages": f"""WITH {_B}, e AS (SELECT doc_id, block_no AS ord, CASE WHEN what < 6 THEN block_no + number END AS seen, CASE WHEN what <> 9 THEN block_no ELSE 0 END AS printed FROM b),
 m AS (SELECT doc_id, list(seen - printed + 1 ORDER BY seen - printed + 1) AS l FROM e WHERE seen IS NOT NULL AND printed > 0 GROUP BY 1), o AS (SELECT doc_id, l[len(l) // 2 + 1] AS off FROM m),
 g AS (SELECT e.doc_id, ord, coalesce(seen, CASE WHEN printed > 0 THEN greatest(0, least(8, printed - 1 + coalesce(off, 0))) END, 0) AS p FROM e LEFT JOIN o ON o.doc_id = e.doc_id) SELECT doc_id, ord, max(p) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING)::INTEGER + 1::INTEGER AS page FROM g""",
+    "contents_of_documents": f"""WITH {V.SQL['pages']}, t AS (SELECT doc_id, page_idx, coalesce(nullif(array_to_string(string_split(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')[1:3], ' '), ''), 'Untitled') AS w FROM page_text WHERE doc_id IS NOT NULL)
+SELECT doc_id, CAST(page_idx // 30 AS INTEGER) AS page_idx, CAST(page_idx % 30 AS INTEGER) AS line_no, CAST(page_idx + 1 AS VARCHAR) AS number, 1 AS level, (page_idx + 1) || ' ' || w AS title, CAST(page_idx + 1 AS INTEGER) AS printed_page FROM t""",
     "contents_entries": """WITH t(page_idx, line_no, number, level, tail, printed) AS (VALUES (1, 0, '1', 1, NULL, NULL), (1, 1, '2', 1, '2 Terms', 4), (2, 0, '3', 1, '3 Long title', 6), (2, 1, 'B', 1, 'Annex B Notes', 0))
 SELECT o_orderkey AS doc_id, page_idx, line_no, number, level, coalesce(tail, '1 Scope of no. ' || o_orderkey || ' in full') AS title, CAST(coalesce(printed, o_custkey % 90 + 1) AS INTEGER) AS printed_page FROM orders, t""",
     "font_headings": f"""WITH {_B}, s AS (SELECT doc_id, block_no + 2 AS page_idx, block_no AS span_no, text, CASE WHEN what > 6 THEN size + 4 ELSE size END AS size, bold, what FROM b WHERE y1 >= 65 AND y0 <= 635 AND length(text) >= 3),

@@ -87,6 +87,20 @@ def gold_texts(spark: SparkSession, sf: str) -> DataFrame:
     return J.gold_lookup(cells, spark.range(1).selectExpr(f"{made} as (section, heading, label)"))
 
 
+def _answers(prompts: list[str]) -> list[str]:
+    """Stands for a model: the length of a prompt and its end; it fails on prompts of one word."""
+    for p in prompts:
+        if " " not in p:
+            raise ValueError("one word")
+    return [f"{len(p)}: {p[-20:]}" for p in prompts]
+
+
+def model_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """A reply or an error to every document, asked for in batches."""
+    prompts = V.t(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("prompt"))
+    return J.model_map(prompts, _answers, retries=1, batch=16).select("doc_id", "reply", "error")
+
+
 def section_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Rules from the size of a source's first text, else the static ones."""
     d = V.t(spark, sf, "documents")
@@ -192,7 +206,7 @@ def stitched_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NAMES = (
-    version_numbers, restored_versions, stage_progress, resume_points, attached_files, previews, searched_runs, prompt_texts, gold_texts, section_bounds, section_examples, cell_headers, flat_sections, phase_lists, document_leaves,
+    version_numbers, restored_versions, stage_progress, resume_points, attached_files, previews, searched_runs, prompt_texts, gold_texts, model_replies, section_bounds, section_examples, cell_headers, flat_sections, phase_lists, document_leaves,
     review_outcomes, page_replies, accepted_formulas, manual_fields, paired_entries, audit_records, stitched_tables,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -217,6 +231,7 @@ SELECT run_id, done, CASE WHEN NOT list_contains(n, 0) THEN 'ingest' WHEN NOT li
     "prompt_texts": "SELECT p_partkey AS prompt_key, CASE WHEN p_size > 20 AND p_size % 2 <> 0 THEN p_brand ELSE p_name END AS text, p_size > 20 AND p_size % 2 <> 0 AS overridden FROM part",
     "gold_texts": """SELECT 'a' AS section, arg_min(p_name, p_partkey) AS text FROM part WHERE starts_with(lower(p_type), 'econ') AND starts_with(lower(p_brand), 'brand#1') HAVING count(*) > 0 UNION ALL SELECT 'b', arg_min(p_name, p_partkey) FROM part WHERE starts_with(lower(p_type), 'promo') AND starts_with(lower(p_brand), 'brand#2') HAVING count(*) > 0
 UNION ALL SELECT 'c', string_agg(p_name, chr(10) ORDER BY p_partkey) FROM part WHERE starts_with(lower(p_type), 'standard') HAVING count(*) > 0""",
+    "model_replies": "SELECT doc_id, CASE WHEN contains(coalesce(text, ''), ' ') THEN length(text) || ': ' || right(text, 20) END AS reply, CASE WHEN NOT contains(coalesce(text, ''), ' ') THEN 'ValueError: one word' END AS error FROM documents",
     "section_bounds": f"""WITH f AS (SELECT source AS section, regexp_replace(arg_min(text, doc_id), '[.!?|]', '', 'g') AS t FROM documents GROUP BY 1), g AS (SELECT section, CASE WHEN section LIKE '%1' THEN '' ELSE trim(t, {_STRIP}) END AS s FROM f),
 n AS (SELECT *, CASE WHEN s <> '' THEN 'about 1 sentences and ' || greatest(1, len(list_filter(string_split(s, chr(10)), lambda x: trim(x, {_STRIP}) <> ''))) || ' items, at most ' || CAST(ceil(length(s)::DOUBLE * 1.2::DOUBLE) AS BIGINT) || ' characters' END AS derived FROM g)
 SELECT section, coalesce(derived, CASE WHEN section NOT LIKE '%2' THEN 'at most 5' END) AS bound FROM n WHERE derived IS NOT NULL OR section NOT LIKE '%2'""",

@@ -188,12 +188,22 @@ def dataset_diff(spark: SparkSession, sf: str) -> DataFrame:
     return C.dataset_diff(d, changed, ["doc_id"], soft=("lang",))
 
 
-def heading_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """Of a source's documents as headings some are left out, some moved to the front and some put in."""
+def _two_versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A source's documents as headings; then some left out, some moved to the front and some put in."""
     d = V.t(spark, sf, "documents").select("source", F.col("doc_id").alias("ord"), F.concat(F.lit("H"), F.col("doc_id").cast("string")).alias("title"))
     changed = d.filter("ord % 11 <> 0").withColumn("ord", F.when(F.col("ord") % 13 == 5, F.col("ord") - 10_000_000_000).otherwise(F.col("ord")))
-    new = d.filter("ord % 17 = 0").withColumn("title", F.concat(F.lit("new "), "title"))
-    return C.heading_changes(d, changed.unionByName(new), "source").groupBy("source", "change").agg(F.count("*").alias("n"))
+    return d, changed.unionByName(d.filter("ord % 17 = 0").withColumn("title", F.concat(F.lit("new "), "title")))
+
+
+def heading_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """G3."""
+    return C.heading_changes(*_two_versions(spark, sf), "source").groupBy("source", "change").agg(F.count("*").alias("n"))
+
+
+def ordered_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of cells in their order."""
+    out = C.ordered_similarity(*_two_versions(spark, sf), "source", "title", ["ord"])
+    return out.select("source", F.round("similarity", 9).alias("similarity"), "equal")
 
 
 def multiset_diff(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,7 +228,7 @@ def reply_stream_order(spark: SparkSession, sf: str) -> DataFrame:
 _NAMES = (
     history_page, history_total, section_latest, fork_sections, section_edits, section_tree, latest_status, run_state, stale_runs, garble_pages, garble_docs, verdict_vote, caption_mentions, block_filter, footnote_dedupe,
     place_media, sub_item_path, text_metrics, outline_candidates, outline_dedupe, outline_hierarchy, section_ranges, section_of_page, title_to_page, box_overlap, best_box_match, box_gaps, box_clusters, html_items,
-    sanitize_html, fan_out, parse_responses, dataset_diff, heading_changes, multiset_diff, cell_similarity, reply_stream_order,
+    sanitize_html, fan_out, parse_responses, dataset_diff, heading_changes, ordered_similarity, multiset_diff, cell_similarity, reply_stream_order,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -233,6 +243,8 @@ v AS (SELECT doc_id, page_idx, length(trim(text)) >= 10 AS checked, CASE WHEN le
  WHEN len(alpha) > 10 AND len(list_filter(alpha, lambda w: w IN ({_WORDS}))) / len(alpha) < 0.03 THEN 'words'
  WHEN len(list_filter(raw, lambda w: regexp_matches(w, '[A-Z][>:<^@=\\\\]{{1,2}}[A-Z]'))) / len(raw) > 0.08 THEN 'pattern' END AS garble_check,
  CASE WHEN length(trim(text)) >= 10 THEN CASE WHEN len(plain) <= 10 THEN 0.0 ELSE len(list_filter(plain, lambda w: regexp_matches(w, '[A-Za-z][<>=?^~|\\\\]|[<>=?^~|\\\\][A-Za-z]'))) / len(plain) END END AS ratio FROM al)"""
+_KEPT = """d AS (SELECT source, doc_id, doc_id % 13 = 5 AS moved FROM documents WHERE doc_id % 11 <> 0), r AS (SELECT source, count(*) FILTER (WHERE moved) OVER w + count(*) FILTER (WHERE NOT moved) OVER (PARTITION BY source) - count(*) FILTER (WHERE NOT moved) OVER w AS up_to, count(*) FILTER (WHERE NOT moved) OVER (PARTITION BY source) AS without FROM d WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT source, max(greatest(up_to, without)) AS n, count(*) AS total FROM r GROUP BY 1)"""
 ORACLE_SQL = {
     "history_page": f"WITH {_RUNS} SELECT run_id, username, title, status FROM runs ORDER BY title, started_at DESC, run_id LIMIT 25 OFFSET 25",
     "history_total": f"WITH {_RUNS} SELECT count(*) AS total FROM runs",
@@ -266,9 +278,10 @@ SELECT doc_id, ord, arg_min(page_idx, (CASE WHEN l > 0 THEN 0 WHEN a > 0 THEN 1
     "html_items": "WITH f AS (SELECT page_id, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1) AS l FROM pages) SELECT page_id, list_filter(list_transform(l, lambda s: trim(regexp_replace(s, '(?s)<[^>]*>', '', 'g'), ' ' || chr(10) || chr(13) || chr(9))), lambda s: s <> '') AS items FROM f",
     "fan_out": "WITH s AS (SELECT unnest(range(6)) AS section_no, unnest(['" + "', '".join(SECTIONS) + "']) AS section) SELECT doc_id, CAST(section_no AS INTEGER) AS section_no, section, section || chr(10) || chr(10) || CASE WHEN section = 'troubleshooting' THEN '' ELSE 'at most 5' || chr(10) || chr(10) END || source AS prompt FROM documents, s",
     "parse_responses": "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 'unparsable' END AS reason, event_id % 3 = 2 AS truncated FROM events",
-    "heading_changes": """WITH d AS (SELECT source, doc_id, doc_id % 13 = 5 AS moved FROM documents WHERE doc_id % 11 <> 0), r AS (SELECT source, count(*) FILTER (WHERE moved) OVER w + count(*) FILTER (WHERE NOT moved) OVER (PARTITION BY source) - count(*) FILTER (WHERE NOT moved) OVER w AS up_to, count(*) FILTER (WHERE NOT moved) OVER (PARTITION BY source) AS without FROM d WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
-k AS (SELECT source, max(greatest(up_to, without)) AS n, count(*) AS total FROM r GROUP BY 1), u AS (SELECT source, 'kept' AS change, n FROM k UNION ALL SELECT source, 'moved', total - n FROM k UNION ALL SELECT source, 'deleted', count(*) FILTER (WHERE doc_id % 11 = 0) FROM documents GROUP BY 1 UNION ALL SELECT source, 'inserted', count(*) FILTER (WHERE doc_id % 17 = 0) FROM documents GROUP BY 1)
+    "heading_changes": f"""WITH {_KEPT}, u AS (SELECT source, 'kept' AS change, n FROM k UNION ALL SELECT source, 'moved', total - n FROM k UNION ALL SELECT source, 'deleted', count(*) FILTER (WHERE doc_id % 11 = 0) FROM documents GROUP BY 1 UNION ALL SELECT source, 'inserted', count(*) FILTER (WHERE doc_id % 17 = 0) FROM documents GROUP BY 1)
 SELECT source, change, CAST(n AS BIGINT) AS n FROM u WHERE n > 0""",
+    "ordered_similarity": f"""WITH {_KEPT}, c AS (SELECT source, count(*) + count(*) FILTER (WHERE doc_id % 11 <> 0) + count(*) FILTER (WHERE doc_id % 17 = 0) AS cells FROM documents GROUP BY 1)
+SELECT source, round(2.0::DOUBLE * coalesce(n, 0) / cells, 9) AS similarity, 2.0::DOUBLE * coalesce(n, 0) / cells >= 0.98 AS equal FROM c LEFT JOIN k USING (source)""",
     "dataset_diff": """SELECT doc_id, '(row)' AS "column", 'present' AS expected, 'missing' AS actual, 'hard' AS severity FROM documents WHERE doc_id % 10 = 3 UNION ALL SELECT doc_id, 'lang', lang, 'xx', 'soft' FROM documents WHERE doc_id % 10 <> 3 AND doc_id % 7 = 0""",
     "multiset_diff": "SELECT source, lang, 'expected' AS side, count(*) AS n FROM (SELECT source, lang FROM documents EXCEPT ALL SELECT source, lang FROM documents WHERE doc_id % 10 <> 3) GROUP BY 1, 2",
     "cell_similarity": f"""WITH {V.SQL['pages']}, w AS (SELECT doc_id, page_idx % 2 AS side, unnest(string_split(text, ' ')) AS word FROM page_text), c AS (SELECT doc_id, word, sum(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS e, sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS a FROM w GROUP BY 1, 2)

@@ -196,6 +196,8 @@ def test_jobs(spark):
         return prompt.upper()
 
     assert got(J.model_map(df(spark, "prompt string", ("a",), ("bad",)), call, 1), "reply", "error") == [("A", None), (None, "ValueError: no")]
+    many = J.model_map(df(spark, "prompt string", *[(p,) for p in ("a", "bad", "c", "d", "e")]).coalesce(1), lambda prompts: [call(p) for p in prompts], 1, batch=3)
+    assert got(many, "reply", "error") == [("A", None), ("C", None), ("D", None), ("E", None), (None, "ValueError: no")]
     o = J.review_outcome(df(spark, "reply string", ('{"status": "issues", "issues": ["x"]}',), ("junk",)))
     assert got(o, "status", "message") == [("issues", "1 issue(s)"), ("ok", "no issues")]
     m = J.apply_manual_fields(df(spark, "run_id int, title string, done boolean", (1, "old", False)), df(spark, "run_id int, field string, value string", (1, "t", "new"), (1, "d", "Yes"), (1, "zz", "x")), {"t": "title", "d": "done"}, flags=("done",))
