@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,22 +93,31 @@ def caption_near(regions: DataFrame, texts: DataFrame, pattern: str, above: bool
     return r.select(*PAGE, "id", F.get(hit, F.size(hit) - 1 if above else F.lit(0)).alias("caption"))
 
 
-def _stitched(pdf):
-    """Refs of the tables of a stretch of pages, in page order; ``seen`` is the place of a ref's first caption."""
-    pdf = pdf.sort_values(["page_idx", "id"]).reset_index(drop=True)
-    last: dict[str, tuple] = {}  # of each ref: place of its first caption, and page and sides of its latest table
-    refs = []
-    for t in pdf.itertuples():
-        ref, seen = t.ref, t.seen
-        if ref is None and not t.near_figure and t.x1 > t.x0:
-            near = [(-page, first, r) for r, (first, page, x0, x1) in last.items() if 1 <= t.page_idx - page <= 2 and (min(x1, t.x1) - max(x0, t.x0)) / (t.x1 - t.x0) >= 0.5]
-            ref = min(near)[2] if near else None
-            seen = last[ref][0] if near else None
-        if ref is not None:
-            last[ref] = (seen, t.page_idx, t.x0, t.x1)
-        refs.append(ref)
-    pdf["stitched_ref"] = refs
-    return pdf.drop(columns=["seen", "stretch"])
+def _stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Refs of tables that come stretch by stretch, in page order; only the tables of the last pages are held.
+
+    ``last`` has of each ref the place of its first caption, and the page and sides of its latest table.
+    """
+    stretch, on, last = None, None, {}
+    for batch in batches:
+        column = {c: batch.column(c).to_pylist() for c in ("doc_id", "stretch", "page_idx", "ref", "seen", "x0", "x1", "near_figure")}
+        refs = []
+        for doc, part, page, ref, seen, x0, x1, near_figure in zip(*column.values()):
+            if (doc, part) != stretch:
+                stretch, on, last = (doc, part), page, {}
+            if page != on:
+                on, last = page, {r: v for r, v in last.items() if page - v[1] <= 2}
+            sided = x0 is not None and x1 is not None
+            if ref is None and not near_figure and sided and x1 > x0:
+                near = [(-p, first, r) for r, (first, p, a, b) in last.items() if p < page and (min(b, x1) - max(a, x0)) / (x1 - x0) >= 0.5]
+                if near:
+                    ref = min(near)[2]
+                    seen = last[ref][0]
+            if ref is not None and sided:
+                last[ref] = (seen, page, x0, x1)
+            refs.append(ref)
+        kept = batch.drop_columns(["stretch", "seen"])
+        yield pa.record_batch([*kept.columns, pa.array(refs, pa.string())], names=[*kept.schema.names, "stitched_ref"])
 
 
 def stitch_table_pages(tables: DataFrame, width: float = PLACES) -> DataFrame:
@@ -113,7 +125,7 @@ def stitch_table_pages(tables: DataFrame, width: float = PLACES) -> DataFrame:
 
     Of several the latest page's counts, on one page the ref that was captioned first in the document.  ``tables``:
     doc_id, page_idx, id, ref (null: uncaptioned), x0, x1, near_figure.  Nothing reaches over two pages without a
-    table, so a document falls into stretches of pages that are stitched apart; only a stretch is folded in order.
+    table, so a document falls into stretches of pages that are stitched apart; a stretch streams through its task.
     """
     columns = tables.select("doc_id", F.col("page_idx").cast("long").alias("page_idx"), "id", "ref", "x0", "x1", "near_figure")
     pages = columns.select("doc_id", (-F.col("page_idx")).alias("_back")).distinct()
@@ -122,7 +134,8 @@ def stitch_table_pages(tables: DataFrame, width: float = PLACES) -> DataFrame:
     place = F.concat(F.lpad(F.col("page_idx").cast("string"), 20, "0"), F.lit("/"), F.lpad(F.col("id").cast("string"), 20, "0"))
     seen = columns.filter("ref is not null").groupBy("doc_id", "ref").agg(F.min(place).alias("seen"))
     placed = columns.join(pages, ["doc_id", "page_idx"]).join(seen, ["doc_id", "ref"], "left").select(*columns.columns, "stretch", "seen")
-    return placed.groupBy("doc_id", "stretch").applyInPandas(_stitched, f"{', '.join(f'{n} {t}' for n, t in columns.dtypes)}, stitched_ref string")
+    placed = placed.repartition("doc_id", "stretch").sortWithinPartitions("doc_id", "stretch", "page_idx", "id")
+    return placed.mapInArrow(_stitched, f"{', '.join(f'{n} {t}' for n, t in columns.dtypes)}, stitched_ref string")
 
 
 def figure_caption_by_overlap(figures: DataFrame, model: DataFrame, near: DataFrame) -> DataFrame:
