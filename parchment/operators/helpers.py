@@ -56,9 +56,10 @@ def contains_join(needles: DataFrame, needle: str, texts: DataFrame, text: str,
     """
     runs = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     own = needles.select(F.col(needle).alias("_needle")).filter("_needle <> ''").distinct()
+    least = own.agg(F.min(F.length("_needle"))).first()[0] or size
     own = own.select("_needle", F.explode(F.when(F.length("_needle") < size, F.array("_needle")).otherwise(F.array_distinct(runs(F.col("_needle"), size)))).alias("_run"))
     held = texts.select(F.col(text).alias("_text")).filter("_text <> ''").distinct()
-    held = held.select("_text", F.explode(F.array_distinct(F.concat(*[runs(F.col("_text"), n) for n in range(1, size + 1)]))).alias("_run")).join(own.select("_run").distinct(), "_run", "left_semi")
+    held = held.select("_text", F.explode(F.array_distinct(F.concat(*[runs(F.col("_text"), n) for n in range(min(least, size), size + 1)]))).alias("_run")).join(own.select("_run").distinct(), "_run", "left_semi")
     often = held.groupBy("_run").agg(F.count("*").alias("_n"))
     rarest = own.join(often, "_run", "left").groupBy("_needle").agg(F.min_by("_run", F.struct(F.coalesce("_n", F.lit(0)), "_run")).alias("_run"))
     return rarest.join(held, "_run").filter(F.contains("_text", F.col("_needle"))).select(F.col("_needle").alias(needle), F.col("_text").alias(text))

@@ -24,6 +24,10 @@ NO_HEADING = (
 )
 
 
+#: Short titles that are broadcast at most.
+FEW_TITLES = 256
+
+
 def heading_candidates(lines: DataFrame) -> DataFrame:
     """H32, E7. Outline entries of page lines: the first line of each number. ``lines``: doc_id, page_idx, line_no, text."""
     found = lines.withColumn("num", T.heading_number(F.col("text"))).filter("num is not null and not substring(text, 1, 120) rlike '(?i)Copyrighted material|licensed to|Techstreet'")
@@ -98,13 +102,19 @@ def title_to_page(titles: DataFrame, pages: DataFrame, contents: DataFrame | Non
     same = F.col("_word") == F.col("_w")
     keyed = "doc_id" in titles.columns
     long = t.filter("_w is not null").join(words, F.col("doc_id").eqNullSafe(F.col("_doc")) & same if keyed else same).drop("_word")
-    # titles of one or two words have none: their longest word is within a word of the text, found by its rarest run
+    # titles of one or two words have none: few are held against every text, more go by their longest word, which is
+    # within a word of the text and found by its rarest run
     short = t.filter("_w is null").withColumn("_part", F.array_max(F.transform(F.split("_t", "[ \n]"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    holding = contains_join(short, "_part", words, "_word")
-    at = F.col("doc_id").eqNullSafe(F.col("_doc"))
-    short = short.join(holding, "_part").join(words, "_word") if not keyed else short.join(holding, "_part").alias("s").join(words.alias("p"), at & (F.col("s._word") == F.col("p._word")))
-    short = short.withColumn("doc_id", F.col("_doc")).select("doc_id", "ord", "title", "_t", "page_idx").distinct()
-    both = long.withColumn("doc_id", F.col("_doc")).select("doc_id", "ord", "title", "_t", "page_idx").unionByName(short.select("doc_id", "ord", "title", "_t", "page_idx"))
+    both, n_short = long.withColumn("doc_id", F.col("_doc")).select("doc_id", "ord", "title", "_t", "page_idx"), short.count()
+    if n_short:
+        at = F.col("doc_id").eqNullSafe(F.col("_doc")) if keyed else F.lit(True)
+        if n_short <= FEW_TITLES:
+            texts = pages.select(F.col("doc_id").alias("_doc"), "page_idx", F.lower("text").alias("_text"))
+            short = texts.join(F.broadcast(short), at & F.contains("_text", F.col("_t")))
+        else:
+            found = short.join(contains_join(short, "_part", words, "_word"), "_part").withColumnRenamed("_word", "_held")
+            short = found.join(words, at & (F.col("_held") == F.col("_word")))
+        both = both.unionByName(short.withColumn("doc_id", F.col("_doc")).select("doc_id", "ord", "title", "_t", "page_idx").distinct())
     head = F.lower(F.array_join(F.slice(F.split("text", "\n"), 1, 60), "\n"))
     p = pages.select(F.col("doc_id").alias("_doc"), F.col("page_idx").alias("_page"), head.alias("_head"), F.lower("text").alias("_text"))
     both = both.join(p, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("page_idx") == F.col("_page"))).drop("_doc", "_page")

@@ -1,5 +1,7 @@
 """Operators on tiny frames, those without SQL above all."""
 
+import pytest
+
 from parchment.operators import batches as B
 from parchment.operators import compare as C
 from parchment.operators import jobs as J
@@ -117,6 +119,15 @@ def test_outline_passes(spark):
     assert got(O.pick_outline([a, b]), "doc_id", "title") == [(1, "y"), (2, "z")]
 
 
+@pytest.mark.parametrize("few", [0, 256])
+def test_short_titles_of_a_document(spark, monkeypatch, few):
+    """A short title may begin inside a word; it is looked for in its own document only."""
+    monkeypatch.setattr(O, "FEW_TITLES", few)
+    titles = df(spark, "doc_id int, ord int, title string", (1, 0, "Scope"), (1, 1, "cope of"), (1, 2, "none"), (2, 0, "Scope"))
+    pages = df(spark, "doc_id int, page_idx int, text string", (1, 0, "telescopes\nof"), (1, 1, "Scope\nthe scope of it"), (3, 0, "Scope"))
+    assert got(O.title_to_page(titles, pages), "doc_id", "ord", "page_idx") == [(1, 0, 1), (1, 1, 1)]
+
+
 def test_sample_pages(spark):
     pages = df(spark, "doc_id int, page_idx int", *[(1, k) for k in range(20)], (2, 0))
     assert got(P.sample_pages(pages), "doc_id", "page_idx") == sorted([(1, 1 + 3 * k) for k in range(6)] + [(2, 0)], key=str)
@@ -249,9 +260,12 @@ def test_same_result_under_other_partitioning(spark, sf):
     assert all(a == b for a, b in one.values())
 
 
-def test_titles_are_searched_in_every_source(spark, tmp_path):
+@pytest.mark.parametrize("few", [0, 256])
+def test_titles_are_searched_in_every_source(spark, tmp_path, monkeypatch, few):
     from parchment.plans.texts import title_to_page
 
+    monkeypatch.setattr(O, "FEW_TITLES", few)
+
     docs = [(1, "hot", "first"), (2, "hot", "A title\nmore of the kind"), (3, None, "with a title inside"), (4, "src1", "A title"), (5, "src2", "ore of the kin")]
     spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "A title"), (8, "ore of the kin\nnot this")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
