@@ -90,17 +90,17 @@ def title_to_page(titles: DataFrame, pages: DataFrame, contents: DataFrame | Non
     """C27. First page (with the smallest offset in its first 60 lines) that has a title as a line, a numbered line, or anywhere.
 
     ``titles``: doc_id, ord, title; contents pages are left out; titles found only further down take the first such page.
-    Pages without a document are one document; titles without a doc_id are looked for in every document.
+    Pages without a document are one document; titles without a doc_id are looked for in every document; other columns are left out.
     """
     if contents is not None:
         pages = pages.join(contents.select("doc_id", "page_idx"), ["doc_id", "page_idx"], "left_anti")
     # an inner word of a title stands in a page's text as a word: the longest one is the key of a hash join
-    t = titles.withColumn("_t", F.lower(F.trim("title"))).filter("_t <> ''")
+    keyed = "doc_id" in titles.columns
+    t = titles.select(*["doc_id"] * keyed, "ord", "title", F.lower(F.trim("title")).alias("_t")).filter("_t <> ''")
     inner = F.slice(F.split("_t", " "), F.lit(2), F.greatest(F.size(F.split("_t", " ")) - 2, F.lit(0)))
     t = t.withColumn("_w", F.nullif(F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"], F.lit("")))
     words = pages.select(F.col("doc_id").alias("_doc"), "page_idx", F.explode(F.array_distinct(F.split(F.lower("text"), "[ \n]"))).alias("_word"))
     same = F.col("_word") == F.col("_w")
-    keyed = "doc_id" in titles.columns
     long = t.filter("_w is not null").join(words, F.col("doc_id").eqNullSafe(F.col("_doc")) & same if keyed else same).drop("_word")
     # titles of one or two words have none: few are held against every text, more go by their longest word, which is
     # within a word of the text and found by its rarest run
@@ -155,7 +155,7 @@ def dedupe_outline(outline: DataFrame, far: int = 70) -> DataFrame:
     out = once(out, T.structural_id(F.col("title")))
     w = Window.partitionBy("doc_id").orderBy("page", "ord")
     out = out.withColumn("_next", F.lead("page").over(w)).filter(F.col("_next").isNull() | (F.col("_next") - F.col("page") <= far)).drop("_next")
-    return out.filter(~F.trim("title").rlike(r"(?i)^(Figure|Table)\s|^(Bibliography|INDEX|Contents)\b"))
+    return out.filter(~F.trim("title").rlike(r"(?i)^(Figures?|Tables?|Bibliography|INDEX|Contents)\b"))
 
 
 def hierarchy_valid(outline: DataFrame) -> DataFrame:
