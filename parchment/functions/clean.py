@@ -55,8 +55,9 @@ TERMS = {
     "Farbe": "Color",
 }
 
-# Words that mark packaging, and dose form codes.
+# Words that mark packaging, containers in the order they are looked for, and dose form codes.
 PACKAGING = ("vial", "syringe", "stopper", "crimp", "cap")
+CONTAINERS = {"pfs": "PFS", "syringe": "Syringe", "vial": "Vial", "cartridge": "Cartridge"}
 DOSE_FORMS = {
     "S.INJ": "Solution for Injection",
     "SINJ": "Solution for Injection",

@@ -225,18 +225,38 @@ def general_info(report: DataFrame, lines: list[tuple[str, list[str]]], missing:
     return report.select("root", F.explode(F.array(*rows)).alias("r")).select("root", "r.*")
 
 
-def backfill_header(headers: DataFrame, compositions: DataFrame, components: DataFrame, properties: DataFrame) -> DataFrame:
-    """H23. Blank header fields from compositions, component names and material properties; unit strength and nominal volume override."""
-    strength = properties.filter("parameter = 'unitStrength'").select("root", F.col("value").alias("_strength"))
-    volume = properties.filter("parameter = 'nominalVolume'").select("root", F.col("value").alias("_volume"))
-    slots = packaging_slots(components).select("root", F.col("container").alias("_container"))
-    out = headers.join(active_concentration(compositions), "root", "left").join(slots, "root", "left").join(strength, "root", "left").join(volume, "root", "left")
-    return out.select(
-        *[c for c in headers.columns if c not in ("dose_mg", "volume_ml", "container")],
-        F.coalesce(ids.blank_to_null("_strength"), ids.blank_to_null("dose_mg"), ids.blank_to_null("concentration")).alias("dose_mg"),
-        F.coalesce(ids.blank_to_null("_volume"), ids.blank_to_null("volume_ml")).alias("volume_ml"),
-        F.coalesce(ids.blank_to_null("container"), F.col("_container")).alias("container"),
-    )
+def backfill_header(headers: DataFrame, compositions: DataFrame, components: DataFrame, properties: DataFrame, info: DataFrame | None = None, order: str = "ord") -> DataFrame:
+    """H23. Blank header fields from general information, then compositions, component names and material properties.
+
+    ``headers``: root, dose_mg, dose_form_code, dose_form_label, volume_ml, container.  ``info`` (one row a root):
+    dose_strength, dose_form, packaging_system.  Of a composition only the first active ingredient counts, and only in
+    mg/mL; a fill volume stands in for a missing volume; unit strength and nominal volume override what is there.
+    Stage amounts are no volumes.  What stays blank is null.
+    """
+    if info is None:
+        info = headers.select("root", *[F.lit(None).cast("string").alias(c) for c in ("dose_strength", "dose_form", "packaging_system")])
+    number = r"^\s*(\d+(?:\.\d+)?)"
+    given = properties.groupBy("root").agg(*[F.max(F.when(F.col("parameter") == n, ids.blank_to_null("value"))).alias(f"_{n}") for n in ("unitStrength", "nominalVolume", "fillVolume")])
+    active = compositions.filter(F.contains(F.lower(ids.text_of("component_function")), F.lit("active"))).groupBy("root").agg(F.min_by(F.struct("amount_per_unit"), order).alias("_a"))
+    active = active.select("root", F.nullif(F.regexp_extract("_a.amount_per_unit", rf"(?i){number}\s*mg/mL\b", 1), F.lit("")).alias("_active"))
+    boxes = components.groupBy("root").agg(*[F.bool_or(F.contains(F.lower("name"), F.lit(k))).alias(f"_{k}") for k in clean.CONTAINERS])
+    own = info.select("root", "dose_strength", "dose_form", "packaging_system").toDF("root", "_strength", "_form", "_packed")
+    out = headers
+    for df in (own, active, boxes, given):
+        out = out.join(df, "root", "left")
+    form, packed = F.lower(F.col("_form")), F.lower(F.regexp_extract("_packed", r"(?i)\b(PFS|Vial|Cartridge|Syringe)\b", 1))
+    by_form = F.when(form.contains("sol") & ~form.contains("powder"), "S.INJ").when(form.contains("powder") | form.contains("lyo"), "P.S.INJ")
+    code = F.coalesce(by_form, F.when(F.col("_active").isNotNull(), "S.INJ"))
+    has, names = ids.blank_to_null("dose_form_code").isNotNull(), F.create_map(*[F.lit(x) for k in ("S.INJ", "P.S.INJ") for x in (k, clean.DOSE_FORMS[k])])
+    canonical = F.create_map(*[F.lit(x) for kv in clean.CONTAINERS.items() for x in kv])
+    filled = {
+        "dose_mg": F.coalesce("_unitStrength", ids.blank_to_null("dose_mg"), F.nullif(F.regexp_extract("_strength", number, 1), F.lit("")), "_active"),
+        "dose_form_code": F.coalesce(ids.blank_to_null("dose_form_code"), code),
+        "dose_form_label": F.when(has, ids.blank_to_null("dose_form_label")).otherwise(names[code]),
+        "volume_ml": F.coalesce("_nominalVolume", ids.blank_to_null("volume_ml"), "_fillVolume"),
+        "container": F.coalesce(ids.blank_to_null("container"), canonical[packed], *[F.when(F.col(f"_{k}"), v) for k, v in clean.CONTAINERS.items()]),
+    }
+    return out.select(*[c for c in headers.columns if c not in filled], *[v.alias(k) for k, v in filled.items()])
 
 
 def list_ids(batches: DataFrame, limit: int = 200) -> DataFrame:
@@ -251,14 +271,20 @@ def suggest_ids(batches: DataFrame, typed: str, most: int = 25) -> DataFrame:
 
 
 def batch_flags(info: DataFrame, compositions: DataFrame, components: DataFrame, stages: DataFrame) -> DataFrame:
-    """G1. Review flags of batches: undecoded units and operations, no composition, no drug-substance lot, manual registration."""
+    """G1. Review flags of batches: undecoded units, operations and stage amounts warn; what is absent (composition, drug-substance lot) and manual registration inform.
+
+    ``stages``: unit_operation and confident; amounts are looked at where stages have amount and amount_unit.
+    """
     roots = info.select("root").distinct()
-    f = lambda df, no, area, message: df.select("root", F.lit(no).alias("rule_no"), F.lit("warn").alias("severity"), F.lit(area).alias("area"), message.alias("message"))
-    rules = [f(info.filter((ids.text_of(c) != "") & ~clean.decoded(F.col(f"{c}_unit"), clean.BATCH_UNITS)["confident"]), i, "general_info", F.concat(F.lit(f"{c} unit not decoded: "), F.col(f"{c}_unit"))) for i, c in enumerate(("batch_size", "dose_strength", "density"), 1)]
+    f = lambda df, no, area, message, severity="warn": df.select("root", F.lit(no).alias("rule_no"), F.lit(severity).alias("severity"), F.lit(area).alias("area"), message.alias("message"))
+    unknown = lambda value, unit: (ids.text_of(F.col(value).cast("string")) != "") & ~clean.decoded(F.col(unit), clean.BATCH_UNITS)["confident"]
+    rules = [f(info.filter(unknown(c, f"{c}_unit")), i, "general_info", F.concat(F.lit(f"{c} unit not decoded: "), F.col(f"{c}_unit"))) for i, c in enumerate(("batch_size", "dose_strength", "density"), 1)]
     rules.append(f(stages.filter("not confident"), 4, "stages", F.concat(F.lit("operation not decoded: "), ids.text_of("unit_operation"))))
-    rules.append(f(roots.join(compositions.select("root"), "root", "left_anti"), 5, "composition", F.lit("no composition")))
-    rules.append(f(roots.join(components.filter("kind = 'substance'").select("root"), "root", "left_anti"), 6, "components", F.lit("no drug-substance lot")))
-    rules.append(f(roots.filter(ids.batch_id(F.col("root").cast("string"))["registration"] == "manual"), 7, "header", F.lit("manual registration")))
+    rules.append(f(roots.join(compositions.select("root"), "root", "left_anti"), 5, "composition", F.lit("no composition"), "info"))
+    rules.append(f(roots.join(components.filter("kind = 'substance'").select("root"), "root", "left_anti"), 6, "components", F.lit("no drug-substance lot"), "info"))
+    rules.append(f(roots.filter(ids.batch_id(F.col("root").cast("string"))["registration"] == "manual"), 7, "general_info", F.lit("manual registration"), "info"))
+    if {"amount", "amount_unit"} <= set(stages.columns):
+        rules.append(f(stages.filter(unknown("amount", "amount_unit")), 8, "stages", F.concat(F.lit("amount unit not decoded: "), F.col("amount_unit"))))
     out = rules[0]
     for r in rules[1:]:
         out = out.unionByName(r)

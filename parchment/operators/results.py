@@ -96,7 +96,8 @@ def method_techniques(methods: DataFrame, hints: tuple[tuple[str, str], ...] = (
 
     There are few of them, however many rows name them, so the texts are read once each and joined back.
     """
-    t = clean.technique(ids.last_segment(F.col("test_description"), "-"), F.col("method_reference"), hints)
+    head = F.coalesce(ids.blank_to_null(ids.last_segment(F.col("test_description"))), F.col("test_description"))
+    t = clean.technique(head, F.col("method_reference"), hints)
     named = methods.select("test_description", "method_reference").distinct()
     return named.select(F.col("test_description").alias("_d"), F.col("method_reference").alias("_m"), t.alias("t"), clean.strip_version(F.col("method_reference")).alias("short")).select("_d", "_m", "t.name", "t.confident", "short")
 
@@ -104,14 +105,16 @@ def method_techniques(methods: DataFrame, hints: tuple[tuple[str, str], ...] = (
 def methods_rollup(methods: DataFrame, hints: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """D6, F4, E26. One row a technique and method: experiments by (length, text), confidence, display number ``3.i``.
 
+    A technique is what follows the last ``_`` or ``-`` of a description; blank experiments aren't named.
     ``hints``: (part of a method reference, technique) pairs that tell an ambiguous header's techniques apart.
     """
     t = method_techniques(methods, hints)
-    rows = methods.select("request_id", "eln_id", "test_description", "method_reference").distinct()
+    eln = F.nullif(F.trim(F.col("eln_id").cast("string")), F.lit(""))
+    rows = methods.select("request_id", eln.alias("eln_id"), "test_description", "method_reference").distinct()
     rows = rows.join(t, F.col("test_description").eqNullSafe(F.col("_d")) & F.col("method_reference").eqNullSafe(F.col("_m")))
     rows = rows.select("request_id", "eln_id", F.col("name").alias("technique"), "confident", F.col("short").alias("method_reference"))
     out = rows.groupBy("request_id", "technique", "method_reference").agg(
-        F.array_sort(F.collect_set(F.struct(F.length("eln_id").alias("n"), F.col("eln_id")))).alias("e"), F.bool_and("confident").alias("confident"), F.min("eln_id").alias("first_eln")
+        F.array_sort(F.collect_set(F.when(F.col("eln_id").isNotNull(), F.struct(F.length("eln_id").alias("n"), F.col("eln_id"))))).alias("e"), F.bool_and("confident").alias("confident"), F.min("eln_id").alias("first_eln")
     )
     w = Window.partitionBy("request_id").orderBy(*nulls_last("first_eln", "technique", "method_reference"))
     return out.select("request_id", "technique", "method_reference", F.array_join(F.col("e.eln_id"), ", ").alias("eln_ids"), "confident", F.concat(F.lit("3."), F.row_number().over(w).cast("string")).alias("number"))
@@ -207,20 +210,31 @@ def request_picker(requests: DataFrame, prefix: str = "") -> DataFrame:
     return requests.select(ids.request_id(F.col("request_id").cast("string"), prefix, prefix).alias("r")).filter("r is not null").select("r.*").distinct()
 
 
-def result_flags(rows: DataFrame, methods: DataFrame, attachment: str = "_A01", hints: tuple[tuple[str, str], ...] = ()) -> DataFrame:
-    """G1, F10. Review flags of methods, then results: (request_id, rule_no, severity, area, message)."""
-    m = clean.technique(ids.last_segment(F.col("test_description"), "-"), F.col("method_reference"), hints)
-    r = clean.technique(F.col("technique"), F.col("result_name"))
+def result_flags(rows: DataFrame, methods: DataFrame, attachment: str = "Attachment A01", hints: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """G1, F10. Review flags of methods, then results: (request_id, rule_no, method_no, severity, area, message).
 
-    def flag(df: DataFrame, no: int, severity: str, area: str, message: Column) -> DataFrame:
-        return df.select("request_id", F.lit(no).alias("rule_no"), F.lit(severity).alias("severity"), F.lit(area).alias("area"), message.alias("message")).distinct()
+    Methods are those of the rollup, ``method_no`` their place in it (null for results); one whose experiments carry
+    the ``attachment`` mark is a third party's.  Results are named by technique, label and sample; repeats are one flag.
+    """
+    m = methods_rollup(methods, hints).withColumn("method_no", F.substring_index("number", ".", -1).cast("int"))
+    named = F.concat(F.col("technique"), F.lit(" ("), F.col("eln_ids"), F.lit(")"))
 
+    def flag(df: DataFrame, no: int, severity: str, area: str, message: Column) -> DataFrame:
+        place = "method_no" if "method_no" in df.columns else F.lit(None).cast("int").alias("method_no")
+        return df.select("request_id", F.lit(no).alias("rule_no"), place, F.lit(severity).alias("severity"), F.lit(area).alias("area"), message.alias("message"))
+
+    # what is missing or ambiguous is few rows: techniques and labels are read for these alone
+    heads = rows.select("request_id", "technique", "result_name").distinct().withColumn("t", clean.technique(F.col("technique"), F.col("result_name")))
+    missing = rows.filter(ids.text_of("reported_value") == "").select("request_id", "technique", "result_name", "units", "analyte_name", F.col("sample_id").cast("string").alias("sample")).distinct()
+    name = clean.technique(F.col("technique"), F.col("result_name"))["name"]
+    label = clean.parameter_label(F.col("name"), F.col("result_name"), F.col("units"), F.col("analyte_name"))
+    missing = missing.withColumn("name", name).select("request_id", F.concat_ws(" / ", "name", label, F.coalesce("sample", F.lit(""))).alias("what")).distinct()
     rules = [
-        flag(methods.filter(ids.text_of("method_reference") == ""), 1, "warn", "methods", F.concat(F.lit("method reference missing for "), m["name"])),
-        flag(methods.filter(~m["confident"]), 2, "warn", "methods", F.concat(F.lit("ambiguous technique: "), m["name"])),
-        flag(rows.filter(ids.text_of("reported_value") == ""), 3, "warn", "results", F.concat_ws(" ", F.lit("value missing:"), F.col("technique"), F.col("result_name"), F.col("sample_id").cast("string"))),
-        flag(rows.filter(~r["confident"]), 4, "warn", "results", F.concat(F.lit("ambiguous technique: "), r["name"])),
-        flag(rows.filter(F.col("reported_value").endswith(attachment)), 5, "info", "results", F.concat_ws(" ", F.lit("third-party attachment:"), F.col("technique"), F.col("result_name"))),
+        flag(m.filter(ids.text_of("method_reference") == ""), 1, "warn", "methods", F.concat(F.lit("method reference missing for "), named)),
+        flag(m.filter("not confident"), 2, "warn", "methods", F.concat(F.lit("ambiguous technique: "), named)),
+        flag(missing, 3, "warn", "results", F.concat(F.lit("value missing: "), F.col("what"))),
+        flag(heads.filter("not t.confident").select("request_id", "t.name").distinct(), 4, "warn", "results", F.concat(F.lit("ambiguous technique: "), F.col("name"))),
+        flag(m.filter(F.contains(F.lower("eln_ids"), F.lit(attachment.lower()))), 5, "info", "methods", F.concat(F.lit("third-party result: "), named)),
     ]
     out = rules[0]
     for rule in rules[1:]:

@@ -164,10 +164,18 @@ def batch_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def backfilled_headers(spark: SparkSession, sf: str) -> DataFrame:
-    """Blank header fields from compositions, components and properties; unit strength and nominal volume override."""
-    headers = header_rows(spark, sf).select("root", F.when(F.col("root") % 2 == 0, F.col("dose_mg")).otherwise("").alias("dose_mg"), F.when(F.col("root") % 5 == 0, "").otherwise(F.col("volume_ml")).alias("volume_ml"), F.when(F.col("root") % 4 == 0, " ").otherwise(F.col("container")).alias("container"))
-    props = V.t(spark, sf, "orders").select(F.col("o_orderkey").alias("root"), F.when(F.col("o_orderkey") % 2 == 0, "unitStrength").otherwise("nominalVolume").alias("parameter"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey").cast("string")).otherwise("").alias("value"))
-    return B.backfill_header(headers, compositions(spark, sf), split(spark, sf), props)
+    """Blank header fields from general information, compositions, components and properties; unit strength and nominal volume override."""
+    blank = lambda by, c: F.when(by, "").otherwise(F.col(c)).alias(c)
+    named = F.col("root") % 4 == 0
+    headers = header_rows(spark, sf).select("root", blank(F.col("root") % 2 != 0, "dose_mg"), blank(named, "dose_form_code"), blank(named, "dose_form_label"), blank(F.col("root") % 5 == 0, "volume_ml"), blank(named, "container"))
+    o = V.t(spark, sf, "orders").withColumnRenamed("o_orderkey", "root")
+    props = o.select("root", _case(F.col("root") % 3, "unitStrength", "nominalVolume", other="fillVolume").alias("parameter"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey").cast("string")).otherwise("").alias("value"))
+    info = o.select(
+        "root", F.when(F.col("o_custkey") % 5 < 2, F.concat((F.col("o_custkey") % 90).cast("string"), F.lit(".5 mg/mL"))).alias("dose_strength"),
+        _case(F.col("o_custkey") % 4, "Solution", "Lyophilised powder", "Tablet").alias("dose_form"), _case(F.col("o_custkey") % 6, "6R vial, clear", "pfs 1 mL").alias("packaging_system"),
+    )
+    made = compositions(spark, sf).withColumn("amount_per_unit", F.when(F.col("root") % 3 > 0, F.concat("amount_per_unit", F.lit("/mL"))).otherwise(F.col("amount_per_unit")))
+    return B.backfill_header(headers, made, split(spark, sf), props, info)
 
 
 def general_info(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,14 +188,14 @@ def general_info(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """G1: undecoded units and operations, no composition, no drug-substance lot, manual registration."""
+    """G1: undecoded units, operations and amounts, no composition, no drug-substance lot, manual registration."""
     o = V.t(spark, sf, "orders")
     unit = F.when(F.col("o_orderkey") % 2 == 0, "http://qudt.org/vocab/unit/L").otherwise("urn:unit:9")
     code = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "BAX").otherwise("BA"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0"))
     info = o.select(code.alias("root"), F.when(F.col("o_custkey") % 4 != 0, "5").alias("batch_size"), unit.alias("batch_size_unit"), F.lit("").alias("dose_strength"), unit.alias("dose_strength_unit"), F.when(F.col("o_custkey") % 5 == 0, "1.1").alias("density"), unit.alias("density_unit"))
     comp = o.filter("o_orderstatus <> 'P'").select(code.alias("root"))
     parts = o.filter("o_orderpriority <> '5-LOW'").select(code.alias("root"), F.when(F.col("o_orderpriority") == "1-URGENT", "packaging").otherwise("substance").alias("kind"))
-    stages = o.select(code.alias("root"), F.lit("urn:op:7").alias("unit_operation"), (F.col("o_custkey") % 2 == 0).alias("confident"))
+    stages = o.select(code.alias("root"), F.lit("urn:op:7").alias("unit_operation"), (F.col("o_custkey") % 2 == 0).alias("confident"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).alias("amount"), unit.alias("amount_unit"))
     return B.batch_flags(info, comp, parts, stages)
 
 
@@ -291,15 +299,20 @@ CASE WHEN l_partkey % 3 = 0 THEN 'Step ' || lpad(CAST(ord AS VARCHAR), 3, '0') E
 SELECT root, batch_id, 'exact' AS how FROM b JOIN r ON short = root UNION ALL SELECT root, batch_id, 'prefix' FROM b JOIN r ON starts_with(batch_id, root)""",
     "batch_names": f"""WITH {_HEADER} SELECT root, dose_mg, dose_form_code, dose_form_label, volume_ml, container, concat_ws(' ', dose_mg || ' mg', nullif(dose_form_code, ''), CASE WHEN volume_ml <> '' THEN volume_ml || ' mL' END, CASE WHEN container <> '' THEN 'in ' || container END) AS title_line,
 CASE WHEN volume_ml = '' THEN '' ELSE {_TRIM_NUMBER.format('(o_custkey % 400 + 1) * (o_custkey % 20 + 1.5)')} || ' mg' END AS amount FROM hd""",
-    "backfilled_headers": f"""WITH {_SPLIT}, {_SLOTS}, {_COMPOSED.replace(_LINES + ', ', '')}, {_HEADER}, a AS (SELECT root, arg_min(amount_per_unit, ord) AS concentration FROM composed WHERE component_function = 'Active ingredient' GROUP BY 1)
-SELECT hd.root, coalesce(CASE WHEN hd.root % 2 = 0 AND o_custkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) END, CASE WHEN hd.root % 2 = 0 THEN dose_mg END, concentration) AS dose_mg,
-coalesce(CASE WHEN hd.root % 2 <> 0 AND o_custkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) END, CASE WHEN hd.root % 5 <> 0 THEN nullif(volume_ml, '') END) AS volume_ml, coalesce(CASE WHEN hd.root % 4 <> 0 THEN nullif(hd.container, '') END, slots.container) AS container FROM hd LEFT JOIN a ON a.root = hd.root LEFT JOIN slots ON slots.root = hd.root""",
+    "backfilled_headers": f"""WITH {_SPLIT}, {_COMPOSED.replace(_LINES + ', ', '')}, {_HEADER}, f AS (SELECT root, arg_min(amount_per_unit, ord) AS amount FROM composed WHERE component_function = 'Active ingredient' GROUP BY 1),
+a AS (SELECT root, replace(amount, ' mg', '') AS active FROM f WHERE root % 3 > 0), n AS (SELECT root, lower(string_agg(name, ' ')) AS names FROM parts GROUP BY 1),
+j AS (SELECT hd.*, active, names, CASE WHEN o_custkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) END AS given FROM hd LEFT JOIN a ON a.root = hd.root LEFT JOIN n ON n.root = hd.root),
+k AS (SELECT *, CASE WHEN root % 4 <> 0 AND dose_form_code <> '' THEN dose_form_code WHEN o_custkey % 4 = 0 THEN 'S.INJ' WHEN o_custkey % 4 = 1 THEN 'P.S.INJ' WHEN active IS NOT NULL THEN 'S.INJ' END AS code FROM j)
+SELECT root, coalesce(CASE WHEN root % 3 = 0 THEN given END, CASE WHEN root % 2 = 0 THEN dose_mg END, CASE WHEN o_custkey % 5 < 2 THEN (o_custkey % 90) || '.5' END, active) AS dose_mg, code AS dose_form_code,
+CASE code WHEN 'S.INJ' THEN 'Solution for Injection' WHEN 'P.S.INJ' THEN 'Powder for Solution for Injection' END AS dose_form_label,
+coalesce(CASE WHEN root % 3 = 1 THEN given END, CASE WHEN root % 5 <> 0 THEN nullif(volume_ml, '') END, CASE WHEN root % 3 = 2 THEN given END) AS volume_ml,
+CASE WHEN root % 4 <> 0 AND container <> '' THEN container WHEN o_custkey % 6 = 0 THEN 'Vial' WHEN o_custkey % 6 = 1 THEN 'PFS' WHEN names LIKE '%syringe%' THEN 'Syringe' WHEN names LIKE '%vial%' THEN 'Vial' END AS container FROM k""",
     "general_info": f"""WITH {_HEADER}, p AS (SELECT unnest(range(5)) AS ord, unnest(['Batch size', 'Dosage form', 'Strength', 'Container', 'Manufacturer']) AS parameter)
 SELECT root, CAST(ord AS INTEGER) AS ord, parameter, CASE ord WHEN 0 THEN CASE WHEN root % 3 = 0 THEN '—' ELSE CAST(root % 50 AS VARCHAR) END WHEN 1 THEN coalesce(nullif(dose_form_label, ''), nullif(dose_form_code, ''), '—') WHEN 2 THEN dose_mg WHEN 3 THEN CASE WHEN root % 6 = 0 THEN 'Bag' ELSE coalesce(nullif(container, ''), '—') END ELSE '—' END AS value FROM hd, p""",
     "batch_flags": """WITH o AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'BAX' ELSE 'BA' END || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS root, * FROM orders), f AS (
 SELECT root, 1 AS rule_no, 'general_info' AS area, 'batch_size unit not decoded: urn:unit:9' AS message FROM o WHERE o_custkey % 4 <> 0 AND o_orderkey % 2 <> 0 UNION ALL SELECT root, 3, 'general_info', 'density unit not decoded: urn:unit:9' FROM o WHERE o_custkey % 5 = 0 AND o_orderkey % 2 <> 0
-UNION ALL SELECT root, 4, 'stages', 'operation not decoded: urn:op:7' FROM o WHERE o_custkey % 2 <> 0 UNION ALL SELECT root, 5, 'composition', 'no composition' FROM o WHERE o_orderstatus = 'P'
-UNION ALL SELECT root, 6, 'components', 'no drug-substance lot' FROM o WHERE o_orderpriority IN ('1-URGENT', '5-LOW') UNION ALL SELECT root, 7, 'header', 'manual registration' FROM o WHERE o_orderkey % 3 <> 0) SELECT root, rule_no, 'warn' AS severity, area, message FROM f""",
+UNION ALL SELECT root, 4, 'stages', 'operation not decoded: urn:op:7' FROM o WHERE o_custkey % 2 <> 0 UNION ALL SELECT root, 8, 'stages', 'amount unit not decoded: urn:unit:9' FROM o WHERE o_custkey % 3 > 0 AND o_orderkey % 2 <> 0 UNION ALL SELECT root, 5, 'composition', 'no composition' FROM o WHERE o_orderstatus = 'P'
+UNION ALL SELECT root, 6, 'components', 'no drug-substance lot' FROM o WHERE o_orderpriority IN ('1-URGENT', '5-LOW') UNION ALL SELECT root, 7, 'general_info', 'manual registration' FROM o WHERE o_orderkey % 3 <> 0) SELECT root, rule_no, CASE WHEN rule_no IN (5, 6, 7) THEN 'info' ELSE 'warn' END AS severity, area, message FROM f""",
     "bound_requests": f"WITH {V.SQL['results']} SELECT request_id, list(DISTINCT sample_id ORDER BY sample_id) AS samples FROM results WHERE request_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1",
     "measured_names": "SELECT p_partkey, CASE p_partkey % 6 WHEN 3 THEN 'Density' WHEN 5 THEN 'Purity' END AS result_name FROM part WHERE p_partkey % 6 >= 3",
     "requests_with_data": "SELECT o_orderkey AS request_id, CASE WHEN o_orderstatus <> 'F' AND o_custkey % 4 < 3 THEN o_custkey % 4 = 2 ELSE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30) END AS has_data FROM orders",

@@ -73,7 +73,12 @@ def batch_lots(spark: SparkSession, sf: str) -> DataFrame:
 
 def result_flags(spark: SparkSession, sf: str) -> DataFrame:
     r = rows(spark, sf).withColumn("technique", F.when(F.col("technique").endswith("1"), "Compendial").otherwise(F.col("technique"))).withColumn("reported_value", F.when(F.col("value_source") == "reported", F.col("reported_value")))
-    m = V.t(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"), F.lit("x-Compendial").alias("test_description"), F.when(F.col("o_orderstatus") == "F", "DOC-17-A").otherwise("").alias("method_reference"))
+    l = V.t(spark, sf, "lineitem").join(V.t(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))  # noqa: E741
+    m = l.select(
+        F.col("l_orderkey").alias("request_id"), F.concat(F.lit("E"), F.col("l_suppkey").cast("string"), F.when(F.col("l_returnflag") == "R", " attachment a01").otherwise("")).alias("eln_id"),
+        F.concat(F.lit("who-17_"), F.when(F.col("l_linenumber") % 2 == 0, "Compendial").otherwise(F.col("p_brand"))).alias("test_description"),
+        F.when(F.col("l_linestatus") == "F", F.concat(F.lit("DOC-17-A, V "), F.col("l_linenumber").cast("string"))).otherwise(F.when(F.col("l_quantity") < 25, "").otherwise("REF")).alias("method_reference"),
+    )
     return R.result_flags(r, m, hints=(("DOC-17", "pH"),))
 
 
@@ -191,12 +196,17 @@ SELECT request_id, technique, label, sample_id, coalesce(value, 'N/A') AS value
 row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderstatus, o_orderpriority) AS k FROM orders WHERE o_orderstatus <> 'P') WHERE k = 1""",
     "validation_counts": f"WITH {_R} SELECT request_id, count(*) AS result_rows, count(DISTINCT experiment_id) AS n_experiments, count(DISTINCT sample_id) AS n_samples, count(DISTINCT batch_id) AS n_batches FROM results GROUP BY 1",
     "batch_lots": f"WITH {_R}, d AS (SELECT DISTINCT request_id, batch_id FROM results) SELECT request_id, batch_id, p_name AS lot_display FROM d LEFT JOIN part ON p_partkey = batch_id",
-    "result_flags": f"""WITH {_R}, r AS (SELECT request_id, CASE WHEN technique LIKE '%1' THEN 'Compendial' ELSE technique END AS technique, result_name, sample_id, CASE WHEN value_source = 'reported' THEN reported_value END AS v FROM rows_),
-f AS (SELECT o_orderkey AS request_id, 1 AS rule_no, 'warn' AS severity, 'methods' AS area, 'method reference missing for Compendial' AS message FROM orders WHERE o_orderstatus <> 'F'
-UNION ALL SELECT o_orderkey, 2, 'warn', 'methods', 'ambiguous technique: Compendial' FROM orders WHERE o_orderstatus <> 'F'
-UNION ALL SELECT DISTINCT request_id, 3, 'warn', 'results', 'value missing: ' || technique || ' ' || result_name || ' ' || sample_id FROM r WHERE v IS NULL
-UNION ALL SELECT DISTINCT request_id, 4, 'warn', 'results', 'ambiguous technique: Compendial' FROM r WHERE technique = 'Compendial')
-SELECT DISTINCT * FROM f""",
+    "result_flags": f"""WITH {_R}, r AS (SELECT request_id, CASE WHEN technique LIKE '%1' THEN 'Compendial' ELSE technique END AS technique, result_name, units, sample_id, CASE WHEN value_source = 'reported' THEN reported_value END AS v FROM rows_),
+m AS (SELECT DISTINCT l_orderkey AS request_id, 'E' || l_suppkey || CASE WHEN l_returnflag = 'R' THEN ' attachment a01' ELSE '' END AS eln, CASE WHEN l_linenumber % 2 <> 0 THEN p_brand WHEN l_linestatus = 'F' THEN 'pH' ELSE 'Compendial' END AS technique,
+ CASE WHEN l_linestatus = 'F' THEN 'DOC-17-A' WHEN l_quantity < 25 THEN '' ELSE 'REF' END AS ref FROM lineitem JOIN part ON p_partkey = l_partkey),
+g AS (SELECT request_id, technique, ref, string_agg(eln, ', ' ORDER BY length(eln), eln) AS elns, min(eln) AS first_eln FROM m GROUP BY 1, 2, 3),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY first_eln, technique, ref) AS INTEGER) AS method_no, technique || ' (' || elns || ')' AS named FROM g),
+f AS (SELECT request_id, 1 AS rule_no, method_no, 'warn' AS severity, 'methods' AS area, 'method reference missing for ' || named AS message FROM n WHERE ref = ''
+UNION ALL SELECT request_id, 2, method_no, 'warn', 'methods', 'ambiguous technique: ' || named FROM n WHERE technique = 'Compendial'
+UNION ALL SELECT request_id, 5, method_no, 'info', 'methods', 'third-party result: ' || named FROM n WHERE elns LIKE '%attachment a01%'
+UNION ALL SELECT DISTINCT request_id, 3, NULL, 'warn', 'results', 'value missing: ' || technique || ' / ' || result_name || coalesce(' [' || units || ']', '') || ' / ' || sample_id FROM r WHERE v IS NULL
+UNION ALL SELECT DISTINCT request_id, 4, NULL, 'warn', 'results', 'ambiguous technique: Compendial' FROM r WHERE technique = 'Compendial')
+SELECT * FROM f""",
     "batch_counts": """WITH k AS (SELECT l_orderkey AS root, 1 AS a, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS b, 0 AS c, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS d FROM lineitem UNION ALL SELECT o_orderkey, 0, 0, 1, 0 FROM orders)
 SELECT root, CAST(sum(a) AS BIGINT) AS n_lines, CAST(sum(b) AS BIGINT) AS n_returned, CAST(sum(c) AS BIGINT) AS n_headers, CAST(sum(d) AS BIGINT) AS n_open_lines FROM k GROUP BY 1""",
     "resolve_components": "WITH c AS (SELECT DISTINCT l_orderkey AS root, l_partkey FROM lineitem) SELECT root, 'urn:batch:' || l_partkey AS component_ref, p_name AS resolved_name FROM c LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON p_partkey = l_partkey",

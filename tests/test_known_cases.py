@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from parchment.functions import clean
 from parchment.functions import text as T
+from parchment.operators import batches as B
 from parchment.operators import jobs as J
 from parchment.operators import layout as L
 from parchment.operators import outline as O
+from parchment.operators import results as R
 
 OUTLINE = "doc_id string, ord int, level int, title string, page int"
 
@@ -120,3 +122,55 @@ def test_no_cipher(spark, text, ratio):
 @pytest.mark.parametrize("text", ["", "   ", "too short", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 %% ++ ==", " ".join(["qwrtpq", "zxcvbn", "plkjhg", "mnbvcx"] * 6)])
 def test_unreadable(spark, text):
     assert spark.createDataFrame([(text,)], "x string").select(T.garble_check(F.col("x")).alias("r")).first().r is not None
+
+
+HEADER = "root int, dose_mg string, dose_form_code string, dose_form_label string, volume_ml string, container string"
+
+
+def test_blank_headers(spark):
+    """Table values, then the first active ingredient, then names of components; stage amounts are no volumes; properties override."""
+    headers = spark.createDataFrame([(k, None, None, None, "4" if k == 4 else None, None) for k in range(1, 7)], HEADER)
+    info = spark.createDataFrame([(1, "180", "Solution", "6R Vial"), (4, "1 mg/mL", "Lyophilised powder", "pfs 1 mL")], "root int, dose_strength string, dose_form string, packaging_system string")
+    made = spark.createDataFrame([(2, 1, "Excipient", "80 mg/mL"), (2, 2, "Active", "180 mg/mL"), (3, 1, "Active", "5 mg"), (3, 2, "Active", "7 mg/mL")], "root int, ord int, component_function string, amount_per_unit string")
+    parts = spark.createDataFrame([(2, "Syringe, 1 mL"), (3, "Glass vial"), (3, "Rod for PFS"), (5, None)], "root int, name string")
+    props = spark.createDataFrame([(1, "nominalVolume", "2.00"), (1, "fillVolume", "2.37"), (3, "fillVolume", "2.37"), (4, "fillVolume", "9"), (4, "unitStrength", "360"), (5, "nominalVolume", " ")], "root int, parameter string, value string")
+    out = B.backfill_header(headers, made, parts, props, info)
+    assert {r.root: tuple(r)[1:] for r in out.collect()} == {
+        1: ("180", "S.INJ", "Solution for Injection", "2.00", "Vial"),
+        2: ("180", "S.INJ", "Solution for Injection", None, "Syringe"),
+        3: (None, None, None, "2.37", "PFS"),
+        4: ("360", "P.S.INJ", "Powder for Solution for Injection", "4", "PFS"),
+        5: (None,) * 5,
+        6: (None,) * 5,
+    }
+
+
+def test_methods(spark):
+    """Analyst and date before a technique go, references meet without their version, blank experiments aren't named."""
+    rows = [
+        (1, "EXP-2", "SoloVPE", "P-1 V1.0"), (1, "EXP-1", "SoloVPE", "P-1 V2.0"), (1, " ", "SoloVPE", "P-1"), (1, "EXP-3", "gosekmx_17Apr2026_VisibleParticles", "ARM-1"),
+        (2, "EXP-1 Attachment A01", "MFI", None), (2, "EXP-2", "Compendial", "Q-1"), (2, None, "Compendial", "P-500488-E-B"),
+    ]
+    methods = spark.createDataFrame(rows, "request_id int, eln_id string, test_description string, method_reference string")
+    hints = (("P-500488", "pH"),)
+    out = R.methods_rollup(methods, hints).orderBy("request_id", "number").collect()
+    assert [(r.request_id, r.technique, r.method_reference, r.eln_ids, r.confident) for r in out if r.request_id == 1] == [(1, "Protein content", "P-1", "EXP-1, EXP-2", True), (1, "VisibleParticles", "ARM-1", "EXP-3", True)]
+    results = spark.createDataFrame([(2, "Compendial", "pH value", "-", None, "S1", None), (2, "Compendial", "something else", None, None, "S1", "1"), (2, "MFI", "count", None, None, "S2", " ")], "request_id int, technique string, result_name string, units string, analyte_name string, sample_id string, reported_value string")
+    flags = R.result_flags(results, methods, hints=hints).filter("request_id = 2").collect()
+    assert sorted((r.rule_no, r.severity, r.message) for r in flags) == [
+        (1, "warn", "method reference missing for Sub-Visible Particles - MFI (EXP-1 Attachment A01)"),
+        (2, "warn", "ambiguous technique: Compendial (EXP-2)"),
+        (3, "warn", "value missing: Sub-Visible Particles - MFI / count / S2"),
+        (3, "warn", "value missing: pH / value [-] / S1"),
+        (4, "warn", "ambiguous technique: Compendial"),
+        (5, "info", "third-party result: Sub-Visible Particles - MFI (EXP-1 Attachment A01)"),
+    ]
+
+
+def test_batches(spark):
+    """What can't be decoded warns; what is absent informs."""
+    info = spark.createDataFrame([("BA259821", "5", "urn:unit:nope"), ("BAX000584", None, "urn:unit:nope")], "root string, batch_size string, batch_size_unit string")
+    info = info.selectExpr("*", *[f"string(null) as {c}" for c in ("dose_strength", "dose_strength_unit", "density", "density_unit")])
+    stages = spark.createDataFrame([("BAX000584", "Filling", True, "500", "urn:unit:nope"), ("BAX000584", "Filling", True, None, "urn:unit:nope")], "root string, unit_operation string, confident boolean, amount string, amount_unit string")
+    flags = B.batch_flags(info, spark.createDataFrame([("BA259821",)], "root string"), spark.createDataFrame([("BAX000584", "substance")], "root string, kind string"), stages)
+    assert sorted((r.root, r.rule_no, r.severity) for r in flags.collect()) == [("BA259821", 1, "warn"), ("BA259821", 6, "info"), ("BA259821", 7, "info"), ("BAX000584", 5, "info"), ("BAX000584", 8, "warn")]
