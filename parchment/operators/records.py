@@ -90,12 +90,17 @@ def apply_edits(current: DataFrame, edits: DataFrame, width: float = PLACES) ->
     return accepted, rejected
 
 
-def restore_versions(versions: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """E6. (rows to append, rejects): copies of version n, labelled ``Restored vn``; a missing version is rejected."""
-    top = versions.groupBy("run_id", "section_key").agg(F.max("version_num").alias("_top"))
-    found = wanted.join(versions.select("run_id", "section_key", "version_num", "html"), ["run_id", "section_key", "version_num"], "left").join(top, ["run_id", "section_key"], "left")
-    out = found.filter("html is not null").select("run_id", "section_key", "html", (F.col("_top") + 1).alias("version_num"), F.concat(F.lit("Restored v"), F.col("version_num").cast("string")).alias("label"))
-    return out, found.filter("html is null").select("run_id", "section_key", "version_num")
+def restore_versions(versions: DataFrame, wanted: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """E6. (rows to append, rejects): copies of version n, labelled ``Restored vn``; a missing version is rejected.
+
+    Several restores of a section are appended one after another, by ``order`` or else by the version they name.
+    """
+    keys = ["run_id", "section_key"]
+    own = wanted.select(*keys, "version_num", F.col(order or "version_num").alias("_order"))
+    found = own.join(versions.select(*keys, "version_num", "html"), [*keys, "version_num"], "left")
+    copies = found.filter("html is not null").select(*keys, "html", "_order", F.concat(F.lit("Restored v"), F.col("version_num").cast("string")).alias("label"))
+    out = numbered_versions(versions, copies, ["_order", "label"]).select(*keys, "html", "version_num", "label")
+    return out, found.filter("html is null").select(*keys, "version_num")
 
 
 def versions_newest_first(versions: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from parchment.operators import batches as B
 from parchment.operators import jobs as J
 from parchment.operators import layout as L
 from parchment.operators import outline as O
+from parchment.operators import records
 from parchment.operators import results as R
 
 OUTLINE = "doc_id string, ord int, level int, title string, page int"
@@ -174,3 +175,12 @@ def test_batches(spark):
     stages = spark.createDataFrame([("BAX000584", "Filling", True, "500", "urn:unit:nope"), ("BAX000584", "Filling", True, None, "urn:unit:nope")], "root string, unit_operation string, confident boolean, amount string, amount_unit string")
     flags = B.batch_flags(info, spark.createDataFrame([("BA259821",)], "root string"), spark.createDataFrame([("BAX000584", "substance")], "root string, kind string"), stages)
     assert sorted((r.root, r.rule_no, r.severity) for r in flags.collect()) == [("BA259821", 1, "warn"), ("BA259821", 6, "info"), ("BA259821", 7, "info"), ("BAX000584", 5, "info"), ("BAX000584", 8, "warn")]
+
+
+def test_restored_versions(spark):
+    """History only grows, and restores of one section don't share a number."""
+    versions = spark.createDataFrame([(1, "purpose", 1, "<p>Original</p>"), (1, "purpose", 2, "<p>Second</p>"), (1, "scope", 1, "<p>s</p>")], "run_id int, section_key string, version_num int, html string")
+    wanted = spark.createDataFrame([(1, "purpose", 2, 1), (1, "purpose", 1, 2), (1, "purpose", 99, 3), (1, "scope", 1, 4)], "run_id int, section_key string, version_num int, at int")
+    new, bad = records.restore_versions(versions, wanted, "at")
+    assert sorted((r.section_key, r.version_num, r.html, r.label) for r in new.collect()) == [("purpose", 3, "<p>Second</p>", "Restored v2"), ("purpose", 4, "<p>Original</p>", "Restored v1"), ("scope", 2, "<p>s</p>", "Restored v1")]
+    assert [(r.section_key, r.version_num) for r in bad.collect()] == [("purpose", 99)]
