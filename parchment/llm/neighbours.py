@@ -36,6 +36,8 @@ DEGREE, DEGREE_BOTH, NEAR, FAR, ALPHA = 24, 48, 48, 16, 1.2
 BEAM, SLACK = 24, 0.05
 #: Shards of a vector in each attempt; recall that ends the attempts, recall below which all are compared; audited queries.
 OVERLAPS, RECALL, LEAST, AUDIT = (3, 6, 12), 0.95, 0.9, 400
+#: Shards whose vectors are compared exactly to draw audited queries with links.
+AUDIT_SHARDS = 64
 
 
 def _unit(blobs, kind: str) -> np.ndarray:
@@ -87,13 +89,10 @@ def fit_centroids(points: DataFrame, kind: str) -> dict[str, np.ndarray]:
         return {}
     rate = F.create_map(*[F.lit(x) for r in large for x in (r["shelf"], min(1.0, SAMPLE * k[r["shelf"]] / r["count"]))])[F.col("shelf")]
     drawn = points.filter(F.pmod(F.xxhash64("uid", F.lit(5)), F.lit(1 << 30)) < rate * (1 << 30)).select("shelf", "uid", "v").collect()
-    out = {}
-    for shelf, n in k.items():
-        x = [r["v"] for r in sorted(drawn, key=lambda r: r["uid"]) if r["shelf"] == shelf]
-        if len(x) <= 1:
-            continue
-        out[shelf] = spherical_means(_unit(x, kind), n)
-    return out
+    own: dict[str, list] = {}
+    for r in sorted(drawn, key=lambda r: r["uid"]):
+        own.setdefault(r["shelf"], []).append(r["v"])
+    return {shelf: spherical_means(_unit(own[shelf], kind), n) for shelf, n in k.items() if len(own.get(shelf, ())) > 1}
 
 
 def assigned(points: DataFrame, centroids: dict[str, np.ndarray], overlap: int, kind: str) -> DataFrame:
@@ -255,6 +254,8 @@ def _search_block(pdf, threshold: float, kind: str, exact: bool = False):
         width = max(1, max(map(len, lists)))
         adjacency = np.array([own + [i] * (width - len(own)) for i, own in enumerate(lists)])
         sims, computed = range_search(xq, xb, adjacency, int((xb @ xb.mean(0)).argmax()), threshold)
+        if base["is_query"].all():  # the block whose graph was built by its own products
+            computed += len(base) ** 2
     found = (sims >= threshold) & (qu[:, None] != bu[None, :])
     if len(bu) == len(qu) and (bu == qu).all():
         found |= found.T
@@ -288,13 +289,31 @@ def _search_block(pdf, threshold: float, kind: str, exact: bool = False):
     return pd.DataFrame({"uid": uid[keep], "n": n[keep], "low": low[keep], "computed": each[keep]})
 
 
-def _audit(points: DataFrame, counts: DataFrame, threshold: float, kind: str) -> float | None:
+def _linked_sample(placed: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """(uid) of vectors with a link inside one of ``AUDIT_SHARDS`` shards drawn by hash, at most a block of each compared exactly: whatever the search found."""
+    sizes = placed.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.count("*").alias("m")).filter("m > 1")
+    drawn = saved(sizes.orderBy(F.xxhash64("shard", F.lit(12)), "shard").limit(AUDIT_SHARDS), "audit-shards")
+    own = placed.select("uid", "v", F.explode("shards").alias("shard")).join(F.broadcast(drawn), "shard")
+    own = own.filter(F.pmod(F.xxhash64("uid", F.lit(13)), F.ceil(F.col("m") / BLOCK)) == 0).select("shard", "uid", "v")
+
+    def linked(pdf):
+        x = _unit(pdf["v"], kind)
+        sims = x @ x.T
+        np.fill_diagonal(sims, -2.0)
+        return pdf.loc[(sims >= threshold).any(axis=1), ["uid"]]
+
+    return own.groupBy("shard").applyInPandas(linked, "uid long").distinct()
+
+
+def _audit(points: DataFrame, placed: DataFrame, counts: DataFrame, threshold: float, kind: str) -> float | None:
     """Share of the true links of at most ``AUDIT`` queries that were found, null if they have none; all rows are compared.
 
-    Half of the queries are drawn by hash from all rows, half from those with links.
+    Half of the queries are drawn by hash from all rows, half from those that an exact comparison of a few blocks
+    shows to have links; only where these blocks hold none, from those with links found.
     """
     order = [F.xxhash64("uid", F.lit(11)), "uid"]
-    linked = points.select("uid", "shelf", "v").join(counts.filter("n > 0").select("uid"), "uid", "left_semi").orderBy(*order).limit(AUDIT // 2).collect()
+    draw = lambda some: points.select("uid", "shelf", "v").join(some.select("uid"), "uid", "left_semi").orderBy(*order).limit(AUDIT // 2).collect()
+    linked = draw(_linked_sample(placed, threshold, kind)) or draw(counts.filter("n > 0"))
     drawn = {r["uid"]: r for r in (*points.select("uid", "shelf", "v").orderBy(*order).limit(AUDIT // 2).collect(), *linked)}
     by: dict[str, list] = {}
     for r in drawn.values():
@@ -337,6 +356,8 @@ def _searched(placed: DataFrame, threshold: float, kind: str, exact: bool = Fals
 def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept, recall (of the audit) and compared (distances a vector), the last two the same in all rows.
 
+    ``compared`` counts the products that build the graphs and the distances of the searches; the audit adds at most ``AUDIT`` a vector.
+
     ``vectors``: vec_id, embedding, label; other columns are left out.  Vectors link only when their labels
     are equal and not null and their cosine (of the components as they are, in double precision) reaches
     ``threshold``; null, empty and zero vectors and those with null or non-finite components link with nothing,
@@ -353,7 +374,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         placed = saved(divided(saved(assigned(slim, centroids, overlap, kind), "assigned"), kind), "placed")
         links = _searched(placed, threshold, kind)
         counts = saved(links.groupBy("uid").agg(F.sum("n").alias("n")), "counts")
-        recall = _audit(points, counts, threshold, kind)
+        recall = _audit(points, placed, counts, threshold, kind)
         if recall is None or recall >= RECALL or not centroids:
             break
     if recall is None or recall < LEAST:

@@ -66,3 +66,17 @@ def test_the_walk_computes_a_part_of_the_distances(copies):
         assert ((sims >= 0.93) <= true).all() and (sims >= 0.93).sum() >= 0.95 * true.sum()
         share[n] = computed / n / n
     assert share[2000] < 0.6 * share[500] and share[2000] < 0.5
+
+
+def test_audited_queries_dont_depend_on_what_was_found(spark):
+    """A search that found nothing has a recall of 0, as the audit draws vectors with links by comparing blocks."""
+    rows = made(600)
+    vectors, kind = N.usable(spark.createDataFrame(rows, VEC))
+    points = vectors.selectExpr("uid", "shelf", "v", "1L as weight")
+    placed = points.selectExpr("*", "array(concat(shelf, '/', uid % 2)) as shards")
+    none = spark.createDataFrame([], "uid long, n long")
+    drawn = {r.uid for r in N._linked_sample(placed, 0.93, kind).collect()}
+    has = dict(zip((k for k, *_ in rows), truth(rows)))
+    linked = {r.uid for r in vectors.collect() if has[r.vec_id]}
+    assert drawn and drawn <= linked
+    assert N._audit(points, placed, none, 0.93, kind) == 0.0
