@@ -199,10 +199,10 @@ def audit_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stitched_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Uncaptioned tables take the caption of one stitched up to two pages back, of each caption its latest table."""
+    """Uncaptioned tables take the caption of one stitched up to two pages back, whichever of its tables covers them."""
     b = layouts.blocks(spark, sf)
     tables = b.select("doc_id", F.col("block_no").alias("page_idx"), "id", F.when(F.col("what") < 3, F.col("number").cast("string")).alias("ref"), "x0", "x1", F.col("italic").alias("near_figure"))
-    return L.stitch_table_pages(tables).select("doc_id", "id", "stitched_ref")
+    return L.stitch_table_pages(tables, every=True).select("doc_id", "id", "stitched_ref")
 
 
 _NAMES = (
@@ -249,7 +249,7 @@ e AS (SELECT *, c % 4 > 1 AND key_path = CASE WHEN c % 3 = 0 THEN 'a.b' ELSE 'c'
     "audit_records": f"""WITH {_O}, n AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_quantity > 40) AS f FROM lineitem GROUP BY 1) SELECT k AS request_id, 'D-' || lpad(CAST(k AS VARCHAR), 6, '0') AS display, 'Q-' || lpad(CAST(k AS VARCHAR), 6, '0') AS query, coalesce(n, 0) AS rows, sha256(CAST(k AS VARCHAR)) AS content_hash, coalesce(f, 0) AS flags FROM o LEFT JOIN n ON l_orderkey = k""",
     "stitched_tables": f"""WITH RECURSIVE {_B}, t AS (SELECT doc_id, block_no AS p, id, CASE WHEN what < 3 THEN CAST(number AS VARCHAR) END AS ref, x0, x1, italic FROM b),
 s AS (SELECT doc_id, p, id, ref, x0, x1, NULL::VARCHAR AS r1, NULL::DOUBLE AS a1, NULL::DOUBLE AS z1 FROM t WHERE p = 1 UNION ALL
- SELECT t.doc_id, t.p, t.id, coalesce(t.ref, CASE WHEN NOT t.italic THEN CASE WHEN s.ref IS NOT NULL AND (least(s.x1, t.x1) - greatest(s.x0, t.x0)) / (t.x1 - t.x0) >= 0.5 THEN s.ref WHEN s.r1 IS NOT NULL AND s.r1 IS DISTINCT FROM s.ref AND (least(s.z1, t.x1) - greatest(s.a1, t.x0)) / (t.x1 - t.x0) >= 0.5 THEN s.r1 END END), t.x0, t.x1, s.ref, s.x0, s.x1 FROM s JOIN t ON t.doc_id = s.doc_id AND t.p = s.p + 1)
+ SELECT t.doc_id, t.p, t.id, coalesce(t.ref, CASE WHEN NOT t.italic THEN CASE WHEN s.ref IS NOT NULL AND (least(s.x1, t.x1) - greatest(s.x0, t.x0)) / (t.x1 - t.x0) >= 0.5 THEN s.ref WHEN s.r1 IS NOT NULL AND (least(s.z1, t.x1) - greatest(s.a1, t.x0)) / (t.x1 - t.x0) >= 0.5 THEN s.r1 END END), t.x0, t.x1, s.ref, s.x0, s.x1 FROM s JOIN t ON t.doc_id = s.doc_id AND t.p = s.p + 1)
 SELECT doc_id, id, ref AS stitched_ref FROM s""",
     "content_hash": f"""WITH h AS (SELECT l_orderkey AS request_id, sha256('{{' || {_ROW_JSON} || '}}') AS h FROM lineitem) SELECT request_id, sha256(concat_ws(',', count(*), {', '.join(f"sum(CAST('0x' || substring(h, {1 + 15 * k}, 15) AS BIGINT))" for k in range(4))})) AS content_hash, count(*) AS n_rows FROM h GROUP BY 1""",
     "section_edits": f"""WITH RECURSIVE {V.SQL['versions']}, e AS (SELECT run_id, section_key, version_num AS n, version_num - CASE WHEN version_num % 4 = 3 THEN 1 ELSE 0 END AS rev FROM versions),

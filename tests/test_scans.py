@@ -222,3 +222,46 @@ def test_tables_stitched_over_pages(spark, width):
     assert out == expected
     # page 2 goes on from "a", as the latest table of "b" is page 1's, which it doesn't cover by half
     assert [out[1, k] for k in range(1, 8)] == ["b", "a", "b", "a", None, "a", None]
+
+
+def test_every_table_of_a_ref_may_go_on(spark, sf):
+    """The query: a table that its ref's latest table doesn't cover goes on from an earlier one, up to two pages back."""
+    from parchment.plans import layouts, records
+
+    rows = layouts.blocks(spark, sf).select("doc_id", "block_no", "what", "number", "x0", "x1", "italic").orderBy("doc_id", "block_no").collect()
+    every, latest = {}, {}
+    for b in rows:
+        for expected, alone in ((every, False), (latest, True)):
+            ref = str(b.number) if b.what < 3 else None
+            back = [(p, *expected.get((b.doc_id, p), (None, 0.0, 0.0))) for p in (b.block_no - 1, b.block_no - 2)]
+            if ref is None and not b.italic:
+                for n, (p, r, x0, x1) in enumerate(back):
+                    if r and not (alone and n and r == back[0][1]) and (min(x1, b.x1) - max(x0, b.x0)) / (b.x1 - b.x0) >= 0.5:
+                        ref = r
+                        break
+            expected[b.doc_id, b.block_no] = (ref, b.x0, b.x1)
+    out = {(x.doc_id, x.id): x.stitched_ref for x in records.stitched_tables(spark, sf).collect()}
+    assert out == {k: v[0] for k, v in every.items()}
+    assert sum(v[0] is not None for v in every.values()) > sum(v[0] is not None for v in latest.values())
+
+
+@pytest.mark.parametrize("width", [3, 10_000])
+def test_every_table_of_the_last_pages(spark, width):
+    """As above with several tables a page: a ref's tables count side by side, the latest page first, then the ref captioned first."""
+    T = "doc_id int, page_idx int, id int, ref string, x0 double, x1 double, near_figure boolean"
+    named = [(1, 0, 1, "b", 0.0, 50.0, False), (1, 0, 2, "a", 0.0, 50.0, False), (1, 1, 3, None, 0.0, 35.0, False), (1, 2, 4, None, 30.0, 50.0, False), (1, 2, 5, "c", 0.0, 9.0, False), (1, 2, 6, "c", 60.0, 69.0, False), (1, 3, 7, None, 0.0, 9.0, False), (1, 6, 8, None, 0.0, 9.0, False)]
+    r = random.Random(14)
+    rows = named + [(2, r.randrange(60), k, r.choice([None, None, "3", "4", "5"]), x := r.uniform(0, 50), x + r.choice([0, 10, 60]), r.random() < 0.1) for k in range(160)]
+    expected, there, first = {}, [], {}
+    for d, p, k, ref, x0, x1, near in sorted(rows, key=lambda t: t[:3]):
+        if ref is not None:
+            first.setdefault((d, ref), k + p * 1000)
+        elif not near and x1 > x0:
+            ref = min(((-q, first[d, o], o) for e, q, o, a, b in there if e == d and 1 <= p - q <= 2 and (min(b, x1) - max(a, x0)) / (x1 - x0) >= 0.5), default=(None,))[-1]
+        if ref is not None:
+            there.append((d, p, ref, x0, x1))
+        expected[d, k] = ref
+    out = {(x.doc_id, x.id): x.stitched_ref for x in L.stitch_table_pages(spark.createDataFrame(rows, T), width, every=True).collect()}
+    assert out == expected
+    # page 2 goes on from "b" of page 0, whose table of page 1 covers a quarter; page 3 from the first of two tables of "c"
+    assert [out[1, k] for k in range(1, 9)] == ["b", "a", "b", "b", "c", "c", "c", None]
