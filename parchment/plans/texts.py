@@ -96,7 +96,7 @@ def footnote_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def place_media(spark: SparkSession, sf: str) -> DataFrame:
-    lines = V.page_lines(spark, sf).withColumn("ord", F.col("page_idx") * 100_000 + F.col("block_no"))
+    lines = V.page_lines(spark, sf).withColumn("ord", F.col("page_idx").cast("long") * 100_000 + F.col("block_no"))
     media = V.pages(spark, sf).select("doc_id", F.lit("figure").alias("kind"), F.col("page_idx").cast("string").alias("ref"))
     return P.place_media(lines, media)
 
