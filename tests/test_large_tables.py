@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from parchment.operators import outline as O
 from parchment.plans import registry
+from parchment.plans import views as V
 
 
 def test_media_on_pages_far_into_a_document(spark, tmp_path):
@@ -11,3 +13,22 @@ def test_media_on_pages_far_into_a_document(spark, tmp_path):
     spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n - 2, "x").otherwise("a\nb\nc\nd").alias("text"), F.lit("s").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
     placed = registry.QUERIES["place_media"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.kind, r.ref, r.ord, r.how) for r in placed) == [("s", "figure", str(p), p * 100_000 + 3, "caption") for p in (n - 2, n - 1)]
+
+
+def test_titles_are_picked_once_from_the_start_of_a_text(spark, tmp_path):
+    """The words of a title don't cost a pass over the whole text for every use of the title."""
+    texts = ["One two three four", "a  b c", " 1,2 x-y z w", "nothing", "", "two\nlines of it here", "ends in "]
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = lambda t: " ".join("".join(c for c in t if c == " " or c.isascii() and c.isalpha()).split(" ")[:3])
+    number = lambda k: str(k // 3 + 1) + (f".{k % 3}" if k % 3 else "")
+    out = V.outline(spark, str(tmp_path))
+    assert sorted((r.ord, r.level, r.title, r.page) for r in out.collect()) == sorted((2 * k + c, 2 if k % 3 else 1, f"{number(k)} {kept(t)}", k + 1 + 40 * c) for k, t, _ in rows for c in (0, 1))
+    plan = registry.QUERIES["outline_candidates"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^A-Za-z ]") == 1, plan
+
+
+def test_orphans_and_gaps_of_numbers_that_repeat(spark):
+    titles = ["1 A", "1 A", "1.1 B", "2.1 C", "2.1 C", "3.1.1 D", "Annex A", "14 E", "99999999999999999999 F"]
+    out = O.hierarchy_valid(spark.createDataFrame([("d", t) for t in titles] + [("e", None), ("e", "Annex")], "doc_id string, title string")).collect()
+    assert sorted(tuple(r) for r in out) == [("d", 9, 8, 3, 11, False), ("e", 2, 0, 0, None, False)]
