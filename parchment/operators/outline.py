@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions import text as T
+from parchment.tables import saved
 
 from .helpers import asof_last, contains_join, keep_first
 from .scans import PLACES, next_greater, running, upper_medians
@@ -160,13 +161,15 @@ def dedupe_outline(outline: DataFrame, far: int = 70) -> DataFrame:
 
 def hierarchy_valid(outline: DataFrame) -> DataFrame:
     """D31. Whether each document's outline is plausible: three entries, few orphans, no large gap of top numbers; annexes alone are."""
-    e = outline.withColumn("num", F.nullif(F.regexp_extract("title", r"^(\d+(?:\.\d+)*)", 1), F.lit("")))
-    parent = F.regexp_replace("num", r"\.\d+$", "")
-    nums = e.filter("num is not null").select("doc_id", F.col("num").alias("parent")).distinct().withColumn("has", F.lit(True))
-    kids = e.withColumn("parent", F.when(F.col("num").contains("."), parent)).join(nums, ["doc_id", "parent"], "left")
-    counts = kids.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("num").alias("numbered"), F.count_if(F.col("parent").isNotNull() & F.col("has").isNull()).alias("orphans"))
-    tops = e.filter("num is not null").select("doc_id", F.substring_index("num", ".", 1).try_cast("long").alias("top")).distinct()
-    gaps = tops.withColumn("gap", F.lead("top").over(Window.partitionBy("doc_id").orderBy("top")) - F.col("top")).groupBy("doc_id").agg(F.max("gap").alias("gap"))
+    own = outline.select("doc_id", F.nullif(F.regexp_extract("title", r"^(\d+(?:\.\d+)*)", 1), F.lit("")).alias("num"))
+    nums = saved(own.groupBy("doc_id", "num").agg(F.count("*").alias("k")), "numbers")
+    numbered = nums.filter("num is not null")
+    kids = numbered.filter(F.col("num").contains(".")).select("doc_id", F.regexp_replace("num", r"\.\d+$", "").alias("parent"), "k")
+    orphans = kids.join(numbered.select("doc_id", F.col("num").alias("parent")), ["doc_id", "parent"], "left_anti").groupBy("doc_id").agg(F.sum("k").alias("orphans"))
+    counts = nums.groupBy("doc_id").agg(F.sum("k").alias("n"), F.coalesce(F.sum(F.when(F.col("num").isNotNull(), F.col("k"))), F.lit(0)).alias("numbered"))
+    counts = counts.join(orphans, "doc_id", "left").withColumn("orphans", F.coalesce("orphans", F.lit(0)))
+    tops = numbered.select("doc_id", F.substring_index("num", ".", 1).try_cast("long").alias("top")).distinct()
+    gaps = next_greater(tops, ["doc_id"], "top", "next").groupBy("doc_id").agg(F.max(F.col("next") - F.col("top")).alias("gap"))
     out = counts.join(gaps, "doc_id", "left")
     ok = (F.col("numbered") == 0) | ((F.col("orphans") / F.col("numbered") <= F.when(F.col("n") < 15, 0.5).otherwise(0.3)) & (F.coalesce("gap", F.lit(0)) <= 10))
     return out.select("doc_id", "n", "numbered", "orphans", "gap", ((F.col("n") >= 3) & ok).alias("valid"))
