@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,32 +38,52 @@ TITLE_NOISE = "[\\u00a0\\u00ad\\u200b\\u200c\\u200d\\ufeff\\u2022\\u2023\\u25aa\
 SECTION_ID = r"(?i)^\s*(?:(\d+(?:\.\d+)*)|annex\s+([a-z])|figure\s+((?:[a-z]\.?)?\d+(?:\.\d+)*)|table\s+((?:[a-z]\.?)?\d+(?:\.\d+)*))\b"
 
 
-def _tokens(text: Column) -> Column:
-    return F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern))
+
+
+def _any_of(words: Sequence[str]) -> str:
+    """Pattern of some words, by their first letter."""
+    first = sorted({w[0] for w in words})
+    return "|".join(f"{c}(?:{'|'.join(w[1:] for w in words if w[0] == c)})" for c in first)
+
+
+# Tokens are runs without blanks, and count without what is no letter or digit (of ASCII) at their ends.  A pattern takes the rest of its token, so it counts tokens.
+_BEGIN, _END = r"(?:^|\s)[^\sa-zA-Z0-9]*+", r"[^\sa-zA-Z0-9]*+(?!\S)"
+TOKEN, WORDLIKE = r"\S+", r"[a-zA-Z0-9]\S*"
+# the lower case of a dotted I is a letter and a mark
+LETTERS = rf"{_BEGIN}(?:[a-zA-Z]{{2,}}+{_END}|[a-zA-Z][\p{{L}}&&[^\u0130]]*[a-zA-Z]{_END})"
+KNOWN = rf"{_BEGIN}(?i:{_any_of([w for w in COMMON_WORDS if len(w) > 1])}){_END}"
+ODD = r"[\p{C}\p{Zl}\p{Zp}&&[^\n\r\t]]"
+GARBLED = rf"{GARBLE}\S*"
+LINKS = rf"(?:{URLISH})\S*"
+CIPHERED = rf"(?:^|\s)(?=\S*?(?:{CIPHER}))(?!\S*?(?:{URLISH}))\S+"
+
+
+def _with(counts: dict[str, Column], then: Callable[[Column], Column]) -> Column:
+    """``then`` of the counts, each of which is counted once."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in counts.items()])), then), F.lit(0))
 
 
 def garble_check(text: Column) -> Column:
     """H25. Which check a text fails: short, unprintable, letters, words, pattern; null for readable text."""
-    raw = _tokens(text)
-    tokens = F.filter(F.transform(raw, lambda w: F.lower(F.regexp_replace(w, "^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$", ""))), lambda w: w != "")
-    alpha = F.filter(tokens, lambda w: w.rlike(r"^\p{L}{2,}$"))
-    known = F.filter(alpha, lambda w: w.isin(*COMMON_WORDS))
-    odd = F.length(F.regexp_replace(text, r"[^\p{C}\p{Zl}\p{Zp}]|[\n\r\t]", ""))
-    hits = F.size(F.filter(raw, lambda w: w.rlike(GARBLE)))
-    return (
-        F.when(text.isNull() | (F.length(F.trim(text)) < 20), "short")
-        .when(odd / F.length(text) > 0.4, "unprintable")
-        .when((F.size(tokens) == 0) | (F.size(alpha) / F.size(tokens) < 0.30), "letters")
-        .when((F.size(alpha) > 10) & (F.size(known) / F.size(alpha) < 0.03), "words")
-        .when((F.size(raw) > 0) & (hits / F.size(raw) > 0.08), "pattern")
-    )
+    counts = {name: _count(text, p) for name, p in (("raw", TOKEN), ("tokens", WORDLIKE), ("alpha", LETTERS), ("known", KNOWN), ("odd", ODD), ("hits", GARBLED))}
+
+    def fails(n: Column) -> Column:
+        return (
+            F.when(n["odd"] / F.length(text) > 0.4, "unprintable")
+            .when((n["tokens"] == 0) | (n["alpha"] / n["tokens"] < 0.30), "letters")
+            .when((n["alpha"] > 10) & (n["known"] / n["alpha"] < 0.03), "words")
+            .when((n["raw"] > 0) & (n["hits"] / n["raw"] > 0.08), "pattern")
+        )
+
+    return F.when(text.isNull() | (F.length(F.trim(text)) < 20), "short").otherwise(_with(counts, fails))
 
 
 def cipher_ratio(text: Column) -> Column:
     """H26. Share of tokens with a cipher symbol next to a letter; links aside; 0 for ten tokens or fewer."""
-    raw = F.filter(_tokens(text), lambda w: ~w.rlike(URLISH))
-    n = F.size(raw)
-    return F.when(n <= 10, F.lit(0.0)).otherwise(F.size(F.filter(raw, lambda w: w.rlike(CIPHER))) / n)
+    counts = {"n": _count(text, TOKEN) - _count(text, LINKS), "hits": _count(text, CIPHERED)}
+    return _with(counts, lambda c: F.when(c["n"] <= 10, F.lit(0.0)).otherwise(c["hits"] / c["n"]))
 
 
 def split_blocks(text: Column) -> Column:

@@ -1,7 +1,12 @@
 """What only shows on large tables, on tables that are large in one way alone."""
 
+import random
+import re
+import unicodedata
+
 from pyspark.sql import functions as F
 
+from parchment.functions import text as T
 from parchment.operators import outline as O
 from parchment.plans import registry
 from parchment.plans import views as V
@@ -32,3 +37,22 @@ def test_orphans_and_gaps_of_numbers_that_repeat(spark):
     titles = ["1 A", "1 A", "1.1 B", "2.1 C", "2.1 C", "3.1.1 D", "Annex A", "14 E", "99999999999999999999 F"]
     out = O.hierarchy_valid(spark.createDataFrame([("d", t) for t in titles] + [("e", None), ("e", "Annex")], "doc_id string, title string")).collect()
     assert sorted(tuple(r) for r in out) == [("d", 9, 8, 3, 11, False), ("e", 2, 0, 0, None, False)]
+
+
+def test_tokens_of_texts_are_counted_in_one_pass(spark):
+    """Counts by patterns are those of a loop over the tokens; each is made once a text."""
+    words = ["the", "The,", "(of)", "a", "A1", "naïve", "É", "résumé!", "abcé", "éabc", "İx", "aİb", "ab1", "1", "--", "…", "x>y", "A>B", "QQ<Z", "www.x=y", "a?b@c", "K2", "isoé", " ", "ab ", " the", "table.", "http://a|b", "a|b", "\x0b", "\x00\x01", "mm", "n", "ﬁx", "日本", "a日b"]
+    r = random.Random(4)
+    texts = ["", "   ", "x" * 19, " the of and to in that for are shall be this with "] + [r.choice(["", " ", "\n"]) + "".join(r.choice(words) + r.choice([" ", "  ", "\n", "\t", "\r\n"]) for _ in range(r.randrange(1, 40))) for _ in range(400)]
+
+    def counts(t):
+        raw = [w for w in re.split("[ \t\n\x0b\f\r]+", t.strip(" ")) if w]
+        tokens = [w for w in (re.sub("^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$", "", w).lower() for w in raw) if w]
+        alpha = [w for w in tokens if len(w) > 1 and all(unicodedata.category(c)[0] == "L" for c in w)]
+        odd = sum(unicodedata.category(c)[0] == "C" or unicodedata.category(c) in ("Zl", "Zp") for c in t if c not in "\n\r\t")
+        links = [w for w in raw if re.search(T.URLISH, w)]
+        return (len(raw), len(tokens), len(alpha), sum(w in T.COMMON_WORDS for w in alpha), odd, sum(bool(re.search(T.GARBLE, w)) for w in raw), len(links), sum(bool(re.search(T.CIPHER, w)) and w not in links for w in raw))
+
+    patterns = (T.TOKEN, T.WORDLIKE, T.LETTERS, T.KNOWN, T.ODD, T.GARBLED, T.LINKS, T.CIPHERED)
+    out = spark.createDataFrame([(t,) for t in texts], "x string").select("x", *[F.regexp_count("x", F.lit(p)) for p in patterns]).collect()
+    assert [tuple(o)[1:] for o in out] == [counts(o.x) for o in out]
