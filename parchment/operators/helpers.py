@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions.ids import blank_to_null
+from parchment.tables import saved
 
 from .scans import PLACES, running
 
@@ -94,6 +95,33 @@ def iou(a: str = "a_", b: str = "b_") -> Column:
 
 #: Boxes of a page's cell, about; cells of a page along a side at most.
 CELL_BOXES, CELLS = 16, 256
+#: Cells along a side at most for boxes that hang together: one box a cell, so that boxes reach over whole cells.
+CLUSTER_CELLS = 64
+
+
+def _cell(value: Column, low: str, wide: str) -> Column:
+    return F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.floor((value - F.col(low)) / F.col(wide) * F.col("_n")))).cast("int")
+
+
+def _grid(b: DataFrame, keys: Sequence[str], most: int, each: int) -> DataFrame:
+    names = [f"_k{i}" for i in range(len(keys))]
+    page = b.groupBy(*keys).agg(F.min("x0").alias("_x"), F.min("y0").alias("_y"), F.max("x1").alias("_w"), F.max("y1").alias("_h"), F.least(F.lit(most), F.ceil(F.sqrt(F.count("*") / each))).cast("int").alias("_n"))
+    return page.select(*[F.col(c).alias(n) for c, n in zip(keys, names)], "_x", F.greatest(F.col("_w") - F.col("_x"), F.lit(1e-300)).alias("_w"), "_y", F.greatest(F.col("_h") - F.col("_y"), F.lit(1e-300)).alias("_h"), "_n")
+
+
+def _celled(df: DataFrame, page: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
+    names = [f"_k{i}" for i in range(len(keys))]
+    both = df.join(page, [df[c] == page[n] for c, n in zip(keys, names)]).drop(*names)
+    across = lambda lo, hi, low, wide: F.explode(F.sequence(_cell(F.col(lo), low, wide), F.greatest(_cell(F.col(lo), low, wide), _cell(F.col(hi), low, wide))))
+    both = both.withColumn("_cx", across("x0", "x1", "_x", "_w")).withColumn("_cy", across("y0", "y1", "_y", "_h"))
+    return both.select(*keys, "_cx", "_cy", "_x", "_w", "_y", "_h", "_n", *[F.col(c).alias(f"{p}{c}") for c in df.columns if c not in keys])
+
+
+def _met(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    joined = a.join(b.drop("_x", "_w", "_y", "_h", "_n"), [*keys, "_cx", "_cy"])
+    begins = (_cell(F.greatest("a_x0", "b_x0"), "_x", "_w") == F.col("_cx")) & (_cell(F.greatest("a_y0", "b_y0"), "_y", "_h") == F.col("_cy"))
+    touch = (F.greatest("a_x0", "b_x0") <= F.least("a_x1", "b_x1")) & (F.greatest("a_y0", "b_y0") <= F.least("a_y1", "b_y1"))
+    return joined.filter(begins & touch).drop("_cx", "_cy", "_x", "_w", "_y", "_h", "_n")
 
 
 def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -102,25 +130,24 @@ def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     A page of many boxes is a grid of cells, as many as its boxes need: boxes meet by page and cell in a hash join,
     and a pair counts in the one cell where its overlap begins.
     """
-    names = [f"_k{i}" for i in range(len(keys))]
-    page = b.groupBy(*keys).agg(F.min("x0").alias("_x"), F.min("y0").alias("_y"), F.max("x1").alias("_w"), F.max("y1").alias("_h"), F.least(F.lit(CELLS), F.ceil(F.sqrt(F.count("*") / CELL_BOXES))).cast("int").alias("_n"))
-    page = page.select(*[F.col(c).alias(n) for c, n in zip(keys, names)], "_x", F.greatest(F.col("_w") - F.col("_x"), F.lit(1e-300)).alias("_w"), "_y", F.greatest(F.col("_h") - F.col("_y"), F.lit(1e-300)).alias("_h"), "_n")
-
-    def cell(value: Column, low: str, wide: str) -> Column:
-        return F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.floor((value - F.col(low)) / F.col(wide) * F.col("_n")))).cast("int")
-
-    def celled(df: DataFrame, p: str) -> DataFrame:
-        of = [df[c] == page[n] for c, n in zip(keys, names)]
-        both = df.join(page, of).drop(*names)
-        across = lambda lo, hi, low, wide: F.explode(F.sequence(cell(F.col(lo), low, wide), F.greatest(cell(F.col(lo), low, wide), cell(F.col(hi), low, wide))))
-        both = both.withColumn("_cx", across("x0", "x1", "_x", "_w")).withColumn("_cy", across("y0", "y1", "_y", "_h"))
-        grid = ["_cx", "_cy", "_x", "_w", "_y", "_h", "_n"]
-        return both.select(*keys, *(grid if p == "a_" else grid[:2]), *[F.col(c).alias(f"{p}{c}") for c in df.columns if c not in keys])
-
-    joined = celled(a, "a_").join(celled(b, "b_"), [*keys, "_cx", "_cy"])
-    begins = (cell(F.greatest("a_x0", "b_x0"), "_x", "_w") == F.col("_cx")) & (cell(F.greatest("a_y0", "b_y0"), "_y", "_h") == F.col("_cy"))
-    touch = (F.greatest("a_x0", "b_x0") <= F.least("a_x1", "b_x1")) & (F.greatest("a_y0", "b_y0") <= F.least("a_y1", "b_y1"))
-    return joined.filter(begins & touch).drop("_cx", "_cy", "_x", "_w", "_y", "_h", "_n")
+    page = _grid(b, keys, CELLS, CELL_BOXES)
+    return _met(_celled(a, page, keys, "a_"), _celled(b, page, keys, "b_"), keys)
+
+
+def hanging(padded: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, a, b): links by which the boxes (id) hang together as by all pairs of ``padded`` and ``boxes`` that meet.
+
+    A box that reaches over a cell on all sides meets every padded box in it, so the others there are linked to one
+    such box; pairs are looked for only in cells without one.
+    """
+    page = _grid(boxes, keys, CLUSTER_CELLS, 1)
+    own, wide = _celled(boxes, page, keys, "b_"), _celled(padded, page, keys, "a_")
+    at = [*keys, "_cx", "_cy"]
+    over = [(_cell(F.col(f"b_{c}0"), f"_{c}", w) < F.col(f"_c{c}")) & (_cell(F.col(f"b_{c}1"), f"_{c}", w) > F.col(f"_c{c}")) for c, w in (("x", "_w"), ("y", "_h"))]
+    hubs = saved(own.filter(over[0] & over[1]).groupBy(*at).agg(F.min("b_id").alias("hub")), "hubs")
+    stars = wide.join(hubs, at).select(*keys, F.col("a_id").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = _met(wide.join(hubs, at, "left_anti"), own.join(hubs, at, "left_anti"), keys).filter("a_id < b_id").select(*keys, F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return stars.unionByName(pairs).filter("a <> b")
 
 
 def rect_join(a: DataFrame, b: DataFrame, keys: Sequence[str], share: float | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions import text as T
 from parchment.operators import outline as O
+from parchment.operators.helpers import hanging
 from parchment.plans import registry
 from parchment.plans import views as V
 
@@ -56,3 +57,31 @@ def test_tokens_of_texts_are_counted_in_one_pass(spark):
     patterns = (T.TOKEN, T.WORDLIKE, T.LETTERS, T.KNOWN, T.ODD, T.GARBLED, T.LINKS, T.CIPHERED)
     out = spark.createDataFrame([(t,) for t in texts], "x string").select("x", *[F.regexp_count("x", F.lit(p)) for p in patterns]).collect()
     assert [tuple(o)[1:] for o in out] == [counts(o.x) for o in out]
+
+
+def test_large_boxes_hang_together_without_their_pairs(spark):
+    """Boxes that mostly overlap: links grow with the boxes and the cells they lie in, not with the pairs."""
+    r = random.Random(2)
+    boxes = [(page, k, x := r.gauss(0, 200), y := r.gauss(0, 200), x + r.choice([1, 150, 400]), y + r.choice([5, 150, 400])) for page in (0, 1) for k in range(page * 5000, page * 5000 + 800)]
+    boxes += [(0, 9000 + k, 5000.0 + 40 * k, 0.0, 5020.0 + 40 * k, 10.0) for k in range(5)]
+    b = spark.createDataFrame(boxes, "page_idx int, id long, x0 double, y0 double, x1 double, y1 double")
+    padded = b.selectExpr("page_idx", "id", "x0 - 5 as x0", "y0 - 5 as y0", "x1 + 5 as x1", "y1 + 5 as y1")
+    near = lambda a, c: a[0] == c[0] and a[2] - 5 <= c[4] and c[2] <= a[4] + 5 and a[3] - 5 <= c[5] and c[3] <= a[5] + 5
+    pairs = {(c[1], a[1]) for i, a in enumerate(boxes) for c in boxes[:i] if near(a, c) or near(c, a)}
+
+    def joined(links):
+        up = {x[1]: x[1] for x in boxes}
+
+        def find(k):
+            while up[k] != k:
+                k = up[k]
+            return k
+
+        for a, c in links:
+            a, c = find(a), find(c)
+            up[max(a, c)] = min(a, c)
+        return {k: find(k) for k in up}
+
+    links = [(x.a, x.b) for x in hanging(padded, b, ["page_idx"]).collect()]
+    assert {(min(x), max(x)) for x in links} <= pairs and joined(links) == joined(pairs)
+    assert len(links) < len(pairs) / 3, (len(links), len(pairs))
